@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .language_id import op1_language_id
+from .sentencepiece_sampling import op3_sentencepiece
+from .token_counts import op2_token_counts
 
-QUERIES = {"op1_language_id": op1_language_id}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
