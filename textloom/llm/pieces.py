@@ -45,13 +45,16 @@ class Pieces:
                 self.text[i] = bytes([b])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 t = piece.replace("▁", " ")
-                if t and " " not in t[1:] and "\n" not in t and sp.get_score(i) > -1e8:
+                never = sp.get_score(i) < -1e8  # given by hand, as runs of spaces are
+                if t and " " not in t[1:] and "\n" not in t and (len(t) == 1 or not never):
                     normal[t] = i
-                    score[i] = sp.get_score(i)
+                    score[i] = np.nan if never else sp.get_score(i)
                     self.text[i] = t.encode()
         if min(self.byte) < 0:
             raise ValueError("the vocabulary has no piece for some bytes")
         has = np.isfinite(score)
+        score[np.isnan(score)] = score[has].min() if has.any() else 0.0
+        has = np.isfinite(score)
         ranks = bool(has.any()) and bool((score[has] == np.round(score[has])).all())
         base = np.where(has, -np.log(2 - np.minimum(score, 0)) if ranks else score, -np.inf)
         base[self.byte] = base[has].min() if has.any() else 0.0
