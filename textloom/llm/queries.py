@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .language_id import op1_language_id
+from .lm_scoring import op8_lm_scoring
 from .sentencepiece_sampling import op3_sentencepiece
 from .token_counts import op2_token_counts
+from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece, op5_toxicity, op8_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
