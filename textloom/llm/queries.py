@@ -5,9 +5,10 @@ from __future__ import annotations
 from .language_id import op1_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .lm_scoring import op8_lm_scoring
+from .minhash_forest import OP4_SQL, op4_minhash_forest
 from .sentencepiece_sampling import op3_sentencepiece
 from .token_counts import op2_token_counts
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece, op5_toxicity, op6_line_dedup, op8_lm_scoring)}
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece, op4_minhash_forest, op5_toxicity, op6_line_dedup, op8_lm_scoring)}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_forest": OP4_SQL, "op6_line_dedup": OP6_SQL}
