@@ -13,7 +13,7 @@ shuffled join with the rest of the table, so every count is used at any vocabula
 
 Null texts are empty: only the end. Repeated rows each get their own result (rows are told apart
 by their place in the scan, not by doc_id). Without training rows N = V = 0 and the counts are all
-0. Very long words are scored whole, unremembered.
+0. Very long words are scored whole.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, materialize, table
-from .pieces import DEFAULT_VOCABULARY, Pieces, loaded, read_vocabulary
+from .pieces import DEFAULT_VOCABULARY, Pieces, add_expected, loaded, log_totals, read_vocabulary
 
 FLUSH = 300_000  # words that a task counts before it hands them on
-REMEMBER = 400_000  # words whose marginals a worker remembers
-LONG = 48  # bytes; longer words aren't remembered
+REMEMBER = 300_000  # words whose marginals a worker remembers
+STRETCH = 60_000  # distinct words of documents that are scored together
 LN10 = math.log(10)
 
 
@@ -83,8 +83,7 @@ def _expect(proto):
         p = loaded(proto.value)
         into = np.zeros(p.size)
         for b in batches:
-            for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
-                p.expected(" " + w, float(n), into)
+            add_expected(p, [" " + w for w in b.column("word").to_pylist()], b.column("n").to_pylist(), into)
         has = np.flatnonzero(into)
         yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(into[has])], names=["piece", "n"])
 
@@ -117,38 +116,49 @@ def _score(shared):
         remembered: dict[bytes, float] = {}
         part, row = TaskContext.get().partitionId() << 34, 0
 
-        def marginal(w: bytes) -> float:
-            x = p.forward(" " + w.decode("utf-8", "replace"))
-            if len(w) <= LONG:
-                if len(remembered) > REMEMBER:
-                    remembered.clear()
+        def learn(words: dict[bytes, int]) -> None:
+            for w, x in zip(words, log_totals(p, [" " + w.decode() for w in words]), strict=True):
                 remembered[w] = x
-            return x
 
         for b in batches:
             out: list[tuple] = []
             tail: list[bytes] = []
             tf: list[int] = []
             cut = [0]
+            held: list[Counter] = []
+            size = 0
+
+            def flush() -> None:
+                nonlocal held, size, row
+                if len(remembered) > REMEMBER:
+                    remembered.clear()
+                learn(dict.fromkeys(w for words in held for w in words if w not in remembered))
+                for words in held:
+                    n, known, logs, lattice = 1, 0, 0.0, model.log_end
+                    for w, k in words.items():
+                        n += k
+                        lattice += k * remembered[w]
+                        c = head.get(w)
+                        if c is not None:
+                            known += k
+                            logs += k * c
+                        elif rare:
+                            tail.append(w)
+                            tf.append(k)
+                    if (c := head.get(b"")) is not None:
+                        known += 1
+                        logs += c
+                    out.append((part + row, n, known, logs, lattice / LN10))
+                    cut.append(len(tail))
+                    row += 1
+                held, size = [], 0
+
             for text in _texts(b.column("text").cast(pa.binary())):
-                words = _words(text)
-                known, logs, lattice = 0, 0.0, model.log_end
-                for w, k in Counter(words).items():
-                    x = remembered.get(w)
-                    lattice += k * (marginal(w) if x is None else x)
-                    c = head.get(w)
-                    if c is not None:
-                        known += k
-                        logs += k * c
-                    elif rare:
-                        tail.append(w)
-                        tf.append(k)
-                if (c := head.get(b"")) is not None:
-                    known += 1
-                    logs += c
-                out.append((part + row, len(words) + 1, known, logs, lattice / LN10))
-                cut.append(len(tail))
-                row += 1
+                held.append(Counter(_words(text)))
+                size += len(held[-1])
+                if size > STRETCH:
+                    flush()
+            flush()
             rid, n, known, logs, lattice = zip(*out, strict=True) if out else ((),) * 5
             words = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(tail, pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(

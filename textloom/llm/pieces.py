@@ -91,6 +91,11 @@ class Pieces:
                 at[j] = top + log(sum([exp(x - top) for x in best]))
         return at[-1]
 
+    def trie(self) -> Trie:
+        if not hasattr(self, "_trie"):
+            self._trie = Trie(self)
+        return self._trie
+
     def weights(self) -> list[float]:
         if not hasattr(self, "_list"):
             self._list = self.log_weight.tolist()
@@ -141,6 +146,170 @@ class Pieces:
                 back[i] = x if y == -np.inf else (x + log(1 + exp(y - x)) if x > y else y + log(1 + exp(x - y)))
 
 
+class Trie:
+    """The pieces' prefixes as an open-addressing table, so that many texts advance a character at once."""
+
+    def __init__(self, pieces: Pieces):
+        states = {"": 0}
+        keys, to = [], []
+        texts = [t for t, k in pieces.known.items() if k >= 0]
+        for t in sorted(texts):
+            for k in range(1, len(t) + 1):
+                if t[:k] not in states:
+                    states[t[:k]] = len(states)
+                    keys.append(states[t[: k - 1]] << 21 | ord(t[k - 1]))
+                    to.append(states[t[:k]])
+        self.piece = np.full(len(states), -1, np.int32)
+        for t in texts:
+            self.piece[states[t]] = pieces.known[t]
+        self.longest = max(map(len, texts), default=1)
+        bits = max(8, int(4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.key, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        for k, s in zip(keys, to, strict=True):
+            i = (k * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> (64 - bits)
+            while self.key[i] >= 0:
+                i = (i + 1) & ((1 << bits) - 1)
+            self.key[i], self.to[i] = k, s
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next states, -1 where no piece goes on so."""
+        key = state.astype(np.int64) << 21 | char
+        at = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        found = self.key[at]
+        out = np.where(found == key, self.to[at], -1)
+        on = np.flatnonzero((found != key) & (found >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & (len(self.key) - 1)
+            found = self.key[at[on]]
+            hit = found == key[on]
+            out[on[hit]] = self.to[at[on[hit]]]
+            on = on[~hit & (found >= 0)]
+        return out
+
+
+#: Log of the factor that weights have for each character; it cancels out, and keeps sums within range.
+SCALE = 5.0
+SHORT = 40  # characters of a text that is taken with others at once
+SPELT = 14  # and of one with a character that is no piece
+
+
+class Lattices:
+    """The lattices of many short texts side by side.
+
+    Text t has nodes base[t] .. base[t] + len(t); weight[node, k] is the weight of the edge of k + 1
+    characters that ends there, piece[node, k] its piece, or -1 - i for spelt[i].
+    """
+
+    def __init__(self, pieces: Pieces, texts: list[str]):
+        trie = pieces.trie()
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        char = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(texts)), n)
+        self.base = np.cumsum(n + 1) - (n + 1)
+        self.end = self.base + n
+        nodes = int((n + 1).sum())
+        self.weight = np.zeros((nodes, trie.longest))
+        self.piece = np.zeros((nodes, trie.longest), np.int32)
+        w = np.exp(pieces.log_weight)
+        start = np.arange(len(char)) + owner  # the node before each character
+        left = self.end[owner] - start
+        at, state = np.arange(len(char)), np.zeros(len(char), np.int32)
+        for k in range(trie.longest):
+            state = trie.step(state, char[at + k])
+            on = state >= 0
+            at, state = at[on], state[on]
+            p = trie.piece[state]
+            has = p >= 0
+            to = start[at[has]] + k + 1
+            self.weight[to, k] = w[p[has]] * np.exp(SCALE * (k + 1))
+            self.piece[to, k] = p[has]
+            on = left[at] > k + 1
+            at, state = at[on], state[on]
+            if not len(at):
+                break
+        self.width = k + 1 if len(char) else 1  # characters of the longest edge that can occur
+        self.spelt: list[list[int]] = []
+        bare = np.flatnonzero(self.weight[start + 1, 0] == 0)
+        known: dict[int, int] = {}
+        for i in bare.tolist():
+            c = int(char[i])
+            if c not in known:
+                known[c] = len(self.spelt)
+                self.spelt.append(pieces.spelt(chr(c)))
+            ids = self.spelt[known[c]]
+            self.weight[start[i] + 1, 0] = np.exp(sum(pieces.log_weight[x] for x in ids) + SCALE)
+            self.piece[start[i] + 1, 0] = -1 - known[c]
+        offset = np.arange(nodes) - np.repeat(self.base, n + 1)
+        order = np.argsort(offset.astype(np.int16), kind="stable")
+        cut = np.searchsorted(offset[order], np.arange(int(n.max(initial=0)) + 2))
+        self.rows = [order[cut[d] : cut[d + 1]] for d in range(len(cut) - 1)]
+        self.forward = np.ones(nodes)
+        for d, r in enumerate(self.rows[1:], 1):
+            total = np.zeros(len(r))
+            for k in range(min(d, self.width)):
+                total += self.forward[r - k - 1] * self.weight[r, k]
+            self.forward[r] = total
+        self.n = n
+
+    def log_total(self) -> np.ndarray:
+        """Natural log of each text's summed weight over all segmentations."""
+        return np.log(self.forward[self.end]) - SCALE * self.n
+
+    def shares(self, out: np.ndarray) -> None:
+        """Cumulative weight of each node's edges, going backward, as a share of the node's sum."""
+        total = np.zeros(len(self.forward))
+        one = 1 / self.forward
+        for k in range(self.width):
+            r = np.flatnonzero(self.weight[:, k])
+            total[r] += self.forward[r - k - 1] * self.weight[r, k]
+            out[:, k] = total * one
+        out[:, self.width :] = out[:, self.width - 1 : self.width]
+
+    def expected(self, times: np.ndarray, into: np.ndarray) -> None:
+        """Add the pieces' expected counts, text t counting times[t]."""
+        back = np.zeros(len(self.forward))
+        back[self.end] = times / self.forward[self.end]
+        for d in range(len(self.rows) - 1, 0, -1):
+            r = self.rows[d]
+            for k in range(min(d, self.width)):
+                w = self.weight[r, k]
+                on = np.flatnonzero(w)
+                if len(on):
+                    x = w[on] * back[r[on]]
+                    back[r[on] - k - 1] += x
+                    count, p = x * self.forward[r[on] - k - 1], self.piece[r[on], k]
+                    whole = p >= 0
+                    into += np.bincount(p[whole], count[whole], minlength=len(into))
+                    for i in np.flatnonzero(~whole).tolist():
+                        for s in self.spelt[-1 - p[i]]:
+                            into[s] += count[i]
+
+
+def short(pieces: Pieces, text: str) -> bool:
+    """Whether a text is within what Lattices takes; longer ones go one by one, in logs."""
+    return len(text) <= SPELT or (len(text) <= SHORT and all(pieces.known.get(c, -1) >= 0 for c in text))
+
+
+def log_totals(pieces: Pieces, texts: list[str]) -> list[float]:
+    out = [0.0] * len(texts)
+    few = [i for i, t in enumerate(texts) if short(pieces, t)]
+    if few:
+        for i, x in zip(few, Lattices(pieces, [texts[i] for i in few]).log_total().tolist(), strict=True):
+            out[i] = x
+    for i in set(range(len(texts))).difference(few):
+        out[i] = pieces.forward(texts[i])
+    return out
+
+
+def add_expected(pieces: Pieces, texts: list[str], times: list[float], into: np.ndarray) -> None:
+    few = [i for i, t in enumerate(texts) if short(pieces, t)]
+    if few:
+        Lattices(pieces, [texts[i] for i in few]).expected(np.array([times[i] for i in few], float), into)
+    for i in set(range(len(texts))).difference(few):
+        pieces.expected(texts[i], times[i], into)
+
+
 _loaded: dict[int, Pieces] = {}
 
 

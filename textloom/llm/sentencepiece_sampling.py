@@ -15,7 +15,6 @@ equal segmentations. Extra columns are kept as they are by the stage.
 from __future__ import annotations
 
 import re
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, table
-from .pieces import DEFAULT_VOCABULARY, Pieces, loaded, read_vocabulary
+from .pieces import DEFAULT_VOCABULARY, Lattices, Pieces, read_vocabulary, short
 
 ATOM = re.compile(r"\n|[ ]?[^ \n]+|[ ]")
-CHARS = 1 << 19  # text taken at a time
-EDGES = 3_000_000  # of the atoms that are remembered; then they are forgotten and built again as they come
+CHARS = 1 << 20  # text taken at a time
+NODES = 600_000  # of the atoms that are remembered; then they are forgotten and built again as they come
 
 
 @dataclass(frozen=True)
@@ -39,56 +38,79 @@ class SamplingOptions:
 
 
 class Sampler:
-    def __init__(self, pieces: Pieces, alpha: float):
+    def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.alpha = alpha
+        longest = pieces.trie().longest
+        self.share, self.code, self.first = np.zeros((0, longest), np.float32), np.zeros((0, longest), np.int32), np.zeros(0, np.int64)
         self.forget()
 
     def forget(self) -> None:
         self.atom: dict[str, int] = {}  # its last node
-        self.cum, self.prev, self.code = array("d"), array("i"), array("i")
-        self.first = array("i")  # for each node, its atom's first node
+        self.used = 0
         self.spelt: list[list[int]] = []
 
-    def add(self, atom: str) -> int:
-        base = len(self.first)
-        self.first.extend([base] * (len(atom) + 1))
-        for j, here in enumerate(self.pieces.edges(atom), 1):
-            node = base + j
-            top = max(x[2] for x in here)
-            p = np.exp(np.array([x[2] - top for x in here])) if len(here) > 1 else np.ones(1)
-            c = np.cumsum(p / p.sum())
-            c[-1] = 1.0
-            self.cum.extend((c + node).tolist())
-            for i, k, _ in here:
-                self.prev.append(base + i)
-                if k < 0:
-                    self.spelt.append(self.pieces.spelt(atom[i]))
-                    k = -len(self.spelt)
-                self.code.append(k)
-        self.atom[atom] = base + len(atom)
-        return base + len(atom)
+    def room(self, nodes: int) -> None:
+        """Space for so many more nodes."""
+        if self.used + nodes > len(self.first):
+            size, longest = max(NODES, 2 * len(self.first), self.used + nodes), self.pieces.trie().longest
+            for name, shape, kind in (("share", (size, longest), np.float32), ("code", (size, longest), np.int32), ("first", (size,), np.int64)):
+                wider = np.zeros(shape, kind)
+                wider[: self.used] = getattr(self, name)[: self.used]
+                setattr(self, name, wider)
+
+    def add(self, atoms: list[str]) -> None:
+        """Build the lattices of new atoms: short ones together, others one by one."""
+        self.room(sum(map(len, atoms)) + len(atoms))
+        few = [a for a in atoms if short(self.pieces, a)]
+        few_set = set(few)
+        if few:
+            base = self.used
+            x = Lattices(self.pieces, few)
+            self.used += len(x.forward)
+            x.shares(self.share[base : self.used])
+            code = self.code[base : self.used]
+            code[:, : x.width] = x.piece[:, : x.width]
+            if x.spelt:
+                code[code < 0] -= len(self.spelt)
+                self.spelt += x.spelt
+            self.first[base : self.used] = np.repeat(x.base, x.n + 1) + base
+            self.atom.update(zip(few, (x.end + base).tolist(), strict=True))
+        for a in atoms:
+            if a not in few_set:
+                base = self.used
+                self.used += len(a) + 1
+                s, c = self.share[base : self.used], self.code[base : self.used]
+                for j, here in enumerate(self.pieces.edges(a), 1):
+                    top = max(e[2] for e in here)
+                    p = np.zeros(s.shape[1])
+                    for i, k, through in here:
+                        if k < 0:
+                            self.spelt.append(self.pieces.spelt(a[i]))
+                            k = -len(self.spelt)
+                        p[j - i - 1], c[j, j - i - 1] = np.exp(through - top), k
+                    s[j] = np.cumsum(p) / p.sum()
+                self.first[base : self.used] = base
+                self.atom[a] = self.used - 1
 
     def sample(self, atoms: list[str], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each atom); key: a hash for each occurrence."""
-        if len(self.cum) > EDGES:
+        if self.used > NODES:
             self.forget()
-        get = self.atom.get
-        end = np.fromiter((-1 if (x := get(a)) is None else x for a in atoms), np.int64, len(atoms))
-        for i in np.flatnonzero(end < 0).tolist():
-            x = get(atoms[i])
-            end[i] = self.add(atoms[i]) if x is None else x
-        cum, prev, code, first = (np.frombuffer(a, d) for a, d in ((self.cum, np.float64), (self.prev, np.int32), (self.code, np.int32), (self.first, np.int32)))
+        new = [a for a in dict.fromkeys(atoms) if a not in self.atom]
+        if new:
+            self.add(new)
+        end = np.fromiter(map(self.atom.__getitem__, atoms), np.int64, len(atoms))
         who, node, step, steps = np.arange(len(atoms)), end, 0, []
         count = np.zeros(len(atoms), np.int64)
-        stop = first[end]
+        stop = self.first[end]
         while len(who):
             h = mix64(key + np.uint64((step * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-            u = (h >> np.uint64(40)).astype(np.float64) / (1 << 24)
-            e = np.searchsorted(cum, node + u, "right")
-            steps.append((who, code[e]))
+            u = ((h >> np.uint64(41)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 23)
+            rows = self.share[node]
+            edge = (rows < (u * rows[:, -1])[:, None]).sum(1)  # the first edge whose share reaches u
+            steps.append((who, self.code[node, edge]))
             count[who] += 1
-            node = prev[e].astype(np.int64)
+            node = node - edge - 1
             on = node != stop
             who, node, stop, key = who[on], node[on], stop[on], key[on]
             step += 1
@@ -96,7 +118,6 @@ class Sampler:
         ids = np.empty(int(last[-1]) if len(last) else 0, np.int32)
         for k, (w, c) in enumerate(steps):
             ids[last[w] - 1 - k] = c
-        del cum, prev, code, first
         if len(odd := np.flatnonzero(ids < 0)):
             ids, count = self._spell(ids, count, odd)
         return ids, count
@@ -174,7 +195,7 @@ def _sampler(proto: bytes, alpha: float) -> Sampler:
         if alpha != 1:
             p.log_weight = p.log_weight * alpha
         _samplers.clear()
-        _samplers[key] = Sampler(p, alpha)
+        _samplers[key] = Sampler(p)
     return _samplers[key]
 
 
