@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op1_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .lm_scoring import op8_lm_scoring
@@ -10,5 +11,5 @@ from .sentencepiece_sampling import op3_sentencepiece
 from .token_counts import op2_token_counts
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece, op4_minhash_forest, op5_toxicity, op6_line_dedup, op8_lm_scoring)}
-ORACLE_SQL: dict[str, str] = {"op4_minhash_forest": OP4_SQL, "op6_line_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece, op4_minhash_forest, op5_toxicity, op6_line_dedup, op8_lm_scoring, op9_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_forest": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}
