@@ -26,44 +26,39 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_enough, table
-from .shingles import exact_shingles, line_shingles
+from .common import materialize, mix64, small_enough, table
+from .shingles import exact_shingles, shingles, stretches, words
 
 BUCKETS = 1 << 22  # of the sketch
 CHUNK = 1 << 16  # buckets in a chunk
-STRETCH = 1 << 20  # tokens that are held at a time
+SHIFT = np.uint64(42)  # from a token to its bucket
+LINE_STRETCH = 1 << 21  # bytes of texts whose lines are held at a time
 
 
 @dataclass(frozen=True)
 class LineDedupOptions:
     similarity: int = 80  # per cent
+    broadcast_tokens: int = 1_000_000  # tokens of several lines that are broadcast at most; more are joined by a shuffle
     broadcast_lines: int = 1_000_000  # line numbers that are broadcast at most; more are joined by a shuffle
 
 
-def _raw(column: pa.Array):
-    for t in column.cast(pa.binary()):
-        t = t.as_buffer()
-        yield b"" if t is None else t.to_pybytes()
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token, text << 32 | line) of each token."""
+    w, text, line = words(data, off)
+    return shingles(w, text << 32 | line)
 
 
 def _sketch(batches):
-    counts = np.zeros(BUCKETS, np.int64)
-    held: list[np.ndarray] = []
-    size = 0
+    counts = np.zeros(BUCKETS, np.int32)
     for b in batches:
-        for text in _raw(b.column("text")):
-            h, _ = line_shingles(text)
-            held.append((h >> np.uint64(42)).astype(np.int64))
-            size += len(h)
-            if size > STRETCH:
-                counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                held, size = [], 0
-    if held:
-        counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-    yield from _chunks(counts)
+        for _, _, data, off in stretches(b.column("text")):
+            h, _ = _tokens(data, off)
+            at, n = np.unique((h >> SHIFT).astype(np.int32), return_counts=True)
+            counts[at] += n.astype(np.int32)
+    yield from _chunks(counts.astype(np.int64))
 
 
 def _chunks(counts: np.ndarray):
@@ -99,36 +94,31 @@ def token_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def _lines(shared, similarity: int):
-    def rows(keys, ids, held):
-        h, line, doc = (np.concatenate(c) for c in zip(*held, strict=True))
-        rank = shared.value[(h >> np.uint64(42)).astype(np.int64)]
-        order = np.lexsort((h, rank, line, doc))
-        h, line, doc = h[order], line[order], doc[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])]
-        h, line, doc = h[new], line[new], doc[new]
-        first = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])])
-        n = np.diff(np.r_[first, len(h)])
-        fa, fb = np.add.reduceat(h, first), np.add.reduceat(h * (h | np.uint64(1)), first)
-        prefix = n - (similarity * n + 99) // 100 + 1
-        at = np.repeat(first - (np.cumsum(prefix) - prefix), prefix) + np.arange(prefix.sum())
-        cut = pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32))
-        tokens = pa.ListArray.from_arrays(cut, pa.array(h[at].view(np.int64)))
-        who = doc[first]
-        return pa.RecordBatch.from_arrays([pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), ids.take(pa.array(who)), keys.take(pa.array(who)), pa.array(line[first].astype(np.int32)), pa.array(n.astype(np.int32)), tokens], names=["fa", "fb", "doc_id", "dkey", "line", "n", "tokens"])
-
     def run(batches):
         for b in batches:
-            held, size = [], 0
-            for i, text in enumerate(_raw(b.column("text"))):
-                h, line = line_shingles(text)
-                if len(h):
-                    held.append((h, line, np.full(len(h), i)))
-                    size += len(h)
-                if size > STRETCH:
-                    yield rows(b.column("dkey"), b.column("doc_id"), held)
-                    held, size = [], 0
-            if held:
-                yield rows(b.column("dkey"), b.column("doc_id"), held)
+            for a, z, data, off in stretches(b.column("text"), LINE_STRETCH):
+                h, place = _tokens(data, off)
+                if not len(h):
+                    continue
+                line = np.searchsorted(every := np.unique(place), place)
+                rank = shared.value[(h >> SHIFT).astype(np.int64)]
+                key = line.astype(np.uint64) << np.uint64(40) | rank.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+                order = np.argsort(key)
+                if len(every) >= 1 << 24 or ((key[order][1:] == key[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
+                    order = np.lexsort((h, rank, line))  # the short key doesn't tell some apart
+                h, line = h[order], line[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
+                h, line = h[new], line[new]
+                first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+                n = np.diff(np.r_[first, len(h)])
+                sums = np.add.reduceat(h, first), np.add.reduceat(h * (h | np.uint64(1)), first)
+                prefix = n - (similarity * n + 99) // 100 + 1
+                at = np.repeat(first - (np.cumsum(prefix) - prefix), prefix) + np.arange(prefix.sum())
+                cut = pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32))
+                tokens = pa.ListArray.from_arrays(cut, pa.array(h[at].view(np.int64)))
+                cls = mix64(sums[0] ^ mix64(sums[1] + n.astype(np.uint64)))  # names the set
+                who = pa.array((every >> 32) + a)
+                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), b.column("doc_id").take(who), b.column("dkey").take(who), pa.array((every & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int32)), tokens], names=["cls", "doc_id", "dkey", "line", "n", "tokens"])
 
     return run
 
@@ -178,13 +168,20 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     shared = spark.sparkContext.broadcast(token_sketch(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "dkey", "text").where(F.col("text").isNotNull())
-    lines = materialize(slim.mapInArrow(_lines(shared, t), f"fa long, fb long, doc_id {kind}, dkey long, line int, n int, tokens array<long>"), "lines")
+    lines = materialize(slim.mapInArrow(_lines(shared, t), f"cls long, doc_id {kind}, dkey long, line int, n int, tokens array<long>"), "lines")
     place = F.struct("doc_id", "dkey", "line")
-    classes = lines.groupBy("fa", "fb").agg(F.min(F.struct(place.alias("at"), "n", "tokens")).alias("first"), F.count("*").alias("copies"))
-    firsts = classes.select(F.col("first.at").alias("cls"), F.col("first.n").alias("n"), F.posexplode("first.tokens").alias("pos", "token"))
-    by_token = Window.partitionBy("token")
-    shared_tokens = firsts.withColumn("lead", F.min(F.struct("cls", "n", "pos")).over(by_token)).withColumn("many", F.max("cls").over(by_token))
-    posts = materialize(shared_tokens.where(F.col("many") != F.col("lead.cls")).drop("many"), "line-tokens")
+    classes = lines.groupBy("cls").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
+    classes = materialize(classes, "line-classes")
+
+    # tokens of more than one class, then their lists
+    rows = lines.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
+    ends = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    common = materialize(ends.where(F.col("lo") != F.col("hi")).select("token"), "line-common")
+    if small_enough(common, options.broadcast_tokens):
+        common = F.broadcast(common)
+    posts = rows.join(common, "token", "left_semi").distinct().join(classes.select("cls", "at"), "cls")
+    leads = posts.groupBy("token").agg(F.min_by(F.struct("at", "cls", "n", "pos"), "at").alias("lead"))
+    posts = materialize(posts.join(leads, "token"), "line-tokens")
 
     def within(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
         """Length bound, and overlap that the places of a shared token leave possible."""
@@ -192,15 +189,17 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
         return (F.lit(100) * F.least(na, nb) >= F.lit(t) * F.greatest(na, nb)) & (F.lit(100 + t) * room >= F.lit(t) * (na + nb))
 
     star = posts.where((F.col("cls") != F.col("lead.cls")) & within(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos")))
-    matched = materialize(_similar(star.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct(), docs, t), "line-matched")
-    left = posts.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lead.cls").alias("lead"))
-    rest = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(matched, "b", "left_anti")
-    pairs = left.where(F.col("a") != F.col("lead")).join(rest, "token").where((F.col("a") < F.col("b")) & within(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b").distinct()
-    matched = matched.union(_similar(materialize(pairs, "line-pairs"), docs, t))
-
-    status = classes.select("fa", "fb", F.col("first.at").alias("cls"), "copies").join(matched.withColumnRenamed("b", "cls").withColumn("hit", F.lit(True)), "cls", "left")
-    status = status.where((F.col("copies") > 1) | F.col("hit")).select("fa", "fb", F.col("cls").alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    gone = lines.select("fa", "fb", place.alias("at"), "dkey", "line").join(status, ["fa", "fb"]).where(F.col("hit") | (F.col("at") != F.col("first")))
+    matched = materialize(_similar(star.select(F.col("lead.at").alias("a"), F.col("at").alias("b")).distinct(), docs, t), "line-matched")
+    left = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    rest = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(matched, "b", "left_anti")
+    pairs = left.join(rest, "token").where((F.col("a") < F.col("b")) & within(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b").distinct()
+    pairs = materialize(pairs, "line-pairs")
+    if pairs.limit(1).count():
+        matched = matched.union(_similar(pairs, docs, t))
+
+    hit = classes.join(matched.withColumnRenamed("b", "at").withColumn("hit", F.lit(True)), "at", "left")
+    status = hit.where((F.col("copies") > 1) | F.col("hit")).select("cls", F.col("at").alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    gone = lines.select("cls", place.alias("at"), "dkey", "line").join(status, "cls").where(F.col("hit") | (F.col("at") != F.col("first")))
     return gone.groupBy("dkey").agg(F.collect_set("line").alias("removed"))
 
 
