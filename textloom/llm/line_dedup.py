@@ -45,17 +45,19 @@ class LineDedupOptions:
     broadcast_lines: int = 1_000_000  # line numbers that are broadcast at most; more are joined by a shuffle
 
 
-def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token, text << 32 | line) of each token."""
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, number of its line among those with words; text << 32 | line of each such line)."""
     w, text, line = words(data, off)
-    return shingles(w, text << 32 | line)
+    place = text << 32 | line
+    new = np.r_[True, place[1:] != place[:-1]] if len(place) else np.zeros(0, bool)
+    return *shingles(w, np.cumsum(new) - 1), place[new]
 
 
 def _sketch(batches):
     counts = np.zeros(BUCKETS, np.int32)
     for b in batches:
         for _, _, data, off in stretches(b.column("text")):
-            h, _ = _tokens(data, off)
+            h, _, _ = _tokens(data, off)
             at, n = np.unique((h >> SHIFT).astype(np.int32), return_counts=True)
             counts[at] += n.astype(np.int32)
     yield from _chunks(counts.astype(np.int64))
@@ -97,10 +99,9 @@ def _lines(shared, similarity: int):
     def run(batches):
         for b in batches:
             for a, z, data, off in stretches(b.column("text"), LINE_STRETCH):
-                h, place = _tokens(data, off)
+                h, line, every = _tokens(data, off)
                 if not len(h):
                     continue
-                line = np.searchsorted(every := np.unique(place), place)
                 rank = shared.value[(h >> SHIFT).astype(np.int64)]
                 key = line.astype(np.uint64) << np.uint64(40) | rank.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
                 order = np.argsort(key)
@@ -139,21 +140,20 @@ def _confirm(similarity: int):
     return run
 
 
-def _with_text(pairs: DataFrame, side: str, docs: DataFrame) -> DataFrame:
-    """pairs with the text of the line that a or b names: by document, then by line within it."""
-    wanted = pairs.select(F.col(side).alias("cls")).distinct()
-    by_doc = wanted.groupBy(F.col("cls.dkey").alias("dkey")).agg(F.collect_set("cls").alias("each"))
+def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """at, text of the lines that wanted (at) names: by document, then by line within it."""
+    by_doc = materialize(wanted.groupBy(F.col("at.dkey").alias("dkey")).agg(F.collect_set("at").alias("each")), "line-wanted")
     if small_enough(by_doc, 200_000):
         by_doc = F.broadcast(by_doc)
-    one = docs.select("dkey", "text").join(by_doc, "dkey")
-    lines = one.withColumn("lines", F.split("text", "\n", -1)).select("dkey", F.explode(F.transform("each", lambda c: F.struct(c.alias("cls"), F.element_at("lines", c["line"] + 1).alias("text")))).alias("x"))
-    lines = lines.select(F.col("x.cls").alias(side), F.col("x.text").alias(f"text_{side}")).dropDuplicates([side])
-    return pairs.join(lines, side)
+    one = docs.select("dkey", "text").join(by_doc, "dkey").withColumn("lines", F.split("text", "\n", -1))
+    lines = one.select(F.explode(F.transform("each", lambda c: F.struct(c.alias("at"), F.element_at("lines", c["line"] + 1).alias("text")))).alias("x"))
+    return materialize(lines.select("x.at", "x.text").dropDuplicates(["at"]), "line-texts")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """The b of pairs that their lines' own words confirm."""
-    full = _with_text(_with_text(pairs, "a", docs), "b", docs).select("b", "text_a", "text_b")
+    a, b = (texts.select(F.col("at").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    full = pairs.join(a, "a").join(b, "b").select("b", "text_a", "text_b")
     kind = full.schema["b"].dataType.simpleString()
     return full.mapInArrow(_confirm(similarity), f"b {kind}").distinct()
 
@@ -169,7 +169,7 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "dkey", "text").where(F.col("text").isNotNull())
     lines = materialize(slim.mapInArrow(_lines(shared, t), f"cls long, doc_id {kind}, dkey long, line int, n int, tokens array<long>"), "lines")
-    place = F.struct("doc_id", "dkey", "line")
+    place = F.struct("doc_id", "dkey", "line")  # orders the lines
     classes = lines.groupBy("cls").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
     classes = materialize(classes, "line-classes")
 
@@ -179,7 +179,8 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     common = materialize(ends.where(F.col("lo") != F.col("hi")).select("token"), "line-common")
     if small_enough(common, options.broadcast_tokens):
         common = F.broadcast(common)
-    posts = rows.join(common, "token", "left_semi").distinct().join(classes.select("cls", "at"), "cls")
+    every = lines.select("cls", "n", place.alias("at"), F.posexplode("tokens").alias("pos", "token")).join(common, "token", "left_semi")
+    posts = every.groupBy("token", "cls", "n", "pos").agg(F.min("at").alias("at"))
     leads = posts.groupBy("token").agg(F.min_by(F.struct("at", "cls", "n", "pos"), "at").alias("lead"))
     posts = materialize(posts.join(leads, "token"), "line-tokens")
 
@@ -189,13 +190,19 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
         return (F.lit(100) * F.least(na, nb) >= F.lit(t) * F.greatest(na, nb)) & (F.lit(100 + t) * room >= F.lit(t) * (na + nb))
 
     star = posts.where((F.col("cls") != F.col("lead.cls")) & within(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos")))
-    matched = materialize(_similar(star.select(F.col("lead.at").alias("a"), F.col("at").alias("b")).distinct(), docs, t), "line-matched")
+    star = materialize(star.select(F.col("lead.at").alias("a"), F.col("at").alias("b")).distinct(), "line-star")
+    ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
+    texts = _line_texts(ends_of(star), docs)
+    matched = materialize(_similar(star, texts, t), "line-matched")
     left = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     rest = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(matched, "b", "left_anti")
     pairs = left.join(rest, "token").where((F.col("a") < F.col("b")) & within(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b").distinct()
     pairs = materialize(pairs, "line-pairs")
     if pairs.limit(1).count():
-        matched = matched.union(_similar(pairs, docs, t))
+        more = ends_of(pairs).join(texts.select("at"), "at", "left_anti")
+        if more.limit(1).count():
+            texts = texts.union(_line_texts(more, docs))
+        matched = matched.union(_similar(pairs, texts, t))
 
     hit = classes.join(matched.withColumnRenamed("b", "at").withColumn("hit", F.lit(True)), "at", "left")
     status = hit.where((F.col("copies") > 1) | F.col("hit")).select("cls", F.col("at").alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))

@@ -78,14 +78,14 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         np.cumsum(_value[part] * power[: len(part)], out=total[1:])
         hashes.append(mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * PLACES[2]))
         starts.append(start + a)
-        new = np.cumsum(part == 10, dtype=np.int64)
-        lines.append(new[start] + line)
-        line += int(new[-1])
+        ends = np.flatnonzero(part == 10)
+        lines.append(np.cumsum(np.bincount(np.searchsorted(start, ends), minlength=len(start) + 1)[: len(start)]) + line)
+        line += len(ends)
         a = z
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     start = np.concatenate(starts)
-    text = np.searchsorted(off, start, "right") - 1
+    text = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
     base = np.searchsorted(np.flatnonzero(data == 10), off)  # line ends before each text
     return np.concatenate(hashes), text, np.concatenate(lines) - base[text]
 
