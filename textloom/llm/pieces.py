@@ -96,6 +96,13 @@ class Pieces:
             self._trie = Trie(self)
         return self._trie
 
+    def has(self) -> np.ndarray:
+        """Whether each code point is a piece."""
+        if not hasattr(self, "_has"):
+            self._has = np.zeros(0x110000, bool)
+            self._has[[ord(t) for t, k in self.known.items() if k >= 0 and len(t) == 1]] = True
+        return self._has
+
     def weights(self) -> list[float]:
         if not hasattr(self, "_list"):
             self._list = self.log_weight.tolist()
@@ -197,116 +204,136 @@ SPELT = 14  # and of one with a character that is no piece
 class Lattices:
     """The lattices of many short texts side by side.
 
-    Text t has nodes base[t] .. base[t] + len(t); weight[node, k] is the weight of the edge of k + 1
-    characters that ends there, piece[node, k] its piece, or -1 - i for spelt[i].
+    Texts are sorted by length, the longest first. Node (d, t), after d characters of text t, is
+    base[d] + t, so what happens after d characters happens in one stretch of every array.
+    weight[k, node] is the weight of the edge of k + 1 characters that ends there, piece[node, k] its
+    piece, or -1 - i for spelt[i].
     """
 
-    def __init__(self, pieces: Pieces, texts: list[str]):
+    def __init__(self, pieces: Pieces, char: np.ndarray, first: np.ndarray, n: np.ndarray):
+        """Text i is the code points char[first[i]:first[i] + n[i]]."""
         trie = pieces.trie()
-        n = np.fromiter(map(len, texts), np.int64, len(texts))
-        char = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), n)
-        self.base = np.cumsum(n + 1) - (n + 1)
-        self.end = self.base + n
-        nodes = int((n + 1).sum())
-        self.weight = np.zeros((nodes, trie.longest))
-        self.piece = np.zeros((nodes, trie.longest), np.int32)
-        w = np.exp(pieces.log_weight)
-        start = np.arange(len(char)) + owner  # the node before each character
-        left = self.end[owner] - start
-        at, state = np.arange(len(char)), np.zeros(len(char), np.int32)
-        for k in range(trie.longest):
-            state = trie.step(state, char[at + k])
+        self.order = np.argsort(-n, kind="stable")
+        self.n = n[self.order]
+        first = first[self.order]
+        longest = int(self.n[0]) if len(n) else 0
+        self.live = len(n) - np.searchsorted(self.n[::-1], np.arange(longest + 1), "left")  # texts of d characters at least
+        self.base = np.cumsum(self.live) - self.live
+        nodes = int(self.live.sum())
+        # the character after each node, for nodes that have one
+        after = np.zeros(nodes, np.int64)
+        for d in range(longest):
+            m = self.live[d + 1]
+            after[self.base[d] : self.base[d] + m] = char[first[:m] + d]
+        d = np.repeat(np.arange(longest), self.live[1:])
+        t = np.concatenate([np.arange(m) for m in self.live[1:]]) if longest else d
+        state = np.zeros(len(d), np.int32)
+        edges = []
+        k = 0
+        while len(d):
+            state = trie.step(state, after[self.base[d] + t])
             on = state >= 0
-            at, state = at[on], state[on]
+            d, t, state = d[on] + 1, t[on], state[on]
             p = trie.piece[state]
             has = p >= 0
-            to = start[at[has]] + k + 1
-            self.weight[to, k] = w[p[has]] * np.exp(SCALE * (k + 1))
-            self.piece[to, k] = p[has]
-            on = left[at] > k + 1
-            at, state = at[on], state[on]
-            if not len(at):
-                break
-        self.width = k + 1 if len(char) else 1  # characters of the longest edge that can occur
+            edges.append((self.base[d[has]] + t[has], p[has]))
+            on = self.n[t] > d
+            d, t, state = d[on], t[on], state[on]
+            k += 1
+        while len(edges) > 1 and not len(edges[-1][0]):
+            edges.pop()
+        w = np.exp(pieces.log_weight)
+        self.width = max(1, len(edges))
+        self.weight = np.zeros((self.width, nodes), np.float32)
+        self.piece = np.zeros((nodes, self.width), np.int32)
+        for k, (to, p) in enumerate(edges):
+            self.weight[k, to] = w[p] * np.exp(SCALE * (k + 1))
+            self.piece[to, k] = p
         self.spelt: list[list[int]] = []
-        bare = np.flatnonzero(self.weight[start + 1, 0] == 0)
         known: dict[int, int] = {}
-        for i in bare.tolist():
-            c = int(char[i])
+        for i in (np.flatnonzero(self.weight[0, len(n) :] == 0) + len(n)).tolist():
+            at = int(np.searchsorted(self.base, i, "right")) - 1
+            c = int(after[self.base[at - 1] + i - self.base[at]])
             if c not in known:
                 known[c] = len(self.spelt)
                 self.spelt.append(pieces.spelt(chr(c)))
-            ids = self.spelt[known[c]]
-            self.weight[start[i] + 1, 0] = np.exp(sum(pieces.log_weight[x] for x in ids) + SCALE)
-            self.piece[start[i] + 1, 0] = -1 - known[c]
-        offset = np.arange(nodes) - np.repeat(self.base, n + 1)
-        order = np.argsort(offset.astype(np.int16), kind="stable")
-        cut = np.searchsorted(offset[order], np.arange(int(n.max(initial=0)) + 2))
-        self.rows = [order[cut[d] : cut[d + 1]] for d in range(len(cut) - 1)]
+            self.weight[0, i] = np.exp(sum(pieces.log_weight[x] for x in self.spelt[known[c]]) + SCALE)
+            self.piece[i, 0] = -1 - known[c]
+        # forward sums, and what the first edges make of each
         self.forward = np.ones(nodes)
-        for d, r in enumerate(self.rows[1:], 1):
-            total = np.zeros(len(r))
-            for k in range(min(d, self.width)):
-                total += self.forward[r - k - 1] * self.weight[r, k]
-            self.forward[r] = total
-        self.n = n
+        self.share = np.zeros((nodes, self.width), np.float32)
+        for d in range(1, longest + 1):
+            m, here = self.live[d], slice(self.base[d], self.base[d] + self.live[d])
+            total = np.zeros(m)
+            some = min(d, self.width)
+            for k in range(some):
+                b = self.base[d - k - 1]
+                total += self.forward[b : b + m] * self.weight[k, here]
+                self.share[here, k] = total
+            self.share[here, some:] = total[:, None]
+            self.forward[here] = total
+
+    def ends(self) -> np.ndarray:
+        """The last node of each text, in their sorted order."""
+        return self.base[self.n] + np.arange(len(self.n))
 
     def log_total(self) -> np.ndarray:
-        """Natural log of each text's summed weight over all segmentations."""
-        return np.log(self.forward[self.end]) - SCALE * self.n
-
-    def shares(self, out: np.ndarray) -> None:
-        """Cumulative weight of each node's edges, going backward, as a share of the node's sum."""
-        total = np.zeros(len(self.forward))
-        one = 1 / self.forward
-        for k in range(self.width):
-            r = np.flatnonzero(self.weight[:, k])
-            total[r] += self.forward[r - k - 1] * self.weight[r, k]
-            out[:, k] = total * one
-        out[:, self.width :] = out[:, self.width - 1 : self.width]
+        """Natural log of each text's summed weight over all segmentations, in the given order."""
+        out = np.empty(len(self.n))
+        out[self.order] = np.log(self.forward[self.ends()]) - SCALE * self.n
+        return out
 
     def expected(self, times: np.ndarray, into: np.ndarray) -> None:
-        """Add the pieces' expected counts, text t counting times[t]."""
+        """Add the pieces' expected counts, text i of the given ones counting times[i]."""
         back = np.zeros(len(self.forward))
-        back[self.end] = times / self.forward[self.end]
-        for d in range(len(self.rows) - 1, 0, -1):
-            r = self.rows[d]
+        ends = self.ends()
+        back[ends] = times[self.order] / self.forward[ends]
+        for d in range(len(self.base) - 1, 0, -1):
+            m, here = self.live[d], slice(self.base[d], self.base[d] + self.live[d])
             for k in range(min(d, self.width)):
-                w = self.weight[r, k]
-                on = np.flatnonzero(w)
-                if len(on):
-                    x = w[on] * back[r[on]]
-                    back[r[on] - k - 1] += x
-                    count, p = x * self.forward[r[on] - k - 1], self.piece[r[on], k]
-                    whole = p >= 0
-                    into += np.bincount(p[whole], count[whole], minlength=len(into))
-                    for i in np.flatnonzero(~whole).tolist():
-                        for s in self.spelt[-1 - p[i]]:
-                            into[s] += count[i]
+                b = self.base[d - k - 1]
+                x = self.weight[k, here] * back[here]
+                back[b : b + m] += x
+                x *= self.forward[b : b + m]
+                p = self.piece[here, k]
+                whole = p >= 0
+                into += np.bincount(p[whole], x[whole], minlength=len(into))
+                for i in np.flatnonzero(~whole).tolist():
+                    for s in self.spelt[-1 - p[i]]:
+                        into[s] += x[i]
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def short(pieces: Pieces, char: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which texts are within what Lattices takes; longer ones go one by one, in logs."""
+    odd = np.r_[0, np.cumsum(~pieces.has()[char])]
+    return (n <= SPELT) | ((n <= SHORT) & (odd[first + n] == odd[first]))
 
 
-def short(pieces: Pieces, text: str) -> bool:
-    """Whether a text is within what Lattices takes; longer ones go one by one, in logs."""
-    return len(text) <= SPELT or (len(text) <= SHORT and all(pieces.known.get(c, -1) >= 0 for c in text))
+def _split(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    char, n = points("".join(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(n) - n
+    return char, first, n, short(pieces, char, first, n)
 
 
 def log_totals(pieces: Pieces, texts: list[str]) -> list[float]:
-    out = [0.0] * len(texts)
-    few = [i for i, t in enumerate(texts) if short(pieces, t)]
-    if few:
-        for i, x in zip(few, Lattices(pieces, [texts[i] for i in few]).log_total().tolist(), strict=True):
-            out[i] = x
-    for i in set(range(len(texts))).difference(few):
+    char, first, n, few = _split(pieces, texts)
+    out = np.zeros(len(texts))
+    if few.any():
+        out[few] = Lattices(pieces, char, first[few], n[few]).log_total()
+    for i in np.flatnonzero(~few).tolist():
         out[i] = pieces.forward(texts[i])
-    return out
+    return out.tolist()
 
 
 def add_expected(pieces: Pieces, texts: list[str], times: list[float], into: np.ndarray) -> None:
-    few = [i for i, t in enumerate(texts) if short(pieces, t)]
-    if few:
-        Lattices(pieces, [texts[i] for i in few]).expected(np.array([times[i] for i in few], float), into)
-    for i in set(range(len(texts))).difference(few):
+    char, first, n, few = _split(pieces, texts)
+    if few.any():
+        Lattices(pieces, char, first[few], n[few]).expected(np.array(times, float)[few], into)
+    for i in np.flatnonzero(~few).tolist():
         pieces.expected(texts[i], times[i], into)
 
 

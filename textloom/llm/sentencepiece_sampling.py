@@ -1,8 +1,8 @@
 """Reproducible sampled segmentation by forward filtering and backward sampling.
 
 A text is cut into atoms (a word with the space before it, a line end, a space); the forward sums
-of each distinct atom's lattice are built once, and all occurrences of all atoms in a stretch of
-text then walk back from their ends together, one sampled edge a step. The uniform for a step is a
+of each distinct atom's lattice are built once in a stretch of text, and all occurrences of all its
+atoms then walk back from their ends together, one sampled edge a step. The uniform for a step is a
 hash of the row's key, the seed, the atom's place in the text and the step, so a row's
 segmentation depends on nothing else: not on partitions, batches or other rows.
 
@@ -14,7 +14,6 @@ equal segmentations. Extra columns are kept as they are by the stage.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, table
-from .pieces import DEFAULT_VOCABULARY, Lattices, Pieces, read_vocabulary, short
+from .pieces import DEFAULT_VOCABULARY, Lattices, Pieces, points, read_vocabulary, short
 
-ATOM = re.compile(r"\n|[ ]?[^ \n]+|[ ]")
-CHARS = 1 << 20  # text taken at a time
-NODES = 600_000  # of the atoms that are remembered; then they are forgotten and built again as they come
+CHARS = 1 << 21  # text taken at a time
 
 
 @dataclass(frozen=True)
@@ -37,93 +34,88 @@ class SamplingOptions:
     alpha: float = 1.0  # exponent on the pieces' weights: 0 is uniform over segmentations, large is the best one
 
 
+_PRIME = 0x9E3779B97F4A7C15
+_forth = np.multiply.accumulate(np.r_[np.uint64(1), np.full(1 << 16, _PRIME, np.uint64)])
+
+
+def _atoms(char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where atoms start, and a hash of each: a line end, a space with what follows it, or what follows a line end."""
+    line = char == 10
+    begin = line | (char == 32)
+    begin[1:] |= line[:-1]
+    begin[:1] = True
+    start = np.flatnonzero(begin)
+    end = np.r_[start[1:], len(char)]
+    value = (char.astype(np.uint64) + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    at = np.arange(len(char)) - np.repeat(start, end - start)
+    value *= _forth[np.minimum(at, len(_forth) - 1)]
+    far = np.flatnonzero(at >= len(_forth))  # of a very long atom
+    value[far] = mix64(value[far] + at[far].astype(np.uint64) * np.uint64(_PRIME))
+    return start, mix64(np.add.reduceat(value, start) + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
 class Sampler:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        longest = pieces.trie().longest
-        self.share, self.code, self.first = np.zeros((0, longest), np.float32), np.zeros((0, longest), np.int32), np.zeros(0, np.int64)
-        self.forget()
-
-    def forget(self) -> None:
-        self.atom: dict[str, int] = {}  # its last node
-        self.used = 0
-        self.spelt: list[list[int]] = []
-
-    def room(self, nodes: int) -> None:
-        """Space for so many more nodes."""
-        if self.used + nodes > len(self.first):
-            size, longest = max(NODES, 2 * len(self.first), self.used + nodes), self.pieces.trie().longest
-            for name, shape, kind in (("share", (size, longest), np.float32), ("code", (size, longest), np.int32), ("first", (size,), np.int64)):
-                wider = np.zeros(shape, kind)
-                wider[: self.used] = getattr(self, name)[: self.used]
-                setattr(self, name, wider)
-
-    def add(self, atoms: list[str]) -> None:
-        """Build the lattices of new atoms: short ones together, others one by one."""
-        self.room(sum(map(len, atoms)) + len(atoms))
-        few = [a for a in atoms if short(self.pieces, a)]
-        few_set = set(few)
-        if few:
-            base = self.used
-            x = Lattices(self.pieces, few)
-            self.used += len(x.forward)
-            x.shares(self.share[base : self.used])
-            code = self.code[base : self.used]
-            code[:, : x.width] = x.piece[:, : x.width]
-            if x.spelt:
-                code[code < 0] -= len(self.spelt)
-                self.spelt += x.spelt
-            self.first[base : self.used] = np.repeat(x.base, x.n + 1) + base
-            self.atom.update(zip(few, (x.end + base).tolist(), strict=True))
-        for a in atoms:
-            if a not in few_set:
-                base = self.used
-                self.used += len(a) + 1
-                s, c = self.share[base : self.used], self.code[base : self.used]
-                for j, here in enumerate(self.pieces.edges(a), 1):
-                    top = max(e[2] for e in here)
-                    p = np.zeros(s.shape[1])
-                    for i, k, through in here:
-                        if k < 0:
-                            self.spelt.append(self.pieces.spelt(a[i]))
-                            k = -len(self.spelt)
-                        p[j - i - 1], c[j, j - i - 1] = np.exp(through - top), k
-                    s[j] = np.cumsum(p) / p.sum()
-                self.first[base : self.used] = base
-                self.atom[a] = self.used - 1
-
-    def sample(self, atoms: list[str], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids of each atom); key: a hash for each occurrence."""
-        if self.used > NODES:
-            self.forget()
-        new = [a for a in dict.fromkeys(atoms) if a not in self.atom]
-        if new:
-            self.add(new)
-        end = np.fromiter(map(self.atom.__getitem__, atoms), np.int64, len(atoms))
-        who, node, step, steps = np.arange(len(atoms)), end, 0, []
-        count = np.zeros(len(atoms), np.int64)
-        stop = self.first[end]
+
+    def sample(self, char: np.ndarray, start: np.ndarray, name: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each atom); name: a hash of each atom's characters, key: of each occurrence."""
+        size = np.diff(np.r_[start, len(char)])
+        _, one, which = np.unique(name, return_index=True, return_inverse=True)
+        few = short(self.pieces, char, start[one], size[one])
+        x = Lattices(self.pieces, char, start[one][few], size[one][few])
+        place = np.full(len(one), -1)
+        place[np.flatnonzero(few)[x.order]] = np.arange(len(x.order))
+        t = place[which]
+        count = np.zeros(len(start), np.int64)
+        who = np.flatnonzero(t >= 0)
+        t, d, k, step, steps = t[who], size[who], key[who], 0, []
         while len(who):
-            h = mix64(key + np.uint64((step * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+            h = mix64(k + np.uint64((step * _PRIME) & (2**64 - 1)))
             u = ((h >> np.uint64(41)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 23)
-            rows = self.share[node]
-            edge = (rows < (u * rows[:, -1])[:, None]).sum(1)  # the first edge whose share reaches u
-            steps.append((who, self.code[node, edge]))
+            node = x.base[d] + t
+            rows = x.share[node]
+            edge = (rows < (u * rows[:, -1])[:, None]).sum(1)  # the first edge with which the sum reaches u's part
+            steps.append((who, x.piece[node, edge]))
             count[who] += 1
-            node = node - edge - 1
-            on = node != stop
-            who, node, stop, key = who[on], node[on], stop[on], key[on]
+            d = d - edge - 1
+            on = d > 0
+            who, t, d, k = who[on], t[on], d[on], k[on]
             step += 1
+        spelt = x.spelt
+        alone = {i: self._walk(char[start[i] : start[i] + size[i]], int(key[i]), spelt) for i in np.flatnonzero(place[which] < 0).tolist()}
+        for i, found in alone.items():
+            count[i] = len(found)
         last = np.cumsum(count)
         ids = np.empty(int(last[-1]) if len(last) else 0, np.int32)
-        for k, (w, c) in enumerate(steps):
-            ids[last[w] - 1 - k] = c
+        for j, (w, c) in enumerate(steps):
+            ids[last[w] - 1 - j] = c
+        for i, found in alone.items():
+            ids[last[i] - len(found) : last[i]] = found
         if len(odd := np.flatnonzero(ids < 0)):
-            ids, count = self._spell(ids, count, odd)
+            ids, count = self._spell(ids, count, odd, spelt)
         return ids, count
 
-    def _spell(self, ids: np.ndarray, count: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        spans = [self.spelt[-k - 1] for k in ids[odd].tolist()]
+    def _walk(self, char: np.ndarray, key: int, spelt: list[list[int]]) -> list[int]:
+        """One long atom's sample; its own lattice, in logs."""
+        text = char.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        ends, d, step, out = self.pieces.edges(text), len(text), 0, []
+        while d:
+            h = int(mix64(np.array([(key + step * _PRIME) & (2**64 - 1)], np.uint64))[0])
+            u = ((h >> 41) + 0.5) / (1 << 23)
+            here = ends[d - 1]
+            top = max(e[2] for e in here)
+            sums = np.cumsum(np.exp(np.array([e[2] - top for e in here])))
+            i, k, _ = here[min(len(here) - 1, int(np.searchsorted(sums, u * sums[-1])))]
+            if k < 0:
+                spelt.append(self.pieces.spelt(text[i]))
+                k = -len(spelt)
+            out.append(k)
+            d, step = i, step + 1
+        return out[::-1]
+
+    def _spell(self, ids: np.ndarray, count: np.ndarray, odd: np.ndarray, spelt: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        spans = [spelt[-k - 1] for k in ids[odd].tolist()]
         width = np.ones(len(ids), np.int64)
         width[odd] = [len(s) for s in spans]
         out = np.repeat(ids, width)
@@ -137,30 +129,35 @@ class Sampler:
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text), a stretch of text at a time."""
         parts, sizes = [], np.zeros(len(texts), np.int64)
-        atoms: list[str] = []
-        hashes: list[np.ndarray] = []
-        owner: list[np.ndarray] = []
-        held = 0
+        held: list[str] = []
+        owner: list[int] = []
+        done = np.zeros(len(texts), np.int64)  # atoms of each text so far
+        size = 0
 
         def flush() -> None:
-            nonlocal atoms, hashes, owner, held
-            if atoms:
-                ids, count = self.sample(atoms, np.concatenate(hashes))
+            nonlocal held, owner, size
+            if held:
+                char = points("".join(held))
+                start, name = _atoms(char)
+                cut = np.r_[0, np.cumsum([len(p) for p in held])]
+                n = np.diff(np.searchsorted(start, cut))
+                who = np.array(owner)
+                place = np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(done[who], n)
+                key = mix64(place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.repeat(keys[who], n))
+                ids, count = self.sample(char, start, name, key)
                 parts.append(ids)
-                np.add.at(sizes, np.concatenate(owner), count)
-            atoms, hashes, owner, held = [], [], [], 0
+                np.add.at(sizes, np.repeat(who, n), count)
+                done[who] += n
+            held, owner, size = [], [], 0
 
         for t, text in enumerate(texts):
-            done = 0
             for piece in _stretches(" " + text):
-                found = ATOM.findall(piece)
-                place = np.arange(done, done + len(found), dtype=np.uint64)
-                atoms += found
-                hashes.append(mix64(place * np.uint64(0xD1342543DE82EF95) + keys[t]))
-                owner.append(np.full(len(found), t))
-                done += len(found)
-                held += len(piece)
-                if held >= CHARS:
+                if owner and owner[-1] == t:
+                    flush()  # a text's next stretch goes on counting its atoms
+                held.append(piece)
+                owner.append(t)
+                size += len(piece)
+                if size >= CHARS:
                     flush()
         flush()
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), sizes
@@ -172,9 +169,7 @@ def _stretches(text: str):
     while a < len(text):
         z = a + CHARS
         if z < len(text):
-            cut = max(text.find(" ", z), -1)
-            line = text.find("\n", z)
-            z = min((x for x in (cut, line) if x >= 0), default=len(text))
+            z = min((x for x in (text.find(" ", z), text.find("\n", z)) if x >= 0), default=len(text))
         yield text[a:z]
         a = z
 
