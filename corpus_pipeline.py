@@ -10,22 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontamination, line_dedup, minhash_forest, sentencepiece_sampling, toxicity
-from textloom.llm.common import materialize, table
+from textloom.llm.common import materialize, packed, table, unpacked
+
+#: What the stages work on; the other columns go along untouched.
+NAMED = ("doc_id", "text")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.predict(docs, chain).where(~F.col("rejected")).select(docs.columns)
+    return unpacked(toxicity.predict(packed(docs, *NAMED), chain).where(~F.col("rejected")), docs, NAMED)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with an earlier match go; documents stay, if need be with an empty text."""
-    out = line_dedup.dedup_lines(docs)
-    changed = {"text": F.col("deduped")}
+    out = line_dedup.dedup_lines(packed(docs, *NAMED))
+    row = F.col("_row")
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.length("deduped")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(changed).select(docs.columns)
+        now = F.when(F.size("removed") == 0, F.col("_row.n_chars")).otherwise(F.length("deduped"))
+        row = row.withField("n_chars", now.cast(docs.schema["n_chars"].dataType))
+    return unpacked(out.select("doc_id", F.col("deduped").alias("text"), row.alias("_row")), docs, NAMED)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +39,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    out = decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
-    return out.where(~F.col("contaminated")).select(docs.columns)
+    out = decontamination.decontaminated(packed(docs, *NAMED), table(spark, sf_dir, "benchmark"))
+    return unpacked(out.where(~F.col("contaminated")), docs, NAMED)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,6 +80,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def packed(docs: DataFrame, *named: str) -> DataFrame:
+    """The named columns, and the others of docs in the struct _row, where their names can't clash."""
+    rest = [c for c in docs.columns if c not in named]
+    row = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(True).alias("none"))
+    return docs.select(*(F.col(f"`{c}`") for c in named), row.alias("_row"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, named: tuple[str, ...], *results: str) -> DataFrame:
+    """The columns of docs, the named ones as they are now, then the results; a column of docs named like a result gives way."""
+    taken = {r.lower() for r in results}
+    own = [F.col(c) if c in named else F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in taken]
+    return df.select(*own, *results)
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; stops counting soon after."""
     return df.limit(rows + 1).count() <= rows

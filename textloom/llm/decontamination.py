@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, small_enough, table
+from .common import LOWER, UPPER, materialize, packed, small_enough, table, unpacked
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -109,14 +109,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, options: Decontaminatio
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions()) -> DataFrame:
-    """docs with n_words, n_hit, items (sorted, as strings) and contaminated."""
-    keyed = docs.withColumn("dkey", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    """docs with n_words, n_hit, items (sorted, as strings) and contaminated; these replace columns of their names."""
+    keyed = packed(docs, "doc_id", "text").withColumn("dkey", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     found = materialize(contamination(keyed.select("dkey", "text"), benchmark, options), "contamination")
     spots = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
     found = found.select("dkey", F.size(spots).cast("long").alias("n_hit"), "items")
-    out = keyed.withColumn("n_words", F.size(_loose_words(F.col("text"))).cast("long")).join(_few(found, options.broadcast_rows // 10), "dkey", "left").drop("dkey")
+    out = keyed.withColumn("n_words", F.size(_loose_words(F.col("text"))).cast("long")).join(_few(found, options.broadcast_rows // 10), "dkey", "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(options.times) * F.col("n_hit") >= F.col("n_words")))
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(options.times) * F.col("n_hit") >= F.col("n_words")))
+    return unpacked(out, docs, ("doc_id", "text"), "n_words", "n_hit", "items", "contaminated")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, small_enough, table
+from .common import materialize, mix64, packed, small_enough, table, unpacked
 from .shingles import exact_shingles, shingles, stretches, words
 
 BUCKETS = 1 << 22  # of the sketch
@@ -159,7 +159,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("dkey", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    return packed(docs, "doc_id", "text").withColumn("dkey", F.xxhash64(F.col("doc_id").cast("string"), "text"))
 
 
 def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions()) -> DataFrame:
@@ -211,16 +211,16 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
 
 
 def dedup_lines(docs: DataFrame, options: LineDedupOptions = LineDedupOptions()) -> DataFrame:
-    """docs with n_lines, removed (sorted line numbers) and deduped (the text without them)."""
+    """docs with n_lines, removed (sorted line numbers) and deduped (the text without them); these replace columns of their names."""
     keyed = _keyed(docs)
     removed = materialize(later_matches(keyed.select("doc_id", "text", "dkey"), options), "lines-removed")
     total = removed.agg(F.sum(F.size("removed") + 3)).first()[0] or 0
     removed = F.broadcast(removed) if total <= options.broadcast_lines else removed
-    out = keyed.join(removed, "dkey", "left").drop("dkey")
+    out = keyed.join(removed, "dkey", "left")
     lines = F.split("text", "\n", -1)
     out = out.withColumn("removed", F.coalesce(F.sort_array("removed"), F.array().cast("array<int>"))).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
-    return out.withColumn("deduped", F.when(F.size("removed") == 0, F.col("text")).otherwise(kept))
+    return unpacked(out.withColumn("deduped", F.when(F.size("removed") == 0, F.col("text")).otherwise(kept)), docs, ("doc_id", "text"), "n_lines", "removed", "deduped")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
