@@ -1,9 +1,11 @@
 """Toxicity by a classifier chain over hashed words.
 
 The label columns form a chain in their given order. Each link is a logistic regression over the
-document's hashed words and bigrams and the earlier links' probabilities. For training, those probabilities
-are out-of-fold: each row's come from models fitted without its fold, so that a later link learns
-from estimates as honest as those it meets when it predicts.
+words, and beginnings of words, that tell its classes apart, and over the earlier links'
+probabilities. A link takes the features whose likelihood ratio against independence of the class is
+``least_ratio`` or more, the best ``most`` of them, and fits their weights by Newton's method. For training, the earlier
+probabilities are out-of-fold: each row's come from models fitted (features and weights) without
+its fold, so that a later link learns from estimates as honest as those it meets when it predicts.
 
 The links are fitted on a sample of labelled rows, bounded by ``sample_rows`` (the rows of the
 rarer toxic class are kept first, the rest drawn by a hash of the id); prediction covers all rows
@@ -21,100 +23,141 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import small_enough, table
+from .common import packed, small_enough, table, unpacked
 
-REMEMBER = 400_000  # words whose hash a worker remembers
+REMEMBER = 400_000  # words whose feature a worker remembers
+EDGE = b".,;:!?\"'()[]{}|*#-"  # outer punctuation
 
 
 @dataclass(frozen=True)
 class ToxicityOptions:
     chain: tuple[str, ...] = ("quality", "toxic")  # label columns; the last decides
-    features: int = 1 << 18
+    features: int = 1 << 24  # buckets of hashed words and beginnings
+    beginning: int = 5  # bytes
     sample_rows: int = 12_000
     folds: int = 3
-    rounds: int = 60
-    l2: float = 2e-5
+    least_ratio: float = 12.0
+    most: int = 400
+    l2: float = 0.05
     threshold: float = 0.5
 
 
 class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
+    """Of a word its feature and its beginning's, as far as wanted has them: their places there, or else -1.
+    Without wanted, the features themselves."""
+
+    def __init__(self, options: ToxicityOptions, wanted: np.ndarray | None = None):
+        self.size, self.n = options.features, options.beginning
+        self.places = None if wanted is None else {int(f): k for k, f in enumerate(wanted)}
+        self.none = (-1, -1)
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > REMEMBER:
             self.clear()
-        h = xxhash.xxh64_intdigest(word) & 0x7FFFFFFF
+        bare = word.strip(EDGE)
+        whole = xxhash.xxh64_intdigest(bare) % self.size if bare else -1
+        begin = xxhash.xxh64_intdigest(bare[: self.n], 1) % self.size if len(bare) > self.n else -1
+        found = (whole, begin) if self.places is None else (self.places.get(whole, -1), self.places.get(begin, -1))
+        if found == self.none:
+            found = self.none  # one tuple for the many
         if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_words = _Words()
+            self[word] = found
+        return found
 
-
-def featurize(text: bytes, features: int) -> np.ndarray:
-    """Distinct buckets of the A-Z-folded words without their outer punctuation."""
-    words = [w.strip(b".,;:!?\"'()[]{}|*#-") for w in text.lower().split()]
-    h = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
-    return np.unique(h % features)
+    def of(self, text: bytes) -> list[int]:
+        """Distinct features of the A-Z-folded words without their outer punctuation."""
+        return sorted({f for pair in set(map(self.__getitem__, set(text.lower().split()))) for f in pair if f >= 0})
 
 
 class Sparse:
-    """Rows of distinct feature numbers, each of value 1 / sqrt(row size)."""
+    """Rows of distinct features."""
 
     def __init__(self, rows: list[np.ndarray]):
         n = np.array([len(r) for r in rows], np.int64)
-        self.col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.col = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
         self.row = np.repeat(np.arange(len(rows)), n)
-        self.val = np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)
         self.n = len(rows)
 
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], minlength=self.n)
-
-    def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.col, self.val * g[self.row], minlength=size)
+    def dense(self, wanted: np.ndarray) -> np.ndarray:
+        """Which rows have which of the wanted (sorted) features."""
+        out = np.zeros((self.n, len(wanted)))
+        if len(wanted):
+            at = np.minimum(np.searchsorted(wanted, self.col), len(wanted) - 1)
+            on = wanted[at] == self.col
+            out[self.row[on], at[on]] = 1
+        return out
 
     def take(self, keep: np.ndarray) -> Sparse:
         out = object.__new__(Sparse)
-        at = np.cumsum(keep) - 1
         on = keep[self.row]
-        out.col, out.val, out.row, out.n = self.col[on], self.val[on], at[self.row[on]], int(keep.sum())
+        out.col, out.row, out.n = self.col[on], (np.cumsum(keep) - 1)[self.row[on]], int(keep.sum())
         return out
 
 
+def telling(x: Sparse, y: np.ndarray, options: ToxicityOptions) -> np.ndarray:
+    """The features that depend most on the class, by the likelihood ratio of their fourfold table, sorted."""
+    if not len(x.col):
+        return np.zeros(0, np.int64)
+    feature, at = np.unique(x.col, return_inverse=True)
+    has = np.bincount(at).astype(float)
+    pos = np.bincount(at, y[x.row], minlength=len(feature))
+    n, n_pos = len(y), y.sum()
+    ratio = np.zeros(len(feature))
+    for seen, rows, columns in ((pos, has, n_pos), (has - pos, has, n - n_pos), (n_pos - pos, n - has, n_pos), (n - n_pos - has + pos, n - has, n - n_pos)):
+        some = seen > 0
+        ratio[some] += 2 * seen[some] * np.log(seen[some] * n / (rows[some] * columns))
+    best = np.lexsort((feature, -ratio))[: options.most]
+    return np.sort(feature[best[ratio[best] >= options.least_ratio]])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit_link(x: Sparse, extra: np.ndarray, y: np.ndarray, options: ToxicityOptions) -> np.ndarray:
-    """Weights of the words, then of the earlier probabilities, then the intercept: Adagrad on balanced log-loss."""
-    size = options.features
-    w = np.zeros(size + extra.shape[1] + 1)
-    if not len(y):
-        return w
-    pos = max(y.sum(), 1.0)
-    weight = np.where(y == 1, 1.0, min(1.0, 4 * pos / max(len(y) - pos, 1)))
-    weight = weight / weight.sum()
-    seen = np.full(len(w), 1e-12)
-    for _ in range(options.rounds):
-        p = _sigmoid(x.dot(w[:size]) + extra @ w[size:-1] + w[-1])
-        g = weight * (p - y)
-        grad = np.concatenate([x.back(g, size), extra.T @ g, [g.sum()]])
-        grad[:-1] += options.l2 * w[:-1]
-        seen += grad * grad
-        w -= 1.0 * grad / np.sqrt(seen)
-    return w
+@dataclass
+class Link:
+    features: np.ndarray
+    weights: np.ndarray  # of the features, then of the earlier probabilities, then the intercept
 
+    def predict(self, has: np.ndarray, extra: np.ndarray) -> np.ndarray:
+        """has: which rows have which of the features."""
+        n = len(self.features)
+        return _sigmoid(has @ self.weights[:n] + extra @ self.weights[n:-1] + self.weights[-1])
 
-def predict_link(x: Sparse, extra: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
-    return _sigmoid(x.dot(w[:size]) + extra @ w[size:-1] + w[-1])
+
+def fit_link(x: Sparse, extra: np.ndarray, y: np.ndarray, options: ToxicityOptions) -> Link:
+    """Newton's method on log-loss with a quadratic penalty; the commoner class weighs at most four times the rarer."""
+    if not len(y):
+        return Link(np.zeros(0, np.int64), np.zeros(extra.shape[1] + 1))
+    wanted = telling(x, y, options)
+    a = np.column_stack([x.dense(wanted), extra, np.ones(len(y))])
+    pos, neg = y.sum(), len(y) - y.sum()
+    weight = np.where(y == 1, min(1.0, 4 * max(neg, 1) / max(pos, 1)), min(1.0, 4 * max(pos, 1) / max(neg, 1)))
+    w, ridge = np.zeros(a.shape[1]), np.full(a.shape[1], options.l2)
+    ridge[-1] = 1e-3
+
+    def loss(v: np.ndarray) -> float:
+        return float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (a @ v)) + ridge @ (v * v) / 2)
+
+    now = loss(w)
+    for _ in range(50):
+        p = _sigmoid(a @ w)
+        curve = a.T @ (a * (weight * p * (1 - p))[:, None]) + np.diag(ridge)
+        step = np.linalg.solve(curve, a.T @ (weight * (y - p)) - ridge * w)
+        while (after := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        w, gain, now = w + step, now - after, after
+        if gain < 1e-7 * (1 + now):
+            break
+    return Link(wanted, w)
 
 
 @dataclass
 class Chain:
     names: tuple[str, ...]
-    links: list[np.ndarray]
-    features: int
+    links: list[Link]
 
     @classmethod
     def fit(cls, rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, options: ToxicityOptions) -> Chain:
@@ -128,23 +171,28 @@ class Chain:
                 out = np.zeros(len(rows))
                 for f in range(options.folds):
                     other, own = (fold != f) & has, fold == f
-                    w = fit_link(x.take(other), extra[other], y[other], options)
-                    out[own] = predict_link(x.take(own), extra[own], w, options.features)
+                    link = fit_link(x.take(other), extra[other], y[other], options)
+                    out[own] = link.predict(x.take(own).dense(link.features), extra[own])
                 extra = np.column_stack([extra, out])
-        return cls(options.chain, links, options.features)
+        return cls(options.chain, links)
+
+    def features(self) -> np.ndarray:
+        return np.unique(np.concatenate([x.features for x in self.links]))
 
     def predict(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Each link's probabilities; rows: distinct features."""
         x = Sparse(rows)
         extra = np.zeros((len(rows), 0))
-        for w in self.links:
-            extra = np.column_stack([extra, predict_link(x, extra, w, self.features)])
+        for link in self.links:
+            extra = np.column_stack([extra, link.predict(x.dense(link.features), extra)])
         return extra
 
 
-def _features(features: int):
+def _features(options: ToxicityOptions):
     def run(batches):
+        words = _Words(options)
         for b in batches:
-            rows = [featurize(t.as_buffer().to_pybytes(), features).astype(np.int32) for t in b.column("text").cast(pa.binary())]
+            rows = [np.array(words.of(t.as_buffer().to_pybytes()), np.int32) for t in b.column("text").cast(pa.binary())]
             cut = np.r_[0, np.cumsum([len(r) for r in rows])]
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), lists], names=[*(c for c in b.schema.names if c != "text"), "features"])
@@ -171,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityO
     kinds = ", ".join(f"{c} double" for c in options.chain)
     # rows of equal ids in docs can't make the sample larger than its bound
     slim = rows.select("doc_id", *(F.col(c).cast("double").alias(c) for c in options.chain), "text")
-    got = slim.mapInArrow(_features(options.features), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}, features array<int>").limit(2 * options.sample_rows).toArrow().sort_by("doc_id")
+    got = slim.mapInArrow(_features(options), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}, features array<int>").limit(2 * options.sample_rows).toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
     y = np.column_stack([got[c].to_numpy() for c in options.chain])
@@ -182,23 +230,25 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityO
 
 
 def predict(docs: DataFrame, chain: Chain | None, options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
-    """All columns of docs, then p_<category> for each category and rejected."""
+    """All columns of docs, then p_<category> for each category and rejected; these replace columns of their names."""
     probs = [f"p_{c}" for c in options.chain]
+    slim = packed(docs, "text")
     if chain is None:
-        return docs.select("*", *(F.lit(0.0).alias(p) for p in probs), F.lit(False).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + ", ".join(f"{p} double" for p in probs) + ", rejected boolean"
+        return unpacked(slim.select("*", *(F.lit(0.0).alias(p) for p in probs), F.lit(False).alias("rejected")), docs, ("text",), *probs, "rejected")
+    shared = docs.sparkSession.sparkContext.broadcast((chain, chain.features()))  # at most options.most features a link
+    schema = StructType([*slim.schema, *(StructField(p, DoubleType()) for p in probs), StructField("rejected", BooleanType())])
     threshold = options.threshold
 
     def run(batches):
-        m: Chain = shared.value
+        m, wanted = shared.value
+        words = _Words(options, wanted)
         for b in batches:
-            rows = [featurize(x.to_pybytes() if (x := t.as_buffer()) is not None else b"", m.features) for t in b.column("text").cast(pa.binary())]
-            p = m.predict(rows)
-            bad = (p[:, -1] >= threshold) & np.array([len(r) > 0 for r in rows], bool)
+            texts = [x.to_pybytes() if (x := t.as_buffer()) is not None else b"" for t in b.column("text").cast(pa.binary())]
+            p = m.predict([wanted[words.of(t)] for t in texts])
+            bad = (p[:, -1] >= threshold) & np.array([len(t) > 0 and not t.isspace() for t in texts], bool)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(bad)], names=[*b.schema.names, *probs, "rejected"])
 
-    return docs.mapInArrow(run, schema)
+    return unpacked(slim.mapInArrow(run, schema), docs, ("text",), *probs, "rejected")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
