@@ -183,8 +183,9 @@ def lm_scores(docs: DataFrame, options: LmOptions = LmOptions()) -> DataFrame:
             break
         least = r["n"]
     # the end takes part even where it is rare
-    top = counts.where((F.col("n") >= least) | (F.col("word") == "")).toArrow() if least is not None else None
-    head = {w.encode(): math.log10(c + 1) for w, c in zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)} if top else {}
+    frequent = F.col("n") >= least if least is not None else F.lit(False)
+    top = counts.where(frequent | (F.col("word") == "")).toArrow()
+    head = {w.encode(): math.log10(c + 1) for w, c in zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)}
     proto = read_vocabulary(options.vocabulary)
     rare = v > len(head)
     model = fit_lattice(counts, ends, options, spark.sparkContext.broadcast(proto))
@@ -195,7 +196,7 @@ def lm_scores(docs: DataFrame, options: LmOptions = LmOptions()) -> DataFrame:
     result = rows.select("doc_id", "held_out", "rid", "n_tokens", "known", "logs", "score")
     if rare:
         tail = rows.select("rid", F.explode(F.arrays_zip("words", "tf")).alias("t")).select("rid", F.col("t.words").alias("word"), F.col("t.tf").alias("tf"))
-        rest = counts.where((F.col("n") < least) & (F.col("word") != "")) if least is not None else counts
+        rest = counts.where(~frequent & (F.col("word") != ""))
         sums = tail.join(rest, "word").groupBy("rid").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more_logs"))
         result = result.join(sums, "rid", "left").withColumn("known", F.col("known") + F.coalesce("more", F.lit(0))).withColumn("logs", F.col("logs") + F.coalesce("more_logs", F.lit(0.0)))
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
