@@ -99,9 +99,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, options: Decontaminatio
     placed = found.join(_few(keys, options.broadcast_rows), "token").select("dkey", (F.col("pos") - F.col("k")).alias("start"), "size", "words").where(F.col("start") >= 0)
     by_doc = materialize(placed.groupBy("dkey").agg(F.collect_set(F.struct("start", "size", "words")).alias("places")), "window-candidates")
 
-    texts = docs.select("dkey", "text").join(_few(by_doc, options.broadcast_rows // 10), "dkey").select("dkey", "places", words(F.col("text")).alias("w"))
-    here = lambda p: (p["start"] + p["size"] <= F.size("w")) & (F.array_join(F.slice("w", p["start"] + 1, p["size"]), " ") == p["words"])
-    true = materialize(texts.select("dkey", F.filter("places", here).alias("places")).where(F.size("places") > 0), "window-hits")
+    texts = docs.select("dkey", "text").join(_few(by_doc, options.broadcast_rows // 10), "dkey")
+    here = lambda w: lambda p: (p["start"] + p["size"] <= F.size(w)) & (F.array_join(F.slice(w, p["start"] + 1, p["size"]), " ") == p["words"])
+    # the lambda's w is split once a row; a column's would be split again for each place
+    confirmed = F.get(F.transform(F.array(words(F.col("text"))), lambda w: F.filter("places", here(w))), 0)
+    true = materialize(texts.select("dkey", confirmed.alias("places")).where(F.size("places") > 0), "window-hits")
     names = true.select("dkey", F.explode(F.array_distinct(F.transform("places", lambda p: p["words"]))).alias("words")).join(_few(owners, options.broadcast_rows), "words")
     names = names.groupBy("dkey").agg(F.sort_array(F.collect_set("item")).alias("items"))
     spots = true.select("dkey", F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"))).alias("hits"))
