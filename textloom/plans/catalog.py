@@ -2,16 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import documents, tables
+from .registry import ORACLE_SQL, QUERIES
 
-WORD = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"
-
-
-def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(30)
-
-
-QUERIES = {"word_frequency": word_frequency}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "documents", "tables"]
