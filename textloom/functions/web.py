@@ -31,10 +31,10 @@ def query_option(query: Column, name: str, kind: str, default, *, least=None, mo
     """An option of a query string: numbers clamped, choices and flags by a list; else the default."""
     raw = F.try_url_decode(F.nullif(F.regexp_extract(query, rf"(?:^|&){name}=([^&]*)", 1), F.lit("")))
     if kind == "number":
-        value = raw.try_cast("double")
+        given = value = raw.try_cast("double")
         value = F.greatest(value, F.lit(float(least))) if least is not None else value
         value = F.least(value, F.lit(float(most))) if most is not None else value
-        return F.coalesce(F.when(raw.isNotNull(), value), F.lit(float(default)))
+        return F.when(given.isNotNull(), value).otherwise(F.lit(float(default)))
     if kind == "bool":
         return F.when(raw.isin("1", "true"), True).when(raw.isin("0", "false"), False).otherwise(default)
     return F.when(raw.isin(*choices), raw).otherwise(default)

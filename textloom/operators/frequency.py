@@ -44,12 +44,12 @@ def ngram_frequency(df: DataFrame, text: str, n: int = 1, *, stop_words: bool =
 
 def index_of_coincidence(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_letters, ic, verdict: two aggregates on (key, letter), no wide rows."""
-    letters = df.select(key, F.explode(F.split(F.regexp_replace(F.lower(text), "[^a-z]", ""), "", -1)).alias("c")).where("c <> ''")
-    counts = letters.groupBy(key, "c").agg(F.count("*").alias("k"))
-    sums = counts.groupBy(key).agg(F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("k") - 1)).alias("pairs"))
-    n = F.col("n").cast("double")
-    ic = F.when(F.col("n") < 2, 0.0).otherwise(T.half_up(F.col("pairs") / (n * (n - 1)), 4))
-    out = df.select(key).join(sums, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n_letters"), F.coalesce(ic, F.lit(0.0)).alias("ic"))
+    letters = df.select(key, F.explode(F.split(F.regexp_replace(F.lower(text), "[^a-z]", ""), "", -1)).alias("_c")).where("_c <> ''")
+    counts = letters.groupBy(key, "_c").agg(F.count("*").alias("_k"))
+    sums = counts.groupBy(key).agg(F.sum("_k").alias("_n"), F.sum(F.col("_k") * (F.col("_k") - 1)).alias("_pairs"))
+    n = F.col("_n").cast("double")
+    ic = F.when(n < 2, 0.0).otherwise(T.half_up(F.col("_pairs") / (n * (n - 1)), 4))
+    out = df.select(key).join(sums, key, "left").select(key, F.coalesce("_n", F.lit(0)).alias("n_letters"), F.coalesce(ic, F.lit(0.0)).alias("ic"))
     return out.withColumn("verdict", F.when(F.abs(F.col("ic") - 0.0667) <= F.abs(F.col("ic") - 0.0385), "language").otherwise("random"))
 
 

@@ -21,11 +21,11 @@ def dedupe_lines(df: DataFrame, key: str, text: str, *, keep: str = "first", tri
     rows = explode_lines(df, key, text)
     k = T.trim(F.col("line")) if trim else F.col("line")
     k = k if case_sensitive else F.lower(k)
-    rows = rows.withColumn("k", F.when(T.is_blank(F.col("line")), F.lit(None)).otherwise(k) if ignore_empty else k)
-    by = rows.where(F.col("k").isNotNull()).groupBy(key, "k")
+    rows = rows.withColumn("_k", F.when(T.is_blank(F.col("line")), F.lit(None)).otherwise(k) if ignore_empty else k)
+    by = rows.where(F.col("_k").isNotNull()).groupBy(key, "_k")
     pick = F.min_by if keep == "first" else F.max_by
     kept = by.agg(F.min("line_no").alias("line_no"), pick("line", "line_no").alias("line")).select(key, "line_no", "line")
-    return kept.union(rows.where(F.col("k").isNull()).select(key, "line_no", "line"))
+    return kept.union(rows.where(F.col("_k").isNull()).select(key, "line_no", "line"))
 
 
 def number_lines(c: Column, *, start: int = 1, step: int = 1, pad_to: int = 0, separator: str = ". ", skip_blank: bool = True) -> Column:
