@@ -15,7 +15,7 @@ import pyarrow as pa
 from .common import buffers, mix64
 
 WORDS = 5
-STRETCH = 1 << 22  # bytes of texts that are taken at a time; a longer text is taken alone
+STRETCH = 1 << 21  # bytes of texts that are taken at a time; a longer text is taken alone
 CHUNK = 1 << 18  # bytes of a running sum
 _BASE = 0x9E3779B97F4A7C15
 #: Fixed odd multipliers, one for each place of a shingle.
