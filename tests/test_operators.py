@@ -268,3 +268,26 @@ def test_pdf(spark, tmp_path):
     assert len(errors) == 1 and errors[0].endswith("c.pdf")
     got = {r.path[-5:]: r.text for r in pdf.texts(pdf.page_lines(runs)).collect()}
     assert got == {"a.pdf": "Hello (PDF)\nworld again\n\nHi", "b.pdf": "Hello (PDF)\nworld again\n\nHi"}
+
+
+def test_rewritten_json(spark):
+    values = [{"b": [1, 2.50, {"c": None}], "a": "x\ny\n"}, [], {"k: v": "yes", "n": "1.20", "e": "", "t": " x", "m": "a\n\nb", "q": "it's", "z": [[1], {"a": []}], "c": "a: b #c", "u": "ü 漢"}, "alone", True, {"deep": {"er": {"list": ["-", "- x", "~", "null", "0x1f", "12:30"]}}, "ctl": "a\tb\x01"}, {"tail": "two\n\n"}]
+    texts = [json.dumps(v, ensure_ascii=False) for v in values] + ["{", '{"n": 1.0, "big": 12345678901234567890, "e": 1e3}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    from textloom.operators import render
+
+    for f in (render.beautify, render.minify):
+        out = {r.k: r for r in f(rows, "k", "t").collect()}
+        assert [json.loads(out[i].output) for i in range(len(values))] == values
+        assert out[len(values)].output is None and out[len(values)].error.startswith("line 1")
+    assert out[len(values) + 1].output == '{"n":1.0,"big":12345678901234567890,"e":1e3}'
+    yaml = pytest.importorskip("yaml")
+    out = {r.k: r.output for r in render.to_yaml(rows, "k", "t").collect()}
+    assert [yaml.safe_load(out[i]) for i in range(len(values))] == values
+    assert "'1.20'" in out[2] and "e: ''" in out[2] and "m: |-" in out[2]
+
+
+def test_more_cases(spark):
+    assert col(spark, ["HELLO there. how ARE\nyou? fine", ""], T.sentence_case) == ["Hello there. How are\nYou? Fine", ""]
+    assert col(spark, ["hello, world"], T.alternating_case) == ["hElLo, WoRlD"]
+    assert col(spark, ["• one", "2) two", "(3) three", "- four", "five"], T.strip_bullet) == ["one", "two", "three", "four", "five"]

@@ -256,3 +256,25 @@ def natural_key(c: Column) -> Column:
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"[0-9]+|[^0-9]+"), 0)
     wide = lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, F.greatest(F.length(p), F.lit(20)), F.lit("0"))).otherwise(p)
     return F.array_join(F.transform(parts, wide), "")
+
+
+def sentence_case(c: Column) -> Column:
+    """Lower, with a capital at the start, after a sentence's end and after a line end."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit(r"(?s).*?(?:[.!?…]\s+|\n|$)"), 0)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[A-Za-z0-9_]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2**31 - 1))).otherwise(p)), "")
+
+
+def alternating_case(c: Column) -> Column:
+    """Every other letter is a capital; only letters are counted."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        letter = x.rlike(r"\p{L}")
+        return F.struct((acc["n"] + letter.cast("int")).alias("n"), F.array_append(acc["out"], F.when(letter & (acc["n"] % 2 == 1), F.upper(x)).when(letter, F.lower(x)).otherwise(x)).alias("out"))
+
+    return F.array_join(F.aggregate(F.split(c, "", -1), start, one, lambda acc: acc["out"]), "")
+
+
+def strip_bullet(c: Column) -> Column:
+    """A line without its bullet or number."""
+    return F.regexp_replace(c, r"^\s*(?:[•·▪‣◦●○■□–—*\-»›]|\d{1,2}[.)]|\(\d{1,2}\))\s+", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, tokens
 from ..functions import text as T
-from ..operators import delimited, diff, jsons, lines, resume
+from ..operators import delimited, diff, jsons, lines, render, resume
 from .registry import query, table
 
 NOW = 2026 * 12 + 5
@@ -46,6 +46,21 @@ def shape_declarations(spark, sf_dir):
     return jsons.type_lines(jsons.shape(table(spark, sf_dir, "events"), "event_id", "props"))
 
 
+@query()
+def json_yaml(spark, sf_dir):
+    return render.to_yaml(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "output")
+
+
+@query()
+def json_beautified(spark, sf_dir):
+    return render.beautify(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "output")
+
+
+@query()
+def sentence_cases(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.sentence_case(F.col("text")).alias("sentence"))
+
+
 @query()
 def title_cases(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.title_case(F.col("text")).alias("title"), T.toggle_case(F.col("text")).alias("toggled"), T.programmer_case(F.col("text"), "camel").alias("camel"))
