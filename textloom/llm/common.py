@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +97,18 @@ def unpacked(df: DataFrame, docs: DataFrame, named: tuple[str, ...], *results: s
     return df.select(*own, *results)
 
 
+def released(run: Callable) -> Callable:
+    """run, a function of batches, after which freed memory goes back to the system: the worker serves other stages next."""
+
+    def and_release(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return and_release
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; stops counting soon after."""
     return df.limit(rows + 1).count() <= rows

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, packed, small_enough, table, unpacked
+from .common import materialize, mix64, packed, released, small_enough, table, unpacked
 from .shingles import exact_shingles, shingles, stretches, words
 
 BUCKETS = 1 << 22  # of the sketch
@@ -85,7 +85,7 @@ def _add_up(batches):
 
 def token_sketch(docs: DataFrame) -> np.ndarray:
     """Counts of the corpus' tokens by hash bucket, as logarithmic 8-bit ranks; its size is fixed."""
-    parts = docs.select("text").mapInArrow(_sketch, "chunk int, counts binary")
+    parts = docs.select("text").mapInArrow(released(_sketch), "chunk int, counts binary")
     got = parts.repartition(BUCKETS // CHUNK, "chunk").mapInArrow(_add_up, "chunk int, counts binary").toArrow()
     counts = np.zeros(BUCKETS, np.uint8)
     d = zstandard.ZstdDecompressor()
@@ -155,7 +155,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     a, b = (texts.select(F.col("at").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     full = pairs.join(a, "a").join(b, "b").select("b", "text_a", "text_b")
     kind = full.schema["b"].dataType.simpleString()
-    return full.mapInArrow(_confirm(similarity), f"b {kind}").distinct()
+    return full.mapInArrow(released(_confirm(similarity)), f"b {kind}").distinct()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     shared = spark.sparkContext.broadcast(token_sketch(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "dkey", "text").where(F.col("text").isNotNull())
-    lines = materialize(slim.mapInArrow(_lines(shared, t), f"cls long, doc_id {kind}, dkey long, line int, n int, tokens array<long>"), "lines")
+    lines = materialize(slim.mapInArrow(released(_lines(shared, t)), f"cls long, doc_id {kind}, dkey long, line int, n int, tokens array<long>"), "lines")
     place = F.struct("doc_id", "dkey", "line")  # orders the lines
     classes = lines.groupBy("cls").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
     classes = materialize(classes, "line-classes")

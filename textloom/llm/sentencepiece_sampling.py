@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import mix64, released, table
 from .pieces import DEFAULT_VOCABULARY, Lattices, Pieces, points, read_vocabulary, short
 
 CHARS = 1 << 20  # text taken at a time
@@ -228,7 +228,7 @@ def encode_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", option
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(a, z - a) for k in keep), lists, pa.array(same, pa.bool_())], names=[*keep, "ids", "lossless"])
                 a = z
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(released(run), schema)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import packed, small_enough, table, unpacked
+from .common import packed, released, small_enough, table, unpacked
 
-REMEMBER = 400_000  # words whose feature a worker remembers
+REMEMBER = 200_000  # words whose feature a worker remembers
 EDGE = b".,;:!?\"'()[]{}|*#-"  # outer punctuation
 
 
@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityO
     kinds = ", ".join(f"{c} double" for c in options.chain)
     # rows of equal ids in docs can't make the sample larger than its bound
     slim = rows.select("doc_id", *(F.col(c).cast("double").alias(c) for c in options.chain), "text")
-    got = slim.mapInArrow(_features(options), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}, features array<int>").limit(2 * options.sample_rows).toArrow().sort_by("doc_id")
+    got = slim.mapInArrow(released(_features(options)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}, features array<int>").limit(2 * options.sample_rows).toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
     y = np.column_stack([got[c].to_numpy() for c in options.chain])
@@ -249,7 +249,7 @@ def predict(docs: DataFrame, chain: Chain | None, options: ToxicityOptions = Tox
             bad = (p[:, -1] >= threshold) & np.array([len(t) > 0 and not t.isspace() for t in texts], bool)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(bad)], names=[*b.schema.names, *probs, "rejected"])
 
-    return unpacked(slim.mapInArrow(run, schema), docs, ("text",), *probs, "rejected")
+    return unpacked(slim.mapInArrow(released(run), schema), docs, ("text",), *probs, "rejected")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
