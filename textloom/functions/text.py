@@ -94,15 +94,22 @@ def ease_label(c: Column) -> Column:
     return out
 
 
-def readability(c: Column) -> dict[str, Column]:
-    """Flesch ease and grade, Fog; sentences need a terminator, one at least."""
+def readability_counts(c: Column) -> Column:
+    """What readability() needs, as a struct; a column of its own, so that words are split once a text."""
+
+    def counted(found: Column) -> Column:
+        each = lambda e: F.struct(F.size(e).cast("double").alias("n"), F.aggregate(e, F.lit(0), lambda a, x: a + x).alias("syllables"), F.size(F.filter(e, lambda x: x >= 3)).alias("hard"))
+        return F.get(F.transform(F.array(F.transform(found, syllables)), each), 0)
+
     found = F.filter(words(c), lambda w: w.rlike("[a-zA-Z]"))
-    each = F.transform(found, syllables)
-    n = F.size(found).cast("double")
-    total = F.aggregate(each, F.lit(0), lambda a, x: a + x)
-    hard = F.size(F.filter(each, lambda x: x >= 3))
     sentences = F.greatest(F.lit(1), F.regexp_count(c, F.lit("[^.!?…]+[.!?…]+")))
-    wps, spw = n / sentences, total / F.nullif(n, F.lit(0.0))
+    return F.struct(F.get(F.transform(F.array(found), counted), 0).alias("w"), sentences.alias("sentences"))
+
+
+def readability(counts: Column) -> dict[str, Column]:
+    """Flesch ease and grade, Fog, of readability_counts(); sentences need a terminator, one at least."""
+    n, total, hard = counts["w"]["n"], counts["w"]["syllables"], counts["w"]["hard"]
+    wps, spw = n / counts["sentences"], total / F.nullif(n, F.lit(0.0))
     ease = 206.835 - 1.015 * wps - 84.6 * spw
     some = n > 0
     or_zero = lambda x: F.when(some, x).otherwise(0.0)

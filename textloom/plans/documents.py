@@ -49,8 +49,8 @@ SELECT doc_id, CASE WHEN n > 0 THEN floor(e * 10.0 + 0.5) / 10.0 ELSE 0.0 END AS
     WHEN e >= 50 THEN 'Fairly difficult — 10th–12th grade' WHEN e >= 30 THEN 'Difficult — university' ELSE 'Very difficult — postgraduate' END AS ease_label
 FROM v""")
 def readability(spark, sf_dir):
-    found = T.readability(F.col("text"))
-    return docs(spark, sf_dir).where("text is not null").select("doc_id", *(c.alias(k) for k, c in found.items()))
+    counted = docs(spark, sf_dir).where("text is not null").select("doc_id", T.readability_counts(F.col("text")).alias("counts"))
+    return counted.select("doc_id", *(c.alias(k) for k, c in T.readability(F.col("counts")).items()))
 
 
 USUAL = ", ".join(f"('{k}', {v})" for k, v in frequency.ENGLISH.items())
