@@ -80,8 +80,8 @@ def text_counts(c: Column) -> dict[str, Column]:
     }
 
 
-def syllables(word: Column) -> Column:
-    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
+def syllables(w: Column) -> Column:
+    """Of a word in lower case that holds a-z only."""
     body = F.regexp_replace(F.regexp_replace(w, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
     return F.when(F.length(w) == 0, 0).when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(body, F.lit("[aeiouy]{1,2}"))))
 
@@ -99,10 +99,12 @@ def readability_counts(c: Column) -> Column:
 
     def counted(found: Column) -> Column:
         each = lambda e: F.struct(F.size(e).cast("double").alias("n"), F.aggregate(e, F.lit(0), lambda a, x: a + x).alias("syllables"), F.size(F.filter(e, lambda x: x >= 3)).alias("hard"))
-        return F.get(F.transform(F.array(F.transform(found, syllables)), each), 0)
+        bare = F.array(F.transform(found, lambda w: F.regexp_replace(F.lower(w), "[^a-z]", "")))
+        return F.get(F.transform(F.get(F.transform(bare, lambda b: F.array(F.transform(b, syllables))), 0), each), 0)
 
     found = F.filter(words(c), lambda w: w.rlike("[a-zA-Z]"))
-    sentences = F.greatest(F.lit(1), F.regexp_count(c, F.lit("[^.!?…]+[.!?…]+")))
+    ends = F.regexp_count(c, F.lit("[^.!?…][.!?…]+"))  # what precedes an end needn't be matched, which would take the square of an endless sentence
+    sentences = F.greatest(F.lit(1), ends)
     return F.struct(F.get(F.transform(F.array(found), counted), 0).alias("w"), sentences.alias("sentences"))
 
 
