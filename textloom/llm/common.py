@@ -97,6 +97,13 @@ def unpacked(df: DataFrame, docs: DataFrame, named: tuple[str, ...], *results: s
     return df.select(*own, *results)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most so many rows, texts of any length, in a batch between the JVM and Python; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def released(run: Callable) -> Callable:
     """run, a function of batches, after which freed memory goes back to the system: the worker serves other stages next."""
 

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, released, table
+from .common import bounded_batches, mix64, released, table
 from .pieces import DEFAULT_VOCABULARY, Lattices, Pieces, points, read_vocabulary, short
 
-CHARS = 1 << 20  # text taken at a time
+CHARS = 1 << 19  # text taken at a time
 
 
 @dataclass(frozen=True)
@@ -196,6 +196,7 @@ def _sampler(proto: bytes, alpha: float) -> Sampler:
 
 def encode_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", options: SamplingOptions = SamplingOptions(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, ids array<int>, lossless (whether decoding ids gave the text back)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(options.vocabulary))
     alpha = options.alpha
     slim = docs.select(*keep, F.col(text).alias("_text"), F.xxhash64(F.lit(options.seed), F.col(key).cast("string")).alias("_key"))

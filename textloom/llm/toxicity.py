@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import packed, released, small_enough, table, unpacked
+from .common import bounded_batches, packed, released, small_enough, table, unpacked
 
 REMEMBER = 200_000  # words whose feature a worker remembers
 EDGE = b".,;:!?\"'()[]{}|*#-"  # outer punctuation
@@ -236,6 +236,7 @@ def predict(docs: DataFrame, chain: Chain | None, options: ToxicityOptions = Tox
     slim = packed(docs, "text")
     if chain is None:
         return unpacked(slim.select("*", *(F.lit(0.0).alias(p) for p in probs), F.lit(False).alias("rejected")), docs, ("text",), *probs, "rejected")
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((chain, chain.features()))  # at most options.most features a link
     schema = StructType([*slim.schema, *(StructField(p, DoubleType()) for p in probs), StructField("rejected", BooleanType())])
     threshold = options.threshold
