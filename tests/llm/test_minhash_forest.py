@@ -63,6 +63,42 @@ def test_a_large_group_of_near_copies(spark):
     assert run(spark, rows, M.ForestOptions(reach=2, far_reach=16)) == plain(rows)
 
 
+def test_links_inside_a_wide_region_of_different_texts(spark):
+    """All pairs share a passage (0.81); each text has one partner that it shares more with (0.86)."""
+    base, rows = prose(8, 180), []
+    for i in range(150):
+        own = prose(1000 + i // 2, 5) if i < 100 else ""
+        rows.append((i, f"{base} {own} {prose(3000 + i, 15 if own else 20)}"))
+    got = run(spark, rows, M.ForestOptions(reach=2, far_reach=4))
+    assert got == plain(rows)
+    assert [got[i][1] for i in (0, 1, 98, 99, 100, 101)] == [0, 0, 98, 98, 100, 101]
+
+
+def test_all_nodes_of_a_wide_region_are_marked():
+    import numpy as np
+    import pyarrow as pa
+
+    o = M.ForestOptions(reach=3)
+    sig = [bytes([1] * 4 + [k] * (M.SIZE - 4)) for k in range(10)] + [bytes([2] * M.SIZE)]
+    b = pa.RecordBatch.from_arrays([pa.array(np.zeros(11, np.int32)), pa.array(np.arange(11)), pa.array(np.full(11, 9)), pa.array(np.arange(11)), pa.array(sig)], names=["tree", "node", "n", "label", "sig"])
+    for batches in ([b], [b.slice(0, 5), b.slice(5)]):
+        got = {(r["a"], r["b"]) for out in M._neighbours(o, 3, M.SIZE)(batches) for r in out.to_pylist()}
+        assert {a for a, b in got if a == b} == set(range(10))
+
+
+def test_sharing_loses_no_similar_pair(spark):
+    import random
+
+    r, sets = random.Random(4), []
+    for i in range(60):
+        core = list(range(r.choice((80, 88, 95))))
+        sets.append((i, i, core + [1000 * (i // 2) + 5000 + k for k in range(r.choice((4, 9)))] + [10**6 + 100 * i + k for k in range(r.randrange(9))]))
+    frame = spark.createDataFrame(sets, "node long, label long, shingles array<long>")
+    got = {(x.a, x.b) for x in M._sharing(frame, 85).collect()}
+    want = {(a, b) for (a, _, x), (b, _, y) in combinations(sets, 2) if 100 * len(set(x) & set(y)) >= 85 * len(set(x) | set(y))}
+    assert want and want <= got
+
+
 def test_without_broadcasts(spark):
     rows = [(i, edited(prose(i // 4, 80), 0.005, i)) for i in range(40)]
     assert run(spark, rows, M.ForestOptions(broadcast_ids=0)) == plain(rows)

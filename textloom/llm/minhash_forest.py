@@ -10,9 +10,12 @@
    deviations below it) are passed over.
 3. Candidates are confirmed on the full sets, best first: each node's best of the larger and of the
    smaller nodes, then the best between each two components, then all that still lie between
-   components. Links inside a component would change nothing. Nodes of regions wider than ``reach`` are then sorted once more and compared,
-   over ``far_reach`` rows and by longer signatures, with neighbours of other components.
-4. Components of confirmed links come from alternating stars; the smallest doc_id of each names it.
+   components. Links inside a component would change nothing. All nodes of regions wider than ``reach``
+   are then sorted once more and compared, over ``far_reach`` rows and by longer signatures, with
+   neighbours of other components.
+4. All nodes of regions that are wider even than that are joined on their full sets: a pair that is
+   similar enough has a shingle in common among the rarest of both (prefix-filtered join).
+5. Components of confirmed links come from alternating stars; the smallest doc_id of each names it.
 
 A text without words, or none, has an empty set and is its own component. Rows of equal doc_id are
 separate rows with the same id. Extra columns are kept by the stage.
@@ -80,8 +83,8 @@ def _long_signatures(batches):
 
 
 def _neighbours(options: ForestOptions, reach: int, size: int):
-    """Candidate pairs (a < b, equal bytes) of rows sorted by order and signature; (a, a, 0) marks a
-    node whose region is wider than reach."""
+    """Candidate pairs (a < b, equal bytes) of rows sorted by order and signature; (a, a, 0) marks each
+    node of a region wider than reach."""
     least, depth, s = options.least_equal(size), options.depth, options.similarity
 
     def run(batches):
@@ -109,7 +112,10 @@ def _neighbours(options: ForestOptions, reach: int, size: int):
                     near, equal = near[good], equal[good]
                     out.append((np.minimum(node[near], node[near - j]), np.maximum(node[near], node[near - j]), equal.astype(np.int32)))
             if len(i):
-                out.append((node[i], node[i], np.zeros(len(i), np.int32)))
+                marked = np.zeros(len(node), bool)
+                for j in range(reach + 1):
+                    marked[i - j] = True
+                out.append((node[marked], node[marked], np.zeros(marked.sum(), np.int32)))
             kept = tuple(x[-reach:] for x in (sig, tree, node, n, label))
             if out:
                 a, b, e = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -123,7 +129,8 @@ def _candidates(nodes: DataFrame, options: ForestOptions, reach: int, size: int
     step = size // ORDERS
     turned = F.array(*(F.struct(F.lit(t).alias("tree"), F.concat(F.substring("sig", t * step + 1, size), F.substring("sig", 1, t * step)).alias("sig")) for t in range(ORDERS)))
     rows = nodes.select("node", "n", "label", F.explode(turned).alias("x")).select("node", "n", "label", "x.tree", "x.sig")
-    ordered = rows.repartitionByRange("tree", "sig", "node").sortWithinPartitions("tree", "sig", "node")
+    # no region is cut between two partitions
+    ordered = rows.repartitionByRange("tree", F.substring("sig", 1, options.depth)).sortWithinPartitions("tree", "sig", "node")
     found = ordered.mapInArrow(released(_neighbours(options, reach, size)), "a long, b long, equal int")
     return materialize(found.groupBy("a", "b").agg(F.max("equal").alias("equal")), "forest-pairs")
 
@@ -145,6 +152,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return checked.where(F.lit(100) * F.col("both") >= F.lit(similarity) * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
+def _sharing(sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) of other labels that can be similar enough; sets: node, label, shingles.
+
+    Of n shingles, rarest first, and m >= n of the larger set, t (n + m) / (100 + t) at least are common; so one is
+    among the first n - 2 t n / (100 + t) + 1 of the smaller set and the first m - t m / 100 + 1 of the larger.
+    """
+    t = similarity
+    each = sets.select("node", F.explode("shingles").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > 1)
+    rare = each.join(counts, "token", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "token"))).alias("x"))
+    head = rare.select("node", F.size("x").cast("long").alias("n"), F.slice("x", F.lit(1), (F.size("x") - F.ceil(F.size("x") * F.lit(t) / F.lit(100)) + 1).cast("int")).alias("x"))
+    flat = head.select("node", "n", F.posexplode("x").alias("at", "x")).where(F.col("x.held") > 1)
+    entries = materialize(flat.join(sets.select("node", "label"), "node").select("node", "n", "label", "at", F.col("x.token").alias("token")), "forest-heads")
+    one = entries.where(F.lit(100 + t) * (F.col("n") - F.col("at")) >= F.lit(2 * t) * F.col("n"))
+    one, two = one.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "at"))), entries.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "at")))
+    near = (F.col("label1") != F.col("label2")) & (F.struct("n1", "node1") < F.struct("n2", "node2")) & (F.lit(100) * F.col("n1") >= F.lit(t) * F.col("n2"))
+    rest = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))  # as many can be common from the first common one on
+    found = one.join(two, "token").where(near & (F.lit(100 + t) * rest >= F.lit(t) * (F.col("n1") + F.col("n2"))))
+    return found.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that lie between components, with la < lb the components' labels."""
     la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
@@ -206,10 +234,17 @@ def near_duplicates(docs: DataFrame, options: ForestOptions = ForestOptions()) -
         whole = _set_table(docs, nodes, wide.select(F.col("node").alias("a"), F.col("node").alias("b")), options)
         signs = whole.mapInArrow(released(_long_signatures), "node long, sig binary").dropDuplicates(["node"])
         more = nodes.select("node", "n").join(signs, "node").join(labels, "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label"))
-        far = _candidates(more, options, options.far_reach, LONG).where(F.col("a") != F.col("b")).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        far = materialize(far, "forest-far")
+        far = _candidates(more, options, options.far_reach, LONG)
+        still, far = far.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")), far.where(F.col("a") != F.col("b"))
+        far = materialize(far.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "forest-far")
         if far.limit(1).count():
             labels = _merged(labels, _confirmed(far, whole, t))
+        if still.limit(1).count():
+            dense = whole.dropDuplicates(["node"]).join(still, "node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "shingles")
+            dense = materialize(dense, "forest-dense")
+            shared = materialize(_sharing(dense, t).join(pairs.union(far).select("a", "b"), ["a", "b"], "left_anti"), "forest-shared")
+            if shared.limit(1).count():
+                labels = _merged(labels, _confirmed(shared, dense, t))
 
     named = nodes.join(labels, "node", "left").select("fa", "fb", "n", "first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
