@@ -29,6 +29,27 @@ def test_wrapped_and_slightly_changed_wordings(spark):
     assert got[1].n_differences == 2 and got[2].n_blocks == 1
 
 
+def test_published_layouts(spark):
+    """Paragraphs and wraps as published, bare and as comments: MIT, GPL, Apache and BSD in several paragraphs, all others wrapped."""
+    from textwrap import wrap
+
+    breaks = ("The above copyright notice and", "This program is distributed in the hope", "You may obtain a copy", "Unless required by", "1. Redist", "2. Redist", "3. Neither", "Permission to use, copy", "Anyone is free to copy")
+    texts, want = [], []
+    for name, wordings in L.TEMPLATES.items():
+        for w in wordings:
+            for b in breaks:
+                w = w.replace(b, "\n\n" + b)
+            for width, lead in ((72, ""), (50, " * "), (30, "# ")):
+                lines = [x for p in w.strip().split("\n\n") for x in [*wrap(p, width), ""]]
+                for title in ("Copyright (c) 2020 A Person\n\n", "A file of a program.\n"):
+                    texts.append("\n".join(lead + x for x in [*title.split("\n")[:-1], *lines, "int main and more words"]))
+                    want.append(name)
+    texts.append("\n".join([f"line {i} of a long text that goes on" for i in range(40)] + wrap(L.TEMPLATES["GPL-2.0"][1], 60) + [f"and line {i} of other things" for i in range(40)]))
+    got = scan(spark, texts)
+    assert [(i, got[i].license, texts[i]) for i in range(len(want)) if got[i].license != want[i]] == []
+    assert got[len(want)].license == "GPL-2.0"
+
+
 def test_savings_are_those_of_the_raw_dictionary():
     s = L._Scanner(L.LicenseOptions())
     text = L.TEMPLATES["ISC"][0]

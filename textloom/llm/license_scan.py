@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Lines that hold a trigger word, and the paragraph around them, are candidate blocks. Each block is
+Lines that hold a trigger word, the paragraph around them, and the lines before and after, over blank
+lines too, as far as each added one is compressed better with a template, are candidate blocks. Each block is
 compressed alone and with each license template as zstandard raw dictionary; the share of its size
 that a template saves ranks the templates. The best ones are confirmed by exact wording: the words that have to
 be inserted, deleted or replaced between the block and the part of the template it covers. A block
@@ -72,7 +73,7 @@ class LicenseOptions:
     confirm: int = 3  # templates with the largest savings that are compared word by word
     least_saving: int = 15  # per cent
     differences: int = 10  # per cent of the words
-    around: int = 12  # lines of a paragraph after a trigger line that may belong to its block
+    around: int = 12  # lines of a paragraph after a trigger line that are one of its blocks; others have no bound
 
 
 class _Scanner:
@@ -85,28 +86,62 @@ class _Scanner:
                 raw = zstandard.ZstdCompressionDict(" ".join(text.lower().split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.with_template.append((name, WORD.findall(text.lower()), zstandard.ZstdCompressor(9, dict_data=raw, write_content_size=False)))
 
-    def blocks(self, text: str):
-        """Each trigger line alone, and with the lines of its paragraph that follow it."""
-        lines = text.split("\n")
+    def blocks(self, lines: list[str]):
+        """(first line, end line, block): each trigger line alone and with those of its paragraph that follow it, and
+        the whole paragraph once."""
+        done = 0
         for i, line in enumerate(lines):
             if _trigger.search(line):
-                yield i, line
+                yield i, i + 1, line
                 z = i + 1
                 while z < len(lines) and z <= i + self.options.around and lines[z].strip():
                     z += 1
                 if z > i + 1:
-                    yield i, " ".join(lines[i:z])
-
-    def judge(self, block: str):
-        """(differences, words, -saving, name) of the best template, or None."""
-        folded = " ".join(block.lower().split()).encode()
+                    yield i, z, " ".join(lines[i:z])
+                if i >= done:
+                    a = i
+                    while a > 0 and lines[a - 1].strip():
+                        a -= 1
+                    done = i + 1
+                    while done < len(lines) and lines[done].strip():
+                        done += 1
+                    if (a, done) not in ((i, z), (i, i + 1)):
+                        yield a, done, " ".join(lines[a:done])
+
+    def sizes(self, block: str, k: int) -> tuple[int, int]:
+        """Compressed size, and how much template k saves of it."""
+        folded = _folded(block)
+        alone = len(self.plain.compress(folded))
+        return alone, alone - len(self.with_template[k][2].compress(folded))
+
+    def grown(self, lines: list[str], i: int, k: int) -> tuple[int, int]:
+        """Bounds of the lines around line i, blank ones aside, each of which template k saves enough of."""
+        bounds, now = [i, i + 1], self.sizes(lines[i], k)
+        for side, step in ((1, 1), (0, -1)):
+            at = i + step
+            while 0 <= at < len(lines):
+                if WORD.search(lines[at].lower()):
+                    wider = self.sizes(" ".join(lines[bounds[0] : at + 1] if side else lines[at : bounds[1]]), k)
+                    if 100 * (wider[1] - now[1]) < self.options.least_saving * max(1, wider[0] - now[0]):
+                        break
+                    bounds[side], now = at + side, wider
+                at += step
+        return bounds[0], bounds[1]
+
+    def ranked(self, block: str) -> list[tuple[float, int]]:
+        """(saving, template) of those with the largest savings, if these are large enough."""
+        folded = _folded(block)
         alone = len(self.plain.compress(folded))
         savings = sorted(((alone - len(c.compress(folded))) / alone, -k) for k, (_, _, c) in enumerate(self.with_template))
+        return [(saving, -k) for saving, k in reversed(savings[-self.options.confirm :]) if 100 * saving >= self.options.least_saving]
+
+    def judge(self, block: str, ranked: list[tuple[float, int]] | None = None):
+        """(differences, words, -saving, name) of the best template, or None."""
         words, best = WORD.findall(block.lower()), None
-        for saving, k in reversed(savings[-self.options.confirm :]):
-            if 100 * saving < self.options.least_saving or not words:
+        for saving, k in self.ranked(block) if ranked is None else ranked:
+            if not words:
                 break
-            name, template, _ = self.with_template[-k]
+            name, template, _ = self.with_template[k]
             wrong = differences(words, template)
             if 100 * wrong <= self.options.differences * min(len(words), len(template)):
                 found = (wrong / len(template), -len(template), -saving, name, wrong)
@@ -114,15 +149,31 @@ class _Scanner:
         return best
 
     def scan(self, text: str):
-        n, best = 0, None
-        for at, block in self.blocks(text):
+        n, best, covered = 0, None, 0
+        lines = text.split("\n")
+
+        def take(at, found):
+            nonlocal n, best
             n += 1
-            found = self.judge(block)
             if found and (best is None or (*found[:3], at) < (*best[0][:3], best[1])):
                 best = (found, at)
+
+        for a, z, block in self.blocks(lines):
+            ranked = self.ranked(block)
+            take(a, self.judge(block, ranked))
+            if z == a + 1 and a >= covered and len(lines) > 1:
+                for x, y in sorted({self.grown(lines, a, k) for _, k in ranked} - {(a, z)}):
+                    found = self.judge(" ".join(lines[x:y]))
+                    take(x, found)
+                    if found:
+                        covered = max(covered, y)
         return n, best
 
 
+def _folded(block: str) -> bytes:
+    return " ".join(block.lower().split()).encode()
+
+
 def differences(words: list[str], template: list[str]) -> int:
     """Words inserted, deleted or replaced between the template and the part of words that covers it best."""
     match = SequenceMatcher(None, words, template, autojunk=False)
