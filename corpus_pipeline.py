@@ -33,8 +33,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id."""
-    return minhash_forest.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (0.8, as for lines) stays: that of the smallest doc_id."""
+    return minhash_forest.drop_near_duplicates(docs, minhash_forest.ForestOptions(similarity=80))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

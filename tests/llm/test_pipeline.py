@@ -57,3 +57,13 @@ def test_odd_rows_and_clashing_names(spark, odd, nothing, clashing, tmp_path):
             if "dkey" in docs.columns:
                 assert out.where((F.col("dkey") == "own dkey") & (F.col("rejected") == "own rejected") & (F.col("_row") == "own _row")).count() == kept
         assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_near_dedup_links_from_four_fifths_on(spark):
+    """85 of 103 shingles in common (0.825), and 69 of 119 (0.58)."""
+    w = [f"w{i}" for i in range(200)]
+    one, near, far = (" ".join(w[a : a + 98]) for a in (0, 9, 25))
+    docs = spark.createDataFrame([(1, one), (2, near), (3, " ".join(f"x{i}" for i in range(90)))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in dict(P.STAGES)["near_dedup"](spark, docs, SF).collect()) == [1, 3]
+    apart = spark.createDataFrame([(1, one), (2, far)], "doc_id long, text string")
+    assert dict(P.STAGES)["near_dedup"](spark, apart, SF).count() == 2
