@@ -5,6 +5,7 @@ from conftest_llm import edited, prose
 from pyspark.sql import functions as F
 
 from textloom.llm import minhash_forest as M
+from textloom.llm.components import connected_components
 from textloom.llm.shingles import exact_shingles
 
 DOCS = "doc_id long, text string"
@@ -83,7 +84,31 @@ def test_all_nodes_of_a_wide_region_are_marked():
     b = pa.RecordBatch.from_arrays([pa.array(np.zeros(11, np.int32)), pa.array(np.arange(11)), pa.array(np.full(11, 9)), pa.array(np.arange(11)), pa.array(sig)], names=["tree", "node", "n", "label", "sig"])
     for batches in ([b], [b.slice(0, 5), b.slice(5)]):
         got = {(r["a"], r["b"]) for out in M._neighbours(o, 3, M.SIZE)(batches) for r in out.to_pylist()}
-        assert {a for a, b in got if a == b} == set(range(10))
+        assert {a for a, b in got if a == b} == set(range(11))  # the last row's region may go on in another task
+    sig = [bytes([k // 2] * M.SIZE) for k in range(8)]
+    b = pa.RecordBatch.from_arrays([pa.array(np.zeros(8, np.int32)), pa.array(np.arange(8)), pa.array(np.full(8, 9)), pa.array(np.arange(8)), pa.array(sig)], names=["tree", "node", "n", "label", "sig"])
+    got = {(r["a"], r["b"]) for out in M._neighbours(o, 3, M.SIZE)([b.slice(0, 1), b.slice(1)]) for r in out.to_pylist()}
+    assert {a for a, b in got if a == b} == {0, 1, 6, 7}
+
+
+@pytest.mark.parametrize("task_edges", [1 << 20, 7])
+def test_components(spark, task_edges):
+    import random
+
+    r = random.Random(3)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(110)] + [(300 + i, 301 + i) for i in range(60)] + [(500, 501 + i) for i in range(80)] + [(9, 9)]
+    parent = list(range(600))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = connected_components(spark.createDataFrame(edges, "u long, v long"), task_edges).collect()
+    assert sorted((x.node, x.label) for x in got) == sorted({(i, root(i)) for a, b in edges if a != b for i in (a, b)})
 
 
 def test_sharing_loses_no_similar_pair(spark):
@@ -99,6 +124,25 @@ def test_sharing_loses_no_similar_pair(spark):
     assert want and want <= got
 
 
+def test_ten_thousand_documents_of_one_template(spark):
+    """All alike to 0.7 or so; of each twentieth and the next one, 0.87 or more are equal."""
+    base, rows = prose(11, 84).split(), []
+    for i in range(10_000):
+        own = prose(20_000 + (i if i % 20 > 1 else i - i % 20), 15, 10**6).split()
+        if i % 20 == 1:
+            own[7] = f"other{i}"
+        rows.append((i, " ".join([*base, *own, f"end{i}"])))
+    got = run(spark, rows, M.ForestOptions(far_reach=16))
+    assert all(got[i][1] == got[i - 1][1] == i - 1 for i in range(1, 10_000, 20))
+    assert all(c == i for i, (_, c) in got.items() if i % 20 != 1)
+
+
+def test_null_ids_of_the_query(spark, tmp_path):
+    spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (None, "x y z"), (3, None)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in M.op4_minhash_forest(spark, str(tmp_path)).collect())
+    assert got == [("3", 0, "3", True), ("7", 2, "7", True), ("None", 1, "None", True), ("None", 2, "7", False)]
+
+
 def test_without_broadcasts(spark):
     rows = [(i, edited(prose(i // 4, 80), 0.005, i)) for i in range(40)]
     assert run(spark, rows, M.ForestOptions(broadcast_ids=0)) == plain(rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,10 +31,13 @@ def fold(doc_id: str | Column, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: the cluster's checkpoint folder.
 
-    Where the cluster names none (tests on one machine), a temporary folder is set.
+    Where none is named, a temporary folder does only if all work runs in the driver's own process;
+    on a cluster each executor would write to its own disk, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -47,13 +51,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
+def drop_tables(*frames: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path
     for df in frames:
+        sc = df.sparkSession.sparkContext
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = fs(folder)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            p = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

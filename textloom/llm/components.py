@@ -1,11 +1,58 @@
-"""Connected components by alternating large and small stars, each a join on Spark."""
+"""Connected components: trees within tasks first, then alternating large and small stars, each a join on Spark."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_tables, materialize, released
+
+TASK_EDGES = 1 << 20  # edges that a task joins into trees at a time
+
+
+def join_trees(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges that isn't its tree's least node, and that least node."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(names))
+    while True:
+        x, y = low[a], low[b]
+        if (x == y).all():
+            break
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = low[low]
+            if (up == low).all():
+                break
+            low = up
+    below = np.flatnonzero(low != np.arange(len(names)))
+    return names[below], names[low[below]]
+
+
+def _trees(most: int):
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def joined():
+            u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in "uv")
+            u, v = join_trees(u, v)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= most:
+                out = joined()
+                if 2 * out.num_rows > most:  # few of them meet here
+                    yield out
+                    held.clear()
+                else:
+                    held[:] = [out]
+        if held:
+            yield joined()
+
+    return run
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,13 +67,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, label (its component's least node) for each node of the edges (u, v)."""
-    now = materialize(edges.where(F.col("u") != F.col("v")).distinct(), "edges")
-    before = None
-    while True:
+def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """node, label (its component's least node) for each node of the edges (u, v); written, read once each.
+
+    Edges are dealt at random over as many tasks as their number asks for, each of which turns its
+    edges into trees of depth one. One task's trees are the components; those of several tasks are
+    joined by alternating stars until nothing changes.
+    """
+    now = materialize(edges.where(F.col("u") != F.col("v")), "edges")
+    tasks = now.count() // task_edges + 1
+    trees = materialize(now.repartition(tasks).mapInArrow(released(_trees(task_edges)), "u long, v long"), "trees")
+    drop_tables(now)
+    now, before = trees, None
+    while tasks > 1:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if not mark[0] or mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+            break
         before = mark
-        now = materialize(_star(_star(now, True), False), "edges")
+        last, now = now, materialize(_star(_star(now, True), False), "edges")
+        drop_tables(last)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
