@@ -54,18 +54,27 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), 0)
 
 
+def bound(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f names it; a lambda's body is evaluated anew at each mention."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def half_up(c: Column, places: int = 0) -> Column:
     """Round half towards plus infinity; round() rounds half away from zero."""
     f = float(10**places)
     return F.floor(c * F.lit(f) + F.lit(0.5)) / F.lit(f)
 
 
-def text_counts(c: Column) -> dict[str, Column]:
-    """Characters are code points; a hyphenated compound is one word."""
-    found = words(c)
+def word_summary(c: Column) -> Column:
+    """n and longest of a text's words; a column of its own, so that they are split once a text."""
+    longest = lambda found: F.aggregate(found, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    return bound(words(c), lambda found: F.struct(F.size(found).alias("n"), longest(found).alias("longest")))
+
+
+def text_counts(c: Column, summary: Column) -> dict[str, Column]:
+    """Characters are code points; a hyphenated compound is one word. summary: word_summary(c)."""
     filled = ~is_blank(c)
-    n = F.size(found)
-    longest = F.aggregate(found, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    n, longest = summary["n"], summary["longest"]
     paragraphs = F.size(F.filter(F.split(c, rf"\n{SPACE}*\n", -1), lambda p: ~is_blank(p)))
     return {
         "characters": F.length(c),
@@ -148,18 +157,16 @@ def programmer_case(c: Column, mode: str) -> Column:
 def title_case(c: Column) -> Column:
     """Per line: first and last word capital, minor words lower, other words capital."""
 
-    def one(line: Column) -> Column:
-        pieces = F.regexp_extract_all(line, F.lit(r"\s+|\S+"), 0)
-        full = F.filter(F.sequence(F.lit(0), F.size(pieces)), lambda i: F.coalesce(F.get(pieces, i.cast("int")).rlike(r"\S"), F.lit(False)))
-        ends = F.array(F.array_min(full), F.array_max(full))
-
+    def titled(pieces: Column) -> Column:
         def word(w: Column, i: Column) -> Column:
+            inner = (i > 1) & (i < F.size(pieces) - 2)  # words and blanks take turns, so these are neither first nor last
             minor = F.regexp_replace(F.lower(w), "[^a-z]", "").isin(MINOR_WORDS)
-            return F.when(w.rlike(r"^\s"), w).when(minor & ~F.array_contains(ends, i), F.lower(w)).otherwise(capital(w))
+            return F.when(w.rlike(r"^\s"), w).when(inner & minor, F.lower(w)).otherwise(capital(w))
 
         return F.array_join(F.transform(pieces, word), "")
 
-    return F.array_join(F.transform(F.split(c, "\n", -1), one), "\n")
+    pieces = F.transform(F.split(c, "\n", -1), lambda line: F.regexp_extract_all(line, F.lit(r"\s+|\S+"), 0))
+    return F.array_join(F.transform(pieces, titled), "\n")
 
 
 def toggle_case(c: Column) -> Column:
@@ -167,10 +174,14 @@ def toggle_case(c: Column) -> Column:
 
 
 def _latin_map() -> tuple[str, str]:
-    """Accented letters and their base, from the decomposition rule."""
+    """Letters and their ASCII base, of all that decompose into one and marks of U+0300 to U+036F."""
     import unicodedata
 
-    pairs = [(chr(i), d[0]) for i in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(i))) > 1 and d[0].isascii()]
+    def base(x: str) -> str:
+        d = unicodedata.normalize("NFD", x)
+        return d[0] if d != x and d[0].isascii() and all(0x300 <= ord(m) <= 0x36F for m in d[1:]) else ""
+
+    pairs = [(chr(i), b) for i in range(0xC0, 0x3000) if (b := base(chr(i)))]
     pairs += [("đ", "d"), ("Đ", "d"), ("ø", "o"), ("Ø", "o")]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -225,14 +236,40 @@ def reveal(c: Column, show_spaces: bool = False) -> Column:
     return F.replace(c, F.lit(" "), F.lit("·")) if show_spaces else c
 
 
-# ASCII word boundaries: \b knows Unicode letters here
-_B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+_SPACES = r"\s\x{A0}\x{FEFF}\x{2028}\x{2029}\p{Zs}"
+
+# What counts as personal data, in the order of the replacements; \b, \d and \w know ASCII only.
+PERSONAL = (
+    (r"[\w.+\-]+@[\w\-]+\.[\w.\-]+", "[email]"),
+    (rf"\b(?:\+?\d{{1,3}}[{_SPACES}\-]?)?(?:\(\d{{2,4}}\)[{_SPACES}\-]?)?\d{{3,4}}[{_SPACES}\-]?\d{{3,4}}[{_SPACES}\-]?\d{{0,4}}\b", "[phone]"),
+    (r"\b(?:\d[ \-]*?){13,19}\b", "[card]"),
+)
+# Turns of phrase that try to override instructions.
+INJECTIONS = (
+    rf"(?i)ignore[{_SPACES}]+(all[{_SPACES}]+)?(previous|prior|above)[{_SPACES}]+instructions",
+    rf"(?i)disregard[{_SPACES}]+(all[{_SPACES}]+)?(previous|prior|the)[{_SPACES}]+(instructions|rules|system)",
+    rf"(?i)you[{_SPACES}]+are[{_SPACES}]+now[{_SPACES}]+(a|an)[{_SPACES}]+",
+    rf"(?i)\bsystem[{_SPACES}]*(prompt|message)[{_SPACES}]*[:=]",
+    r"(?i)<\|?(im_start|im_end|system|assistant)\|?>",
+    rf"(?i)reveal[{_SPACES}]+(your|the)[{_SPACES}]+(system[{_SPACES}]+)?(prompt|instructions)",
+)
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with \\b between ASCII word characters and others; Java's own knows Unicode letters."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
 
 
 def mask_pii(c: Column) -> Column:
-    c = F.regexp_replace(c, EMAIL, "[email]")
-    return F.regexp_replace(c, rf"{_B}(?:[0-9][ \-]?){{13,16}}{_E}", "[card]")
+    return replace_chain(c, [(ascii_edges(p), to) for p, to in PERSONAL])
+
+
+def guard_input(c: Column, most: int = 12_000) -> Column:
+    """The first characters of a text, without overriding phrases, between marks."""
+    clean = replace_chain(F.substring(c, 1, most), [(ascii_edges(p), "[removed]") for p in INJECTIONS])
+    return F.concat(F.lit("<user_input>\n"), clean, F.lit("\n</user_input>"))
 
 
 def escape_markup(c: Column) -> Column:
@@ -269,19 +306,25 @@ def natural_key(c: Column) -> Column:
 
 def sentence_case(c: Column) -> Column:
     """Lower, with a capital at the start, after a sentence's end and after a line end."""
-    parts = F.regexp_extract_all(F.lower(c), F.lit(r"(?s).*?(?:[.!?…]\s+|\n|$)"), 0)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[A-Za-z0-9_]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2**31 - 1))).otherwise(p)), "")
+    parts = F.regexp_extract_all(F.lower(c), F.lit(rf"(?s).*?(?:[.!?…]{SPACE}+|\n|$)"), 0)
+
+    def raised(p: Column) -> Column:
+        start = F.regexp_extract(p, rf"^{SPACE}*[A-Za-z0-9_]", 0)
+        return F.concat(F.upper(start), F.substring(p, F.length(start) + 1, F.length(p)))
+
+    return F.array_join(F.transform(parts, raised), "")
 
 
 def alternating_case(c: Column) -> Column:
     """Every other letter is a capital; only letters are counted."""
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    pairs = F.regexp_extract_all(c, F.lit(r"(?s)\P{L}*(?:\p{L}\P{L}*){1,2}|\P{L}+"), 0)  # two letters each, with what lies around
+    second = rf"(?s)^\P{{L}}*\p{{L}}\P{{L}}*"
 
-    def one(acc: Column, x: Column) -> Column:
-        letter = x.rlike(r"\p{L}")
-        return F.struct((acc["n"] + letter.cast("int")).alias("n"), F.array_append(acc["out"], F.when(letter & (acc["n"] % 2 == 1), F.upper(x)).when(letter, F.lower(x)).otherwise(x)).alias("out"))
+    def one(p: Column) -> Column:
+        low = F.regexp_extract(p, second, 0)
+        return F.when(low == "", p).otherwise(F.concat(F.lower(low), F.upper(F.substring(p, F.length(low) + 1, F.length(p)))))
 
-    return F.array_join(F.aggregate(F.split(c, "", -1), start, one, lambda acc: acc["out"]), "")
+    return F.array_join(F.transform(pairs, one), "")
 
 
 def strip_bullet(c: Column) -> Column:

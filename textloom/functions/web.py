@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import ascii_edges, trim
+
 # Hosts by kind of referrer.
 REFERRERS = (
     ("ai", r"(chatgpt|openai|perplexity|claude|copilot|gemini)\."),
     ("search", r"(google|bing|duckduckgo|yandex|ecosia|brave)\."),
     ("social", r"(reddit|news\.ycombinator|x\.com|twitter|linkedin|facebook|youtube)\."),
 )
+# What makes markup act, in the order of removal.
+ACTIVE = (r"(?is)<script.*?</script>", r"(?is)<iframe.*?</iframe>", r"(?i)\bjavascript:", r"(?i)\bdata:text/html")
 
 
 def referrer_kind(url: Column, own_host: str) -> Column:
@@ -41,7 +45,7 @@ def query_option(query: Column, name: str, kind: str, default, *, least=None, mo
 
 
 def strip_active(c: Column) -> Column:
-    """Without scripts, frames and script URLs."""
-    c = F.regexp_replace(c, r"(?is)<script\b.*?</script\s*>", "")
-    c = F.regexp_replace(c, r"(?is)<iframe\b.*?</iframe\s*>", "")
-    return F.regexp_replace(c, r"(?i)javascript:|data:text/html", "")
+    """Without scripts, frames and script URLs, trimmed."""
+    for pattern in ACTIVE:
+        c = F.regexp_replace(c, ascii_edges(pattern), "")
+    return trim(c)

@@ -125,6 +125,23 @@ def sql_insert(name: str, columns: list[str], cells: list[Column]) -> Column:
     return F.concat(F.lit(head), F.concat_ws(", ", *map(value, cells)), F.lit(");"))
 
 
+def place_rows(df: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+    """df with place: the row's number, from 1, in that order, over the whole table but in no single task.
+
+    The first order column is cut at ``parts`` values, which reach the driver; rows are numbered within
+    each range, and the ranges before it add their counts. Rows that hold one value of it are one range.
+    """
+    first = F.col(order[0])
+    cuts = [r[0] for r in df.where(first.isNotNull()).select(first.alias("k")).repartitionByRange(parts, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k")).orderBy("k").select("k").collect()]
+    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= first)), F.lit(0)) if cuts else F.lit(0)
+    ranged = df.withColumn("_range", F.when(first.isNull(), 0).otherwise(at))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    placed = numbered.join(F.broadcast(before), "_range")  # a row a range
+    return placed.withColumn("place", (F.col("_before") + F.col("_at")).cast("int")).drop("_range", "_before", "_at")
+
+
 def markdown(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """place, line: a table whose columns are as wide as their widest cell; the head has places 0 and 1."""
     cells = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
@@ -132,5 +149,5 @@ def markdown(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     pad = lambda c, w: F.rpad(c, F.greatest(w, F.length(c)), F.lit(" "))
     row = lambda f: F.concat(F.lit("| "), F.concat_ws(" | ", *(f(c) for c in columns)), F.lit(" |"))
     head = widths.select(F.posexplode(F.array(row(lambda c: pad(F.lit(c), F.col(f"w_{c}"))), row(lambda c: F.repeat(F.lit("-"), F.col(f"w_{c}"))))).alias("place", "line"))
-    placed = df.withColumn("place", F.row_number().over(Window.orderBy(*order)) + 1)
+    placed = place_rows(df, order).withColumn("place", F.col("place") + 1)
     return head.union(placed.crossJoin(F.broadcast(widths)).select("place", row(lambda c: pad(cells[c], F.col(f"w_{c}"))).alias("line")))

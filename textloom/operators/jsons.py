@@ -132,9 +132,12 @@ def records(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     n = nodes(df, key, text).where("type <> 'error'")
     objects = F.col("shape").rlike(r"^\$(\.[^.\[]+|\[\"[^\]]*\"\])?\[\]$") & (F.col("type") == "object")
-    first = n.where(objects).groupBy(key).agg(F.min_by(F.regexp_replace("shape", r"\[\]$", ""), "pos").alias("source"))
-    root = n.where("path = '$'").join(first, key, "left").select(key, F.when(F.col("type") == "array", "$").otherwise(F.coalesce("source", F.lit("$"))).alias("source"), (F.col("type") == "array").alias("is_array"), F.col("source").isNotNull().alias("has"))
-    leaves = n.where("value is not null or type = 'null'").join(root, key)
+    whole = Window.partitionBy(key)  # the texts are parsed once; a text's nodes meet once
+    first = F.min_by(F.when(objects, F.regexp_replace("shape", r"\[\]$", "")), F.when(objects, F.col("pos"))).over(whole)
+    is_array = F.max((F.col("path") == "$") & (F.col("type") == "array")).over(whole)
+    rooted = n.withColumns({"first": first, "is_array": is_array})
+    rooted = rooted.withColumns({"source": F.when(F.col("is_array"), "$").otherwise(F.coalesce("first", F.lit("$"))), "has": F.col("first").isNotNull()})
+    leaves = rooted.where("value is not null or type = 'null'")
     rest = F.expr("substring(path, length(source) + 1)")
     listed = F.col("is_array") | F.col("has")
     inside = leaves.where(~listed | (F.col("path").startswith(F.col("source")) & rest.rlike(r"^\[\d+\]")))

@@ -21,32 +21,45 @@ def dedupe_lines(df: DataFrame, key: str, text: str, *, keep: str = "first", tri
     rows = explode_lines(df, key, text)
     k = T.trim(F.col("line")) if trim else F.col("line")
     k = k if case_sensitive else F.lower(k)
-    rows = rows.withColumn("_k", F.when(T.is_blank(F.col("line")), F.lit(None)).otherwise(k) if ignore_empty else k)
-    by = rows.where(F.col("_k").isNotNull()).groupBy(key, "_k")
-    pick = F.min_by if keep == "first" else F.max_by
-    kept = by.agg(F.min("line_no").alias("line_no"), pick("line", "line_no").alias("line")).select(key, "line_no", "line")
-    return kept.union(rows.where(F.col("_k").isNull()).select(key, "line_no", "line"))
+    own = F.when(T.is_blank(F.col("line")), F.col("line_no")) if ignore_empty else F.lit(None).cast("int")
+    pick = F.min_by if keep == "first" else F.max_by  # a blank line that passes is a group of its own
+    kept = rows.groupBy(key, k.alias("_k"), own.alias("_own")).agg(F.min("line_no").alias("line_no"), pick("line", "line_no").alias("line"))
+    return kept.select(key, "line_no", "line")
 
 
 def number_lines(c: Column, *, start: int = 1, step: int = 1, pad_to: int = 0, separator: str = ". ", skip_blank: bool = True) -> Column:
     """The text with numbered lines, within the row: blank lines get none when they are skipped."""
-    all_lines = T.lines(c)
-    counts = (lambda x: ~T.is_blank(x)) if skip_blank else (lambda x: F.lit(True))
-    n = F.size(F.filter(all_lines, counts))
-    last = F.lit(start) + F.lit(step) * (n - 1)
-    width = F.lit(pad_to) if pad_to else F.greatest(F.length(last.cast("string")), F.length(F.lit(start).cast("string")))
+    flag = (lambda x: (~T.is_blank(x)).cast("int")) if skip_blank else (lambda x: F.lit(1))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def numbered(s: Column) -> Column:
+        last = F.lit(start) + F.lit(step) * (s["n"] - 1)
+        width = F.lit(pad_to) if pad_to else F.greatest(F.length(last.cast("string")), F.length(F.lit(start).cast("string")))
+
+        def one(w: Column) -> Column:
+            def line(x: Column, i: Column) -> Column:
+                block = F.floor(i / BLOCK).cast("int")
+                before = F.get(s["starts"], block) + total(F.slice(s["flags"], block * BLOCK + 1, i % BLOCK))
+                number = (F.lit(start) + F.lit(step) * before).cast("string")
+                return F.when(F.get(s["flags"], i) == 1, F.concat(F.lpad(number, F.greatest(w, F.length(number)), F.lit("0")), F.lit(separator), x)).otherwise(x)
+
+            return F.array_join(F.transform(s["lines"], line), "\n")
+
+        return T.bound(width, one)
 
-    def one(acc: Column, line: Column) -> Column:
-        number = (F.lit(start) + F.lit(step) * acc["n"]).cast("string")
-        label = F.lpad(number, F.greatest(width, F.length(number)), F.lit("0"))
-        numbered = F.concat(label, F.lit(separator), line)
-        out = F.when(counts(line), numbered).otherwise(line)
-        return F.struct((acc["n"] + counts(line).cast("int")).alias("n"), F.array_append(acc["out"], out).alias("out"))
+    def blocks(s: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(s["lines"]) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(s["flags"], b * BLOCK + 1, BLOCK)))
+        begun = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
+        done = F.aggregate(sums, begun, lambda a, x: F.struct((a["n"] + x).alias("n"), F.array_append(a["starts"], a["n"]).alias("starts")))
+        return T.bound(done, lambda d: F.struct(s["lines"].alias("lines"), s["flags"].alias("flags"), d["n"].alias("n"), d["starts"].alias("starts")))
 
-    done = F.aggregate(all_lines, F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")), one, lambda acc: acc["out"])
-    return F.array_join(done, "\n")
+    flagged = T.bound(T.lines(c), lambda x: F.struct(x.alias("lines"), F.transform(x, flag).alias("flags")))
+    return T.bound(T.bound(flagged, blocks), numbered)
 
 
+#: Lines whose numbers are counted together, so that the work stays in proportion to a text's lines.
+BLOCK = 32
+#: Fixed value: a number at a line's start and what may follow it.
 NUMBERED = r"^\s*\d+\s*(?:[.):|\]]|\s-\s|\t| {2,})\s?"
 
 

@@ -6,11 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, tokens
-from ..functions import text as T
-from ..operators import delimited, diff, jsons, lines, render, resume
+from ..operators import delimited, diff, jsons, render, resume
 from .registry import query, table
 
-NOW = 2026 * 12 + 5
+NOW = 2026 * 12 + 5  # June 2026
 
 
 @query()
@@ -56,21 +55,6 @@ def json_beautified(spark, sf_dir):
     return render.beautify(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "output")
 
 
-@query()
-def sentence_cases(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.sentence_case(F.col("text")).alias("sentence"))
-
-
-@query()
-def title_cases(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.title_case(F.col("text")).alias("title"), T.toggle_case(F.col("text")).alias("toggled"), T.programmer_case(F.col("text"), "camel").alias("camel"))
-
-
-@query()
-def reversed_characters(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", lines.reverse_text(F.col("text"), "characters").alias("reversed"))
-
-
 @query()
 def date_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(dates.date_tokens(F.col("text"))).alias("token")).withColumn("month", dates.month_index(F.col("token"), NOW))

@@ -50,11 +50,17 @@ def rate_limit_stream(df: DataFrame, key: str, ts: str, seconds: int = 600, most
 def daily_budget(df: DataFrame, ts: str, cost: str, cap: float, order: str) -> DataFrame:
     """All rows with day and spent (the day's cost before the row) and over (spent >= cap).
 
-    A day is one ordered group; its running sum is what the rule asks for.
+    A minute's rows are one ordered group; the minutes before it add what their sums say, so a busy
+    day is no single task. Rows without a time are a group of their own.
     """
-    day = F.to_date(ts)
-    w = Window.partitionBy("day").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("day", day).withColumn("spent", F.coalesce(F.sum(cost).over(w), F.lit(0.0))).withColumn("over", F.col("spent") >= cap)
+    timed = df.withColumns({"day": F.to_date(ts), "_minute": F.date_trunc("minute", ts)})
+    sums = timed.groupBy("day", "_minute").agg(F.sum(cost).alias("_sum"))
+    past = Window.partitionBy("day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sums.select(F.col("day").alias("_d"), F.col("_minute").alias("_m"), F.coalesce(F.sum("_sum").over(past), F.lit(0.0)).alias("_before"))
+    w = Window.partitionBy("day", "_minute").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
+    within = timed.withColumn("_within", F.coalesce(F.sum(cost).over(w), F.lit(0.0)))
+    both = within.join(earlier, F.col("day").eqNullSafe(F.col("_d")) & F.col("_minute").eqNullSafe(F.col("_m")))
+    return both.withColumn("spent", F.col("_before") + F.col("_within")).withColumn("over", F.col("spent") >= cap).drop("_minute", "_within", "_before", "_d", "_m")
 
 
 def debounce(df: DataFrame, key: str, ts: str, millis: int) -> DataFrame:
