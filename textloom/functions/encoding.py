@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import trim
+
 BLOCK = {256: 64, 384: 128, 512: 128, 1: 64}
 
 
@@ -45,6 +47,14 @@ def unbase64(c: Column) -> Column:
     return F.when(F.length(bare) % 4 != 1, F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8"))
 
 
+def base64_auto(c: Column) -> Column:
+    """Decoded if the trimmed text is whole, well-formed Base64 of a text, else encoded."""
+    t = trim(c)
+    decoded = unbase64(t)
+    fits = looks_like_base64(t) & (F.length(t) % 4 == 0) & decoded.isNotNull() & ~decoded.contains("\ufffd")
+    return F.when(t == "", "").when(F.coalesce(fits, F.lit(False)), decoded).otherwise(base64(t))
+
+
 def url_encode(c: Column, mode: str = "component") -> Column:
     """component and full keep ! ~ ' ( ), full also the reserved characters; form writes a space as +."""
     out = F.url_encode(c)

@@ -25,6 +25,31 @@ def percent(mode: str, a: Column, b: Column) -> Column:
     raise ValueError(mode)
 
 
+def percentage_points(a: Column, b: Column) -> dict[str, Column]:
+    """points and relative change; NaN where the first is 0."""
+    return {"points": b - a, "relative": F.when(a == 0, float("nan")).otherwise((b - a) / F.nullif(F.abs(a), F.lit(0.0)) * 100)}
+
+
+# How many of a unit make the next one, and its name.
+TIMES = ((60, "minutes"), (60, "hours"), (24, "days"), (365, "years"), (1000, "thousand years"), (1000, "million years"))
+
+
+def crack_time(bits: Column) -> Column:
+    """How long 10^12 guesses a second take for half of 2^bits."""
+    seconds = F.pow(F.lit(2.0), bits - 1) / 1e12
+    size, steps = 1.0, [(seconds, F.lit("seconds"))]
+    for n, name in TIMES:
+        size *= n
+        steps.append((seconds / size, F.lit(name)))
+    value, unit = steps[0]
+    size = 1.0
+    for (n, _), (v, u) in zip(TIMES, steps[1:], strict=True):  # the largest unit of which there is one at least
+        size *= n
+        value, unit = F.when(seconds >= size, v).otherwise(value), F.when(seconds >= size, u).otherwise(unit)
+    shown = F.when(value < 10, F.format_string("%.1f", half_up(value, 1))).otherwise(F.format_number(half_up(value), 0))
+    return F.when(seconds < 1, "instantly").when(value > 1000, "longer than the age of the universe").otherwise(F.concat_ws(" ", shown, unit))
+
+
 def clamp01(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 

@@ -327,6 +327,23 @@ def alternating_case(c: Column) -> Column:
     return F.array_join(F.transform(pairs, one), "")
 
 
+def singular(c: Column) -> Column:
+    """A plural name's singular, by its ending."""
+    short = lambda n: F.substring(c, F.lit(1), F.length(c) - n)
+    return F.when(c.rlike("(?i)ies$") & (F.length(c) > 4), F.concat(short(3), F.lit("y"))).when(c.rlike("(?i)(s|x|z|ch|sh)es$"), short(2)).when(c.rlike("(?i)[^su]s$"), short(1)).otherwise(c)
+
+
+def type_name(c: Column) -> Column:
+    """A name for a type: words joined, their first letters capital; Type where nothing is left."""
+    parts = F.split(trim(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), r"\s+|(?<=[a-z0-9])(?=[A-Z])", -1)
+    joined = F.array_join(F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1))), "")
+    return F.when(joined == "", "Type").when(joined.rlike("^[A-Za-z_$]"), joined).otherwise(F.concat(F.lit("Type"), joined))
+
+
+# The least reading ease for each kind of reader.
+TARGETS = {"general": 60, "academic": 30, "marketing": 70}
+
+
 def strip_bullet(c: Column) -> Column:
     """A line without its bullet or number."""
     return F.regexp_replace(c, r"^\s*(?:[•·▪‣◦●○■□–—*\-»›]|\d{1,2}[.)]|\(\d{1,2}\))\s+", "")

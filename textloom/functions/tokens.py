@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,3 +101,33 @@ def identifiers(df: DataFrame, kind: str, now_ms: int = 0) -> DataFrame:
     else:
         raise ValueError(kind)
     return rows.withColumn("id", out).drop("_r", "_d")
+
+
+# What passwords are made of, and what is easily misread.
+CHARACTERS = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "0123456789", "symbols": "!@#$%^&*()-_=+[]{};:,.<>?"}
+AMBIGUOUS = "Il1O0oB8S5Z2"
+
+
+def passwords(df: DataFrame, length: int, kinds: tuple[str, ...] = tuple(CHARACTERS), *, exclude_ambiguous: bool = False, require_each: bool = True) -> DataFrame:
+    """df with password: characters of the system's secure source, which Spark's rand() is not."""
+    pools = ["".join(c for c in CHARACTERS[k] if not (exclude_ambiguous and c in AMBIGUOUS)) for k in kinds]
+    if not pools:
+        raise ValueError("choose a kind of characters")
+    if require_each and length < len(pools):
+        raise ValueError(f"{len(pools)} kinds need as many characters")
+
+    @F.pandas_udf("string")
+    def made(seed: pd.Series) -> pd.Series:
+        import secrets
+
+        draw, every = secrets.SystemRandom(), "".join(pools)
+
+        def one() -> str:
+            chars = [draw.choice(p) for p in pools] if require_each else []
+            chars += [draw.choice(every) for _ in range(length - len(chars))]
+            draw.shuffle(chars)
+            return "".join(chars)
+
+        return pd.Series([one() for _ in range(len(seed))])
+
+    return df.withColumn("password", made.asNondeterministic()(F.lit(0)))

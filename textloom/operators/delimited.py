@@ -91,16 +91,48 @@ def ragged(rows: DataFrame, key: str) -> DataFrame:
     return found.select(key, "n_rows", "width", (F.col("n_rows") - F.col("like")).alias("n_ragged"))
 
 
-def csv_row(cells: list[Column], guard: bool = False) -> Column:
-    """A line of CSV; guarded cells can't be read as formulas."""
+def parse_line(c: Column, delimiter: str = ",") -> Column:
+    """The cells of one line; quotes are doubled inside quotes, and what follows a closing quote is appended."""
+    d = rf"\x{{{ord(delimiter):X}}}"
+    fields = F.regexp_extract_all(F.concat(F.lit(delimiter), c), F.lit(rf'(?s){d}("(?:[^"]|"")*(?:"[^{d}]*)?|[^{d}]*)'), 1)
+
+    def plain(x: Column) -> Column:
+        inner = F.regexp_extract(x, r'(?s)^"((?:[^"]|"")*)', 1)
+        rest = F.substring(x, F.length(inner) + 3, F.length(x))
+        return F.when(x.startswith('"'), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)).otherwise(x)
+
+    return F.transform(fields, plain)
+
+
+def json_row(names: list[str], cells: list[Column]) -> Column:
+    """One record of a JSON file of objects, indented as within its list; cells are texts, a missing one ''."""
+    import json
+
+    lines = [F.concat(F.lit(f"    {json.dumps(n, ensure_ascii=False)}: "), _json_text(c)) for n, c in zip(names, cells, strict=True)]
+    return F.concat(F.lit("  {\n"), F.concat_ws(",\n", *lines), F.lit("\n  }"))
+
+
+def json_array_row(cells: list[Column]) -> Column:
+    """One row of a JSON file of arrays."""
+    return F.concat(F.lit("  [\n"), F.concat_ws(",\n", *(F.concat(F.lit("    "), _json_text(c)) for c in cells)), F.lit("\n  ]"))
+
+
+def _json_text(c: Column) -> Column:
+    whole = F.to_json(F.struct(F.coalesce(c.cast("string"), F.lit("")).alias("v")))  # {"v":...}
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def csv_row(cells: list[Column], guard: bool = False, delimiter: str = ",") -> Column:
+    """A line of CSV, or of another delimiter; guarded cells can't be read as formulas."""
 
     def one(c: Column) -> Column:
         c = F.coalesce(c.cast("string"), F.lit(""))
         if guard:
             c = F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
-        return F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+        special = c.contains(delimiter) | c.rlike('["\r\n]')
+        return F.when(special, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
-    return F.concat_ws(",", *map(one, cells))
+    return F.concat_ws(delimiter, *map(one, cells))
 
 
 def tsv_row(cells: list[Column]) -> Column:

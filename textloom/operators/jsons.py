@@ -99,8 +99,8 @@ def type_lines(shapes: DataFrame) -> DataFrame:
     return shapes.select("shape", F.concat(F.regexp_extract("shape", r"([^.\[\]$]+)\]?$", 1), F.when(F.col("optional"), "?: ").otherwise(": "), words).alias("declaration"))
 
 
-def diff(left: DataFrame, right: DataFrame, key: str, text: str, *, loose: bool = False, ignore_case: bool = False) -> DataFrame:
-    """key, path, kind (added, removed, changed, type), left, right: a full outer join on the path.
+def diff(left: DataFrame, right: DataFrame, key: str, text: str, *, loose: bool = False, ignore_case: bool = False, types: bool = False) -> DataFrame:
+    """key, path, kind (added, removed, changed, type), left, right: a full outer join on the path; with types also left_type, right_type.
 
     What lies under a node that was added, removed or changed its type is told by that node alone.
     """
@@ -120,9 +120,116 @@ def diff(left: DataFrame, right: DataFrame, key: str, text: str, *, loose: bool
     if loose:
         type_differs = type_differs & ~(same & leaf & ~F.col("t_r").isin("object", "array"))
     kind = F.when(F.col("t_l").isNull(), "added").when(F.col("t_r").isNull(), "removed").when(type_differs, "type").when(leaf & ~same, "changed")
-    told = both.select(key, "path", F.coalesce("up_l", "up_r").alias("up"), kind.alias("kind"), F.col("v_l").alias("left"), F.col("v_r").alias("right"))
+    told = both.select(key, "path", F.coalesce("up_l", "up_r").alias("up"), kind.alias("kind"), F.col("v_l").alias("left"), F.col("v_r").alias("right"), F.col("t_l").alias("left_type"), F.col("t_r").alias("right_type"))
     breaks = told.where("kind in ('added', 'removed', 'type')").select(key, F.col("path").alias("up"))
-    return told.where("kind is not null").join(breaks, [key, "up"], "left_anti").select(key, "path", "kind", "left", "right")
+    return told.where("kind is not null").join(breaks, [key, "up"], "left_anti").select(key, "path", "kind", "left", "right", *(("left_type", "right_type") if types else ()))
+
+
+def diff_unordered(left: DataFrame, right: DataFrame, key: str, text: str, *, loose: bool = False, ignore_case: bool = False) -> DataFrame:
+    """key, path, kind, left, right, lists being bags: what only one side's list holds is removed or added, at path[].
+
+    Elements are told apart by their canonical form, counted, and compared by a full outer join; what lies
+    outside lists is compared as diff() does.
+    """
+
+    def bags(df: DataFrame, name: str) -> DataFrame:
+        tops = nodes(df, key, text).where("type = 'array' and not contains(shape, '[]')").select(key, "path")
+        kind = df.schema[key].dataType.simpleString()
+
+        def run(batches):
+            for b in batches:
+                who, paths, items = [], [], []
+                for i, t in enumerate(b.column("_json").to_pylist()):
+                    try:
+                        found = list(_bags(json.loads(t, parse_constant=_never))) if t is not None else []
+                    except (ValueError, RecursionError):
+                        found = []
+                    for path, item in found:
+                        who.append(i)
+                        paths.append(path)
+                        items.append(_plain(item, True, loose, ignore_case))
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(who, pa.int64())), pa.array(paths, pa.string()), pa.array(items, pa.string())], names=["_key", "path", "item"])
+
+        rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_json")).mapInArrow(run, f"_key {kind}, path string, item string").withColumnRenamed("_key", key)
+        held = tops.groupBy(key, "path").agg(F.lit(True).alias(f"has_{name}"))
+        return rows.groupBy(key, "path", "item").agg(F.count("*").alias(f"n_{name}")), held
+
+    (a, has_a), (b, has_b) = bags(left, "l"), bags(right, "r")
+    both = a.join(b, [key, "path", "item"], "full_outer").fillna(0, ["n_l", "n_r"]).where("n_l <> n_r")
+    both = both.join(has_a, [key, "path"], "left_semi").join(has_b, [key, "path"], "left_semi")  # lists on both sides
+    more = F.col("n_l") > F.col("n_r")
+    times = F.explode(F.array_repeat(F.lit(0), F.abs(F.col("n_l") - F.col("n_r")).cast("int")))
+    listed = both.select(key, F.concat("path", F.lit("[]")).alias("path"), F.when(more, "removed").otherwise("added").alias("kind"), F.when(more, clip(F.col("item"))).alias("left"), F.when(~more, clip(F.col("item"))).alias("right"), times.alias("_")).drop("_")
+    plain = diff(left, right, key, text, loose=loose, ignore_case=ignore_case)
+    return plain.where(~F.col("path").rlike(r"\[\d+\]")).union(listed)
+
+
+def _bags(value: object):
+    """(path, element) of the outermost lists."""
+    stack = [("$", value)]
+    while stack:
+        path, x = stack.pop()
+        if isinstance(x, list):
+            for item in x:
+                yield path, item
+        elif isinstance(x, dict):
+            stack += [(_child(path, k), v) for k, v in x.items()]
+
+
+def diff_stats(changes: DataFrame, left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
+    """key, added, removed, changed, type_changed, unchanged (leaves alike on both sides), identical."""
+    leaves = lambda df: nodes(df, key, text).where("type not in ('error', 'object', 'array')").select(key, "path", F.struct("type", "value").alias("v"))
+    same = leaves(left).join(leaves(right), [key, "path", "v"], "left_semi").groupBy(key).agg(F.count("*").alias("unchanged"))
+    kinds = changes.groupBy(key).agg(*(F.count_if(F.col("kind") == k).alias(name) for k, name in (("added", "added"), ("removed", "removed"), ("changed", "changed"), ("type", "type_changed"))))
+    out = left.select(key).join(right.select(key), key).join(kinds, key, "left").join(same, key, "left").fillna(0, ["added", "removed", "changed", "type_changed", "unchanged"])
+    return out.withColumn("identical", F.col("added") + F.col("removed") + F.col("changed") + F.col("type_changed") == 0)
+
+
+def change_line(kind: Column, path: Column, left: Column, right: Column, left_type: Column, right_type: Column) -> Column:
+    """A change as one line for a review."""
+    arrow = F.concat(left, F.lit(" → "), right)
+    typed = F.concat(left, F.lit(" ("), left_type, F.lit(") → "), right, F.lit(" ("), right_type, F.lit(")"))
+    say = lambda mark, what: F.concat(F.lit(f"{mark} "), path, F.lit(": "), what)
+    return F.when(kind == "added", say("+", right)).when(kind == "removed", say("−", left)).when(kind == "type", say("!", typed)).otherwise(say("~", arrow))
+
+
+def clip(c: Column, most: int = 90) -> Column:
+    """A value of at most so many characters; null is a dash."""
+    return F.when(c.isNull(), "—").when(F.length(c) > most, F.concat(F.substring(c, 1, most - 1), F.lit("…"))).otherwise(c)
+
+
+def _plain(x: object, sort_arrays: bool, loose: bool, ignore_case: bool) -> str:
+    again = lambda v: _plain(v, sort_arrays, loose, ignore_case)
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{again(x[k])}" for k in sorted(x)) + "}"
+    if isinstance(x, list):
+        parts = [again(v) for v in x]
+        return f"[{','.join(sorted(parts) if sort_arrays else parts)}]"
+    if isinstance(x, float) and x.is_integer() and abs(x) < 1e21:
+        x = int(x)
+    if loose and isinstance(x, (bool, int, float)):
+        return json.dumps(json.dumps(x))
+    return json.dumps(x.lower() if ignore_case and isinstance(x, str) else x, ensure_ascii=False)
+
+
+def canonical(df: DataFrame, key: str, text: str, *, sort_arrays: bool = False, loose: bool = False, ignore_case: bool = False) -> DataFrame:
+    """key, canonical: a form in which equal values are equal texts: sorted keys, no blanks; null if it isn't JSON.
+
+    A value's depth is its own, so the form is made by a small parser a row, in Arrow batches.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            out: list[str | None] = []
+            for t in b.column("_json").to_pylist():
+                try:
+                    out.append(None if t is None else _plain(json.loads(t, parse_constant=_never), sort_arrays, loose, ignore_case))
+                except (ValueError, RecursionError):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(out, pa.string())], names=["_key", "canonical"])
+
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_json")).mapInArrow(run, f"_key {kind}, canonical string").withColumnRenamed("_key", key)
 
 
 def records(df: DataFrame, key: str, text: str) -> DataFrame:

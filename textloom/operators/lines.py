@@ -85,6 +85,11 @@ def sort_lines(df: DataFrame, key: str, text: str, mode: str = "alpha") -> DataF
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order, "line_no"))).select(key, "place", "line")
 
 
+def shuffle_lines(c: Column, seed: int | None = None) -> Column:
+    """The lines in random order, each order as likely."""
+    return F.array_join(F.shuffle(T.lines(c), seed), "\n")
+
+
 def reverse_text(c: Column, mode: str) -> Column:
     pieces = lambda x: F.regexp_extract_all(x, F.lit(rf"{T.SPACE}+|[^\s\x{{A0}}\x{{FEFF}}\x{{2028}}\x{{2029}}\p{{Zs}}]+"), 0)
     glyphs = lambda x: F.array_join(F.reverse(F.regexp_extract_all(x, F.lit(r"\X"), 0)), "")

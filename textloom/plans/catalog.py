@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, rows, tables
+from . import documents, reports, rows, tables
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "documents", "rows", "tables"]
+__all__ = ["ORACLE_SQL", "QUERIES", "documents", "reports", "rows", "tables"]
