@@ -210,8 +210,12 @@ class Lattices:
     piece, or -1 - i for spelt[i].
     """
 
-    def __init__(self, pieces: Pieces, char: np.ndarray, first: np.ndarray, n: np.ndarray):
-        """Text i is the code points char[first[i]:first[i] + n[i]]."""
+    def __init__(self, pieces: Pieces, char: np.ndarray, first: np.ndarray, n: np.ndarray, logs: bool = False):
+        """Text i is the code points char[first[i]:first[i] + n[i]].
+
+        With logs, weights and forward sums are natural logs in double precision, which is what scores
+        are read from; without, they are scaled weights, which samples and expected counts are drawn from.
+        """
         trie = pieces.trie()
         self.order = np.argsort(-n, kind="stable")
         self.n = n[self.order]
@@ -242,8 +246,12 @@ class Lattices:
             k += 1
         while len(edges) > 1 and not len(edges[-1][0]):
             edges.pop()
-        w = np.exp(pieces.log_weight)
+        self.logs = logs
         self.width = max(1, len(edges))
+        if logs:
+            self._log_forward(pieces, edges, after, len(n), longest)
+            return
+        w = np.exp(pieces.log_weight)
         self.weight = np.zeros((self.width, nodes), np.float32)
         self.piece = np.zeros((nodes, self.width), np.int32)
         for k, (to, p) in enumerate(edges):
@@ -273,6 +281,20 @@ class Lattices:
             self.share[here, some:] = total[:, None]
             self.forward[here] = total
 
+    def _log_forward(self, pieces: Pieces, edges: list, after: np.ndarray, texts: int, longest: int) -> None:
+        weight = np.full((self.width, len(after)), -np.inf)
+        for k, (to, p) in enumerate(edges):
+            weight[k, to] = pieces.log_weight[p]
+        for i in (np.flatnonzero(np.isneginf(weight[0, texts:])) + texts).tolist():
+            at = int(np.searchsorted(self.base, i, "right")) - 1
+            weight[0, i] = sum(pieces.log_weight[x] for x in pieces.spelt(chr(int(after[self.base[at - 1] + i - self.base[at]]))))
+        self.forward = np.zeros(len(after))
+        for d in range(1, longest + 1):
+            m, here = self.live[d], slice(self.base[d], self.base[d] + self.live[d])
+            terms = np.stack([self.forward[self.base[d - k - 1] :][:m] + weight[k, here] for k in range(min(d, self.width))])
+            top = terms.max(0)  # finite: each character is an edge, if need be spelt
+            self.forward[here] = top + np.log(np.exp(terms - top).sum(0))
+
     def ends(self) -> np.ndarray:
         """The last node of each text, in their sorted order."""
         return self.base[self.n] + np.arange(len(self.n))
@@ -280,7 +302,8 @@ class Lattices:
     def log_total(self) -> np.ndarray:
         """Natural log of each text's summed weight over all segmentations, in the given order."""
         out = np.empty(len(self.n))
-        out[self.order] = np.log(self.forward[self.ends()]) - SCALE * self.n
+        last = self.forward[self.ends()]
+        out[self.order] = last if self.logs else np.log(last) - SCALE * self.n
         return out
 
     def expected(self, times: np.ndarray, into: np.ndarray) -> None:
@@ -323,7 +346,7 @@ def log_totals(pieces: Pieces, texts: list[str]) -> list[float]:
     char, first, n, few = _split(pieces, texts)
     out = np.zeros(len(texts))
     if few.any():
-        out[few] = Lattices(pieces, char, first[few], n[few]).log_total()
+        out[few] = Lattices(pieces, char, first[few], n[few], logs=True).log_total()
     for i in np.flatnonzero(~few).tolist():
         out[i] = pieces.forward(texts[i])
     return out.tolist()
