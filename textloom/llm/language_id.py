@@ -29,9 +29,7 @@ WINDOW = 1 << 21  # bytes that are scored at a time
 class LanguageIdOptions:
     order: int = 3  # longest context in bytes; 3 at most
     sample_rows: int = 2000  # labelled rows for each language, about; more would not change the statistics much
-    min_count: int = 2  # n-grams seen less often are noise
-    max_grams: int = 2_000_000  # n-grams that the driver takes at most, the most frequent first
-    languages: int = 200  # languages at most, the most frequent first
+    sample_chars: int = 4_000_000  # characters of a language's sample, about; its rows are longer or shorter than others'
 
 
 def _symbols(data: np.ndarray) -> np.ndarray:
@@ -176,15 +174,15 @@ class PpmModel:
 def fit(docs: DataFrame, options: LanguageIdOptions = LanguageIdOptions()) -> PpmModel | None:
     """A model from rows with a lang. The sample is drawn by a hash of the row over all of docs."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.languages).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text").cast("double")).alias("chars")).collect()  # a row a language
     if not sizes:
         return None
     scale = 1 << 30
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(scale, scale * options.sample_rows // r["count"] + 1))))
-    at = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], int(min(scale, scale * options.sample_rows // r["count"] + 1, scale * options.sample_chars // (r["chars"] + 1) + 1)))))
+    at = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(scale))
     sample = rows.where(at < F.coalesce(share[F.col("lang")], F.lit(0))).select("lang", "text")
     grams = sample.mapInArrow(_count(options.order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = grams.where(F.col("n") >= options.min_count).orderBy(F.desc("n"), "lang", "gram").limit(options.max_grams).toArrow()
+    got = grams.toArrow()
     if not got.num_rows:
         return None
     return PpmModel.fit(np.array(got["lang"].to_pylist(), object), got["gram"].to_numpy(), got["n"].to_numpy(), options.order)
