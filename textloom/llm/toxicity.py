@@ -218,9 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityO
         picked = F.broadcast(picked)
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(picked, "doc_id")
     kinds = ", ".join(f"{c} double" for c in options.chain)
-    # rows of equal ids in docs can't make the sample larger than its bound
-    slim = rows.select("doc_id", *(F.col(c).cast("double").alias(c) for c in options.chain), "text")
-    got = slim.mapInArrow(released(_features(options)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}, features array<int>").limit(2 * options.sample_rows).toArrow().sort_by("doc_id")
+    # rows of equal ids in docs can't make the sample larger than its bound: those of the least hash of id and text stay
+    slim = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("order"), *(F.col(c).cast("double").alias(c) for c in options.chain), "text")
+    got = slim.mapInArrow(released(_features(options)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, order long, {kinds}, features array<int>").orderBy("order", "doc_id", "features").limit(2 * options.sample_rows).toArrow().sort_by([("doc_id", "ascending"), ("order", "ascending")])
     if not got.num_rows:
         return None
     y = np.column_stack([got[c].to_numpy() for c in options.chain])
