@@ -65,3 +65,19 @@ def test_odd_rows(odd, nothing, clashing):
     assert sorted(map(tuple, T.section_token_counts(clashing).collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
     with pytest.raises(ValueError):
         T.TokenCountOptions(rule="other")
+
+
+@pytest.mark.parametrize("rule", ["majority", "start", "split"])
+def test_given_sections(spark, rule):
+    text = "Title here\nThe body goes on, naïvely.\nEnd"
+    docs = spark.createDataFrame([(1, text), (2, "x y z"), (3, None), (None, "a b")], "doc_id long, text string")
+    cut = [(0, 11), (11, 38), (38, len(text))]
+    spans = [(1, k, a, z) for k, (a, z) in enumerate(cut)] + [(2, 7, 1, 3), (2, 8, 2, 99), (2, 9, 5, 5), (3, 0, 0, 4), (4, 0, 0, 1)]
+    given = spark.createDataFrame(spans, "doc_id long, section int, char_start long, char_end long")
+    options = T.TokenCountOptions(rule=rule)
+    got = T.section_token_counts(docs, options=options, sections=given).collect()
+    lines = T.section_token_counts(docs.where("doc_id = 1"), options=options).collect()
+    assert sorted(map(tuple, (r for r in got if r.doc_id == 1))) == sorted(map(tuple, lines))  # the same spans, told and found
+    two = {r.section: (r.char_start, r.char_end, r.n_tokens) for r in got if r.doc_id == 2}
+    assert two == {7: (1, 3, 1), 8: (3, 5, 1), 9: (5, 5, 0)}  # x, y and z are tokens; x is in no section
+    assert {r.doc_id for r in got} == {1, 2}
