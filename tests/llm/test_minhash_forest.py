@@ -5,7 +5,7 @@ from conftest_llm import edited, prose
 from pyspark.sql import functions as F
 
 from textloom.llm import minhash_forest as M
-from textloom.llm.components import connected_components
+from textloom.llm.components import component_trees, node_labels
 from textloom.llm.shingles import exact_shingles
 
 DOCS = "doc_id long, text string"
@@ -107,7 +107,9 @@ def test_components(spark, task_edges):
     for a, b in edges:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    got = connected_components(spark.createDataFrame(edges, "u long, v long"), task_edges).collect()
+    frame = lambda e: spark.createDataFrame(e, "u long, v long")
+    half = component_trees(frame(edges[::2]), None, task_edges)
+    got = node_labels(component_trees(frame(edges[1::2]), half, task_edges)).collect()
     assert sorted((x.node, x.label) for x in got) == sorted({(i, root(i)) for a, b in edges if a != b for i in (a, b)})
 
 

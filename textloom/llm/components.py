@@ -59,7 +59,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link u's larger (large) or smaller neighbours, and u, to the least of them all."""
     near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = near.join(least, "u")
+    linked = near.join(least.hint("merge"), "u")
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -67,23 +67,30 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
-    """node, label (its component's least node) for each node of the edges (u, v); written, read once each.
+def component_trees(edges: DataFrame, earlier: DataFrame | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
+    """u, v: each node of the edges (u, v) that isn't its component's least node, and that node; written.
 
-    Edges are dealt at random over as many tasks as their number asks for, each of which turns its
-    edges into trees of depth one. One task's trees are the components; those of several tasks are
-    joined by alternating stars until nothing changes.
+    earlier: the trees of edges seen before, which take part. Edges are joined into trees where they lie,
+    and the trees, dealt at random over as many tasks as their number asks for, into larger ones. One
+    task's trees are the components; those of several tasks are joined by alternating stars until
+    nothing changes.
     """
-    now = materialize(edges.where(F.col("u") != F.col("v")), "edges")
-    tasks = now.count() // task_edges + 1
-    trees = materialize(now.repartition(tasks).mapInArrow(released(_trees(task_edges)), "u long, v long"), "trees")
-    drop_tables(now)
-    now, before = trees, None
+    edges = edges.where(F.col("u") != F.col("v")).select("u", "v")
+    found = materialize(edges.mapInArrow(released(_trees(task_edges)), "u long, v long"), "trees")
+    every = found if earlier is None else found.union(earlier)
+    tasks = every.count() // task_edges + 1
+    now, before = materialize(every.repartition(tasks).mapInArrow(released(_trees(task_edges)), "u long, v long"), "trees"), None
+    drop_tables(found)
     while tasks > 1:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if not mark[0] or mark == before:
             break
         before = mark
-        last, now = now, materialize(_star(_star(now, True), False), "edges")
+        last, now = now, materialize(_star(_star(now, True), False), "trees")
         drop_tables(last)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return now
+
+
+def node_labels(trees: DataFrame) -> DataFrame:
+    """node, label (its component's least node) for each node of component_trees()."""
+    return trees.select(F.col("u").alias("node"), F.col("v").alias("label")).union(trees.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, packed, released, small_enough, table, unpacked
-from .components import connected_components
+from .components import component_trees, node_labels
 from .shingles import stretches, text_sets
 
 SIZE = 128  # bytes of a signature
@@ -156,11 +156,16 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([b.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h.view(np.int64)))], names=["node", "shingles"])
 
 
+def _far(side: DataFrame) -> DataFrame:
+    """A side of a join that is never sent to the driver to be broadcast, however small it turns out to be."""
+    return side.hint("merge")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    full = pairs.select("a", "b").join(one, "a").join(two, "b")
+    full = pairs.select("a", "b").join(_far(one), "a").join(_far(two), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     checked = full.select(F.col("a").alias("u"), F.col("b").alias("v"), both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
     return checked.where(F.lit(100) * F.col("both") >= F.lit(similarity) * (F.col("sum") - F.col("both"))).select("u", "v")
@@ -175,41 +180,29 @@ def _sharing(sets: DataFrame, similarity: int) -> DataFrame:
     t = similarity
     each = sets.select("node", F.explode("shingles").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > 1)
-    rare = each.join(counts, "token", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "token"))).alias("x"))
+    rare = each.join(_far(counts), "token", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "token"))).alias("x"))
     head = rare.select("node", F.size("x").cast("long").alias("n"), F.slice("x", F.lit(1), (F.size("x") - F.ceil(F.size("x") * F.lit(t) / F.lit(100)) + 1).cast("int")).alias("x"))
     flat = head.select("node", "n", F.posexplode("x").alias("at", "x")).where(F.col("x.held") > 1)
-    entries = materialize(flat.join(sets.select("node", "label"), "node").select("node", "n", "label", "at", F.col("x.token").alias("token")), "forest-heads")
+    entries = materialize(flat.join(_far(sets.select("node", "label")), "node").select("node", "n", "label", "at", F.col("x.token").alias("token")), "forest-heads")
     one = entries.where(F.lit(100 + t) * (F.col("n") - F.col("at")) >= F.lit(2 * t) * F.col("n"))
     one, two = one.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "at"))), entries.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "at")))
     near = (F.col("label1") != F.col("label2")) & (F.struct("n1", "node1") < F.struct("n2", "node2")) & (F.lit(100) * F.col("n1") >= F.lit(t) * F.col("n2"))
     rest = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))  # as many can be common from the first common one on
-    found = one.join(two, "token").where(near & (F.lit(100 + t) * rest >= F.lit(t) * (F.col("n1") + F.col("n2"))))
+    found = one.join(_far(two), "token").where(near & (F.lit(100 + t) * rest >= F.lit(t) * (F.col("n1") + F.col("n2"))))
     return found.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that lie between components, with la < lb the components' labels."""
     la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    out = pairs.join(la, "a", "left").join(lb, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+    out = pairs.join(_far(la), "a", "left").join(_far(lb), "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
     return out.where(F.col("la") != F.col("lb")).withColumns({"la": F.least("la", "lb"), "lb": F.greatest("la", "lb")})
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after links (u, v) between nodes have joined components."""
-    if labels is None:
-        return materialize(connected_components(links), "labels")
-    lu, lv = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "uv")
-    lifted = links.join(lu, "u", "left").join(lv, "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-    over = connected_components(lifted).withColumnRenamed("label", "top")
-    old = labels.join(over.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    new = over.join(labels.select("node"), "node", "left_anti").select("node", F.col("top").alias("label"))
-    return materialize(old.union(new), "labels")
-
-
 def _set_table(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, options: ForestOptions) -> DataFrame:
     """node, shingles of the nodes that take part in pairs."""
     ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct()
-    wanted = ends.join(nodes.select("node", F.col("dkey").alias("wkey"), F.col("doc_id").alias("wid")), "node")
+    wanted = ends.join(_far(nodes).select("node", F.col("dkey").alias("wkey"), F.col("doc_id").alias("wid")), "node")
     if small_enough(wanted, options.broadcast_ids):
         wanted = F.broadcast(wanted)
     texts = docs.where(F.col("text").isNotNull()).join(wanted, (F.col("dkey") == F.col("wkey")) & F.col("doc_id").eqNullSafe(F.col("wid")))
@@ -235,36 +228,41 @@ def near_duplicates(docs: DataFrame, options: ForestOptions = ForestOptions()) -
     over = pairs.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")).select("a", "b")
     under = pairs.groupBy("b").agg(F.max_by("a", F.struct("equal", "a")).alias("a")).select("a", "b")
     tried = materialize(over.union(under).distinct(), "forest-first")
-    labels = _merged(None, _confirmed(tried, sets, t))
+    trees = component_trees(_confirmed(tried, sets, t))
+    labels = node_labels(trees)
 
-    open_pairs = materialize(_between(pairs.join(tried, ["a", "b"], "left_anti"), labels), "forest-between")
+    open_pairs = materialize(_between(pairs.join(_far(tried), ["a", "b"], "left_anti"), labels), "forest-between")
     best = open_pairs.groupBy("la", "lb").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("x")).select("x.a", "x.b")
     tried = materialize(best, "forest-second")
-    labels = _merged(labels, _confirmed(tried, sets, t))
+    trees = component_trees(_confirmed(tried, sets, t), trees)
+    labels = node_labels(trees)
 
-    last = materialize(_between(open_pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels).select("a", "b"), "forest-third")
-    labels = _merged(labels, _confirmed(last, sets, t))
+    last = materialize(_between(open_pairs.select("a", "b").join(_far(tried), ["a", "b"], "left_anti"), labels).select("a", "b"), "forest-third")
+    trees = component_trees(_confirmed(last, sets, t), trees)
+    labels = node_labels(trees)
 
     if wide.limit(1).count():
         whole = _set_table(docs, nodes, wide.select(F.col("node").alias("a"), F.col("node").alias("b")), options)
         signs = whole.mapInArrow(released(_long_signatures), "node long, sig binary").dropDuplicates(["node"])
-        more = nodes.select("node", "n").join(signs, "node").join(labels, "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label"))
+        more = nodes.select("node", "n").join(_far(signs), "node").join(_far(labels), "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label"))
         far = _candidates(more, options, options.far_reach, LONG)
         still, far = far.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")), far.where(F.col("a") != F.col("b"))
-        far = materialize(far.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "forest-far")
+        far = materialize(far.join(_far(pairs.select("a", "b")), ["a", "b"], "left_anti"), "forest-far")
         if far.limit(1).count():
-            labels = _merged(labels, _confirmed(far, whole, t))
+            trees = component_trees(_confirmed(far, whole, t), trees)
+            labels = node_labels(trees)
         if still.limit(1).count():
-            dense = whole.dropDuplicates(["node"]).join(still, "node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "shingles")
+            dense = whole.dropDuplicates(["node"]).join(_far(still), "node").join(_far(labels), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "shingles")
             dense = materialize(dense, "forest-dense")
-            shared = materialize(_sharing(dense, t).join(pairs.union(far).select("a", "b"), ["a", "b"], "left_anti"), "forest-shared")
+            shared = materialize(_sharing(dense, t).join(_far(pairs.union(far).select("a", "b")), ["a", "b"], "left_anti"), "forest-shared")
             if shared.limit(1).count():
-                labels = _merged(labels, _confirmed(shared, dense, t))
+                trees = component_trees(_confirmed(shared, dense, t), trees)
+                labels = node_labels(trees)
 
-    named = nodes.join(labels, "node", "left").select("fa", "fb", "n", "first", F.coalesce("label", "node").alias("label"))
+    named = nodes.join(_far(labels), "node", "left").select("fa", "fb", "n", "first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "label").select("fa", "fb", "n", "component_id", F.col("label").alias("component"))
-    out = signed.select("doc_id", "dkey", "n", "fa", "fb").join(named, ["fa", "fb", "n"], "left")
+    named = named.join(_far(least), "label").select("fa", "fb", "n", "component_id", F.col("label").alias("component"))
+    out = signed.select("doc_id", "dkey", "n", "fa", "fb").join(_far(named), ["fa", "fb", "n"], "left")
     return out.select("doc_id", "dkey", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("component", "dkey").alias("component"))
 
 
