@@ -171,19 +171,53 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return checked.where(F.lit(100) * F.col("both") >= F.lit(similarity) * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
+BUCKETS = 18  # bits of a shingle that name its bucket in the table of frequencies
+
+
+def _bucket_counts(batches):
+    total = np.zeros(1 << BUCKETS, np.int64)
+    for b in batches:
+        h = b.column("shingles").flatten().to_numpy().view(np.uint64) >> np.uint64(64 - BUCKETS)
+        total += np.bincount(h.astype(np.int64), minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+
+def _heads(shared, similarity: int):
+    """node, n, label, at, token: of each set's shingles, rarest first, those one of which a similar set must share."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("shingles")
+            h = lists.flatten().to_numpy().view(np.uint64)
+            n = lists.value_lengths().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, shared.value[(h >> np.uint64(64 - BUCKETS)).astype(np.int64)], row))
+            first = np.cumsum(n) - n
+            at = np.arange(len(h)) - first[row]
+            good = at < (n - (similarity * n + 99) // 100 + 1)[row]
+            who = pa.array(row[good])
+            yield pa.RecordBatch.from_arrays([b.column("node").take(who), pa.array(n[row][good]), b.column("label").take(who), pa.array(at[good]), pa.array(h[order][good].view(np.int64))], names=["node", "n", "label", "at", "token"])
+
+    return run
+
+
 def _sharing(sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) of other labels that can be similar enough; sets: node, label, shingles.
 
     Of n shingles, rarest first, and m >= n of the larger set, t (n + m) / (100 + t) at least are common; so one is
     among the first n - 2 t n / (100 + t) + 1 of the smaller set and the first m - t m / 100 + 1 of the larger.
+    How rare a shingle is comes from counts of fixed size, of buckets; any order that all sets share would do.
+    Shingles that only nodes of one label hold in front are left out, so a group of linked copies costs nothing.
     """
     t = similarity
-    each = sets.select("node", F.explode("shingles").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > 1)
-    rare = each.join(_far(counts), "token", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "token"))).alias("x"))
-    head = rare.select("node", F.size("x").cast("long").alias("n"), F.slice("x", F.lit(1), (F.size("x") - F.ceil(F.size("x") * F.lit(t) / F.lit(100)) + 1).cast("int")).alias("x"))
-    flat = head.select("node", "n", F.posexplode("x").alias("at", "x")).where(F.col("x.held") > 1)
-    entries = materialize(flat.join(_far(sets.select("node", "label")), "node").select("node", "n", "label", "at", F.col("x.token").alias("token")), "forest-heads")
+    parts = sets.select("shingles").mapInArrow(released(_bucket_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BUCKETS, np.int64)
+    counts[parts["bucket"].to_numpy()] = parts["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    heads = materialize(sets.mapInArrow(released(_heads(shared, t)), "node long, n long, label long, at long, token long"), "forest-heads")
+    across = heads.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
+    entries = materialize(heads.join(_far(across), "token", "left_semi"), "forest-heads")
     one = entries.where(F.lit(100 + t) * (F.col("n") - F.col("at")) >= F.lit(2 * t) * F.col("n"))
     one, two = one.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "at"))), entries.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "at")))
     near = (F.col("label1") != F.col("label2")) & (F.struct("n1", "node1") < F.struct("n2", "node2")) & (F.lit(100) * F.col("n1") >= F.lit(t) * F.col("n2"))
