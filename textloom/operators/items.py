@@ -87,8 +87,8 @@ def completeness(done: dict[str, Column]) -> dict[str, Column]:
 
 
 def weighted_mode(df: DataFrame, key: str, value: Column, weight: Column, order: str, default: float = 10.0) -> DataFrame:
-    """key, mode: the value, in steps of a half, of the largest summed weight; the first seen on a tie."""
+    """key, mode: the value, in steps of a half, of the largest summed weight; the first seen on a tie, of those the least."""
     step = F.floor(value * 2 + F.lit(0.5)) / 2.0
     sums = df.groupBy(key, step.alias("_v")).agg(F.sum(weight).alias("_w"), F.min(order).alias("_at"))
-    best = sums.groupBy(key).agg(F.max_by("_v", F.struct(F.col("_w"), -F.col("_at"))).alias("_best"))
+    best = sums.groupBy(key).agg(F.max_by("_v", F.struct(F.col("_w"), -F.col("_at"), -F.col("_v"))).alias("_best"))
     return best.select(key, F.when(F.coalesce(F.col("_best"), F.lit(0.0)) == 0, default).otherwise(F.col("_best")).alias("mode"))

@@ -304,7 +304,7 @@ def completeness(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT l_orderkey, floor(l_quantity / 3 * 2 + 0.5) / 2.0 AS v, sum(l_linenumber) AS w, min(l_partkey * 100 + l_linenumber) AS place FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, CASE WHEN v = 0 THEN 10.0 ELSE v END AS mode FROM (SELECT l_orderkey, arg_max(v, (w, -place)) AS v FROM s GROUP BY l_orderkey)""")
+SELECT l_orderkey, CASE WHEN v = 0 THEN 10.0 ELSE v END AS mode FROM (SELECT l_orderkey, arg_max(v, (w, -place, -v)) AS v FROM s GROUP BY l_orderkey)""")
 def modal_quantity(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("at", F.col("l_partkey") * 100 + F.col("l_linenumber"))
     return items.weighted_mode(rows, "l_orderkey", F.col("l_quantity") / 3, F.col("l_linenumber"), "at")
