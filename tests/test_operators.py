@@ -257,6 +257,12 @@ def test_resume(spark):
     assert hints["Responsible for reports"] == ["open with what you did", "say how much"]
 
 
+def test_base_verbs(spark):
+    forms = {"led": "lead", "managed": "manage", "planning": "plan", "simplified": "simplify", "builds": "build", "achieves": "achieve", "coaches": "coach", "running": "run", "assessed": "assess", "found": None, "responsible": None, "cut": "cut", "designing": "design", "writing": "write", "": None}
+    got = spark.createDataFrame([(w,) for w in forms], "w string").select("w", resume.base_verb(F.col("w")).alias("v")).collect()
+    assert {r.w: r.v for r in got} == forms
+
+
 def test_pdf(spark, tmp_path):
     content = b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\)) Tj 0 -14 Td [(wor) 20 (ld) -300 (again)] TJ ET\nBT /F1 12 Tf 1 0 0 1 72 600 Tm <4869> Tj ET"
     obj = lambda data, head=b"": b"1 0 obj << /Length %d %s>>\nstream\n%s\nendstream\nendobj\n" % (len(data), head, data)

@@ -7,7 +7,7 @@ whose ratio is null leaves the sums.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -17,17 +17,34 @@ from .relations import merge_intervals
 
 # Headings, verbs, phrases and weights that decide scores.
 HEADINGS = {
-    "experience": "experience|work experience|employment|employment history|professional experience|career history|work history",
-    "education": "education|academic background|qualifications|education and training",
-    "skills": "skills|technical skills|key skills|core skills|core competencies|competencies",
-    "summary": "summary|profile|professional summary|about me|objective|personal statement",
-    "projects": "projects|selected projects|personal projects",
+    "summary": ("professional summary", "career summary", "executive summary", "personal statement", "career objective", "professional profile", "personal profile", "career profile", "about me", "summary of qualifications", "profile summary", "objective", "summary", "profile", "overview", "introduction"),
+    "experience": ("professional experience", "work experience", "employment history", "career history", "relevant experience", "industry experience", "clinical experience", "teaching experience", "research experience", "work history", "employment", "experience", "career", "positions held", "appointments"),
+    "education": ("education and training", "academic background", "academic qualifications", "educational qualifications", "education & training", "qualifications", "education", "academics", "academic history", "training"),
+    "skills": ("technical skills", "core competencies", "key skills", "areas of expertise", "skills and competencies", "professional skills", "competencies", "expertise", "skills summary", "core skills", "tools and technologies", "technologies", "proficiencies", "skills"),
+    "projects": ("selected projects", "key projects", "personal projects", "academic projects", "portfolio", "projects"),
+    "certifications": ("certifications and licenses", "licenses and certifications", "professional development", "courses and certifications", "certifications", "certificates", "licenses", "accreditations", "courses"),
+    "awards": ("awards and honours", "awards and honors", "honours and awards", "achievements", "accomplishments", "awards", "honours", "honors", "recognition"),
+    "publications": ("publications and presentations", "publications", "presentations", "conferences", "patents"),
+    "volunteer": ("volunteer experience", "community involvement", "voluntary work", "volunteering", "extracurricular activities", "leadership and activities", "volunteer"),
+    "languages": ("language skills", "languages"),
+    "interests": ("interests and hobbies", "hobbies and interests", "interests", "hobbies", "activities"),
+    "references": ("references available", "referees", "references"),
 }
-VERBS = "led built designed managed created developed launched improved increased reduced delivered implemented introduced negotiated organised organized planned ran wrote trained mentored analysed analyzed automated migrated cut grew saved won".split()
-WEAK = "responsible for|helped|assisted|worked on|involved in|participated in|duties included|tasked with"
-CLICHES = "team player|hard worker|hard-working|go-getter|think outside the box|results-driven|detail-oriented|self-starter|synergy|dynamic individual"
-HEDGES = "various|several|many|some|a number of|etc"
-BULLET = r"^\s*(?:[•·▪‣◦●○■□–—*\-»›]|\d{1,2}[.)]|\(\d{1,2}\))\s+"
+VERBS = (
+    "lead", "manage", "direct", "head", "supervise", "oversee", "chair", "mentor", "coach", "guide", "coordinate", "orchestrate", "spearhead", "champion", "drive", "found", "establish", "hire", "recruit", "onboard", "delegate", "mobilise", "mobilize",
+    "achieve", "deliver", "exceed", "surpass", "win", "secure", "earn", "attain", "complete", "close", "land", "capture", "outperform", "beat", "accomplish",
+    "improve", "increase", "reduce", "cut", "optimise", "optimize", "streamline", "accelerate", "boost", "grow", "scale", "enhance", "strengthen", "raise", "lower", "minimise", "minimize", "maximise", "maximize", "eliminate", "consolidate", "standardise", "standardize", "simplify", "refine", "upgrade", "modernise", "modernize", "transform", "turn", "revamp", "overhaul", "restructure",
+    "build", "create", "design", "develop", "launch", "ship", "implement", "introduce", "architect", "engineer", "produce", "author", "compose", "construct", "prototype", "pioneer", "initiate", "originate", "formulate", "draft", "write", "publish", "code", "program", "deploy", "configure", "integrate", "automate", "migrate", "rebuild",
+    "analyse", "analyze", "evaluate", "assess", "audit", "investigate", "research", "diagnose", "measure", "model", "forecast", "benchmark", "quantify", "validate", "test", "monitor", "track", "identify", "determine", "examine", "review", "interpret",
+    "present", "negotiate", "persuade", "advise", "consult", "brief", "communicate", "collaborate", "partner", "liaise", "facilitate", "moderate", "train", "educate", "instruct", "counsel", "advocate", "represent", "pitch", "influence", "align",
+    "execute", "run", "operate", "administer", "maintain", "support", "resolve", "troubleshoot", "process", "schedule", "plan", "organise", "organize", "allocate", "budget", "procure", "source", "ensure", "enforce", "comply", "document", "report", "serve", "treat", "care", "teach", "sell", "market",
+)
+IRREGULAR = {"led": "lead", "built": "build", "ran": "run", "won": "win", "wrote": "write", "drove": "drive", "grew": "grow", "held": "hold", "made": "make", "met": "meet", "sold": "sell", "spoke": "speak", "taught": "teach", "took": "take", "brought": "bring", "bought": "buy", "chose": "choose", "cut": "cut", "dealt": "deal", "found": "find", "got": "get", "gave": "give", "kept": "keep", "left": "leave", "lost": "lose", "paid": "pay", "put": "put", "rose": "rise", "set": "set", "shot": "shoot", "sought": "seek", "spent": "spend", "stood": "stand", "struck": "strike", "taken": "take", "thought": "think", "understood": "understand", "oversaw": "oversee", "undertook": "undertake", "rebuilt": "rebuild", "shipped": "ship", "began": "begin"}
+WEAK = ("responsible for", "duties included", "duties involved", "tasked with", "in charge of", "worked on", "worked with", "worked as", "helped with", "helped to", "assisted with", "assisted in", "involved in", "participated in", "took part in", "part of a team", "was part of", "contributed to", "supported the", "my role was", "my job was", "accountable for", "entrusted with", "handled", "dealt with", "looked after", "responsibilities include", "responsibilities included", "key responsibilities", "day to day", "day-to-day running")
+CLICHES = ("team player", "hard worker", "hard working", "hardworking", "detail oriented", "detail-oriented", "results driven", "results-driven", "results oriented", "self motivated", "self-motivated", "self starter", "self-starter", "go getter", "go-getter", "think outside the box", "thinking outside the box", "outside the box", "proven track record", "track record of success", "excellent communication skills", "strong communication skills", "good communication skills", "excellent interpersonal", "strong work ethic", "works well under pressure", "work well under pressure", "fast learner", "quick learner", "passionate about", "dynamic professional", "highly motivated", "goal oriented", "goal-oriented", "people person", "synergy", "synergies", "value add", "value-add", "best of breed", "win win", "wearing many hats", "wear many hats", "ninja", "rockstar", "rock star", "guru", "thought leader", "seasoned professional", "multitasker", "multi-tasker")
+HEDGES = ("various", "several", "numerous", "multiple", "many", "some", "a number of", "significantly", "substantially", "greatly", "successfully", "effectively", "efficiently", "consistently", "actively", "closely", "heavily", "extensively", "basically", "essentially", "literally", "really", "very", "quite", "fairly")
+FIRST_PERSON = ("i", "my", "me", "mine", "myself", "we", "our", "us")
+BULLET = r"^\s*(?:[•·‣▪▫◦●○■□–—\-*>»❖✓✔★+]|\d{1,2}[.)]|\(\d{1,2}\))\s+"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 METRIC = r"\d[\d,.]*\s?%|[$£€]\s?\d|\b\d[\d,.]*\s?(?:k|m|bn|million|thousand|hours?|days?|weeks?|months?|people|users|customers|staff|clients)\b|\b\d{2,}\b"
 #: check: (category, weight)
@@ -65,7 +82,7 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     heading = F.lit(None).cast("string")
     for name, synonyms in reversed(HEADINGS.items()):
         found = F.lit(False)
-        for s in synonyms.split("|"):
+        for s in synonyms:
             found = found | (bare.startswith(s) & (F.length(bare) - len(s) <= 12))
         heading = F.when((F.length("line") <= 45) & found, name).otherwise(heading)
     rows = rows.withColumn("heading", heading)
@@ -73,6 +90,14 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("section", F.last("heading", ignorenulls=True).over(w))
 
 
+def base_verb(word: Column) -> Column:
+    """The action verb of which a lower-case word is a form, or null: its stems are tried, the longest first."""
+    regular = F.array(word, *(F.regexp_replace(word, p, to) for p, to in ((r"(.)\1(?:ed|ing)$", "$1"), (r"(?:ed|ing|es)$", "e"), (r"i(?:ed|es)$", "y"), (r"(?:ed|ing|es|s)$", ""))))
+    irregular = F.create_map(*(F.lit(x) for kv in IRREGULAR.items() for x in kv))[word]
+    stems = F.when(irregular.isNotNull(), F.array(irregular)).otherwise(regular)
+    return F.get(F.filter(stems, lambda w: w.isin(*VERBS)), 0)
+
+
 def bullets(rows: DataFrame, key: str) -> DataFrame:
     """key, line_no, bullet, with what each says of itself."""
     b = rows.where(F.col("line").rlike(BULLET)).select(key, "line_no", F.regexp_replace("line", BULLET, "").alias("bullet"))
@@ -82,9 +107,9 @@ def bullets(rows: DataFrame, key: str) -> DataFrame:
         key,
         "line_no",
         "bullet",
-        first.alias("verb"),
-        first.isin(VERBS).alias("strong"),
-        low.rlike(rf"^(?:{WEAK})\b").alias("weak"),
+        F.coalesce(base_verb(first), first).alias("verb"),
+        base_verb(first).isNotNull().alias("strong"),
+        low.rlike(rf"^(?:{'|'.join(WEAK)})\b").alias("weak"),
         F.col("bullet").rlike(METRIC).alias("measured"),
         F.size(F.split(F.trim("bullet"), r"\s+")).alias("n_words"),
         F.col("bullet").rlike(r"[.;]$").alias("stopped"),
@@ -109,7 +134,7 @@ def ratios(df: DataFrame, key: str, text: str, now: int) -> DataFrame:
     shape = rows.groupBy(key).agg(F.collect_set("heading").alias("found"), F.count_if((F.col("section") == "experience") & (F.size(dates.date_tokens(F.col("line"))) >= 2)).alias("dated"))
     own = df.select(key, text).join(shape, key, "left").join(said, key, "left").join(verbs, key, "left").join(experience(rows, key, now), key, "left")
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    times = lambda pattern: F.regexp_count(low, F.lit(rf"(?<![a-z])(?:{pattern})(?![a-z])"))
+    times = lambda phrases: F.regexp_count(low, F.lit(rf"(?<![a-z])(?:{'|'.join(phrases)})(?![a-z])"))
     count = F.coalesce("b", F.lit(0)).cast("double")
     share = lambda c: F.coalesce(c, F.lit(0)) / F.nullif(count, F.lit(0.0))
     has = lambda p: F.coalesce(F.col(text).rlike(p), F.lit(False)).cast("double")
@@ -129,7 +154,7 @@ def ratios(df: DataFrame, key: str, text: str, now: int) -> DataFrame:
         "weak_openers": F.when(count == 0, 0.5).otherwise(1 - 2.2 * share("weak")),
         "bullet_length": F.when(count == 0, 0.5).otherwise(1 - share("odd") / 0.6),
         "verb_variety": F.when(F.coalesce("n_verbs", F.lit(0)) >= 5, 1 - F.col("repeated") / 4.0),
-        "first_person": 1 - times("i|me|my|mine|myself") / F.greatest(F.lit(4.0), count / 3),
+        "first_person": 1 - times(FIRST_PERSON) / F.greatest(F.lit(4.0), count / 3),
         "cliches": 1 - times(CLICHES) / 5.0,
         "hedge_words": 1 - times(HEDGES) / F.greatest(F.lit(6.0), count) / 0.5,
         "caps_abuse": F.when(caps <= 1, 1.0).otherwise(1 - caps / 8.0),
