@@ -79,3 +79,29 @@ def test_odd_rows(odd, nothing, clashing):
     both = L.dedup_lines(clashing)
     assert both.where("dkey = 'own dkey' and token = 'own token'").count() == len(rows)
     assert sorted(str((r.doc_id, r.removed, r.deduped)) for r in both.collect()) == sorted(str((r.doc_id, r.removed, r.deduped)) for r in rows)
+
+
+def test_many_lines_of_one_document_go(spark):
+    lines = [f"line {i % 700} of many with a number {i % 700} and other words {i % 700}" if i % 3 else "" for i in range(4200)]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.dedup_lines(docs).collect()}
+    gone = set(plain([(1, text)])[(1, text)])
+    assert got[1].removed == sorted(gone) and len(gone) > 1000
+    assert got[1].deduped == "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    assert (got[2].deduped, got[3].deduped) == ("", None)
+
+
+def test_sets_of_one_class_number_stay_apart(spark, monkeypatch):
+    """Two lines whose first hashes name one class are told apart by the second."""
+    import numpy as np
+
+    from textloom.llm.common import packed
+    from textloom.llm.shingles import stretches
+
+    docs = packed(spark.createDataFrame([(1, "a b c d e f\nf e d c b a\nA b c  d e f")], "doc_id long, text string"), "doc_id", "text").toArrow()
+    (_, _, data, off), *_ = stretches(docs.column("text"))
+    h, line, every, other = L._tokens(data, off, twice=True)
+    assert len(every) == 3 and len(h) == len(other) == 6
+    assert np.array_equal(np.sort(other[line == 0]), np.sort(other[line == 2]))
+    assert not set(other[line == 0]) & set(other[line == 1]) and not set(h) & set(other)

@@ -6,7 +6,8 @@ union with it. "Earlier" does not ask whether that line was itself removed, so t
 on no order of work.
 
 1. A sketch of fixed size counts all tokens of the corpus; tokens are ordered by it, rare first.
-2. Lines of equal token sets collapse to their first occurrence: the rest are later matches.
+2. Lines of equal token sets collapse to their first occurrence: the rest are later matches. Sets
+   are told apart by 128 bits of two hashes.
 3. First occurrences are joined on their prefix tokens (two lines that are similar enough share
    one of them), under length and positional bounds.
 4. Each line is first compared with the earliest line of each of its tokens' lists; only lines
@@ -16,7 +17,8 @@ on no order of work.
 
 Lines without words stay. Null texts stay null. Rows of equal doc_id and text count as one
 document and lose the same lines; null ids come first. A document whose lines all go keeps its row
-and has an empty text. Extra columns are kept.
+and has an empty text. Extra columns are kept. Texts may be of any length: their lines are read in
+stretches of bounded size, one longer text alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from .shingles import exact_shingles, shingles, stretches, words
 BUCKETS = 1 << 22  # of the sketch
 CHUNK = 1 << 16  # buckets in a chunk
 SHIFT = np.uint64(42)  # from a token to its bucket
+SECOND = np.uint64(0x5851F42D4C957F2D)  # sets the second hash of words apart from the first
 LINE_STRETCH = 1 << 21  # bytes of texts whose lines are held at a time
 
 
@@ -45,19 +48,21 @@ class LineDedupOptions:
     broadcast_lines: int = 1_000_000  # line numbers that are broadcast at most; more are joined by a shuffle
 
 
-def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, number of its line among those with words; text << 32 | line of each such line)."""
+def _tokens(data: np.ndarray, off: np.ndarray, twice: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(token, number of its line among those with words; text << 32 | line of each such line; if asked
+    for, each token's second hash)."""
     w, text, line = words(data, off)
     place = text << 32 | line
     new = np.r_[True, place[1:] != place[:-1]] if len(place) else np.zeros(0, bool)
-    return *shingles(w, np.cumsum(new) - 1), place[new]
+    group = np.cumsum(new) - 1
+    return *shingles(w, group), place[new], shingles(mix64(w ^ SECOND), group)[0] if twice else None
 
 
 def _sketch(batches):
     counts = np.zeros(BUCKETS, np.int32)
     for b in batches:
         for _, _, data, off in stretches(b.column("text")):
-            h, _, _ = _tokens(data, off)
+            h, _, _, _ = _tokens(data, off)
             at, n = np.unique((h >> SHIFT).astype(np.int32), return_counts=True)
             counts[at] += n.astype(np.int32)
     yield from _chunks(counts.astype(np.int64))
@@ -99,7 +104,7 @@ def _lines(shared, similarity: int):
     def run(batches):
         for b in batches:
             for a, z, data, off in stretches(b.column("text"), LINE_STRETCH):
-                h, line, every = _tokens(data, off)
+                h, line, every, other = _tokens(data, off, twice=True)
                 if not len(h):
                     continue
                 rank = shared.value[(h >> SHIFT).astype(np.int64)]
@@ -107,9 +112,9 @@ def _lines(shared, similarity: int):
                 order = np.argsort(key)
                 if len(every) >= 1 << 24 or ((key[order][1:] == key[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
                     order = np.lexsort((h, rank, line))  # the short key doesn't tell some apart
-                h, line = h[order], line[order]
+                h, line, other = h[order], line[order], other[order]
                 new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
-                h, line = h[new], line[new]
+                h, line, other = h[new], line[new], other[new]
                 first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                 n = np.diff(np.r_[first, len(h)])
                 sums = np.add.reduceat(h, first), np.add.reduceat(h * (h | np.uint64(1)), first)
@@ -117,9 +122,10 @@ def _lines(shared, similarity: int):
                 at = np.repeat(first - (np.cumsum(prefix) - prefix), prefix) + np.arange(prefix.sum())
                 cut = pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32))
                 tokens = pa.ListArray.from_arrays(cut, pa.array(h[at].view(np.int64)))
-                cls = mix64(sums[0] ^ mix64(sums[1] + n.astype(np.uint64)))  # names the set
+                cls = mix64(sums[0] ^ mix64(sums[1] + n.astype(np.uint64)))
+                check = mix64(np.add.reduceat(mix64(other), first))  # with cls it names the set by 128 bits
                 who = pa.array((every >> 32) + a)
-                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), b.column("doc_id").take(who), b.column("dkey").take(who), pa.array((every & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int32)), tokens], names=["cls", "doc_id", "dkey", "line", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), pa.array(check.view(np.int64)), b.column("doc_id").take(who), b.column("dkey").take(who), pa.array((every & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int32)), tokens], names=["cls", "check", "doc_id", "dkey", "line", "n", "tokens"])
 
     return run
 
@@ -140,10 +146,10 @@ def _confirm(similarity: int):
     return run
 
 
-def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """at, text of the lines that wanted (at) names: by document, then by line within it."""
+def _line_texts(wanted: DataFrame, docs: DataFrame, bound: int) -> DataFrame:
+    """at, text of the lines that wanted (at) names: by document, then by line within it; bound: lines broadcast at most."""
     by_doc = materialize(wanted.groupBy(F.col("at.dkey").alias("dkey")).agg(F.collect_set("at").alias("each")), "line-wanted")
-    if small_enough(by_doc, 200_000):
+    if (by_doc.agg(F.sum(F.size("each") + 3)).first()[0] or 0) <= bound:
         by_doc = F.broadcast(by_doc)
     one = docs.select("dkey", "text").join(by_doc, "dkey").withColumn("lines", F.split("text", "\n", -1))
     lines = one.select(F.explode(F.transform("each", lambda c: F.struct(c.alias("at"), F.element_at("lines", c["line"] + 1).alias("text")))).alias("x"))
@@ -168,9 +174,9 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     shared = spark.sparkContext.broadcast(token_sketch(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "dkey", "text").where(F.col("text").isNotNull())
-    lines = materialize(slim.mapInArrow(released(_lines(shared, t)), f"cls long, doc_id {kind}, dkey long, line int, n int, tokens array<long>"), "lines")
+    lines = materialize(slim.mapInArrow(released(_lines(shared, t)), f"cls long, check long, doc_id {kind}, dkey long, line int, n int, tokens array<long>"), "lines")
     place = F.struct("doc_id", "dkey", "line")  # orders the lines
-    classes = lines.groupBy("cls").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
+    classes = lines.groupBy("cls", "check").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
     classes = materialize(classes, "line-classes")
 
     # tokens of more than one class, then their lists
@@ -192,7 +198,7 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     star = posts.where((F.col("cls") != F.col("lead.cls")) & within(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos")))
     star = materialize(star.select(F.col("lead.at").alias("a"), F.col("at").alias("b")).distinct(), "line-star")
     ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
-    texts = _line_texts(ends_of(star), docs)
+    texts = _line_texts(ends_of(star), docs, options.broadcast_lines // 5)
     matched = materialize(_similar(star, texts, t), "line-matched")
     left = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     rest = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(matched, "b", "left_anti")
@@ -201,15 +207,25 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     if pairs.limit(1).count():
         more = ends_of(pairs).join(texts.select("at"), "at", "left_anti")
         if more.limit(1).count():
-            texts = texts.union(_line_texts(more, docs))
+            texts = texts.union(_line_texts(more, docs, options.broadcast_lines // 5))
         matched = matched.union(_similar(pairs, texts, t))
 
     hit = classes.join(matched.withColumnRenamed("b", "at").withColumn("hit", F.lit(True)), "at", "left")
-    status = hit.where((F.col("copies") > 1) | F.col("hit")).select("cls", F.col("at").alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    gone = lines.select("cls", place.alias("at"), "dkey", "line").join(status, "cls").where(F.col("hit") | (F.col("at") != F.col("first")))
+    status = hit.where((F.col("copies") > 1) | F.col("hit")).select("cls", "check", F.col("at").alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    gone = lines.select("cls", "check", place.alias("at"), "dkey", "line").join(status, ["cls", "check"]).where(F.col("hit") | (F.col("at") != F.col("first")))
     return gone.groupBy("dkey").agg(F.collect_set("line").alias("removed"))
 
 
+def _without(lines: Column, removed: Column) -> Column:
+    """The other lines as a text: the stretches before, between and after the removed ones, so that the work is in proportion to the lines."""
+
+    def stretch(k: Column) -> Column:
+        start = F.coalesce(F.get(removed, k - 1) + 2, F.lit(1))
+        return F.slice(lines, start, F.coalesce(F.get(removed, k), F.size(lines)) - start + 1)
+
+    return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(removed)), stretch)), "\n")
+
+
 def dedup_lines(docs: DataFrame, options: LineDedupOptions = LineDedupOptions()) -> DataFrame:
     """docs with n_lines, removed (sorted line numbers) and deduped (the text without them); these replace columns of their names."""
     keyed = _keyed(docs)
@@ -217,9 +233,9 @@ def dedup_lines(docs: DataFrame, options: LineDedupOptions = LineDedupOptions())
     total = removed.agg(F.sum(F.size("removed") + 3)).first()[0] or 0
     removed = F.broadcast(removed) if total <= options.broadcast_lines else removed
     out = keyed.join(removed, "dkey", "left")
-    lines = F.split("text", "\n", -1)
-    out = out.withColumn("removed", F.coalesce(F.sort_array("removed"), F.array().cast("array<int>"))).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
+    out = out.withColumn("removed", F.coalesce(F.sort_array("removed"), F.array().cast("array<int>")))
+    out = out.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)))
+    kept = F.get(F.transform(F.array(F.split("text", "\n", -1)), lambda lines: _without(lines, F.col("removed"))), 0)
     return unpacked(out.withColumn("deduped", F.when(F.size("removed") == 0, F.col("text")).otherwise(kept)), docs, ("doc_id", "text"), "n_lines", "removed", "deduped")
 
 
