@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import tokens, web
-from textloom.operators import delimited, items, jsons, lines, matches
+from textloom.operators import delimited, frequency, items, jsons, lines, matches, skills
 from textloom.streaming import windows
 
 
@@ -142,3 +142,33 @@ def test_next_steps_of_an_item_without_a_cluster_mate(spark):
     a = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "id string, cluster string, score int")
     e = spark.createDataFrame([("a", "b", 0), ("a", "gone", 1)], "id string, other string, at int")
     assert [tuple(r) for r in items.next_steps(a, e, "id", "cluster", "score").collect()] == [("a", "b", 1)]
+
+
+def test_skills_of_a_cv(spark):
+    cv = """Jo Doe
+Skills
+Languages: Python, Go (basic); Familiar with Docker
+- SQL | a phrase of far more words than five
+x, Machine learning
+Experience
+Ran node.js, machine learning. Used kubernetes"""
+    df = spark.createDataFrame([(1, cv), (2, None), (3, "")], "k long, t string")
+    named = spark.createDataFrame([("python",), ("node.js",), ("node",), ("machine learning",), ("kubernetes",), ("java",), ("used",)], "skill string")
+    got = skills.cv_skills(df, "k", "t", named).orderBy("k", "place").collect()
+    assert [(r.k, r.skill) for r in got] == [(1, s) for s in ("Python", "Go", "Docker", "SQL", "Machine learning", "kubernetes", "node", "node.js", "used")]
+    none = skills.known_skills(df, "k", "t", named.limit(0))
+    assert none.count() == 0
+
+
+def test_field_skills(spark):
+    df = spark.createDataFrame([(1, "it", "APIs, python & ci/cd"), (2, "law", "python"), (3, None, "python"), (4, "it", None)], "k long, f string, t string")
+    named = spark.createDataFrame([("it", "api"), ("it", "ci/cd"), ("it", "go")], "f string, skill string")
+    got = {r.k: (r.n_wanted, r.present, r.missing) for r in skills.field_skills(df, "k", "t", "f", named).collect()}
+    assert got == {1: (3, ["api", "ci/cd"], ["go"]), 2: (0, [], []), 3: (0, [], []), 4: (3, [], ["api", "ci/cd", "go"])}
+
+
+def test_known_terms_claim_their_words(spark):
+    ad = "Project management, python and management of a project with python; delivery delivery. More words here"
+    df = spark.createDataFrame([(1, ad)], "k long, t string")
+    got = frequency.keywords(df, "k", "t", known=("project management", "python")).orderBy("place").collect()
+    assert [(r.term, r.n) for r in got] == [("python", 8), ("project management", 4)]

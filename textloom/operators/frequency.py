@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +67,22 @@ def character_classes(c: Column) -> dict[str, Column]:
     return out | {"other": F.length(c) - known}
 
 
-def keywords(df: DataFrame, key: str, text: str, limit: int = 28) -> DataFrame:
-    """key, term, n, place: each text's most frequent terms, twice at least."""
-    terms = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z0-9+#.]{1,24}"), 0)
-    rows = df.where(F.length(T.trim(F.col(text))) >= 40).select(key, F.explode(terms).alias("term")).where(~F.col("term").isin(T.STOP_WORDS) & (F.length("term") >= 3))
-    counts = rows.groupBy(key, "term").agg(F.count("*").alias("n")).where("n >= 2")
-    return counts.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "term"))).where(F.col("place") <= limit)
+def keywords(df: DataFrame, key: str, text: str, limit: int = 28, known: Sequence[str] = ()) -> DataFrame:
+    """key, term, n, place: each text's most frequent terms, twice at least; of equal ones the first to appear.
+
+    Known terms (a short list) weigh four. Those of several words count once if they stand anywhere in
+    the text, come first among equal ones, and their words no longer count alone.
+    """
+    low = F.lower(text)
+    phrases = [k for k in known if " " in k and len(k) <= 32]
+    kind = "array<struct<term:string,n:int,at:int>>"
+    said = F.array(*(F.struct(F.lit(k).alias("term"), F.lit(4).alias("n"), F.lit(i - len(phrases)).alias("at")) for i, k in enumerate(phrases))).cast(kind)
+    rows = df.where(F.length(T.trim(F.col(text))) >= 40).select(key, low.alias("_low"))
+    rows = rows.select(key, F.regexp_extract_all("_low", F.lit(r"[a-z][a-z0-9+#.]{1,24}"), 0).alias("_terms"), F.filter(said, lambda s: F.contains("_low", s["term"])).alias("_said"))
+    rows = rows.withColumn("_claimed", F.flatten(F.transform("_said", lambda s: F.split(s["term"], " "))))
+    weight = lambda t: F.when(t.isin(*known), 4).otherwise(1) if known else F.lit(1)
+    single = F.transform("_terms", lambda t, i: F.struct(t.alias("term"), weight(t).alias("n"), i.alias("at")))
+    single = F.filter(single, lambda s: ~s["term"].isin(T.STOP_WORDS) & (F.length(s["term"]) >= 3) & ~F.array_contains("_claimed", s["term"]))
+    terms = rows.select(key, F.explode(F.concat("_said", single.cast(kind))).alias("t"))
+    counts = terms.groupBy(key, "t.term").agg(F.sum("t.n").alias("n"), F.min("t.at").alias("at")).where("n >= 2")
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "at"))).where(F.col("place") <= limit).drop("at")

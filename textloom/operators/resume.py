@@ -98,6 +98,18 @@ def base_verb(word: Column) -> Column:
     return F.get(F.filter(stems, lambda w: w.isin(*VERBS)), 0)
 
 
+def tense(word: Column) -> Column:
+    """past, present, gerund or unknown, by the word's letters alone."""
+    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    return (
+        F.when(w.isin(*IRREGULAR), "past")
+        .when(w.endswith("ing"), "gerund")
+        .when(w.endswith("ed"), "past")
+        .when(w.isin(*VERBS) | (w.endswith("s") & F.regexp_replace(w, "s$", "").isin(*VERBS)), "present")
+        .otherwise("unknown")
+    )
+
+
 def bullets(rows: DataFrame, key: str) -> DataFrame:
     """key, line_no, bullet, with what each says of itself."""
     b = rows.where(F.col("line").rlike(BULLET)).select(key, "line_no", F.regexp_replace("line", BULLET, "").alias("bullet"))

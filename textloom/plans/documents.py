@@ -269,13 +269,34 @@ def regex_matches(spark, sf_dir):
     return docs(spark, sf_dir).where("text is not null").select("doc_id", F.size(found).alias("n_matches"), total.cast("long").alias("matched_chars"), F.coalesce(F.array_max(size), F.lit(0)).cast("long").alias("longest"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9+#.]{{1,24}}')) AS term FROM documents WHERE length(regexp_replace(text, '^{SP}+|{SP}+$', '', 'g')) >= 40),
-c AS (SELECT doc_id, term, count(*) AS n FROM t WHERE term NOT IN ({STOP}) AND length(term) >= 3 GROUP BY ALL HAVING count(*) >= 2)
-SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS INTEGER) AS place FROM c QUALIFY place <= 28""")
+_TERMS = f"""ad AS (SELECT doc_id, lower(text) AS ad, regexp_extract_all(lower(text), '[a-z][a-z0-9+#.]{{1,24}}') AS x FROM documents WHERE length(regexp_replace(text, '^{SP}+|{SP}+$', '', 'g')) >= 40),
+e AS (SELECT doc_id, unnest(x) AS term, generate_subscripts(x, 1) AS spot FROM ad),
+t AS (SELECT * FROM e WHERE term NOT IN ({STOP}) AND length(term) >= 3)"""
+_BEST = "SELECT doc_id, term, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, spot) AS INTEGER) AS place FROM c QUALIFY place <= 28"
+
+
+@query(f"""WITH {_TERMS},
+c AS (SELECT doc_id, term, count(*) AS n, min(spot) AS spot FROM t GROUP BY ALL HAVING count(*) >= 2)
+{_BEST}""")
 def keywords(spark, sf_dir):
     return frequency.keywords(docs(spark, sf_dir), "doc_id", "text")
 
 
+KNOWN = ("und die", "de la", "st of", "nicht", "license", "une", "los")
+
+
+@query(f"""WITH {_TERMS},
+k AS (SELECT unnest({list(KNOWN)}) AS term, generate_subscripts({list(KNOWN)}, 1) AS i),
+m AS (SELECT doc_id, term, i - 100 AS spot FROM ad, k WHERE contains(term, ' ') AND contains(ad, term)),
+claimed AS (SELECT doc_id, unnest(string_split(term, ' ')) AS w FROM m),
+u AS (SELECT doc_id, term, 4 AS n, spot FROM m UNION ALL
+  SELECT doc_id, term, CASE WHEN term IN (SELECT term FROM k) THEN 4 ELSE 1 END, spot FROM t WHERE NOT EXISTS (SELECT 1 FROM claimed c WHERE c.doc_id = t.doc_id AND c.w = t.term)),
+c AS (SELECT doc_id, term, sum(n) AS n, min(spot) AS spot FROM u GROUP BY ALL HAVING sum(n) >= 2)
+{_BEST}""")
+def skill_keywords(spark, sf_dir):
+    return frequency.keywords(docs(spark, sf_dir), "doc_id", "text", known=KNOWN)
+
+
 @query("""WITH w AS (SELECT DISTINCT lang, word FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents WHERE lang IS NOT NULL) WHERE length(word) > 3),
 c AS (SELECT a.lang, b.lang AS other, count(*) AS overlap FROM w a JOIN w b ON a.word = b.word AND a.lang <> b.lang GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY overlap DESC, other) AS INTEGER) AS place FROM c QUALIFY place <= 4""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoding, numeric
 from ..functions import text as T
-from ..operators import delimited, items, jsons, matches
+from ..operators import delimited, items, jsons, matches, resume, skills
 from .registry import query, table
 
 # ---- matches and rules
@@ -308,3 +308,65 @@ SELECT l_orderkey, CASE WHEN v = 0 THEN 10.0 ELSE v END AS mode FROM (SELECT l_o
 def modal_quantity(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("at", F.col("l_partkey") * 100 + F.col("l_linenumber"))
     return items.weighted_mode(rows, "l_orderkey", F.col("l_quantity") / 3, F.col("l_linenumber"), "at")
+
+
+# ---- skills, levels and tenses
+
+_SKILLS = """w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT unnest([w[1], w[2] || ' ' || w[3], w[4] || ' ' || w[5] || ' ' || w[6]]) AS skill FROM w WHERE len(w) >= 6)"""
+
+
+def _skills(spark, sf_dir):
+    """Words and phrases that stand in benchmark items, as a table of skills."""
+    w = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w")).where("size(w) >= 6")
+    runs = F.array(F.get("w", F.lit(0)), *(F.array_join(F.slice("w", a, n), " ") for a, n in ((2, 2), (4, 3))))
+    return w.select(F.explode(runs).alias("skill")).distinct()
+
+
+@query(f"""WITH {_SKILLS}, d AS (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM documents)
+SELECT DISTINCT doc_id, skill FROM d, s WHERE contains(t, ' ' || skill || ' ') OR contains(t, ' ' || skill || ',') OR contains(t, ' ' || skill || '.')""")
+def known_skills(spark, sf_dir):
+    return skills.known_skills(table(spark, sf_dir, "documents"), "doc_id", "text", _skills(spark, sf_dir))
+
+
+@query(f"""WITH {_SKILLS}, f AS (SELECT skill, CASE WHEN length(skill) > 8 THEN 'en' ELSE 'fr' END AS lang FROM s),
+n AS (SELECT lang, count(*) AS n FROM f GROUP BY lang),
+d AS (SELECT doc_id, lang, ' ' || regexp_replace(regexp_replace(lower(text), '[^a-z0-9+#./ -]', ' ', 'g'), '\\s+', ' ', 'g') || ' ' AS t FROM documents),
+h AS (SELECT doc_id, count(*) AS hits, string_agg(skill, ',' ORDER BY skill) AS present FROM d JOIN f ON d.lang = f.lang AND (contains(t, ' ' || skill || ' ') OR contains(t, ' ' || skill || 's ')) GROUP BY doc_id)
+SELECT d.doc_id, d.lang, CAST(coalesce(n.n, 0) AS INTEGER) AS n_wanted, coalesce(present, '') AS present, CAST(coalesce(n.n, 0) - coalesce(hits, 0) AS INTEGER) AS n_missing
+FROM d LEFT JOIN n ON d.lang = n.lang LEFT JOIN h ON d.doc_id = h.doc_id""")
+def field_skills(spark, sf_dir):
+    named = _skills(spark, sf_dir).withColumn("lang", F.when(F.length("skill") > 8, "en").otherwise("fr"))
+    out = skills.field_skills(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", named)
+    return out.select("doc_id", "lang", "n_wanted", F.array_join("present", ",").alias("present"), F.size("missing").alias("n_missing"))
+
+
+TITLES = ("Vice President", "Head of Data", "Junior Analyst", "Engineer", "graduate scheme", "Headmaster")
+_TITLE = f"([{', '.join(repr(t) for t in TITLES)}])[1 + turn % {len(TITLES)}]"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, lower({_TITLE}) AS t, length(text) - 40 AS m, role = 'user' AS x FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, '{skills.EXECUTIVE}') THEN 'executive'
+  WHEN regexp_matches(t, '{skills.LEADING}') THEN CASE WHEN m >= 96 THEN 'executive' ELSE 'senior' END
+  WHEN m <= 0 AND NOT x THEN 'student' WHEN regexp_matches(t, '{skills.STARTING}') AND m < 30 THEN 'entry'
+  WHEN m >= 120 THEN 'senior' WHEN m >= 36 THEN 'mid' WHEN m > 0 OR x THEN 'entry' ELSE 'student' END AS level FROM t""")
+def seniority(spark, sf_dir):
+    """Levels of made-up careers: a title by turn, months by the length of the text."""
+    months = F.length("text") - 40
+    title = F.get(F.array(*map(F.lit, TITLES)), (F.col("turn") % len(TITLES)).cast("int"))
+    level = skills.seniority(title, months, dated=months > 0, education=F.lit(True), experience=F.col("role") == "user")
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", level.alias("level"))
+
+
+_VERBS = ", ".join(repr(v) for v in resume.VERBS)
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents UNION ALL SELECT -1, v || e FROM (SELECT unnest([{_VERBS}]) AS v), (SELECT unnest(['', 's', 'ed', 'ing', 'ly']) AS e)),
+t AS (SELECT doc_id, CASE WHEN w IN ({", ".join(repr(v) for v in resume.IRREGULAR)}) THEN 'past' WHEN suffix(w, 'ing') THEN 'gerund' WHEN suffix(w, 'ed') THEN 'past'
+  WHEN w IN ({_VERBS}) OR (suffix(w, 's') AND w[:-2] IN ({_VERBS})) THEN 'present' ELSE 'unknown' END AS tense FROM w)
+SELECT doc_id, tense, count(*) AS n FROM t GROUP BY ALL""")
+def verb_tenses(spark, sf_dir):
+    """Tenses of the words of each document, and under -1 those of the verbs with usual endings."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w"))
+    forms = spark.createDataFrame([(-1, v + e) for v in resume.VERBS for e in ("", "s", "ed", "ing", "ly")], "doc_id long, w string")
+    return words.union(forms).groupBy("doc_id", resume.tense(F.col("w")).alias("tense")).agg(F.count("*").alias("n"))
