@@ -149,7 +149,7 @@ def _confirm(similarity: int):
 def _line_texts(wanted: DataFrame, docs: DataFrame, bound: int) -> DataFrame:
     """at, text of the lines that wanted (at) names: by document, then by line within it; bound: lines broadcast at most."""
     by_doc = materialize(wanted.groupBy(F.col("at.dkey").alias("dkey")).agg(F.collect_set("at").alias("each")), "line-wanted")
-    if (by_doc.agg(F.sum(F.size("each") + 3)).first()[0] or 0) <= bound:
+    if small_enough(by_doc, 200_000) and (by_doc.agg(F.sum(F.size("each"))).first()[0] or 0) <= bound:
         by_doc = F.broadcast(by_doc)
     one = docs.select("dkey", "text").join(by_doc, "dkey").withColumn("lines", F.split("text", "\n", -1))
     lines = one.select(F.explode(F.transform("each", lambda c: F.struct(c.alias("at"), F.element_at("lines", c["line"] + 1).alias("text")))).alias("x"))
@@ -198,7 +198,7 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     star = posts.where((F.col("cls") != F.col("lead.cls")) & within(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos")))
     star = materialize(star.select(F.col("lead.at").alias("a"), F.col("at").alias("b")).distinct(), "line-star")
     ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
-    texts = _line_texts(ends_of(star), docs, options.broadcast_lines // 5)
+    texts = _line_texts(ends_of(star), docs, options.broadcast_lines)
     matched = materialize(_similar(star, texts, t), "line-matched")
     left = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     rest = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(matched, "b", "left_anti")
@@ -207,7 +207,7 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     if pairs.limit(1).count():
         more = ends_of(pairs).join(texts.select("at"), "at", "left_anti")
         if more.limit(1).count():
-            texts = texts.union(_line_texts(more, docs, options.broadcast_lines // 5))
+            texts = texts.union(_line_texts(more, docs, options.broadcast_lines))
         matched = matched.union(_similar(pairs, texts, t))
 
     hit = classes.join(matched.withColumnRenamed("b", "at").withColumn("hit", F.lit(True)), "at", "left")
