@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann_graph import op10_ann_graph
 from .decontamination import OP9_SQL, op9_decontamination
+from .filter_interactions import OP11_SQL, op11_filter_interactions
 from .language_id import op1_language_id
 from .license_scan import op7_license_scan
 from .line_dedup import OP6_SQL, op6_line_dedup
@@ -26,8 +27,9 @@ QUERIES = {
         op8_lm_scoring,
         op9_decontamination,
         op10_ann_graph,
+        op11_filter_interactions,
     )
 }
 
 #: The others have no twin: SQL can't express their models, samples and approximations.
-ORACLE_SQL: dict[str, str] = {"op4_minhash_forest": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_forest": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontamination": OP9_SQL, "op11_filter_interactions": OP11_SQL}
