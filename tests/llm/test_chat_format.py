@@ -3,7 +3,7 @@ import math
 
 import pytest
 from conftest_twin import same, twin
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ def part(kind, text=None, ref=None, **more):
     return {"kind": kind, "text": text, "ref": ref, "width": None, "height": None, "seconds": None, "pages": None, **more}
 
 
+@settings(deadline=None)
 @given(st.lists(st.tuples(st.one_of(st.text(max_size=9), st.sampled_from(AWKWARD)), st.lists(st.one_of(st.text(), st.sampled_from(AWKWARD), st.lists(st.sampled_from(AWKWARD)).map("".join)), max_size=4)), max_size=4))
 def test_any_turns_come_back(turns):
     whole, number = "", 0
@@ -32,6 +33,7 @@ def test_any_turns_come_back(turns):
     assert got == [(role, [t for t in texts if t], ["image"] * len(texts)) for role, texts in turns]
 
 
+@settings(deadline=None)
 @given(st.text(alphabet="ab\\", max_size=12), st.text(alphabet="ab\\", max_size=12))
 def test_controls_that_overlap_themselves(role, text):
     t = C.Template(open="aa", named="b\n", close="\naba")

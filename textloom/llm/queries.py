@@ -6,6 +6,7 @@ from .ann_graph import op10_ann_graph
 from .chat_format import OP13_SQL, op13_chat_format
 from .decontamination import OP9_SQL, op9_decontamination
 from .filter_interactions import OP11_SQL, op11_filter_interactions
+from .importance_resampling import OP12_SQL, op12_importance_resampling
 from .language_id import op1_language_id
 from .license_scan import op7_license_scan
 from .line_dedup import OP6_SQL, op6_line_dedup
@@ -29,9 +30,10 @@ QUERIES = {
         op9_decontamination,
         op10_ann_graph,
         op11_filter_interactions,
+        op12_importance_resampling,
         op13_chat_format,
     )
 }
 
 #: The others have no twin: SQL can't express their models, samples and approximations.
-ORACLE_SQL: dict[str, str] = {"op4_minhash_forest": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontamination": OP9_SQL, "op11_filter_interactions": OP11_SQL, "op13_chat_format": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_forest": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontamination": OP9_SQL, "op11_filter_interactions": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_chat_format": OP13_SQL}
