@@ -122,3 +122,12 @@ def test_words_are_those_of_the_contract(spark):
     data, off = buffers(pa.array(texts))
     assert [g for g in R.features(data, off, 1)[0].to_pylist()] == sum(got, [])
     assert np.array_equal(R.features(data, off, 1)[2], [len(w) for w in got])
+
+
+@given(st.lists(st.text(alphabet="ab é漢", max_size=12), min_size=1, max_size=30))
+@settings(deadline=None)
+def test_strings_come_back(names):
+    names = sorted(set(names), key=lambda x: x.encode())
+    array = pa.array(names, pa.large_string())
+    data, off = buffers(array)
+    assert R.unpack_strings(R.pack_strings(data, off, R._loads(array)[1]), len(names)).to_pylist() == names

@@ -37,7 +37,7 @@ from .common import bounded_batches, buffers, drop_tables, materialize, mix64, r
 from .shingles import stretches
 
 BLOCK = 1 << 22  # bytes of texts that make a block
-PART_BYTES = 1 << 25  # of texts for each part of the dictionary
+PART_BYTES = 1 << 24  # of texts for each part of the dictionary
 MIN_PARTS = 16
 
 
@@ -117,6 +117,45 @@ def _unpack(blob: bytes, *kinds: tuple[type, int]) -> Iterator[np.ndarray]:
         at += n * np.dtype(kind).itemsize
 
 
+def pack_strings(data: np.ndarray, off: np.ndarray, first: np.ndarray) -> bytes:
+    """Strings that are sorted by their first 8 bytes: how many of these each shares with the one before, and the rest.
+
+    No string holds a line end, so line ends part them.
+    """
+    n = np.diff(off)
+    apart = first[1:] ^ first[:-1]
+    same = np.zeros(len(n), np.int64)
+    for k in range(1, 9):
+        same[1:] += apart < np.uint64(1 << (64 - 8 * k))
+    same[1:] = np.minimum(same[1:], np.minimum(n[1:], n[:-1]))
+    rest = n - same
+    ends = np.cumsum(rest + 1) - 1
+    out = np.full(int((rest + 1).sum()), 10, np.uint8)
+    keep = np.arange(len(data)) - np.repeat(off[:-1], n) >= np.repeat(same, n)
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = data[keep]
+    return _pack(same.astype(np.uint8), out)
+
+
+def unpack_strings(blob: bytes, count: int) -> pa.LargeStringArray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    same, out = raw[:count].astype(np.int64), raw[count:]
+    ends = np.flatnonzero(out == 10)
+    rest = np.diff(np.r_[-1, ends]) - 1
+    n = same + rest
+    off = np.r_[0, np.cumsum(n)]
+    data = np.zeros(int(off[-1]), np.uint8)
+    place = np.arange(len(data)) - np.repeat(off[:-1], n)
+    data[place >= np.repeat(same, n)] = out[out != 10]
+    row = np.arange(count)
+    for k in range(int(same.max(initial=0))):  # the last string before that has its own byte there
+        origin = np.maximum.accumulate(np.where((same <= k) & (n > k), row, 0))
+        want = same > k
+        data[off[:-1][want] + k] = data[off[:-1][origin[want]] + k]
+    return strings(n, data)
+
+
 def _counted(text: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code, text, count) of distinct pairs, by code."""
     pair, n = np.unique(code.astype(np.int64) * size + text, return_counts=True)
@@ -155,11 +194,11 @@ def _blocks(parts: int, ngrams: int, shared):
 
 
 def _schema(kind: pa.DataType) -> pa.Schema:
-    return pa.schema([("part", pa.int64()), ("target", pa.bool_()), ("ids", pa.list_(kind)), ("hashes", pa.list_(pa.int64())), ("n", pa.int64()), ("size", pa.int64()), ("bytes", pa.int64()), ("names", pa.binary()), ("lists", pa.binary()), ("numbers", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+    return pa.schema([("part", pa.int64()), ("target", pa.bool_()), ("ids", pa.list_(kind)), ("hashes", pa.list_(pa.int64())), ("n", pa.int64()), ("size", pa.int64()), ("names", pa.binary()), ("lists", pa.binary()), ("numbers", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
 
 def _spark(kind: str) -> str:
-    return f"part long, target boolean, ids array<{kind}>, hashes array<long>, n long, size long, bytes long, names binary, lists binary, numbers array<int>, counts array<long>"
+    return f"part long, target boolean, ids array<{kind}>, hashes array<long>, n long, size long, names binary, lists binary, numbers array<int>, counts array<long>"
 
 
 def _head_rows(number: np.ndarray, total: np.ndarray, target: bool) -> list[dict]:
@@ -171,7 +210,8 @@ def _part_rows(names, code, owner, n, tail: np.ndarray, parts: int, target: bool
     length, first, last = _loads(names)
     part = _part(length, first, last, parts)
     wanted = np.flatnonzero(tail)
-    wanted = wanted[np.lexsort((first[wanted], part[wanted]))]  # like strings beside each other
+    wanted = wanted[np.argsort(first[wanted])]  # like strings beside each other
+    wanted = wanted[np.argsort(part[wanted].astype(np.uint16 if parts <= 65536 else np.int64), kind="stable")]
     place = np.full(len(names), -1, np.int64)
     place[wanted] = np.arange(len(wanted))
     at = place[code]
@@ -185,12 +225,13 @@ def _part_rows(names, code, owner, n, tail: np.ndarray, parts: int, target: bool
     taken, rows = names.take(pa.array(wanted)), []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         data, off = buffers(taken.slice(a, z - a))
+        begin = first[wanted[a:z]]
         x = slice(ends[a], ends[z])
         used, mine = np.unique(owner[x], return_inverse=True)
-        row = {"part": int(part[wanted[a]]), "target": target, "n": z - a, "size": ends[z] - ends[a], "bytes": len(data)}
+        row = {"part": int(part[wanted[a]]), "target": target, "n": z - a, "size": ends[z] - ends[a]}
         if not target:
             row |= {"ids": docs.column("doc_id").take(pa.array(used)).to_pylist(), "hashes": docs.column("hash").take(pa.array(used)).to_pylist()}
-        row["names"] = _pack(np.diff(off).astype(np.uint32), data)
+        row["names"] = pack_strings(data, off, begin)
         row["lists"] = _pack(lists[a:z].astype(np.uint32), (mine >> 8).astype(np.uint32), (mine & 255).astype(np.uint8), n[x].astype(np.uint32))
         rows.append(row)
     return rows
@@ -204,7 +245,8 @@ def _merged(options: ResamplingOptions, shared):
         kind = None
         for b in batches:
             kind = b.column("ids").type.value_type
-            for row in b.to_pylist():
+            for k in range(len(b)):
+                row = b.slice(k, 1).to_pylist()[0]
                 if held and held[0]["part"] != row["part"]:
                     yield from close(held, kind)
                     held = []
@@ -217,12 +259,6 @@ def _merged(options: ResamplingOptions, shared):
         for r in out:  # a block at a time
             yield pa.RecordBatch.from_pylist([r], schema=_out_schema(kind))
 
-    def summed(bucket, counts):
-        """Both sides' counts by bucket."""
-        by = [np.bincount(bucket, weights=c, minlength=options.buckets).astype(np.int64) for c in counts]
-        has = np.flatnonzero(by[0] + by[1])
-        return {"bucket": has.astype(np.int32), "raw": by[0][has], "target": by[1][has]}
-
     def head_part(rows):
         size = 4096
         counts, base = np.zeros((2, size), np.int64), (-1 - rows[0]["part"]) * size
@@ -230,32 +266,34 @@ def _merged(options: ResamplingOptions, shared):
             np.add.at(counts[int(r["target"])], np.array(r["numbers"]) - base, r["counts"])
         has = np.flatnonzero(counts.sum(0))
         bucket = np.array([zlib.crc32(shared.value[base + k].encode()) % options.buckets for k in has], np.int64)
-        yield summed(bucket, counts[:, has]) | {"numbers": (base + has).astype(np.int32), "number_buckets": bucket.astype(np.int32)}
+        by = [np.bincount(bucket, weights=c[has], minlength=options.buckets).astype(np.int64) for c in counts]
+        some = np.flatnonzero(by[0] + by[1])
+        yield {"bucket": some.astype(np.int32), "raw": by[0][some], "target": by[1][some], "numbers": (base + has).astype(np.int32), "number_buckets": bucket.astype(np.int32)}
 
     def string_part(rows):
-        names, lists = [], []
+        coded = pa.chunked_array([unpack_strings(r.pop("names"), r["n"]) for r in rows]).combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        (data, off), step, bucket = buffers(coded.dictionary), 1 << 16, []
+        del coded
+        for k in range(0, len(off) - 1, step):  # each distinct string is hashed here, and nowhere else
+            ends = off[k : k + step + 1].tolist()
+            raw = data[ends[0] : ends[-1]].tobytes()
+            bucket.append(np.array([zlib.crc32(raw[x - ends[0] : y - ends[0]]) % options.buckets for x, y in zip(ends, ends[1:], strict=False)], np.uint16))
+        bucket, at = np.concatenate(bucket)[codes], 0
+        del codes, data, off
+        total, blocks = np.zeros((2, options.buckets), np.int64), []
         for r in rows:
-            names.append(strings(*_unpack(r["names"], (np.uint32, r["n"]), (np.uint8, r["bytes"]))))
-            lists.append(list(_unpack(r["lists"], (np.uint32, r["n"]), (np.uint32, r["size"]), (np.uint8, r["size"]), (np.uint32, r["size"]))))
-            r["names"] = r["lists"] = None
-        coded = pa.chunked_array(names).combine_chunks().dictionary_encode()
-        data, off = buffers(coded.dictionary)
-        raw, ends = data.tobytes(), off.tolist()
-        bucket = np.array([zlib.crc32(raw[a:z]) % options.buckets for a, z in zip(ends, ends[1:], strict=False)], np.int64)
-        counts, at, codes = np.zeros((2, len(bucket)), np.int64), 0, coded.indices.to_numpy()
-        for r, (per, _, _, n) in zip(rows, lists, strict=True):
-            code = codes[at : at + r["n"]]
-            np.add.at(counts[int(r["target"])], np.repeat(code, per), n)
-            at += r["n"]
-        yield summed(bucket, counts)
-        at = 0
-        for r, (per, high, low, n) in zip(rows, lists, strict=True):
-            of = np.repeat(bucket[codes[at : at + r["n"]]].astype(np.uint16), per)
+            per, high, low, n = _unpack(r.pop("lists"), (np.uint32, r["n"]), (np.uint32, r["size"]), (np.uint8, r["size"]), (np.uint32, r["size"]))
+            of = np.repeat(bucket[at : at + r["n"]], per)
             at += r["n"]
+            total[int(r["target"])] += np.bincount(of, weights=n, minlength=options.buckets).astype(np.int64)
             if not r["target"]:
                 order = np.argsort(of, kind="stable")
                 blob = _pack(np.bincount(of, minlength=options.buckets).astype(np.uint32), high[order], low[order], n[order])
-                yield {"ids": r["ids"], "hashes": r["hashes"], "size": r["size"], "lists": blob}
+                blocks.append({"ids": r.pop("ids"), "hashes": r.pop("hashes"), "size": r["size"], "lists": blob})
+        has = np.flatnonzero(total.sum(0))
+        yield {"bucket": has.astype(np.int32), "raw": total[0][has], "target": total[1][has]}
+        yield from blocks
 
     return run
 
