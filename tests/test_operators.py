@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from textloom.functions import dates, encoding, numeric, tokens, web
 from textloom.functions import text as T
 from textloom.operators import delimited, diff, jsons, lines, relations, resume
+from textloom.operators import resume_checks as checks
 from textloom.sources import pdf
 from textloom.streaming import windows
 
@@ -238,25 +239,101 @@ SQL, Python, Spark
 
 def test_resume(spark):
     rows = spark.createDataFrame([(1, CV), (2, "nothing here"), (3, None)], "k int, t string")
-    now = 2026 * 12 + 5
-    r = {x.k: x for x in resume.ratios(rows, "k", "t", now).collect()}
-    assert (r[1].email, r[1].phone, r[1].profile_link, r[1].core_sections, r[1].roles_dated) == (1, 1, 1, 1, 1)
-    assert r[1].career_gaps == 0.55  # 2021 is missing
-    assert r[1].verb_variety is None and abs(r[1].weak_openers - (1 - 2.2 / 4)) < 1e-9 and r[1].quantified == 1
-    s = {x.k: x for x in resume.scores(rows, "k", "t", now).collect()}
-    assert s[1].score > s[2].score and set(s) == {1, 2, 3} and 0 <= s[3].score <= s[1].score <= 100
-    weights = {}
-    for check, (category, w) in resume.CHECKS.items():
-        v = r[1][check]
-        if v is not None:
-            a, b = weights.get(category, (0, 0))
-            weights[category] = (a + v * w, b + w)
-    total = sum(a / b * resume.CATEGORIES[c] for c, (a, b) in weights.items()) / sum(resume.CATEGORIES[c] for c in weights)
-    assert s[1].score == int(100 * total + 0.5)
+    f = checks.facts(rows, "k", "t", 2026 * 12 + 5)
+    long = checks.ratios(f, "k")
+    r = {(x.k, x.check): x.ratio for x in long.collect()}
+    assert all(r[1, c] == 1 for c in ("email", "phone", "profile-link", "core-sections", "roles-dated", "quantified", "headings-detectable"))
+    assert r[1, "career-gaps"] == 0.55  # 2021 is missing
+    assert (1, "verb-variety") not in r and abs(r[1, "weak-openers"] - (1 - 2.2 / 4)) < 1e-9
+    assert r[2, "headings-detectable"] == 0 and r[3, "core-sections"] == 0.25  # a student need not have worked
+    s = {x.k: x for x in checks.roll_up(long, "k").collect()}
+    assert s[1].score > s[2].score >= s[3].score and set(s) == {1, 2, 3} and s[1].relevance is None
+    got = {x.k: x.markdown for x in checks.report(checks.roll_up(long, "k"), checks.findings(long, "k"), "k").collect()}
+    assert got[1].startswith(f"# Score {s[1].score} ({s[1].grade})\n\n| Category | Score |") and "- **polish** career-gaps (structure): -0.5" in got[1]
     hints = {x.bullet: x.hints for x in resume.coaching(resume.lines(rows, "k", "t"), "k").collect()}
     assert hints["Responsible for reports"] == ["open with what you did", "say how much"]
 
 
+def test_scores_by_hand(spark):
+    """The roll-up, check by check, in plain Python."""
+    import random
+
+    random.seed(5)
+    data = [(k, c, random.choice([0.0, 0.25, 0.4, 1.0])) for k in range(40) for c in checks.CHECKS if random.random() < 0.8 and not (k % 4 == 0 and checks.CHECKS[c][0] == "parse" and c != "text-layer")]
+    data += [(90, "text-layer", 0.2), (91, "text-layer", 1.0), (92, "jd-coverage", 0.5)]
+    got = {r.k: r for r in checks.roll_up(spark.createDataFrame(data, "k int, check string, ratio double"), "k").collect()}
+    for k in {k for k, _, _ in data}:
+        mine = {c: x for i, c, x in data if i == k}
+        part, scopes = {}, {"quality": [0, 0], "relevance": [0, 0]}
+        for cat, (weight, scope) in checks.CATEGORIES.items():
+            of = {c: v for c, v in checks.CHECKS.items() if v[0] == cat}
+            has = [c for c in of if c in mine]
+            part[cat] = int(100 * sum(mine[c] * of[c][1] for c in has) / sum(of[c][1] for c in has) + 0.5) if has else 100
+            for c in has:
+                share = of[c][1] / sum(v[1] for v in of.values()) * weight
+                scopes[of[c][3] or scope][0] += mine[c] * share
+                scopes[of[c][3] or scope][1] += share
+        q = 100 * scopes["quality"][0] / scopes["quality"][1] if scopes["quality"][1] else 0
+        cap = 28 if part["parse"] < 25 else 48 if part["parse"] < 50 else 68 if part["parse"] < 70 else 100
+        assert got[k].score == int(round(min(q, cap), 9) + 0.5) and [got[k][c] for c in part] == list(part.values())
+        want = int(round(100 * scopes["relevance"][0] / scopes["relevance"][1], 9) + 0.5) if scopes["relevance"][1] else None
+        assert got[k].relevance == want
+    assert got[90].score == 20 and got[91].score == 100 and got[92].score == 0 and got[92].relevance == 50
+
+
+def test_checks_of_targets_and_layout(spark):
+    cv = "Ada Lovelace\nData Engineer\nada@example.com\nExperience\nEngineer, 2001 – 2020\n• Manages 12 people and cut cost 3%\n• Built spark jobs\n• Led sql work at cost 4%\nSkills\nSpark, SQL"
+    df = spark.createDataFrame([(1, cv), (2, cv)], "k int, t string")
+    fields = spark.createDataFrame([("data", "repository", "projects", ["sql", "spark", "go", "rust"], ["cost"])], "department string, link string, section string, core_skills array<string>, outcome_words array<string>")
+    targets = spark.createDataFrame([(1, "Data Engineer", "data"), (2, None, "unknown")], "k int, target_role string, department string")
+    adverts = spark.createDataFrame([(1, "sql sql spark spark golang golang engineers engineers and more of it"), (2, "short")], "k int, advert string")
+    layout = spark.createDataFrame([(1, 2.0, 900.0, 1, 9, 1, 1, 2, 100)], "k int, pages double, glyphs double, multi_column_pages int, unmapped_glyphs int, hidden_runs int, contact_in_margin int, fonts_not_embedded int, vector_marks int")
+    f = checks.facts(df, "k", "t", 2026 * 12 + 5, targets=targets, departments=fields, adverts=adverts, layout=layout)
+    r = {(x.k, x.check): round(x.ratio, 4) for x in checks.ratios(f, "k").collect()}
+    one = {c: x for (k, c), x in r.items() if k == 1}
+    assert (one["single-column"], one["glyph-mapping"], one["hidden-text"], one["contact-in-body"], one["fonts-embedded"], one["table-chrome"]) == (0.175, 0.94, 0, 0.2, 0.5, round(1 - 5 / 180, 4))
+    assert (one["headline-matches-role"], one["department-link"], one["department-skills"], one["department-evidence"]) == (1, 0, 1, round(2 / 3, 4))
+    assert "department-section" not in one and one["jd-coverage"] == round((3 / 4 - 0.15) / 0.55, 4) if 3 / 4 < 0.7 else one["jd-coverage"] == 1
+    assert one["tense-consistency"] == round(1 - 1 / 3 / 0.5, 4) and one["leadership-signal"] == 1 and one["skills-listed"] == 0.25
+    two = {c for k, c in r if k == 2}
+    assert not two & {"department-link", "department-skills", "department-evidence", "department-section", "jd-coverage", "headline-matches-role"}
+
+
+def test_roles_and_headings(spark):
+    cvs = [
+        (1, "Experience\nAnalyst at Initech\n03/2012 - 12/2015\n- did one thing here\nDeveloper | Acme, Paris 2001 to 2003\nprose of a few words"),
+        (2, "Career\nno date in this line\nnor in this one here\nSept 2010 – present, Lead"),
+        (3, "Lead, 2001 - 2004\nBuilt all of it"),
+        (4, "Experienced engineer\nSkillset\nExperience:\nx\nExperience\nReferences"),
+        (5, ""),
+        (6, None),
+    ]
+    rows = resume.lines(spark.createDataFrame(cvs, "k int, t string"), "k", "t")
+    heads = {k: [x.heading for x in rows.where("heading is not null").orderBy("k", "line_no").collect() if x.k == k] for k in range(1, 7)}
+    assert heads == {1: ["experience"], 2: ["experience"], 3: [], 4: ["experience"], 5: [], 6: []}
+    out = resume.roles(resume.marked_lines(resume.role_lines(rows, "k", 2026 * 12 + 5), "k"), "k")
+    got = {(r.k, r.role_no): r for r in out.collect()}
+    a = got[1, 0]
+    assert (a.header, a.title, a.organisation, a.dates.months, a.bullets, a.prose_words) == ("Analyst at Initech 03/2012 - 12/2015", "Analyst", "Initech", 46, ["did one thing here"], 0)
+    b = got[1, 1]
+    assert (b.title, b.organisation, b.dates.raw, b.prose_words) == ("Developer", "Acme, Paris", "2001 to 2003", 5)
+    c = got[2, 0], got[2, 1]
+    assert c[0].dates is None and c[0].bullets == ["nor in this one here"] and c[1].dates.current and c[1].title == "Lead"
+    assert got[3, 0].source == "experience" and got[3, 0].bullets == ["Built all of it"]
+    assert set(got) == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (4, 0)}
+
+
+def test_dates(spark):
+    texts = ["Mar-2021 to 2022/05", "3-2021", "1915 - 2090", "2019 to date", "March 2019 – Present", "12021 2021 - 03/2022", "present - 2020", "2019 xx 2020", None, ""]
+    tokens = dates.date_tokens(F.col("t"), 2026 * 12 + 5)
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens.alias("k")).select("k", dates.date_range(F.col("t"), F.col("k")).alias("r")).collect()
+    assert [[(x.at, x.year, x.month) for x in r.k or []] for r in got] == [[(0, 2021, 3), (12, 2022, 5)], [(0, 2021, 3)], [], [(0, 2019, None), (5, 2026, 6)], [(0, 2019, 3), (13, 2026, 6)], [(6, 2021, None), (13, 2022, 3)], [(0, 2026, 6), (10, 2020, None)], [(0, 2019, None), (8, 2020, None)], [], []]
+    assert [r.r and (r.r.raw, r.r.months, r.r.current) for r in got] == [("Mar-2021 to 2022/05", 15, False), ("3-2021", None, False), None, ("2019", None, False), ("March 2019 – Present", 88, True), ("2021 - 03/2022", 15, False), None, ("2019", None, False), None, None]
+    labels = col(spark, [0, 59, 60, 89, 90, 3600], dates.duration_label)
+    assert labels == ["0 sec", "59 sec", "1 min", "1 min", "2 min", "60 min"]
+    assert col(spark, ["2025-11", "2025-12", "2026-05", "bad"], lambda c: dates.stale(c, "2026-06-15")) == [True, False, False, None]
+
+
 def test_base_verbs(spark):
     forms = {"led": "lead", "managed": "manage", "planning": "plan", "simplified": "simplify", "builds": "build", "achieves": "achieve", "coaches": "coach", "running": "run", "assessed": "assess", "found": None, "responsible": None, "cut": "cut", "designing": "design", "writing": "write", "": None}
     got = spark.createDataFrame([(w,) for w in forms], "w string").select("w", resume.base_verb(F.col("w")).alias("v")).collect()

@@ -31,6 +31,20 @@ def search(df: DataFrame, name: str, query: str, rank: str, limit: int = 12) ->
     return df.withColumn("match", search_score(F.col(name), query)).where("match > 0").orderBy(F.desc("match"), F.desc(rank), name).limit(limit)
 
 
+def phrase_present(text: Column, phrase: Column) -> Column:
+    """Whether a text has a phrase: between spaces, with an s more or less, or between word edges.
+
+    All of the text but letters, digits and + # . / - counts as a space; phrases are lower-case.
+    """
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9+#./ -]", " "), r"\s+", " "), F.lit(" "))
+    spaced = lambda p: F.contains(plain, F.concat(F.lit(" "), p, F.lit(" ")))
+    quoted = F.regexp_replace(phrase, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    b = r"(?:(?<=[a-z0-9_])(?![a-z0-9_])|(?<![a-z0-9_])(?=[a-z0-9_]))"
+    edged = F.regexp_like(plain, F.concat(F.lit(b), quoted, F.lit(b)))
+    less = phrase.endswith("s") & spaced(F.substring(phrase, F.lit(1), F.length(phrase) - 1))
+    return spaced(phrase) | spaced(F.concat(phrase, F.lit("s"))) | less | edged
+
+
 def link_audit(nodes: DataFrame, edges: DataFrame, key: str, src: str, dst: str, always: int = 2, weak: int = 5) -> DataFrame:
     """key, inbound, outbound, is_orphan, is_weak; always: links that every node has."""
     into = edges.where(F.col(src) != F.col(dst)).groupBy(F.col(dst).alias(key)).agg(F.countDistinct(src).alias("i"))

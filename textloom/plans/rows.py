@@ -5,23 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, tokens
-from ..operators import delimited, diff, jsons, render, resume
+from ..functions import tokens
+from ..operators import delimited, diff, jsons, render
 from .registry import query, table
 
-NOW = 2026 * 12 + 5  # June 2026
-
-
-@query()
-def resume_scores(spark, sf_dir):
-    return resume.scores(table(spark, sf_dir, "documents"), "doc_id", "text", NOW)
-
-
-@query()
-def resume_coaching(spark, sf_dir):
-    return resume.coaching(resume.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
-
-
 @query()
 def turn_diffs(spark, sf_dir):
     """Lines of each turn against the turn before."""
@@ -55,11 +42,6 @@ def json_beautified(spark, sf_dir):
     return render.beautify(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "output")
 
 
-@query()
-def date_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(dates.date_tokens(F.col("text"))).alias("token")).withColumn("month", dates.month_index(F.col("token"), NOW))
-
-
 @query()
 def generated_ids(spark, sf_dir):
     out = table(spark, sf_dir, "customer").select("c_custkey")
