@@ -5,8 +5,9 @@
    counted over the whole corpus and the whole target, and hashed to its bucket once.
 2. The counts are summed to buckets; a bucket's gain is the log ratio of its smoothed shares, in thousandths.
 3. The dictionary hands each block's strings back as buckets beside the documents' feature counts, which
-   came along and are written once. Joined with the gains (one for each bucket) they add up to the
-   documents' weights.
+   came along and are written once. Joined with the gains (one for each bucket) they are summed for each
+   block and part, then a block's sums meet its documents. A block is named by its documents' hashes; if a
+   document's counts don't add up to its own number of features, the job fails.
 4. Seeded Gumbel noise makes the highest scores a draw without replacement in proportion to exp(weight / 1000).
 
 Words that many documents have would make a few strings' lists of documents long. So ``head`` frequent
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ from .shingles import stretches
 BLOCK = 1 << 22  # bytes of texts that make a block
 PART_BYTES = 1 << 24  # of texts for each part of the dictionary
 MIN_PARTS = 16
+HEAD_GROUP = 4096  # strings of the head that are counted together
+FIRST_BLOCK = -(1 << 40)  # parts from here on down hold blocks' documents
 
 
 @dataclass(frozen=True)
@@ -163,11 +167,12 @@ def _counted(text: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _blocks(parts: int, ngrams: int, shared):
-    """Rows of the dictionary's parts: strings with the documents that have them, or numbers of the head."""
+    """Rows for the dictionary's parts: strings with the documents that have them, numbers of the head, blocks' documents."""
 
     def run(batches):
         head = pa.array(shared.value, pa.large_string())
         for batch in batches:
+            schema = _schema(batch.column("doc_id").type)
             for target in (False, True):
                 b = batch.filter(pc.equal(batch.column("target"), target))
                 for a, z, data, off in stretches(b.column("text"), BLOCK):
@@ -175,38 +180,38 @@ def _blocks(parts: int, ngrams: int, shared):
                     if not len(grams):
                         continue
                     coded = grams.dictionary_encode()
-                    code, owner, n = _counted(text, coded.indices.to_numpy(), z - a)
                     names = coded.dictionary
-                    if len(head):
-                        known = pc.index_in(names, head)
-                        is_head = known.is_valid().to_numpy(zero_copy_only=False)
-                    else:
-                        known, is_head = None, np.zeros(len(names), bool)
+                    code, owner, n = _counted(text, coded.indices.to_numpy(), z - a)
+                    known = pc.index_in(names, head) if len(head) else pa.nulls(len(names), pa.int32())
+                    is_head = known.is_valid().to_numpy(zero_copy_only=False)
                     rows = []
                     if is_head.any():
                         total = np.bincount(code, weights=n, minlength=len(names)).astype(np.int64)
                         rows += _head_rows(known.drop_null().to_numpy(), total[is_head], target)
-                    rows += _part_rows(names, code, owner, n, ~is_head, parts, target, b.slice(a, z - a))
-                    if rows:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_schema(b.column("doc_id").type))
+                    hashes = b.column("hash").slice(a, z - a).to_numpy()
+                    block = xxhash.xxh3_128_digest(hashes.tobytes())
+                    if not target:
+                        rows.append({"part": FIRST_BLOCK - int.from_bytes(block[:2], "big"), "target": False, "block": block, "ids": b.column("doc_id").slice(a, z - a).to_pylist(), "hashes": hashes})
+                    rows += _part_rows(names, code, owner, n, ~is_head, parts, target, block)
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
 
 def _schema(kind: pa.DataType) -> pa.Schema:
-    return pa.schema([("part", pa.int64()), ("target", pa.bool_()), ("ids", pa.list_(kind)), ("hashes", pa.list_(pa.int64())), ("n", pa.int64()), ("size", pa.int64()), ("names", pa.binary()), ("lists", pa.binary()), ("numbers", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+    return pa.schema([("part", pa.int64()), ("target", pa.bool_()), ("block", pa.binary()), ("ids", pa.list_(kind)), ("hashes", pa.list_(pa.int64())), ("n", pa.int64()), ("size", pa.int64()), ("names", pa.binary()), ("lists", pa.binary()), ("numbers", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
 
 def _spark(kind: str) -> str:
-    return f"part long, target boolean, ids array<{kind}>, hashes array<long>, n long, size long, names binary, lists binary, numbers array<int>, counts array<long>"
+    return f"part long, target boolean, block binary, ids array<{kind}>, hashes array<long>, n long, size long, names binary, lists binary, numbers array<int>, counts array<long>"
 
 
 def _head_rows(number: np.ndarray, total: np.ndarray, target: bool) -> list[dict]:
-    group = number // 4096
+    group = number // HEAD_GROUP
     return [{"part": -1 - int(g), "target": target, "numbers": number[group == g], "counts": total[group == g]} for g in np.unique(group)]
 
 
-def _part_rows(names, code, owner, n, tail: np.ndarray, parts: int, target: bool, docs: pa.RecordBatch) -> list[dict]:
+def _part_rows(names, code, owner, n, tail: np.ndarray, parts: int, target: bool, block: bytes) -> list[dict]:
     length, first, last = _loads(names)
     part = _part(length, first, last, parts)
     wanted = np.flatnonzero(tail)
@@ -216,24 +221,18 @@ def _part_rows(names, code, owner, n, tail: np.ndarray, parts: int, target: bool
     place[wanted] = np.arange(len(wanted))
     at = place[code]
     here = at >= 0
-    at, owner, n = at[here], owner[here], n[here]
+    at, owner, n = at[here], owner[here], n[here].astype(np.uint32)
     order = np.argsort(at, kind="stable")
-    at, owner, n = at[order], owner[order], n[order]
-    lists = np.bincount(at, minlength=len(wanted))
+    owner, n = owner[order], n[order]
+    high, low = (owner >> 8).astype(np.uint8), (owner & 255).astype(np.uint8)
+    lists = np.bincount(at, minlength=len(wanted)).astype(np.uint32)
     ends = np.r_[0, np.cumsum(lists)]
     cuts = np.flatnonzero(np.r_[True, np.diff(part[wanted]) != 0, True]) if len(wanted) else np.zeros(1, np.int64)
-    taken, rows = names.take(pa.array(wanted)), []
+    (data, off), rows = buffers(names.take(pa.array(wanted))), []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        data, off = buffers(taken.slice(a, z - a))
-        begin = first[wanted[a:z]]
         x = slice(ends[a], ends[z])
-        used, mine = np.unique(owner[x], return_inverse=True)
-        row = {"part": int(part[wanted[a]]), "target": target, "n": z - a, "size": ends[z] - ends[a]}
-        if not target:
-            row |= {"ids": docs.column("doc_id").take(pa.array(used)).to_pylist(), "hashes": docs.column("hash").take(pa.array(used)).to_pylist()}
-        row["names"] = pack_strings(data, off, begin)
-        row["lists"] = _pack(lists[a:z].astype(np.uint32), (mine >> 8).astype(np.uint32), (mine & 255).astype(np.uint8), n[x].astype(np.uint32))
-        rows.append(row)
+        packed = pack_strings(data[off[a] : off[z]], off[a : z + 1] - off[a], first[wanted[a:z]])
+        rows.append({"part": int(part[wanted[a]]), "target": target, "block": block, "n": z - a, "size": ends[z] - ends[a], "names": packed, "lists": _pack(lists[a:z], high[x], low[x], n[x])})
     return rows
 
 
@@ -242,33 +241,36 @@ def _merged(options: ResamplingOptions, shared):
 
     def run(batches):
         held: list[dict] = []
-        kind = None
         for b in batches:
-            kind = b.column("ids").type.value_type
+            schema = _out_schema(b.column("ids").type.value_type)
             for k in range(len(b)):
                 row = b.slice(k, 1).to_pylist()[0]
                 if held and held[0]["part"] != row["part"]:
-                    yield from close(held, kind)
+                    yield from close(held, schema)
                     held = []
                 held.append(row)
         if held:
-            yield from close(held, kind)
+            yield from close(held, schema)
+
+    def close(rows, schema):
+        part = rows[0]["part"]
+        make = string_part if part >= 0 else documents if part <= FIRST_BLOCK else head_part
+        for r in make(rows):  # a block at a time
+            yield pa.RecordBatch.from_pylist([r], schema=schema)
 
-    def close(rows, kind):
-        out = head_part(rows) if rows[0]["part"] < 0 else string_part(rows)
-        for r in out:  # a block at a time
-            yield pa.RecordBatch.from_pylist([r], schema=_out_schema(kind))
+    def documents(rows):
+        for r in rows:
+            yield {c: r[c] for c in ("block", "ids", "hashes")}
 
     def head_part(rows):
-        size = 4096
-        counts, base = np.zeros((2, size), np.int64), (-1 - rows[0]["part"]) * size
+        counts, base = np.zeros((2, HEAD_GROUP), np.int64), (-1 - rows[0]["part"]) * HEAD_GROUP
         for r in rows:
-            np.add.at(counts[int(r["target"])], np.array(r["numbers"]) - base, r["counts"])
+            counts[int(r["target"]), np.array(r["numbers"]) - base] += r["counts"]
         has = np.flatnonzero(counts.sum(0))
         bucket = np.array([zlib.crc32(shared.value[base + k].encode()) % options.buckets for k in has], np.int64)
         by = [np.bincount(bucket, weights=c[has], minlength=options.buckets).astype(np.int64) for c in counts]
         some = np.flatnonzero(by[0] + by[1])
-        yield {"bucket": some.astype(np.int32), "raw": by[0][some], "target": by[1][some], "numbers": (base + has).astype(np.int32), "number_buckets": bucket.astype(np.int32)}
+        yield {"bucket": some.astype(np.int32), "raw": by[0][some], "goal": by[1][some], "numbers": (base + has).astype(np.int32), "number_buckets": bucket.astype(np.int32)}
 
     def string_part(rows):
         coded = pa.chunked_array([unpack_strings(r.pop("names"), r["n"]) for r in rows]).combine_chunks().dictionary_encode()
@@ -283,16 +285,17 @@ def _merged(options: ResamplingOptions, shared):
         del codes, data, off
         total, blocks = np.zeros((2, options.buckets), np.int64), []
         for r in rows:
-            per, high, low, n = _unpack(r.pop("lists"), (np.uint32, r["n"]), (np.uint32, r["size"]), (np.uint8, r["size"]), (np.uint32, r["size"]))
+            per, high, low, n = _unpack(r.pop("lists"), (np.uint32, r["n"]), (np.uint8, r["size"]), (np.uint8, r["size"]), (np.uint32, r["size"]))
             of = np.repeat(bucket[at : at + r["n"]], per)
             at += r["n"]
-            total[int(r["target"])] += np.bincount(of, weights=n, minlength=options.buckets).astype(np.int64)
+            by = np.bincount(of, weights=n, minlength=options.buckets).astype(np.int64)
+            total[int(r["target"])] += by
             if not r["target"]:
                 order = np.argsort(of, kind="stable")
                 blob = _pack(np.bincount(of, minlength=options.buckets).astype(np.uint32), high[order], low[order], n[order])
-                blocks.append({"ids": r.pop("ids"), "hashes": r.pop("hashes"), "size": r["size"], "lists": blob})
+                blocks.append({"block": r["block"], "size": r["size"], "lists": blob})
         has = np.flatnonzero(total.sum(0))
-        yield {"bucket": has.astype(np.int32), "raw": total[0][has], "target": total[1][has]}
+        yield {"bucket": has.astype(np.int32), "raw": total[0][has], "goal": total[1][has]}
         yield from blocks
 
     return run
@@ -300,36 +303,62 @@ def _merged(options: ResamplingOptions, shared):
 
 def _out_schema(kind: pa.DataType) -> pa.Schema:
     ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    return pa.schema([("bucket", ints), ("raw", longs), ("target", longs), ("numbers", ints), ("number_buckets", ints), ("ids", pa.list_(kind)), ("hashes", longs), ("size", pa.int64()), ("lists", pa.binary())])
+    return pa.schema([("bucket", ints), ("raw", longs), ("goal", longs), ("numbers", ints), ("number_buckets", ints), ("block", pa.binary()), ("ids", pa.list_(kind)), ("hashes", longs), ("size", pa.int64()), ("lists", pa.binary())])
 
 
 def _out_spark(kind: str) -> str:
-    return f"bucket array<int>, raw array<long>, target array<long>, numbers array<int>, number_buckets array<int>, ids array<{kind}>, hashes array<long>, size long, lists binary"
+    return f"bucket array<int>, raw array<long>, goal array<long>, numbers array<int>, number_buckets array<int>, block binary, ids array<{kind}>, hashes array<long>, size long, lists binary"
 
 
 def _tail_sums(options: ResamplingOptions, shared):
-    """What each document of a written block has from it: sum of gains and of counts."""
+    """What a block's documents have from one part: sums of gains and of counts."""
 
     def run(batches):
         gain = shared.value
         for b in batches:
-            size, blobs = b.column("size").to_pylist(), b.column("lists").to_pylist()
-            sums, counts, docs = [], [], [len(x) for x in b.column("hashes").to_pylist()]
-            for n_docs, n, blob in zip(docs, size, blobs, strict=True):
-                per, high, low, n = _unpack(blob, (np.uint32, options.buckets), (np.uint32, n), (np.uint8, n), (np.uint32, n))
+            sums = []
+            for n, blob in zip(b.column("size").to_pylist(), b.column("lists"), strict=True):
+                per, high, low, n = _unpack(blob.as_py(), (np.uint32, options.buckets), (np.uint8, n), (np.uint8, n), (np.uint32, n))
                 mine = high.astype(np.int64) << 8 | low
-                w, c = np.zeros((2, n_docs), np.int64)
-                np.add.at(w, mine, np.repeat(gain, per) * n)
-                np.add.at(c, mine, n)
-                sums.append(w)
-                counts.append(c)
-            if sums:
-                both = (pa.array(np.concatenate(x)) for x in (sums, counts))
-                yield pa.RecordBatch.from_arrays([b.column("ids").flatten(), b.column("hashes").flatten(), *both], names=["doc_id", "hash", "w", "n"])
+                w = np.bincount(mine, weights=np.repeat(gain, per) * n).astype(np.int64)  # whole, and far below 2^53
+                c = np.bincount(mine, weights=n).astype(np.int64)
+                has = np.flatnonzero(c)
+                sums.append(_pack(has.astype(np.uint16), w[has], c[has].astype(np.uint32)))
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array([None] * len(b), b.column("ids").type), pa.array([None] * len(b), pa.list_(pa.int64())), pa.array(sums, pa.binary())], names=["block", "ids", "hashes", "sums"])
 
     return run
 
 
+def _documents(batches):
+    """Blocks, one after another: their documents with what all parts gave them."""
+    held: list[tuple] = []
+
+    def close(kind):
+        docs = [x for x in held if x[1] is not None]
+        size = len(docs[0][2])
+        w, c = np.zeros((2, size), np.int64)
+        for *_, blob in held:
+            if blob is not None:
+                raw = zstandard.ZstdDecompressor().decompress(blob)
+                at, x, n = (np.frombuffer(raw, k, len(raw) // 14, o * (len(raw) // 14)) for k, o in ((np.uint16, 0), (np.int64, 2), (np.uint32, 10)))
+                w[at] += x
+                c[at] += n
+        # the same documents in the same order more than once have added up
+        return pa.RecordBatch.from_arrays([pa.array(docs[0][1], kind), pa.array(docs[0][2], pa.int64()), pa.array(w // len(docs)), pa.array(c // len(docs))], names=["doc_id", "hash", "w", "n"])
+
+    kind = None
+    for b in batches:
+        kind = b.column("ids").type.value_type
+        for k in range(len(b)):
+            row = tuple(b.column(c)[k].as_py() for c in ("block", "ids", "hashes", "sums"))
+            if held and held[0][0] != row[0]:
+                yield close(kind)
+                held = []
+            held.append(row)
+    if held:
+        yield close(kind)
+
+
 def _own_sums(options: ResamplingOptions, shared):
     """Each document's words, features, features that are not in the head, and the sum of the head's gains."""
 
@@ -340,13 +369,9 @@ def _own_sums(options: ResamplingOptions, shared):
             found = [np.zeros(0, np.int64)] * 4
             for a, z, data, off in stretches(b.column("text"), BLOCK):
                 grams, text, words = features(data, off, options.ngrams)
-                coded = grams.dictionary_encode()
-                known = pc.index_in(coded.dictionary, head).fill_null(len(head)).to_numpy() if len(head) else np.zeros(len(coded.dictionary), np.int64)
-                number = known[coded.indices.to_numpy()]
-                w, tail = np.zeros((2, z - a), np.int64)
-                np.add.at(w, text, gain[number])
-                np.add.at(tail, text, (number == len(head)).astype(np.int64))
-                new = (words, np.bincount(text, minlength=z - a), tail, w)
+                number = pc.index_in(grams, head).fill_null(len(head)).to_numpy() if len(head) else np.zeros(len(grams), np.int64)
+                summed = lambda x: np.bincount(text, weights=x, minlength=z - a).astype(np.int64)  # noqa: E731, B023  whole, and far below 2^53
+                new = (words, summed(None), summed(number == len(head)), summed(gain[number]))
                 found = [np.concatenate(x) for x in zip(found, new, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), *map(pa.array, found)], names=["doc_id", "hash", "n_words", "n_features", "n_tail", "w"])
 
@@ -382,7 +407,7 @@ def weights(docs: DataFrame, target: DataFrame, options: ResamplingOptions = Res
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("target")).withColumn("hash", F.xxhash64("text"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("target")).withColumn("hash", F.xxhash64("doc_id", "text"))
     other = target.select(F.lit(None).cast(kind).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("target"), F.lit(0).cast("long").alias("hash"))
     every = own.union(other)
     rows, size = own.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
@@ -393,22 +418,25 @@ def weights(docs: DataFrame, target: DataFrame, options: ResamplingOptions = Res
     dealt = listed.repartition(parts, "part").sortWithinPartitions("part")
     merged = materialize(dealt.mapInArrow(released(_merged(options, names)), _out_spark(kind)), "feature-buckets")
 
-    sums = merged.where("bucket is not null").select(F.explode(F.arrays_zip("bucket", "raw", "target")).alias("x")).groupBy("x.bucket").agg(F.sum("x.raw").alias("raw"), F.sum("x.target").alias("target")).collect()  # a row a bucket
+    sums = merged.where("bucket is not null").select(F.explode(F.arrays_zip("bucket", "raw", "goal")).alias("x")).groupBy("x.bucket").agg(F.sum("x.raw").alias("raw"), F.sum("x.goal").alias("goal")).collect()  # a row a bucket
     both = np.zeros((2, options.buckets), np.int64)
     for r in sums:
-        both[:, r.bucket] = r.raw, r.target
+        both[:, r.bucket] = r.raw, r.goal
     gain = gains(*both)
     of_head = np.zeros(len(head), np.int64)
-    for r in merged.where("numbers is not null").select("numbers", "number_buckets").toLocalIterator():  # a row for each 4096 of the head
+    for r in merged.where("numbers is not null").select("numbers", "number_buckets").collect():  # a row for each 4096 of the head
         of_head[r.numbers] = gain[r.number_buckets]
 
-    tail = merged.where("ids is not null").select("ids", "hashes", "size", "lists").mapInArrow(released(_tail_sums(options, spark.sparkContext.broadcast(gain))), f"doc_id {kind}, hash long, w long, n long")
-    tail = tail.groupBy("doc_id", "hash").agg(F.sum("w").alias("tail_w"), F.sum("n").alias("all_n")).withColumnsRenamed({"doc_id": "tail_id", "hash": "tail_hash"})
+    shape = f"block binary, ids array<{kind}>, hashes array<long>, sums binary"
+    given = merged.where("lists is not null").select("block", "ids", "size", "lists").mapInArrow(released(_tail_sums(options, spark.sparkContext.broadcast(gain))), shape)
+    given = given.union(merged.where("hashes is not null").select("block", "ids", "hashes", F.lit(None).cast("binary").alias("sums")))
+    tail = given.repartition("block").sortWithinPartitions("block").mapInArrow(_documents, f"doc_id {kind}, hash long, w long, n long")
+    tail = tail.groupBy("doc_id", "hash").agg(F.max("w").alias("tail_w"), F.max("n").alias("tail_n"))  # equal rows have equal sums
+    tail = materialize(tail.withColumnsRenamed({"doc_id": "tail_id", "hash": "tail_hash"}), "tail-sums")  # so that a join on a row that is often repeated can be split
     slim = own.select("doc_id", "text", "hash").mapInArrow(released(_own_sums(options, spark.sparkContext.broadcast((head, of_head)))), f"doc_id {kind}, hash long, n_words long, n_features long, n_tail long, w long")
     joined = slim.join(tail, (F.col("hash") == F.col("tail_hash")) & F.col("doc_id").eqNullSafe(F.col("tail_id")), "left")
-    # equal rows have added up; each has its share of it, which is whole
-    own_tail = F.when(F.col("n_tail") > 0, F.expr("tail_w div (all_n div n_tail)")).otherwise(F.lit(0))
-    total = F.col("w") + own_tail
+    whole = F.coalesce("tail_n", F.lit(0)) == F.col("n_tail")
+    total = F.when(whole, F.col("w") + F.coalesce("tail_w", F.lit(0))).otherwise(F.raise_error("a document's features were counted in blocks that changed; run again").cast("long"))
     mean = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(F.lit(0))
     out = materialize(joined.withColumn("total", total).select("doc_id", "n_words", "n_features", mean.cast("long").alias("weight")), "weights")
     drop_tables(merged)
