@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cvs, documents, reports, rows, tables
+from . import cvs, documents, nested, reports, rows, tables
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "cvs", "documents", "reports", "rows", "tables"]
+__all__ = ["ORACLE_SQL", "QUERIES", "cvs", "documents", "nested", "reports", "rows", "tables"]

@@ -183,22 +183,6 @@ def _nested(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(NESTED).alias("doc"))
 
 
-@query("""SELECT o_orderkey, path, value FROM (
-  SELECT o_orderkey, 'b[0]' AS path, CAST(o_custkey AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 'b[1].z', CAST(o_orderkey AS VARCHAR) FROM orders UNION ALL SELECT o_orderkey, 'b[2]', o_orderstatus FROM orders
-  UNION ALL SELECT o_orderkey, '["a b"].y', NULL FROM orders UNION ALL SELECT o_orderkey, '["a b"].x', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 'e', '{}' FROM orders WHERE o_orderkey % 3 = 0)""")
-def nested_flatten(spark, sf_dir):
-    # a list of mixed elements is no list of records, so that the root is the record
-    plain = _nested(spark, sf_dir).withColumn("doc", F.expr("replace(doc, '{\"z\": ' || o_orderkey || '}', '{\"z\": ' || o_orderkey || '}')"))
-    n = jsons.nodes(plain, "o_orderkey", "doc").where("value is not null or type = 'null'")
-    return n.select("o_orderkey", F.regexp_replace("path", r"^\$\.?", "").alias("path"), "value")
-
-
-@query(f"""SELECT o_orderkey, CAST(octet_length(encode({NESTED})) AS INTEGER) AS n_bytes, 4 - 1 AS depth, (5 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS keys, 1 AS arrays, 3 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS objects, 1 AS nulls, 'object' AS root FROM orders""")
-def nested_stats(spark, sf_dir):
-    found = jsons.stats(_nested(spark, sf_dir), "o_orderkey", "doc")
-    return found.withColumn("depth", F.col("depth") - 1)
-
-
 @query("""SELECT o_orderkey, '{"a b":{"x":"' || o_orderpriority || '","y":null},"b":[' || array_to_string(list_sort([CAST(o_custkey AS VARCHAR), '{"z":' || o_orderkey || '}', '"' || o_orderstatus || '"']), ',') || ']' || CASE WHEN o_orderkey % 3 = 0 THEN ',"e":{}' ELSE '' END || '}' AS canonical FROM orders""")
 def canonical_json(spark, sf_dir):
     return jsons.canonical(_nested(spark, sf_dir), "o_orderkey", "doc", sort_arrays=True)

@@ -27,11 +27,6 @@ def delimited_parse(spark, sf_dir):
     return delimited.ragged(delimited.parse(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query()
-def shape_declarations(spark, sf_dir):
-    return jsons.type_lines(jsons.shape(table(spark, sf_dir, "events"), "event_id", "props"))
-
-
 @query()
 def json_yaml(spark, sf_dir):
     return render.to_yaml(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "output")

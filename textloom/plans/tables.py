@@ -37,12 +37,6 @@ def first_answers(spark, sf_dir):
     return windows.first_answers(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts")
 
 
-@query("""WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE json_valid(props))
-SELECT event_id, 0 AS record, k AS path, json_extract_string(props, '$.' || k) AS value FROM k""")
-def json_flatten(spark, sf_dir):
-    return jsons.records(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "record", "path", "value")
-
-
 @query("""WITH k AS (SELECT '$.' || unnest(json_keys(props)) AS shape, props FROM events), t AS (SELECT shape, CASE json_type(props, shape) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS t FROM k)
 SELECT shape, array_to_string(list_sort(list(DISTINCT t)), ',') AS types, count(*) AS n, count(*) < (SELECT count(*) FROM events) AS optional FROM t GROUP BY shape UNION ALL SELECT '$', 'object', count(*), false FROM events""")
 def json_shape(spark, sf_dir):
