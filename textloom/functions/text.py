@@ -297,11 +297,11 @@ def numeric_key(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"-?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
 
 
-def natural_key(c: Column) -> Column:
-    """A sort key in which digits compare as numbers."""
-    parts = F.regexp_extract_all(F.lower(c), F.lit(r"[0-9]+|[^0-9]+"), 0)
+def natural_key(c: Column, case_sensitive: bool = False, collation: str = "UNICODE") -> Column:
+    """A sort key in which digits compare as numbers and letters as in a dictionary: accents near their base, lower case first."""
+    parts = F.regexp_extract_all(c if case_sensitive else F.lower(c), F.lit(r"[0-9]+|[^0-9]+"), 0)
     wide = lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, F.greatest(F.length(p), F.lit(20)), F.lit("0"))).otherwise(p)
-    return F.array_join(F.transform(parts, wide), "")
+    return F.collate(F.array_join(F.transform(parts, wide), ""), collation)
 
 
 def sentence_case(c: Column) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,23 +59,54 @@ def decode_jwt(df: DataFrame, token: str, now: int, *, leeway: int = 0, secret:
 ROUNDS = 600_000
 
 
-def _key(passphrase: str, salt: bytes) -> bytes:
+SALT, IV, TAG = 16, 12, 16  # bytes
+
+
+def derived_keys(salts: DataFrame, passphrase: str, rounds: int = ROUNDS) -> DataFrame:
+    """salt, key of each distinct salt: the costly derivation runs once for each, in tasks of their own."""
     if len(passphrase) < 8:
         raise ValueError("a passphrase has eight characters at least")
-    return hashlib.pbkdf2_hmac("sha256", passphrase.encode(), salt, ROUNDS)
+
+    def run(batches):
+        for b in batches:
+            keys = [hashlib.pbkdf2_hmac("sha256", passphrase.encode(), s, rounds) for s in b.column("salt").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("salt"), pa.array(keys, pa.binary())], names=["salt", "key"])
+
+    wanted = salts.select("salt").where(F.octet_length("salt") == SALT).distinct()
+    return wanted.repartition("salt").mapInArrow(run, "salt binary, key binary")
 
 
-def encrypt(c: Column, passphrase: str, salt: bytes) -> Column:
-    """Base64 of 1, the salt, a fresh iv, and the AES-256-GCM text with its tag. The key is derived once."""
-    sealed = F.aes_encrypt(c.cast("binary"), F.lit(bytearray(_key(passphrase, salt))), F.lit("GCM"), F.lit("DEFAULT"))
-    return base64(F.concat(F.lit(bytearray(b"\x01" + salt)), sealed))
+def encrypt(df: DataFrame, column: str, passphrase: str, salt: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """df with the column sealed: base64, in lines of 76, of 1, the salt, a fresh iv, and the AES-256-GCM text with its tag.
 
+    salt: 16 bytes of each row; without it one random salt is drawn for the table. Null stays null.
+    """
+    salt = F.lit(bytearray(secrets.token_bytes(SALT))) if salt is None else salt
+    salted = df.withColumn("_salt", salt)
+    keys = derived_keys(salted.select(F.col("_salt").alias("salt")), passphrase, rounds)
+    both = salted.join(keys, F.col("_salt") == F.col("salt"), "left")
+    sealed = base64(F.concat(F.lit(bytearray(b"\x01")), F.col("_salt"), F.aes_encrypt(F.col(column).cast("binary"), "key", F.lit("GCM"), F.lit("DEFAULT"))))
+    lined = F.regexp_replace(F.regexp_replace(sealed, "(.{76})", "$1\n"), r"\n$", "")
+    return both.withColumn(column, lined).drop("_salt", "salt", "key")
 
-def decrypt(c: Column, passphrase: str, salt: bytes) -> Column:
-    """Null where the passphrase, the salt or the text is wrong."""
-    raw = F.try_to_binary(F.regexp_replace(c, r"\s", ""), F.lit("base64"))
-    opened = F.try_aes_decrypt(F.substring(raw, 18, 2**31 - 1), F.lit(bytearray(_key(passphrase, salt))), F.lit("GCM"), F.lit("DEFAULT"))
-    return F.when(F.substring(raw, 1, 17) == F.lit(bytearray(b"\x01" + salt)), opened.cast("string"))
+
+def decrypt(df: DataFrame, column: str, passphrase: str, rounds: int = ROUNDS) -> DataFrame:
+    """df with the column opened and an error: each text's own salt is read from it, and its key derived once.
+
+    error: not base64, too short, another version, or failed (a wrong passphrase or an altered text).
+    """
+    bare = F.translate(F.regexp_replace(F.col(column), r"\s", ""), "-_", "+/")
+    raw = F.try_to_binary(F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4)))), F.lit("base64"))
+    read = df.withColumn("_raw", raw).withColumn("_salt", F.substring("_raw", 2, SALT))
+    version = F.hex(F.substring("_raw", 1, 1))
+    error = F.when(F.col(column).isNull(), None).when(F.col("_raw").isNull(), "not base64").when(F.octet_length("_raw") < 1 + SALT + IV + TAG, "too short").when(version != "01", F.concat(F.lit("version "), F.conv(version, 16, 10)))
+    read = read.withColumn("error", error)
+    fit = F.when(F.col("error").isNull(), F.col("_salt"))
+    keys = derived_keys(read.select(fit.alias("salt")), passphrase, rounds)
+    both = read.join(keys, fit == F.col("salt"), "left")
+    opened = F.try_aes_decrypt(F.substring("_raw", 2 + SALT, 2**31 - 1), F.col("key"), F.lit("GCM"), F.lit("DEFAULT")).cast("string")
+    failed = F.when(F.col("error").isNull() & F.col(column).isNotNull() & opened.isNull(), "failed").otherwise(F.col("error"))
+    return both.withColumns({column: F.when(F.col("error").isNull(), opened), "error": failed}).drop("_raw", "_salt", "salt", "key")
 
 
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -118,8 +151,6 @@ def passwords(df: DataFrame, length: int, kinds: tuple[str, ...] = tuple(CHARACT
 
     @F.pandas_udf("string")
     def made(seed: pd.Series) -> pd.Series:
-        import secrets
-
         draw, every = secrets.SystemRandom(), "".join(pools)
 
         def one() -> str:

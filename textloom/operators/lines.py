@@ -70,10 +70,13 @@ def strip_line_numbers(c: Column) -> tuple[Column, Column]:
     return stripped, F.size(F.filter(all_lines, lambda x: x.rlike(NUMBERED)))
 
 
-def sort_lines(df: DataFrame, key: str, text: str, mode: str = "alpha") -> DataFrame:
-    """key, place, line: the non-blank lines in order; equal lines keep theirs."""
+def sort_lines(df: DataFrame, key: str, text: str, mode: str = "alpha", *, case_sensitive: bool = False) -> DataFrame:
+    """key, place, line: the non-blank lines in order; equal lines keep theirs.
+
+    Case counts where it is asked for, and among lines of equal number or length.
+    """
     rows = explode_lines(df, key, text).where(~T.is_blank(F.col("line")))
-    natural, number = T.natural_key(F.col("line")), T.numeric_key(F.col("line"))
+    natural, number = T.natural_key(F.col("line"), case_sensitive or not mode.startswith("alpha")), T.numeric_key(F.col("line"))
     order = {
         "alpha": [natural.asc()],
         "alpha-desc": [natural.desc()],

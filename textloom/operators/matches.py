@@ -25,30 +25,105 @@ def pattern_risk(pattern: Column) -> Column:
     return F.when(pattern.rlike(nested), said_nested).when(pattern.rlike(either) & outside, said_either).when(pattern.rlike(wild), said_wild)
 
 
-def find_all(df: DataFrame, key: str, text: str, pattern: str, groups: int = 0) -> DataFrame:
+#: Characters that mark a match's start, the parts of it, and its end while places are counted; texts have none.
+OPEN, PART, SHUT = "\ufdd0", "\ufdd1", "\ufdd2"
+#: Matches whose places are added up together, so that the work stays in proportion to a text's matches.
+BLOCK = 64
+_PLACE = "array<struct<index:int,line:int,start:int,match:string,captures:array<string>>>"
+
+
+def _counted(c: Column) -> Column:
+    """Length, line ends and the place after the last line end (or -1) of a piece."""
+    after = F.when(c.contains("\n"), F.length(c) - F.length(F.substring_index(c, "\n", -1))).otherwise(-1)
+    return F.struct(F.length(c).alias("n"), (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))).alias("ends"), after.alias("after"))
+
+
+def _java(pattern: str, flags: str) -> str:
+    """A browser's pattern for Java: a line also begins at the end of a text that ends a line, and $ alone is the text's very end."""
+    out, in_class, at = [], False, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            out.append(pattern[at : at + 2])
+            at += 2
+            continue
+        in_class = c == "[" or in_class and c != "]"
+        if not in_class and c == "^" and "m" in flags:
+            c = r"(?:^|\A|(?<=\n)\z)"
+        elif not in_class and c == "$" and "m" not in flags:
+            c = r"\z"
+        out.append(c)
+        at += 1
+    java = "".join(f for f in ("i", "u", "m", "s") if f in flags and (f != "u" or "i" in flags))
+    # no match begins within a character that Java holds as two
+    return (f"(?{java})" if java else "") + r"(?![\x{DC00}-\x{DFFF}])(?:" + "".join(out) + ")"
+
+
+def match_places(c: Column, pattern: str, groups: int = 0, flags: str = "g") -> Column:
+    """array of (index, line, start of the line, match, captures) of a text's matches.
+
+    The text is marked at its matches, which an empty match bears too, and cut at the marks. Pieces are
+    added up in blocks, then the blocks. Matching goes on past an empty match by one character.
+    """
+    if set(flags) - set("gimsu"):
+        raise ValueError(f"flags are g, i, m, s and u, not {flags}")
+    pattern = _java(pattern, flags)
+    plain = F.translate(c, OPEN + PART + SHUT, "   ")
+    marked = F.regexp_replace(plain, pattern, OPEN + PART.join(f"${g}" for g in range(groups + 1)) + SHUT)
+
+    def unit(pieces: Column):
+        def one(i: Column) -> Column:
+            parts = F.split(F.get(pieces, 2 * i + 1), PART, -1)
+            return F.struct(_counted(F.get(pieces, 2 * i)).alias("gap"), F.get(parts, 0).alias("match"), _counted(F.get(parts, 0)).alias("hit"), F.slice(parts, 2, max(groups, 1)).alias("captures"))
+
+        return one
+
+    def add(acc: Column, u: Column) -> Column:
+        gap, hit = u["gap"], u["hit"]
+        index, line = acc["at"] + gap["n"], acc["line"] + gap["ends"]
+        start = F.when(gap["after"] >= 0, acc["at"] + gap["after"]).otherwise(acc["start"])
+        here = F.array(F.struct(index.alias("index"), line.alias("line"), start.alias("start"), u["match"].alias("match"), u["captures"].alias("captures")))
+        return F.struct(
+            (index + hit["n"]).alias("at"),
+            (line + hit["ends"]).alias("line"),
+            F.when(hit["after"] >= 0, index + hit["after"]).otherwise(start).alias("start"),
+            F.concat(acc["out"], here.cast(_PLACE)).alias("out"),
+        )
+
+    def blocks(units: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), F.lit(-1).alias("start"), F.array().cast(_PLACE).alias("out"))
+        summed = F.transform(F.sequence(F.lit(0), F.floor((F.size(units) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(units, b * BLOCK + 1, BLOCK), begin, add))
+        whole = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), F.lit(0).alias("start"), F.array().cast(f"array<{_PLACE}>").alias("out"))
+
+        def join(acc: Column, b: Column) -> Column:
+            moved = F.transform(b["out"], lambda x: F.struct((acc["at"] + x["index"]).alias("index"), (acc["line"] + x["line"]).alias("line"), F.when(x["start"] >= 0, acc["at"] + x["start"]).otherwise(acc["start"]).alias("start"), x["match"].alias("match"), x["captures"].alias("captures")))
+            start = F.when(b["start"] >= 0, acc["at"] + b["start"]).otherwise(acc["start"])
+            return F.struct((acc["at"] + b["at"]).alias("at"), (acc["line"] + b["line"]).alias("line"), start.alias("start"), F.array_append(acc["out"], moved).alias("out"))
+
+        return F.flatten(F.aggregate(summed, whole, join, lambda acc: acc["out"]))
+
+    def units(pieces: Column) -> Column:
+        n = F.floor((F.size(pieces) - 1) / 2).cast("int")
+        n = n if "g" in flags else F.least(n, F.lit(1))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), unit(pieces))).otherwise(F.array())
+
+    found = bound(F.split(marked, f"[{OPEN}{SHUT}]", -1), lambda x: bound(units(x), lambda u: F.when(F.size(u) > 0, blocks(u)).otherwise(F.array().cast(_PLACE))))
+    return F.when(c.isNotNull(), found)
+
+
+def find_all(df: DataFrame, key: str, text: str, pattern: str, groups: int = 0, flags: str = "g", limit: int | None = None) -> DataFrame:
     """key, n, index, line, column, match, captures of each match; places count from 0, lines, columns and n from 1.
 
-    A text is cut into the gaps between matches and the matches themselves; running sums over them give
-    the places. The pattern must match something wherever it matches. Captures that take no part are ''.
+    flags: g (all matches, else the first), i, m, s, u. limit: rows of a text at most. Captures that take no
+    part are ''. An empty pattern finds nothing. Everything happens within the row.
     """
-    source = F.col(text)
-    gaps = F.split(source, pattern, -1)
-    each = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(source, F.lit(pattern), 0).alias("match"), *(F.regexp_extract_all(source, F.lit(pattern), g).alias(f"g{g}") for g in range(1, groups + 1)))
-    rows = df.where(source.isNotNull()).withColumn("_row", F.monotonically_increasing_id()).select(F.col(key), "_row", F.posexplode(each).alias("at", "m"))
-    past = Window.partitionBy("_row").orderBy("at")
-    so_far = past.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = past.rowsBetween(Window.unboundedPreceding, -1)
-    ends = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    gap, match = F.col("m.gap"), F.coalesce("m.match", F.lit(""))
-    placed = rows.withColumn("index", F.sum(F.length(gap)).over(so_far) + F.coalesce(F.sum(F.length(match)).over(before), F.lit(0)))
-    line = 1 + F.sum(ends(gap)).over(so_far) + F.coalesce(F.sum(ends(match)).over(before), F.lit(0))
-    # the place after the last line end up to each match: in its gap, else in an earlier piece
-    after = lambda c, start: F.when(c.contains("\n"), start + F.length(c) - F.length(F.substring_index(c, "\n", -1)))
-    in_gap = F.max(after(gap, F.col("index") - F.length(gap))).over(so_far)
-    in_match = F.max(after(match, F.col("index"))).over(before)
-    placed = placed.withColumns({"line": line, "start": F.greatest(F.lit(0), F.coalesce(in_gap, F.lit(0)), F.coalesce(in_match, F.lit(0)))})
-    captures = F.array(*(F.col(f"m.g{g}") for g in range(1, groups + 1))).cast("array<string>")
-    return placed.where(F.col("m.match").isNotNull()).select(key, (F.col("at") + 1).alias("n"), "index", "line", (F.col("index") - F.col("start") + 1).alias("column"), F.col("m.match").alias("match"), captures.alias("captures"))
+    if not pattern:
+        return df.limit(0).select(key, *(F.lit(None).cast(k).alias(c) for c, k in (("n", "int"), ("index", "int"), ("line", "int"), ("column", "int"), ("match", "string"), ("captures", "array<string>"))))
+    rows = df.select(key, F.posexplode(match_places(F.col(text), pattern, groups, flags)).alias("at", "m"))
+    if limit is not None:
+        rows = rows.where(F.col("at") < limit)
+    captures = F.col("m.captures") if groups else F.array().cast("array<string>")
+    return rows.select(key, (F.col("at") + 1).alias("n"), "m.index", (F.col("m.line") + 1).alias("line"), (F.col("m.index") - F.col("m.start") + 1).alias("column"), "m.match", captures.alias("captures"))
 
 
 @dataclass(frozen=True)

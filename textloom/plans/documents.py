@@ -148,15 +148,15 @@ def strip_line_numbers(spark, sf_dir):
     return docs(spark, sf_dir).where("text is not null").select("doc_id", text.alias("stripped"), n.alias("n_stripped"))
 
 
-NATURAL = "array_to_string(list_transform(regexp_extract_all(lower(line), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, greatest(length(p), 20)::INT, '0') ELSE p END), '')"
+NATURAL = "array_to_string(list_transform(regexp_extract_all(line, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, greatest(length(p), 20)::INT, '0') ELSE p END), '')"
 
 
 def _sorted(order: str) -> str:
-    return rf"""WITH l AS ({EXPLODED}), k AS (SELECT *, {NATURAL} AS nat, TRY_CAST(nullif(regexp_extract(line, '-?\d+(?:\.\d+)?'), '') AS DOUBLE) AS num FROM l WHERE regexp_matches(line, '{NS}'))
+    return rf"""WITH l AS ({EXPLODED}), k AS (SELECT *, {NATURAL} COLLATE "en" AS nat, lower({NATURAL}) COLLATE "en" AS low, TRY_CAST(nullif(regexp_extract(line, '-?\d+(?:\.\d+)?'), '') AS DOUBLE) AS num FROM l WHERE regexp_matches(line, '{NS}'))
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {order}, line_no) AS INTEGER) AS place, line FROM k"""
 
 
-@query(_sorted("nat"))
+@query(_sorted("low"))
 def sort_lines_alpha(spark, sf_dir):
     return lines.sort_lines(docs(spark, sf_dir), "doc_id", "text", "alpha")
 

@@ -24,6 +24,13 @@ def regex_places(spark, sf_dir):
     return found.withColumn("captures", F.array_join("captures", "|"))
 
 
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(coalesce(list_sum(list_transform(l[1:n - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS "index", CAST(n AS INTEGER) AS line, 1 AS "column", '' AS "match" FROM (SELECT *, unnest(range(1, len(l) + 1)) AS n FROM l)""")
+def line_starts(spark, sf_dir):
+    """Matches of nothing: the places where lines begin."""
+    return matches.find_all(table(spark, sf_dir, "documents"), "doc_id", "text", "^", flags="gm").drop("captures")
+
+
 PATTERNS = ("(a+)+", "(a*)*$", "(a|b)*c+", "(a|b)*", "a.*.*.*b", "x.+.+.+y", "(?:ab){2}", "[a-z]+", "(a+){2,}", "")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import tokens
-from ..operators import delimited, diff, jsons, render
+from ..functions import placeholder, tokens
+from ..operators import delimited, diff, render
 from .registry import query, table
 
 @query()
@@ -43,3 +43,20 @@ def generated_ids(spark, sf_dir):
     for kind in ("v4", "v7", "ulid", "nanoid"):
         out = tokens.identifiers(out, kind, 1_700_000_000_000).withColumnRenamed("id", kind)
     return out
+
+
+@query()
+def placeholder_texts(spark, sf_dir):
+    """Placeholder paragraphs of each part, seeded by its name and key."""
+    seed = F.concat_ws("-", "p_name", "p_partkey")
+    made = {f: placeholder.blocks(seed, "sentences", 2, f) for f in placeholder.WORDS}
+    return table(spark, sf_dir, "part").select("p_partkey", *(placeholder.formatted(b, "sentences", "html").alias(f) for f, b in made.items()))
+
+
+@query()
+def sealed_turns(spark, sf_dir):
+    """Turns sealed and opened again; each role has its own salt, so that a few keys are derived."""
+    turns = table(spark, sf_dir, "conversations").withColumn("said", F.col("text"))
+    salt = F.unhex(F.md5(F.col("role").cast("binary")))
+    opened = tokens.decrypt(tokens.encrypt(turns, "text", "a long passphrase", salt), "text", "a long passphrase")
+    return opened.select("conv_id", "turn", F.col("text").eqNullSafe(F.col("said")).alias("same"), "error")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,26 +25,35 @@ def rate_limit(df: DataFrame, key: str, ts: str, seconds: int = 600, most: int =
     return df.withColumn("hits", F.count("*").over(w)).withColumn("limited", F.col("hits") > most)
 
 
-def rate_limit_stream(df: DataFrame, key: str, ts: str, seconds: int = 600, most: int = 12) -> DataFrame:
-    """key, ts, hits, limited for each row of a stream; a key's state holds its last seconds only."""
-    kind = df.schema[key].dataType.simpleString()
+def rate_limit_stream(df: DataFrame, key: str, ts: str, seconds: int = 600, most: int = 12, late: str = "10 minutes") -> DataFrame:
+    """key, ts, hits, limited for each row of a stream, as rate_limit gives them: by event time, whatever order rows come in.
+
+    A row waits until the watermark (late behind the newest time) has passed it, since an earlier one may
+    still come; later than that it is dropped. A key's state is the rows that wait and the times of the last
+    seconds before the watermark; an event-time timer brings the next row out, or ends the state. Work is
+    in proportion to a key's rows, but for sorting the new ones.
+    """
+    kind, window = df.schema[key].dataType.simpleString(), seconds * 1_000_000
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        kept, waiting = (np.array(x, np.int64) for x in state.get) if state.exists else (np.zeros(0, np.int64),) * 2
+        if not state.hasTimedOut:
+            waiting = np.sort(np.concatenate([waiting, *(f["micros"].to_numpy(np.int64) for f in frames)]), kind="stable")
+        mark = state.getCurrentWatermarkMs() * 1000
+        due, waiting = np.split(waiting, [np.searchsorted(waiting, mark, "right")])
+        every = np.concatenate([kept, due])
+        hits = np.searchsorted(every, due, "right") - np.searchsorted(every, due - window, "right")
+        kept = every[every > mark - window]
+        if len(waiting) or len(kept):
+            state.update((kept.tolist(), waiting.tolist()))
+            state.setTimeoutTimestamp(int(waiting[0] if len(waiting) else kept[-1] + window) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat([f["micros"] for f in frames]).sort_values(kind="stable").tolist()
-        hits = []
-        for t in rows:
-            kept = [x for x in kept if t - x < seconds * 1_000_000] + [t]
-            hits.append(sum(x <= t for x in kept))
-        state.update((kept,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({key: [k[0]] * len(rows), "micros": rows, "hits": hits, "limited": [h > most for h in hits]})
-
-    slim = df.select(key, _micros(ts).alias("micros"))
-    out = slim.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, micros long, hits long, limited boolean", "kept array<long>", "append", "ProcessingTimeTimeout")
+        if len(due):
+            yield pd.DataFrame({key: [k[0]] * len(due), "micros": due, "hits": hits, "limited": hits > most})
+
+    slim = df.select(key, F.col(ts).cast("timestamp").alias("_ts"), _micros(ts).alias("micros")).withWatermark("_ts", late)
+    out = slim.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, micros long, hits long, limited boolean", "kept array<long>, waiting array<long>", "append", "EventTimeTimeout")
     return out.select(key, F.timestamp_micros("micros").alias(ts), "hits", "limited")
 
 
