@@ -100,3 +100,10 @@ def test_odd_rows(spark, odd, nothing, clashing):
     both = D.decontaminated(clashing, items)
     assert both.where("dkey = 'own dkey'").count() == len(rows)
     assert sorted(str((r.doc_id, r.n_hit, r["items"])) for r in both.collect()) == sorted(str((r.doc_id, r.n_hit, r["items"])) for r in rows)
+
+
+def test_words_fold_only_latin_capitals(spark):
+    """A Greek word ends in another sigma before a blank than before a full stop and a letter, if the whole text is lowered."""
+    tail = " ".join(f"w{i}" for i in range(12))
+    got = run(spark, [(1, f"ΟΔΟΣ.{tail}"), (2, f"x ΟΔΟΣ {tail}"), (3, f"οδος {tail}")], [(1, f"ΟΔΟΣ {tail}")])
+    assert [got[i][1] for i in (1, 2, 3)] == [13, 13, 0]

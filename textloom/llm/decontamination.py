@@ -15,8 +15,10 @@ to be looked up by one of them only, its rarest (a prefix of length one in the o
 Everything runs in DataFrame expressions. The benchmark's shingles are broadcast if they are
 few enough (they are counted first), else joined by a shuffle.
 
-Null and empty texts have no words: all counts are 0 and nothing is contaminated. Items without words
-or with a null item_id never count. Rows of equal doc_id and text get equal results. Other columns are ignored.
+Null and empty texts have no words: all counts are 0 and nothing is contaminated; an empty benchmark
+contaminates nothing, and empty documents give no rows. Items without words or with a null item_id never count.
+Of a window's equally rare shingles the first is looked up. Very long texts are read whole. Rows of equal doc_id
+and text get equal results. Other columns are kept by decontaminated(), but for those named like its results.
 """
 
 from __future__ import annotations
@@ -48,11 +50,6 @@ def words(text: Column) -> Column:
     return _split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
 
 
-def _loose_words(text: Column) -> Column:
-    """As many words, folded further: equal words stay equal. Cheaper over a whole corpus."""
-    return _split(F.lower(F.coalesce(text, F.lit(""))))
-
-
 def _hash(w: Column, at: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *(F.get(w, at + k) for k in range(n)))
 
@@ -69,22 +66,22 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions()) -> DataFrame:
     """dkey, hits (array of (start, size) of confirmed windows), items (sorted item ids as strings) of documents with any."""
     size, q = options.window, options.shingle
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"), _loose_words(F.col("text")).alias("loose")).where(F.size("w") > 0)
-    spans = items.withColumn("size", F.least(F.lit(size), F.size("w"))).select("item", "w", "loose", "size", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))).alias("at"))
-    spans = spans.select("item", "size", F.expr("array_join(slice(w, at + 1, size), ' ')").alias("words"), F.expr("slice(loose, at + 1, size)").alias("loose"))
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    spans = items.withColumn("size", F.least(F.lit(size), F.size("w"))).select("item", "w", "size", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))).alias("at"))
+    spans = spans.select("item", "size", F.expr("array_join(slice(w, at + 1, size), ' ')").alias("words"))
     owners = materialize(spans.select("item", "words").distinct(), "window-items")
-    windows = materialize(spans.groupBy("words").agg(F.first("size").alias("size"), F.first("loose").alias("loose")), "windows")
+    windows = materialize(spans.select("words", "size").distinct(), "windows")  # words hold no blank, so they tell the size
     each = F.least(F.lit(q), F.col("size"))
     tokens = None
     sizes = sorted(r[0] for r in windows.select(each.alias("q")).distinct().collect())
     for n in sizes:
-        one = windows.where(each == n).select("words", "size", F.posexplode(_shingles(F.col("loose"), F.col("size"), n)).alias("k", "token"), F.lit(n).alias("q"))
+        one = windows.where(each == n).select("words", "size", F.posexplode(_shingles(F.split("words", " "), F.col("size"), n)).alias("k", "token"), F.lit(n).alias("q"))
         tokens = one if tokens is None else tokens.union(one)
     if tokens is None:
         return docs.select("dkey", F.array().cast("array<struct<start:int,size:int>>").alias("hits"), F.array().cast("array<string>").alias("items")).limit(0)
     tokens = materialize(tokens, "window-tokens")
 
-    held = docs.select("dkey", _loose_words(F.col("text")).alias("w"))
+    held = docs.select("dkey", words(F.col("text")).alias("w"))
     found = None
     for n in sizes:
         places = held.where(F.size("w") >= n).select("dkey", F.posexplode(_shingles(F.col("w"), F.size("w"), n)).alias("pos", "token"))
@@ -116,7 +113,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, options: Decontaminati
     found = materialize(contamination(keyed.select("dkey", "text"), benchmark, options), "contamination")
     spots = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
     found = found.select("dkey", F.size(spots).cast("long").alias("n_hit"), "items")
-    out = keyed.withColumn("n_words", F.size(_loose_words(F.col("text"))).cast("long")).join(_few(found, options.broadcast_rows // 10), "dkey", "left")
+    out = keyed.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).join(_few(found, options.broadcast_rows // 10), "dkey", "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(options.times) * F.col("n_hit") >= F.col("n_words")))
     return unpacked(out, docs, ("doc_id", "text"), "n_words", "n_hit", "items", "contaminated")
