@@ -93,3 +93,14 @@ def test_odd_rows(spark, odd, nothing, clashing):
     assert L.fit(nothing) is None and L.predict(nothing, None).count() == 0
     assert {r.lang_pred for r in L.predict(odd, None).collect()} == {"und"}
     assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in L.predict(clashing, model).collect())
+
+
+def test_a_language_of_one_very_long_row_is_learned(spark):
+    alphabets = {"aa": "abc", "bb": "def", "cc": "ghi", "dd": "jkl"}
+    words = lambda letters, n: " ".join(letters[i % 3] * (1 + i % 4) for i in range(n))
+    rows = [(i, words(letters, 20_000), lang) for i, (lang, letters) in enumerate(alphabets.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, L.LanguageIdOptions(sample_chars=100, sample_rows=1))
+    assert model.languages == list(alphabets)
+    new = spark.createDataFrame([(i, words(letters, 9), None) for i, letters in enumerate(alphabets.values())], docs.schema)
+    assert [r.lang_pred for r in L.predict(new, model).orderBy("doc_id").collect()] == list(alphabets)

@@ -8,7 +8,8 @@ a sum of table entries, one for each byte, so scoring is a gather over whole tex
 
 A-Z and a-z share a symbol. Null texts and texts without a letter get ``und`` and score 0.
 With no labelled row at all everything is ``und``. Ties go to the language that sorts first.
-Repeated rows are scored alike; other columns of the input are ignored.
+Repeated rows are scored alike; other columns of the input are ignored. Texts of any length are scored
+whole; an empty table gives no rows. A language whose rows are few or very long keeps one row in the sample at least.
 """
 
 from __future__ import annotations
@@ -174,12 +175,13 @@ class PpmModel:
 def fit(docs: DataFrame, options: LanguageIdOptions = LanguageIdOptions()) -> PpmModel | None:
     """A model from rows with a lang. The sample is drawn by a hash of the row over all of docs."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text").cast("double")).alias("chars")).collect()  # a row a language
-    if not sizes:
-        return None
     scale = 1 << 30
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], int(min(scale, scale * options.sample_rows // r["count"] + 1, scale * options.sample_chars // (r["chars"] + 1) + 1)))))
     at = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(scale))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text").cast("double")).alias("chars"), F.min(at).alias("least")).collect()  # a row a language
+    if not sizes:
+        return None
+    drawn = lambda r: int(min(scale, scale * options.sample_rows // r["count"] + 1, scale * options.sample_chars // (r["chars"] + 1) + 1))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], max(drawn(r), r["least"] + 1))))  # the row of the least hash always
     sample = rows.where(at < F.coalesce(share[F.col("lang")], F.lit(0))).select("lang", "text")
     grams = sample.mapInArrow(_count(options.order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = grams.toArrow()
