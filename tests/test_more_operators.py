@@ -10,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions import placeholder, tokens
+from textloom.operators import frequency, json_yaml, lines, matches, relations
 from textloom.operators import json_tables as J
-from textloom.operators import lines, matches
 from textloom.streaming import windows
 
 
@@ -292,3 +292,53 @@ def test_json_texts_of_odd_kinds(spark):
     got = {r.k: (r.n_bytes, r.minified_bytes, r.depth, r.keys, r.root) for r in J.stats(df, "k", "t").collect()}
     assert got == {1: (6, 6, 1, 0, "string"), 2: (4, 4, 1, 0, "null"), 3: (3, 1, 1, 0, "number"), 4: (26, 26, 4, 3, "object")}
     assert json.loads('"x\\"y"') == 'x"y'
+
+
+# ---- YAML
+
+VALUES = [
+    {"b": [1, 2.5, {"c": None}], "a": "x\ny\n"},
+    [],
+    {"k: v": "yes", "n": "1.20", "e": "", "t": " x", "m": "a\n\nb", "q": "it's", "z": [[1], {"a": []}], "c": "a: b #c", "u": "ü 漢"},
+    "alone",
+    True,
+    {"deep": {"er": {"list": ["-", "- x", "~", "null", "0x1f", "12:30", [[[{"p": [{"q": 1, "r": 2}, 3]}]]]]}}, "ctl": "a\tb\x01 \"\\", "x:y": 3},
+    {"tail": "two\n\n", "none": {}, "yes": 1, "sp": "a \nb"},
+    {},
+    [[[]], [{}], {"l": [{"m": {"n": [1]}}]}],
+]
+
+
+@pytest.mark.parametrize("options", [json_yaml.YamlOptions(), json_yaml.YamlOptions(indent=4), json_yaml.YamlOptions(quote="single"), json_yaml.YamlOptions(quote="double", document_start=True), json_yaml.YamlOptions(blocks=False), json_yaml.YamlOptions(sort_keys=True)])
+def test_yaml_reads_back(spark, options):
+    yaml = pytest.importorskip("yaml")
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(VALUES)] + [(99, "bad"), (98, None)], "k int, t string")
+    got = {r.k: r.output for r in json_yaml.to_yaml(rows, "k", "t", options).collect()}
+    assert set(got) == set(range(len(VALUES)))
+    for i, v in enumerate(VALUES):
+        assert yaml.safe_load(got[i]) == v, got[i]
+
+
+def test_yaml_layout(spark):
+    rows = spark.createDataFrame([(1, json.dumps({"items": [{"id": 1, "tags": ["a", [2, 3]]}, []], "note": "one\ntwo", "no": "yes", "x:y": "1.0"})), (2, '{"b":1,"B":2,"a":[{"d":1,"c":2}]}')], "k int, t string")
+    got = {r.k: r for r in json_yaml.to_yaml(rows, "k", "t").collect()}
+    assert got[1].output == "items:\n  - id: 1\n    tags:\n      - a\n      - - 2\n        - 3\n  - []\nnote: |-\n  one\n  two\n'no': 'yes'\n'x:y': '1.0'\n"
+    assert (got[1].n_lines, got[1].quoted, got[1].blocks, got[1].ambiguous, got[1].depth) == (12, 2, 1, ["yes", "1.0"], 5)
+    ordered = json_yaml.to_yaml(rows.where("k = 2"), "k", "t", json_yaml.YamlOptions(sort_keys=True, indent=4, document_start=True)).first().output
+    assert ordered == "---\na:\n    -   c: 2\n        d: 1\nb: 1\nB: 2\n"
+
+
+# ---- characters, links, phrases
+
+
+def test_classes_of_graphemes(spark):
+    texts = ["aé1 .+", "e\u0301x", "👍🏽👩‍👩‍👧 ©", "漢字\n\t", "\u0000\u0301", "", None]
+    got = [r.asDict() for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", *(c.alias(n) for n, c in frequency.grapheme_classes(F.col("t")).items())).orderBy("i").collect()]
+    names = ("emoji", "letters", "digits", "whitespace", "punctuation", "symbols", "other")
+    assert [tuple(r[n] for n in names) for r in got] == [(0, 2, 1, 1, 1, 1, 0), (0, 2, 0, 0, 0, 0, 0), (3, 0, 0, 1, 0, 0, 0), (0, 2, 0, 2, 0, 0, 0), (0, 0, 0, 0, 0, 0, 2), (0,) * 7, (None,) * 7]
+
+
+def test_phrases_in_texts(spark):
+    rows = [("We use C++ and node.js, daily reports", "c++", True), ("x report y", "reports", True), ("x reports y", "report", True), ("micro-services", "services", True), ("microservices", "services", False), ("a.b", "a", True), ("", "a", False), (None, "a", None)]
+    got = spark.createDataFrame(rows, "t string, p string, want boolean").select("want", relations.phrase_present(F.col("t"), F.col("p")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]

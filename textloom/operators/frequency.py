@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +68,31 @@ def character_classes(c: Column) -> dict[str, Column]:
     return out | {"other": F.length(c) - known}
 
 
+@lru_cache
+def _pictures() -> str:
+    """A class of the pictographic characters, from their Unicode property."""
+    import regex
+
+    found = regex.findall(r"\p{Extended_Pictographic}+", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+    return "[" + "".join(rf"\x{{{ord(f[0]):X}}}-\x{{{ord(f[-1]):X}}}" for f in found) + "]"
+
+
+def grapheme_classes(c: Column) -> dict[str, Column]:
+    """Characters as they are seen (accents and joined emoji are one) of each class: emoji first, then the first that fits."""
+    seen = F.regexp_extract_all(c, F.lit(r"\X"), 0)
+    patterns = {"emoji": _pictures(), "letters": r"^\p{L}\p{M}*$", "digits": r"^\p{Nd}$", "whitespace": rf"^{T.SPACE}$", "punctuation": r"^\p{P}$", "symbols": r"^\p{S}$"}
+
+    def kind(g: Column) -> Column:
+        out = F.lit("other")
+        for name, p in reversed(patterns.items()):
+            out = F.when(g.rlike(p), name).otherwise(out)
+        return out
+
+    # one text in place of a list of names: counting its parts reads it, not the patterns, once a class
+    kinds = F.concat(F.lit(" "), F.array_join(F.transform(seen, kind), "  "), F.lit(" "))
+    return {name: F.regexp_count(kinds, F.lit(f" {name} ")) for name in (*patterns, "other")}
+
+
 def keywords(df: DataFrame, key: str, text: str, limit: int = 28, known: Sequence[str] = ()) -> DataFrame:
     """key, term, n, place: each text's most frequent terms, twice at least; of equal ones the first to appear.
 

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .jsons import _kind, _never, _Number
 
-STEPS = "array<struct<name:string,index:int>>"
-_STEPS = pa.list_(pa.struct([("name", pa.string()), ("index", pa.int32())]))
+STEPS = "array<struct<name:string,index:int,nth:int>>"  # nth: the place among its parent's children
+_STEPS = pa.list_(pa.struct([("name", pa.string()), ("index", pa.int32()), ("nth", pa.int32())]))
 
 
 def number_text(written: str) -> str:
@@ -61,7 +63,7 @@ def _walk(value: object, texts: bool):
         kind = _kind(x)
         if kind in ("object", "array"):
             text = _compact(x) if texts else None
-            children = [(steps + [{"name": k, "index": None}], pos, v) for k, v in x.items()] if kind == "object" else [(steps + [{"name": None, "index": i}], pos, v) for i, v in enumerate(x)]
+            children = [(steps + [{"name": k, "index": None, "nth": i}], pos, v) for i, (k, v) in enumerate(x.items())] if kind == "object" else [(steps + [{"name": None, "index": i, "nth": i}], pos, v) for i, v in enumerate(x)]
             stack += reversed(children)
             size = len(children)
         else:
@@ -70,8 +72,15 @@ def _walk(value: object, texts: bool):
         pos += 1
 
 
-def tree(df: DataFrame, key: str, text: str, texts: bool = False) -> DataFrame:
-    """key, pos, up (the parent's pos), steps, type, size (children), value of each node, in the document's order.
+def _sorted_names(x: object) -> object:
+    """Names in order at every level: letters before their accents, lower case first."""
+    if isinstance(x, dict):
+        return {k: _sorted_names(x[k]) for k in sorted(x, key=lambda k: (unicodedata.normalize("NFKD", k).casefold(), k.swapcase()))}
+    return [_sorted_names(v) for v in x] if isinstance(x, list) else x
+
+
+def tree(df: DataFrame, key: str, text: str, texts: bool = False, sort: bool = False) -> DataFrame:
+    """key, pos, up (the parent's pos), steps, type, size (children), value of each node, in the document's order, or by name.
 
     value is a leaf's text, and with texts a container's compact JSON. Null and invalid texts have no nodes.
     """
@@ -87,7 +96,7 @@ def tree(df: DataFrame, key: str, text: str, texts: bool = False) -> DataFrame:
                     value = json.loads(t, parse_int=_Number, parse_float=_Number, parse_constant=_never)
                 except (ValueError, RecursionError):
                     continue
-                rows += [(i, *n) for n in _walk(value, texts)]
+                rows += [(i, *n) for n in _walk(_sorted_names(value) if sort else value, texts)]
             at, *columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = (pa.int32(), pa.int32(), _STEPS, pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["_key", "pos", "up", "steps", "type", "size", "value"])
@@ -207,6 +216,24 @@ def stats(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.octet_length(text).alias("n_bytes")).join(found, key)
 
 
+def delimited_text(cells: DataFrame, key: str, *, delimiter: str = ",", with_header: bool = True, bom: bool = False, crlf: bool = False, guard: bool = True) -> DataFrame:
+    """key, output: each text's table as a delimited file, its header first; cells (not the header) can be guarded against formulas.
+
+    A table is one value here; write rows() where it is too large for that.
+    """
+
+    def field(c: Column, guarded: bool) -> Column:
+        safe = F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c) if guarded else c
+        return bound(safe, lambda x: F.when(x.contains(delimiter) | x.rlike('["\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x))
+
+    line = F.array_join(F.transform("cells", lambda c: field(c, guard)), delimiter)
+    body = rows(cells, key).select(key, "record", line.alias("line")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("record", "line"))).alias("_l"))
+    head = header(cells, key).select(key, F.array_join(F.transform("columns", lambda c: field(c, False)), delimiter).alias("_h"))
+    written = F.transform("_l", lambda x: x["line"])
+    lines = F.concat(F.array("_h"), written) if with_header else written
+    return body.join(head, key).select(key, F.concat(F.lit("﻿" if bom else ""), F.array_join(lines, "\r\n" if crlf else "\n")).alias("output"))
+
+
 # ---- types
 
 

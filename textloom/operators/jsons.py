@@ -225,8 +225,12 @@ def canonical(df: DataFrame, key: str, text: str, *, sort_arrays: bool = False,
     return df.select(F.col(key).alias("_key"), F.col(text).alias("_json")).mapInArrow(run, f"_key {kind}, canonical string").withColumnRenamed("_key", key)
 
 
+def yaml_ambiguous(c: Column) -> Column:
+    """Whether a bare scalar would be read as something other than a text."""
+    return c.rlike(r"^(?i:true|false|yes|no|on|off|y|n|null|~|[-+]?\.inf|\.nan)$") | c.rlike(r"^[-+]?(\d[\d_]*)?\.?\d+([eE][-+]?\d+)?$") | c.rlike(r"^0[xo][0-9a-fA-F]+$") | c.rlike(r"^\d+(:\d{1,2})+(\.\d*)?$") | c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}")
+
+
 def yaml_needs_quotes(c: Column) -> Column:
     """Whether a bare scalar would be read as something else, or break the line."""
-    ambiguous = c.rlike(r"^(?i:true|false|yes|no|on|off|y|n|null|~|[-+]?\.inf|\.nan)$") | c.rlike(r"^[-+]?(\d[\d_]*)?\.?\d+([eE][-+]?\d+)?$") | c.rlike(r"^0[xo][0-9a-fA-F]+$") | c.rlike(r"^\d+(:\d{1,2})+(\.\d*)?$") | c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}")
-    unsafe = (c == "") | c.rlike(r"^\s|\s$") | c.rlike(r"^[!&*|>'\"%@`#{}\[\],]") | c.rlike(r"^[-?:](\s|$)") | c.contains(": ") | c.endswith(":") | c.contains(" #") | c.rlike(r"[\x00-\x1F]")
-    return ambiguous | unsafe
+    unsafe = (c == "") | c.rlike(r"^\s|\s$") | c.rlike(r"^[!&*|>'\"%@`#{}\[\],]") | c.rlike(r"^[-?:](\s|$)") | c.contains(": ") | c.endswith(":") | c.rlike(r"\s#") | c.rlike(r"[\x00-\x1F\x7F]")
+    return yaml_ambiguous(c) | unsafe

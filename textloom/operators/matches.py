@@ -126,6 +126,15 @@ def find_all(df: DataFrame, key: str, text: str, pattern: str, groups: int = 0,
     return rows.select(key, (F.col("at") + 1).alias("n"), "m.index", (F.col("m.line") + 1).alias("line"), (F.col("m.index") - F.col("m.start") + 1).alias("column"), "m.match", captures.alias("captures"))
 
 
+def match_stats(df: DataFrame, key: str, text: str, pattern: str, flags: str = "g", limit: int = 500) -> DataFrame:
+    """key, total, listed (of the first limit), n_lines (that have a match), matched_chars, longest, has_empty; a text without matches has zeros."""
+    found = match_places(F.col(text), pattern, 0, flags)
+    rows = df.where(F.col(text).isNotNull()).select(key, found.alias("m"))
+    sizes = F.transform("m", lambda x: F.length(x["match"]))
+    total = F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+    return rows.select(key, F.size("m").alias("total"), F.least(F.size("m"), F.lit(limit)).alias("listed"), F.size(F.array_distinct(F.transform("m", lambda x: x["line"]))).alias("n_lines"), total.alias("matched_chars"), F.coalesce(F.array_max(sizes), F.lit(0)).alias("longest"), F.exists(sizes, lambda n: n == 0).alias("has_empty"))
+
+
 @dataclass(frozen=True)
 class Rule:
     find: str

@@ -1,4 +1,4 @@
-"""JSON texts written anew, one row at a time: indented, minified, or as YAML. Numbers stay as they were written."""
+"""JSON texts written anew, one row at a time: indented or minified. Numbers stay as they were written."""
 
 from __future__ import annotations
 
@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from .jsons import _never, _Number
 
-PLAIN = r"[A-Za-z0-9_./ @%+()-]"
-
-
 def _dump(x: object, indent: str | None, sort: bool, level: int = 0) -> str:
     if isinstance(x, _Number):
         return str(x)
@@ -61,46 +58,3 @@ def beautify(df: DataFrame, key: str, text: str, indent: str = "  ", sort: bool
 
 def minify(df: DataFrame, key: str, text: str, sort: bool = False) -> DataFrame:
     return _rewrite(df, key, text, lambda x: _dump(x, None, sort))
-
-
-def _scalar(x: object) -> str:
-    """Bare where nothing else can be read from it, else in quotes."""
-    import re
-
-    if isinstance(x, _Number):
-        return str(x)
-    if not isinstance(x, str):
-        return json.dumps(x)
-    ambiguous = re.fullmatch(r"(?i)true|false|yes|no|on|off|y|n|null|~|[-+.\d].*", x)
-    if x and not ambiguous and re.fullmatch(PLAIN + "+", x) and x.strip() == x and x[0] not in "@%":
-        return x
-    if re.search(r"[\x00-\x1f\x7f-\x9f  ﻿]", x):
-        return json.dumps(x)
-    return "'" + x.replace("'", "''") + "'"
-
-
-def _yaml(x: object, indent: int, level: int = 0) -> list[str]:
-    pad = " " * indent * level
-    lines = []
-    for k, v in x.items() if isinstance(x, dict) else ((None, v) for v in x):
-        head = pad + ("-" if k is None else _scalar(k) + ":")
-        if isinstance(v, dict | list) and v:
-            lines += [head, *_yaml(v, indent, level + 1)]
-        elif isinstance(v, str) and not isinstance(v, _Number) and "\n" in v and all(c.isprintable() or c == "\n" for c in v) and v.strip("\n") and v[0] not in " \n":
-            chomp = "-" if v[-1] != "\n" else "+" if v.endswith("\n\n") else ""
-            body = v[:-1] if v[-1] == "\n" else v
-            lines += [f"{head} |{chomp}", *(" " * indent * (level + 1) + s if s else "" for s in body.split("\n"))]
-        else:
-            lines.append(head + " " + ("{}" if v == {} and isinstance(v, dict) else "[]" if isinstance(v, list) else _scalar(v)))
-    return lines
-
-
-def to_yaml(df: DataFrame, key: str, text: str, indent: int = 2) -> DataFrame:
-    """key, output, error: block style, literal blocks for texts of several lines."""
-
-    def write(x: object) -> str:
-        if isinstance(x, dict | list):
-            return "\n".join(_yaml(x, indent)) + "\n" if x else ("{}" if isinstance(x, dict) else "[]") + "\n"
-        return _scalar(x) + "\n"
-
-    return _rewrite(df, key, text, write)

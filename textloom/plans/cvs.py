@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.text import STOP_WORDS
 from ..operators import resume
 from ..operators import resume_checks as checks
 from .registry import query, table
@@ -245,3 +246,20 @@ def resume_coaching(spark, sf_dir):
 def cv_contacts(spark, sf_dir):
     out = resume.contact(resume.lines(cvs(spark, sf_dir), "c_custkey", "cv"), "c_custkey")
     return out.withColumns({c: F.array_join(c, "|") for c in ("sensitive", "degrees")})
+
+
+#: What a customer's CV is held against.
+ADVERT = "'We need an analyst who knows sql and python: sql above all, python models and reports for a team of analysts, reports on ' || lower(c_mktsegment) || ', ' || lower(c_mktsegment) || ' and c++ or c++ ; lyon lyon'"
+
+
+@query(
+    rf"""WITH a AS (SELECT c_custkey, {CV} AS cv, regexp_extract_all(lower({ADVERT}), '[a-z][a-z0-9+#.]{{1,24}}') AS x FROM customer),
+e AS (SELECT c_custkey, cv, unnest(x) AS term, unnest(range(len(x))) AS spot FROM a),
+t AS (SELECT c_custkey, cv, term, count(*) AS n, min(spot) AS spot FROM e WHERE term NOT IN ({", ".join(repr(w) for w in STOP_WORDS)}) AND length(term) >= 3 GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY n DESC, spot) AS place, ' ' || regexp_replace(regexp_replace(lower(cv), '[^a-z0-9+#./ -]', ' ', 'g'), '\s+', ' ', 'g') || ' ' AS h FROM t)
+SELECT c_custkey, term, n, CAST(place AS INTEGER) AS place, contains(h, ' ' || term || ' ') OR contains(h, ' ' || term || 's ') OR (suffix(term, 's') AND contains(h, ' ' || left(term, -1) || ' ')) OR regexp_matches(h, '' || regexp_escape(term) || '') AS present FROM r WHERE place <= 28"""
+)
+def advert_terms(spark, sf_dir):
+    """The terms of each customer's advert, and whether the CV has them."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.expr(ADVERT).alias("advert"))
+    return checks.advert_coverage(cvs(spark, sf_dir), "c_custkey", "cv", customers)

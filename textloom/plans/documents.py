@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import web
-from ..operators import frequency, lines, relations
+from ..operators import delimited, frequency, lines, matches, relations
 from .registry import query, table
 
 # The same rules for DuckDB, whose expressions know \p classes too.
@@ -363,3 +363,34 @@ def escaped_pages(spark, sf_dir):
 FROM (SELECT page_id, trim(url) AS u, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS h FROM pages WHERE url IS NOT NULL)""")
 def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").where("url is not null").select("page_id", web.safe_url(F.col("url")).alias("link"), web.referrer_kind(F.col("url"), "example.com").alias("referrer"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?i)th[a-z]*') AS m, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(len(m) AS INTEGER) AS total, CAST(least(len(m), 5) AS INTEGER) AS listed, CAST(len(list_filter(l, lambda x: regexp_matches(x, '(?i)th[a-z]*'))) AS INTEGER) AS n_lines,
+  CAST(coalesce(list_sum(list_transform(m, lambda x: length(x))), 0) AS INTEGER) AS matched_chars, CAST(coalesce(list_max(list_transform(m, lambda x: length(x))), 0) AS INTEGER) AS longest, false AS has_empty FROM m""")
+def match_totals(spark, sf_dir):
+    return matches.match_stats(docs(spark, sf_dir), "doc_id", "text", "th[a-z]*", "gi", limit=5)
+
+
+#: Texts of some documents get characters that join, so that graphemes and emoji occur.
+_SHOWN = "[👍©👨👩☀]"
+SEEN = "text || CASE doc_id % 4 WHEN 0 THEN ' ok 👍 © é 12+3' WHEN 1 THEN '👨‍👩 ☀ ä' ELSE '' END"
+
+
+@query(rf"""WITH g AS (SELECT doc_id, unnest(regexp_extract_all({SEEN}, '{_SHOWN}(?:\x{{200D}}{_SHOWN})*|\P{{M}}\p{{M}}*')) AS g FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, CASE WHEN regexp_matches(g, '{_SHOWN}') THEN 'emoji' WHEN regexp_matches(g, '^\p{{L}}\p{{M}}*$') THEN 'letters' WHEN regexp_matches(g, '^\p{{Nd}}$') THEN 'digits'
+  WHEN regexp_matches(g, '^{SP}$') THEN 'whitespace' WHEN regexp_matches(g, '^\p{{P}}$') THEN 'punctuation' WHEN regexp_matches(g, '^\p{{S}}$') THEN 'symbols' ELSE 'other' END AS k FROM g WHERE g <> '')
+SELECT d.doc_id, {", ".join(f"CAST(count(*) FILTER (k = '{n}') AS INTEGER) AS {n}" for n in ("emoji", "letters", "digits", "whitespace", "punctuation", "symbols", "other"))} FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id WHERE text IS NOT NULL GROUP BY d.doc_id""")
+def grapheme_classes(spark, sf_dir):
+    seen = docs(spark, sf_dir).where("text is not null").select("doc_id", F.expr(SEEN).alias("text"))
+    return seen.select("doc_id", *(c.alias(n) for n, c in frequency.grapheme_classes(F.col("text")).items()))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, list_filter(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_matches(x, '{NS}'))[1:50] AS l FROM documents WHERE text IS NOT NULL),
+c AS (SELECT unnest([',', chr(9), ';', '|', ' ']) AS d, unnest(range(5)) AS rank),
+n AS (SELECT doc_id, d, rank, list_transform(l, lambda x: len(string_split(regexp_replace(x, '"(?:[^"]|"")*"', '', 'g'), d))) AS n FROM l, c WHERE len(l) > 0),
+s AS (SELECT doc_id, d, rank, n[1] AS columns, len(list_filter(n, lambda k: k = n[1])) / len(n) AS confidence FROM n WHERE n[1] >= 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, columns DESC, rank) AS k FROM s)
+SELECT d.doc_id, coalesce(b.d, ',') AS delimiter, coalesce(confidence, 0.0) AS confidence, CAST(coalesce(columns, 0) AS INTEGER) AS columns FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id AND k = 1""")
+def delimiters(spark, sf_dir):
+    return delimited.detect(docs(spark, sf_dir), "doc_id", "text")

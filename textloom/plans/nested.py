@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import json_tables
+from ..operators import json_yaml as yaml
 from .registry import query, table
 
 _KEY = "CAST(o_orderkey AS STRING)"
@@ -94,3 +95,36 @@ def json_flatten(spark, sf_dir):
 def events_wide(spark, sf_dir):
     """All events' properties as one table with a column for each name."""
     return json_tables.wide(json_tables.cells(table(spark, sf_dir, "events"), "event_id", "props"), "event_id")
+
+
+@query(r"""WITH k AS (SELECT event_id, t.key AS k, t.value AS v, t.id AS pos FROM events, json_tree(CAST(props AS JSON)) t WHERE t.fullkey <> '$')
+SELECT event_id, string_agg(k || ': ' || CAST(v AS VARCHAR), chr(10) ORDER BY pos) || chr(10) AS output FROM k GROUP BY event_id""")
+def json_yaml(spark, sf_dir):
+    return yaml.to_yaml(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "output")
+
+
+#: A line for each leaf and label; the first line of a list's element has a dash. No text here needs more than quotes.
+_YAML_SQL = rf"""{_TREE}, s AS (SELECT *, regexp_extract_all(fk, '\[\d+\]|\.(?:"[^"]*"|[^.\[]+)') AS steps, kind NOT IN ('OBJECT', 'ARRAY') OR kind = 'ARRAY' AND json_array_length(v) = 0 OR kind = 'OBJECT' AND len(json_keys(v)) = 0 AS leaf FROM n),
+w AS (SELECT *, len(steps) > 0 AND NOT starts_with(steps[-1], '[') AS member FROM s),
+o AS (SELECT o_orderkey, pos, steps, leaf, member, name, kind, v, CASE WHEN member THEN len(steps) - 1 ELSE len(steps) END AS levels FROM w WHERE leaf OR member),
+items AS (SELECT i.o_orderkey, len(i.steps) AS level, i.steps AS item, min(o.pos) AS first FROM w i JOIN o ON o.o_orderkey = i.o_orderkey AND o.steps[1:len(i.steps)] = i.steps WHERE len(i.steps) > 0 AND NOT i.member GROUP BY ALL),
+p AS (SELECT o.o_orderkey, o.pos, o.levels, o.member, o.name, o.leaf, o.kind, o.v, o.steps, coalesce(list(i.level) FILTER (i.level IS NOT NULL), []) AS dashes FROM o LEFT JOIN items i ON i.o_orderkey = o.o_orderkey AND i.first = o.pos GROUP BY ALL),
+l AS (SELECT o_orderkey, pos, coalesce(array_to_string(list_transform(range(1, levels + 1), lambda k: CASE WHEN list_contains(dashes, k) THEN '- ' ELSE '  ' END), ''), '') || CASE WHEN NOT member THEN '' WHEN regexp_matches(name, '^(?i:y|n|yes|no|on|off|null|true|false)$') THEN '''' || name || ''':' ELSE name || ':' END
+  || CASE WHEN NOT leaf THEN '' ELSE CASE WHEN member THEN ' ' ELSE '' END || CASE kind WHEN 'VARCHAR' THEN CASE WHEN regexp_matches(v->>'$', '^(?i:y|n|yes|no|on|off|null|true|false)$') THEN '''' || (v->>'$') || '''' ELSE v->>'$' END ELSE CAST(v AS VARCHAR) END END AS line FROM p)
+SELECT o_orderkey, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS output, CAST(count(*) AS INTEGER) AS n_lines FROM l GROUP BY o_orderkey"""
+
+
+@query(f"WITH {_YAML_SQL}")
+def nested_yaml(spark, sf_dir):
+    return yaml.to_yaml(documents(spark, sf_dir), "o_orderkey", "doc").select("o_orderkey", "output", "n_lines")
+
+
+@query(rf"""WITH {_CELLS}, h AS (SELECT o_orderkey, path, min((record, pos)) AS first FROM c GROUP BY ALL), t AS (SELECT o_orderkey, list(path ORDER BY first) AS columns FROM h GROUP BY o_orderkey),
+r AS (SELECT o_orderkey, record, map_from_entries(list((path, value))) AS m FROM c GROUP BY ALL),
+q AS (SELECT o_orderkey, record, list_transform(columns, lambda c: coalesce(m[c], '')) AS cells FROM r JOIN t USING (o_orderkey)),
+l AS (SELECT o_orderkey, record, array_to_string(list_transform(cells, lambda x: CASE WHEN regexp_matches(x, '[;"\r\n]') THEN '"' || replace(x, '"', '""') || '"' ELSE x END), ';') AS line FROM q)
+SELECT o_orderkey, chr(65279) || array_to_string(any_value(columns), ';') || chr(13) || chr(10) || string_agg(line, chr(13) || chr(10) ORDER BY record) AS output FROM l JOIN t USING (o_orderkey) GROUP BY o_orderkey""")
+def nested_csv(spark, sf_dir):
+    """Each document's table as a delimited file's text, with a byte order mark and CRLF."""
+    cells = json_tables.cells(documents(spark, sf_dir), "o_orderkey", "doc")
+    return json_tables.delimited_text(cells, "o_orderkey", delimiter=";", bom=True, crlf=True)

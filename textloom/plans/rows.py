@@ -17,21 +17,11 @@ def turn_diffs(spark, sf_dir):
     return diff.diff_stats(diff.line_diff(pairs, "id", "before", "text"), "id")
 
 
-@query()
-def delimiters(spark, sf_dir):
-    return delimited.detect(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 @query()
 def delimited_parse(spark, sf_dir):
     return delimited.ragged(delimited.parse(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query()
-def json_yaml(spark, sf_dir):
-    return render.to_yaml(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "output")
-
-
 @query()
 def json_beautified(spark, sf_dir):
     return render.beautify(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "output")
