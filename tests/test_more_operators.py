@@ -9,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.functions import placeholder, tokens
-from textloom.operators import frequency, json_yaml, lines, matches, relations
+from textloom.functions import numeric, placeholder, tokens
+from textloom.operators import delimited, diff, frequency, json_yaml, lines, matches, relations, render
+from textloom.operators import resume_checks as checks
 from textloom.operators import json_tables as J
 from textloom.streaming import windows
 
@@ -342,3 +343,45 @@ def test_phrases_in_texts(spark):
     rows = [("We use C++ and node.js, daily reports", "c++", True), ("x report y", "reports", True), ("x reports y", "report", True), ("micro-services", "services", True), ("microservices", "services", False), ("a.b", "a", True), ("", "a", False), (None, "a", None)]
     got = spark.createDataFrame(rows, "t string, p string, want boolean").select("want", relations.phrase_present(F.col("t"), F.col("p")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_places_of_errors_in_json(spark):
+    bad = {1: "{'a': 1}", 2: '{"a": 1,}', 3: '{"a": 1,\n b: 2}', 4: '{"a": [1, 2', 5: '{"a": NaN}', 6: '[1,\n 2,\n]', 7: "", 8: '{"k": "' + "x" * 300 + '" 1}'}
+    rows = spark.createDataFrame([*bad.items(), (20, "[1]"), (21, None)], "k int, t string")
+    got = {r.k: r for r in render.diagnose(rows, "k", "t").collect()}
+    assert set(got) == set(bad)
+    assert [(got[i].line, got[i].column) for i in (1, 2, 3, 5, 6)] == [(1, 2), (1, 9), (2, 2), (1, 7), (3, 1)]
+    assert [next(k for k, h in render.HINTS.items() if h == got[i].hint) for i in range(1, 8)] == ["quotes", "comma", "word", "end", "number", "comma", "end"]
+    assert got[3].excerpt == " b: 2}" and got[3].pointer == " ^" and len(got[8].excerpt) == 121
+
+
+def test_delimited_tables(spark):
+    rows = delimited.parse(spark.createDataFrame([(1, "a, b\n\n1 ,2\n3,4,5"), (2, "x")], "k int, t string"), "k", "t")
+    got = [(r.k, r.row_no, r.names, r.cells) for r in delimited.table_rows(rows, "k").orderBy("k", "row_no").collect()]
+    assert got == [(1, 1, ["a", "b"], ["1", "2"]), (1, 2, ["a", "b"], ["3", "4", "5"])]
+    bare = [(r.k, r.names, r.cells) for r in delimited.table_rows(rows, "k", with_header=False, trim=False).orderBy("k", "row_no").collect()]
+    assert bare[0] == (1, ["Column 1", "Column 2"], ["a", " b"]) and bare[-1] == (2, ["Column 1"], ["x"])
+
+
+def test_what_a_review_is_given(spark):
+    cv = "Ada\nada@x.org +44 20 7946 0958, 020.794.6095\nExperience\nLead, 2001 - 2004\n• Responsible for 5 reports\n• Built 3 sites\n• Nothing in numbers"
+    df = spark.createDataFrame([(1, cv), (2, None)], "k int, t string")
+    terms = spark.createDataFrame([(1, f"t{i}", i, i % 2 == 0) for i in range(60)], "k int, term string, place int, present boolean")
+    found = spark.createDataFrame([(1, f"c{i}", ["polish", "critical"][i % 2], float(i)) for i in range(20)], "k int, check string, severity string, points_lost double")
+    got = {r.k: r for r in checks.review_payload(df, "k", "t", 24317, found, terms).collect()}
+    assert "@" not in got[1].cv and got[1].cv.count("[phone removed]") == 2
+    assert got[1].weak_bullets == ["Responsible for 5 reports", "Nothing in numbers"] and got[1].missing_terms == [f"t{i}" for i in range(1, 40, 2)]
+    assert got[1].issues[:2] == ["c19", "c17"] and len(got[1].issues) == 14 and got[2].issues == [] and got[2].cv is None
+
+
+def test_differences_of_bags(spark):
+    a, b = (spark.createDataFrame([(x,) for x in v], "x int") for v in ([1, 1, 2], [1, 3, 3]))
+    assert sorted((r.kind, r.x) for r in diff.multiset_diff(a, b).collect()) == [("added", 3), ("added", 3), ("removed", 1), ("removed", 2)]
+
+
+def test_bits_of_entropy(spark):
+    import math
+
+    got = col(spark, ["abc", "aB1!", "", "zzzz 1"], numeric.entropy_bits)
+    want = [3 * math.log2(26), 4 * math.log2(26 + 26 + 10 + 25), 0, 6 * math.log2(26 + 10 + 25)]
+    assert got == [round(x, 1) for x in want]

@@ -37,9 +37,13 @@ ZERO_WIDTH = "​‌‍⁠﻿­‎‏"
 SPACE_LIKE = "               　"
 
 
+#: The same characters one by one.
+SPACES = " \t\n\x0b\f\r\u00a0\ufeff\u2028\u2029\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
     """Trim white space in the wide sense; trim() strips U+0020 only."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:

@@ -83,6 +83,22 @@ def parse(df: DataFrame, key: str, text: str, delimiter: str | Column = ",") ->
     return slim.mapInArrow(run, f"_key {kind}, row_no int, cells array<string>").withColumnRenamed("_key", key)
 
 
+def table_rows(rows: DataFrame, key: str, *, with_header: bool = True, trim: bool = True) -> DataFrame:
+    """key, row_no (from 1, without the header), names, cells of parsed rows; rows of one blank field don't count.
+
+    names are the first row's cells, or "Column 1", "Column 2" and so on where there is no header.
+    """
+    cells = F.transform("cells", T.trim) if trim else F.col("cells")
+    full = rows.where(~((F.size("cells") == 1) & T.is_blank(F.get("cells", F.lit(0))))).select(key, "row_no", cells.alias("cells"))
+    w = Window.partitionBy(key)
+    nth = F.row_number().over(w.orderBy("row_no"))
+    numbered = F.transform(F.sequence(F.lit(1), F.size("_first")), lambda i: F.concat(F.lit("Column "), i.cast("string")))
+    out = full.withColumns({"_nth": nth, "_first": F.min_by("cells", "row_no").over(w)})
+    names = F.col("_first") if with_header else numbered
+    skip = 1 if with_header else 0
+    return out.where(F.col("_nth") > skip).select(key, (F.col("_nth") - skip).alias("row_no"), names.alias("names"), "cells")
+
+
 def ragged(rows: DataFrame, key: str) -> DataFrame:
     """key, n_rows, width (of the first row), n_ragged; rows of one blank field don't count."""
     full = rows.where(~((F.size("cells") == 1) & T.is_blank(F.get("cells", F.lit(0)))))

@@ -72,11 +72,11 @@ def _walk(value: object, texts: bool):
         pos += 1
 
 
-def _sorted_names(x: object) -> object:
+def sorted_names(x: object) -> object:
     """Names in order at every level: letters before their accents, lower case first."""
     if isinstance(x, dict):
-        return {k: _sorted_names(x[k]) for k in sorted(x, key=lambda k: (unicodedata.normalize("NFKD", k).casefold(), k.swapcase()))}
-    return [_sorted_names(v) for v in x] if isinstance(x, list) else x
+        return {k: sorted_names(x[k]) for k in sorted(x, key=lambda k: (unicodedata.normalize("NFKD", k).casefold(), k.swapcase()))}
+    return [sorted_names(v) for v in x] if isinstance(x, list) else x
 
 
 def tree(df: DataFrame, key: str, text: str, texts: bool = False, sort: bool = False) -> DataFrame:
@@ -96,7 +96,7 @@ def tree(df: DataFrame, key: str, text: str, texts: bool = False, sort: bool = F
                     value = json.loads(t, parse_int=_Number, parse_float=_Number, parse_constant=_never)
                 except (ValueError, RecursionError):
                     continue
-                rows += [(i, *n) for n in _walk(_sorted_names(value) if sort else value, texts)]
+                rows += [(i, *n) for n in _walk(sorted_names(value) if sort else value, texts)]
             at, *columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = (pa.int32(), pa.int32(), _STEPS, pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["_key", "pos", "up", "steps", "type", "size", "value"])

@@ -16,15 +16,28 @@ def explode_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 def dedupe_lines(df: DataFrame, key: str, text: str, *, keep: str = "first", trim: bool = True, case_sensitive: bool = False, ignore_empty: bool = True) -> DataFrame:
     """key, line_no, line: the lines that stay. Keeping the last puts its content at the first's place.
 
-    Blank lines pass when they are ignored. Only narrow rows are shuffled: one window by text and line key.
+    Blank lines pass when they are ignored. A text is one row, so its lines are told apart there: sorted by
+    their keys, equal ones stand together. Nothing is shuffled; rows of equal key are texts of their own.
     """
-    rows = explode_lines(df, key, text)
-    k = T.trim(F.col("line")) if trim else F.col("line")
-    k = k if case_sensitive else F.lower(k)
-    own = F.when(T.is_blank(F.col("line")), F.col("line_no")) if ignore_empty else F.lit(None).cast("int")
-    pick = F.min_by if keep == "first" else F.max_by  # a blank line that passes is a group of its own
-    kept = rows.groupBy(key, k.alias("_k"), own.alias("_own")).agg(F.min("line_no").alias("line_no"), pick("line", "line_no").alias("line"))
-    return kept.select(key, "line_no", "line")
+
+    def keyed(x: Column, i: Column) -> Column:
+        k = T.trim(x) if trim else x
+        k = k if case_sensitive else F.lower(k)
+        own = F.when(k == "" if trim else T.is_blank(x), i).otherwise(-1) if ignore_empty else F.lit(-1)
+        return F.struct(k.alias("k"), own.alias("own"), i.alias("i"))
+
+    def kept(s: Column) -> Column:
+        """(place, line that goes there) of each key: groups of the sorted keys begin where a key differs from the one before."""
+        at = F.transform(s, lambda x, j: F.when((j == 0) | (x["k"] != F.get(s, j - 1)["k"]) | (x["own"] != F.get(s, j - 1)["own"]), j))
+        begins = F.filter(at, lambda j: j.isNotNull())
+        last = lambda b: F.transform(b, lambda j, n: F.struct(F.get(s, j)["i"].alias("line_no"), F.get(s, F.coalesce(F.get(b, n + 1), F.size(s)) - 1)["i"].alias("of")))
+        first = lambda b: F.transform(b, lambda j: F.struct(F.get(s, j)["i"].alias("line_no"), F.get(s, j)["i"].alias("of")))
+        return T.bound(begins, last if keep == "last" else first)
+
+    rows = df.select(key, T.lines(F.col(text)).alias("_l"))
+    rows = rows.select(key, "_l", F.sort_array(F.transform("_l", keyed)).alias("_s"))
+    out = rows.select(key, "_l", F.explode(kept(F.col("_s"))).alias("_k"))
+    return out.select(key, F.col("_k.line_no").alias("line_no"), F.get("_l", F.col("_k.of")).alias("line"))
 
 
 def number_lines(c: Column, *, start: int = 1, step: int = 1, pad_to: int = 0, separator: str = ". ", skip_blank: bool = True) -> Column:

@@ -54,6 +54,22 @@ def link_audit(nodes: DataFrame, edges: DataFrame, key: str, src: str, dst: str,
     return both.select(key, inbound.alias("inbound"), outbound.alias("outbound"), F.col("i").isNull().alias("is_orphan"), (inbound < weak).alias("is_weak"))
 
 
+def link_bands(audit: DataFrame, n_broken: DataFrame, weak: int = 5, least: int = 8, most: int = 12) -> DataFrame:
+    """One row on a whole audit: nodes, orphans, weak ones (that are none), too few and too many links out, broken links, failed.
+
+    The audit fails where there are orphans or broken links. n_broken: one row, one count.
+    """
+    of = audit.agg(
+        F.count("*").alias("nodes"),
+        F.count_if("is_orphan").alias("orphans"),
+        F.count_if(~F.col("is_orphan") & (F.col("inbound") < weak)).alias("weak"),
+        F.count_if(F.col("outbound") < least).alias("few_out"),
+        F.count_if(F.col("outbound") > most).alias("many_out"),
+    )
+    both = of.crossJoin(F.broadcast(n_broken.toDF("broken")))  # a row and a row
+    return both.withColumn("failed", (F.col("orphans") > 0) | (F.col("broken") > 0))
+
+
 def broken_links(nodes: DataFrame, edges: DataFrame, key: str, src: str, dst: str) -> DataFrame:
     return edges.join(nodes.select(F.col(key).alias(dst)), dst, "left_anti").select(src, dst).distinct()
 

@@ -305,3 +305,39 @@ def report(scores: DataFrame, found: DataFrame, key: str) -> DataFrame:
     head = F.concat(F.format_string("# Score %d (%s)\n\n", "score", "grade"), relevance)
     table = F.concat(F.lit("| Category | Score |\n| --- | --- |\n"), *(F.format_string(f"| {c} | %d |\n", c) for c in CATEGORIES))
     return scores.join(lines, key, "left").select(key, F.concat(head, table, F.lit("\n## Findings\n\n"), listed, F.lit("\n")).alias("markdown"))
+
+
+# How much of each part a review may be given.
+REVIEW = {"cv": 9000, "advert": 2500, "role": 120, "issues": 14, "terms": 20, "bullets": 14}
+#: What is taken out of a CV before a review: addresses, and numbers with a country's code or in three groups.
+SCRUBBED = (
+    (resume.EMAIL, "[email removed]"),
+    (r"\+\d[\d\s().-]{8,16}\d", "[phone removed]"),
+    (r"(?<![A-Za-z0-9_])\d{3}[\s.-]\d{3}[\s.-]\d{4}(?![A-Za-z0-9_])", "[phone removed]"),
+)
+
+
+def scrubbed(text: Column) -> Column:
+    for pattern, to in SCRUBBED:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def review_payload(df: DataFrame, key: str, text: str, now: int, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, cv (scrubbed), issues, missing_terms, weak_bullets of each text, each within its limit.
+
+    found: findings, in whose order the issues come; terms: of advert_coverage. A bullet is weak that says
+    no number, opens weakly or opens without an action verb.
+    """
+    marked = resume.marked_lines(resume.role_lines(resume.lines(df, key, text), key, now), key)
+    weak = marked.where(F.col("is_bullet") & ((F.size("metrics") == 0) | F.col("weak_opener").isNotNull() | F.col("verb").isNull()))
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    ordered = lambda rows, order, value, most, name: rows.groupBy(key).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))), lambda x: x["v"]), 1, most).alias(name))
+    bullets = ordered(weak, ["line_no"], "bullet", REVIEW["bullets"], "weak_bullets")
+    issues = ordered(found, [rank.alias("r"), (-F.col("points_lost")).alias("l")], "check", REVIEW["issues"], "issues")
+    missing = ordered(terms.where(~F.col("present")), ["place"], "term", REVIEW["terms"], "missing_terms")
+    out = df.select(key, F.substring(scrubbed(F.col(text)), 1, REVIEW["cv"]).alias("cv"))
+    for part in (issues, missing, bullets):
+        out = out.join(part, key, "left")
+    none = F.array().cast("array<string>")
+    return out.select(key, "cv", *(F.coalesce(c, none).alias(c) for c in ("issues", "missing_terms", "weak_bullets")))

@@ -263,3 +263,19 @@ def advert_terms(spark, sf_dir):
     """The terms of each customer's advert, and whether the CV has them."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.expr(ADVERT).alias("advert"))
     return checks.advert_coverage(cvs(spark, sf_dir), "c_custkey", "cv", customers)
+
+
+@query(
+    rf"""WITH {_ROLES},
+w AS (SELECT c_custkey, line_no, said, ' ' || lower(said) || ' ' AS low FROM b WHERE counts AND marked AND len({" || ".join(_metric_sql(p) for p in resume.METRICS.values())}) = 0),
+k AS (SELECT c_custkey, string_agg(said, chr(10) ORDER BY line_no) AS unmeasured FROM w GROUP BY c_custkey)
+SELECT c_custkey, regexp_replace(regexp_replace(cv, '{resume.EMAIL}', '[email removed]', 'g'), '\+\d[\d\s().-]{{8,16}}\d', '[phone removed]', 'g') AS cv, coalesce(unmeasured, '') AS unmeasured FROM cv LEFT JOIN k USING (c_custkey)"""
+)
+def cv_reviews(spark, sf_dir):
+    """What a review is given of each CV: its text without addresses and numbers, and the bullets that say no number."""
+    own = cvs(spark, sf_dir)
+    f = checks.findings(checks.ratios(checks.facts(own, "c_custkey", "cv", NOW), "c_custkey"), "c_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.expr(ADVERT).alias("advert"))
+    out = checks.review_payload(own, "c_custkey", "cv", NOW, f, checks.advert_coverage(own, "c_custkey", "cv", customers))
+    measured = lambda b: F.size(resume.metrics(b)) > 0
+    return out.select("c_custkey", "cv", F.array_join(F.filter("weak_bullets", lambda b: ~measured(b)), "\n").alias("unmeasured"))

@@ -151,3 +151,14 @@ def status_shares(spark, sf_dir):
     counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
     share = T.half_up(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("o_orderpriority")), 2)
     return counts.withColumn("pct", share)
+
+
+@query(f"""WITH n AS (SELECT s_suppkey AS id FROM supplier), e AS ({LINKS}), i AS (SELECT dst AS id, count(DISTINCT src) AS i FROM e WHERE src <> dst GROUP BY 1), o AS (SELECT src AS id, count(DISTINCT dst) AS o FROM e GROUP BY 1),
+a AS (SELECT n.id, coalesce(i, 0) AS i, coalesce(o, 0) + 2 AS o FROM n LEFT JOIN i USING (id) LEFT JOIN o USING (id)), b AS (SELECT count(*) AS broken FROM (SELECT DISTINCT src, dst FROM e WHERE dst NOT IN (SELECT id FROM n)))
+SELECT count(*) AS nodes, count(*) FILTER (i = 0) AS orphans, count(*) FILTER (i BETWEEN 1 AND 2) AS weak, count(*) FILTER (o < 8) AS few_out, count(*) FILTER (o > 12) AS many_out, any_value(broken) AS broken, count(*) FILTER (i = 0) > 0 OR any_value(broken) > 0 AS failed FROM a, b""")
+def link_bands(spark, sf_dir):
+    """The audit of link_audit in one row."""
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") % 50).alias("dst"))
+    broken = relations.broken_links(nodes, edges, "id", "src", "dst").agg(F.count("*"))
+    return relations.link_bands(relations.link_audit(nodes, edges, "id", "src", "dst"), broken)
