@@ -196,12 +196,17 @@ def reveal_invisibles(spark, sf_dir):
     return docs(spark, sf_dir).where("text is not null").select("doc_id", T.reveal(F.col("text")).alias("revealed"))
 
 
+#: Some texts get characters that can't be seen, since the table's own have none.
+HIDDEN = "replace(text, 'e', CASE doc_id % 3 WHEN 0 THEN 'e\u200b' WHEN 1 THEN '\u00ad\u3000' ELSE 'e' END)"
+
+
 @query(rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+WITH l AS (SELECT doc_id, unnest(string_split({HIDDEN}, chr(10))) AS line, generate_subscripts(string_split({HIDDEN}, chr(10)), 1) AS n FROM documents),
 c AS (SELECT doc_id, n, unnest(string_split(line, '')) AS ch FROM l), k AS (SELECT doc_id, ch, n, count(*) AS m FROM c WHERE ch IN ({", ".join(f"chr({x})" for x in T.INVISIBLE)}) GROUP BY ALL)
 SELECT doc_id, upper(lpad(printf('%x', unicode(ch)), 4, '0')) AS code, CAST(sum(m) AS BIGINT) AS n, array_to_string(list_sort(list(n))[1:5], ',') AS lines FROM k GROUP BY doc_id, ch""")
 def invisible_census(spark, sf_dir):
-    found = lines.invisible_census(docs(spark, sf_dir), "doc_id", "text")
+    hidden = docs(spark, sf_dir).select("doc_id", F.expr(HIDDEN).alias("text"))
+    found = lines.invisible_census(hidden, "doc_id", "text")
     return found.select("doc_id", "code", "n", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
