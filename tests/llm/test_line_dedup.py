@@ -40,9 +40,26 @@ def test_against_all_pairs_of_lines(spark):
     assert sum(map(len, want.values())) > 20
 
 
-def test_without_broadcasts(spark):
-    rows = corpus(15)
-    assert run(spark, rows, L.LineDedupOptions(broadcast_tokens=0, broadcast_lines=0)) == plain(rows)
+def test_a_filter_loses_no_key(spark):
+    import numpy as np
+
+    bits = L.key_filter(spark.range(-50_000, 50_000, numPartitions=5).selectExpr("id * 7919 as h"))
+    inside, outside = (np.arange(-50_000, 50_000) * 7919).view(np.uint64), (np.arange(-50_000, 50_000) * 7919 + 1).view(np.uint64)
+    assert L._maybe(bits, inside).all() and L._maybe(bits, outside).sum() < 50
+    assert not L._maybe(L.key_filter(spark.range(0).selectExpr("id as h")), inside).any()
+
+
+def test_lines_that_a_filter_lets_pass():
+    import numpy as np
+    import pyarrow as pa
+
+    class Every:
+        value = np.full(L.FILTER_BITS // 8, 255, np.uint8)
+
+    texts = ["", "\n", "a", "a\nb", "\n\n", "é\n漢\n", None, "x\n", "\ny", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["dkey", "text"])
+    got = sorted((r["dkey"], r["line"], r["text"]) for b in L._wanted_lines(Every)([batch]) for r in b.to_pylist())
+    assert got == [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
 
 
 def test_a_very_common_line(spark):

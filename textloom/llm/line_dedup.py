@@ -13,7 +13,10 @@ on no order of work.
 4. Each line is first compared with the earliest line of each of its tokens' lists; only lines
    that this leaves unmatched are compared with all earlier lines of the lists. So a large group
    of copies costs a comparison for each line and token, not one for each pair.
-5. Candidates are confirmed on the lines' own words.
+5. Candidates are confirmed on the lines' own words. The texts are read again, and of their lines only
+   those leave a task that a Bloom filter of fixed size lets pass; an exact join follows. Tokens that only one
+   set has are left out in the same way. So the same plan runs at every size, and whole texts are shuffled once,
+   to meet the numbers of the lines that they lose.
 
 Lines without words stay. Null texts stay null. Rows of equal doc_id and text count as one
 document and lose the same lines; null ids come first. A document whose lines all go keeps its row
@@ -27,25 +30,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, packed, released, small_enough, table, unpacked
+from .common import materialize, mix64, packed, released, table, unpacked
 from .shingles import exact_shingles, shingles, stretches, words
 
 BUCKETS = 1 << 22  # of the sketch
 CHUNK = 1 << 16  # buckets in a chunk
 SHIFT = np.uint64(42)  # from a token to its bucket
 SECOND = np.uint64(0x5851F42D4C957F2D)  # sets the second hash of words apart from the first
+FILTER_BITS = 1 << 27  # of a Bloom filter: 16 MB
+FILTER_PARTS = 64
+PROBES = 5
 LINE_STRETCH = 1 << 21  # bytes of texts whose lines are held at a time
 
 
 @dataclass(frozen=True)
 class LineDedupOptions:
     similarity: int = 80  # per cent
-    broadcast_tokens: int = 1_000_000  # tokens of several lines that are broadcast at most; more are joined by a shuffle
-    broadcast_lines: int = 1_000_000  # line numbers that are broadcast at most; more are joined by a shuffle
 
 
 def _tokens(data: np.ndarray, off: np.ndarray, twice: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
@@ -146,14 +151,107 @@ def _confirm(similarity: int):
     return run
 
 
-def _line_texts(wanted: DataFrame, docs: DataFrame, bound: int) -> DataFrame:
-    """at, text of the lines that wanted (at) names: by document, then by line within it; bound: lines broadcast at most."""
-    by_doc = materialize(wanted.groupBy(F.col("at.dkey").alias("dkey")).agg(F.collect_set("at").alias("each")), "line-wanted")
-    if small_enough(by_doc, 200_000) and (by_doc.agg(F.sum(F.size("each"))).first()[0] or 0) <= bound:
-        by_doc = F.broadcast(by_doc)
-    one = docs.select("dkey", "text").join(by_doc, "dkey").withColumn("lines", F.split("text", "\n", -1))
-    lines = one.select(F.explode(F.transform("each", lambda c: F.struct(c.alias("at"), F.element_at("lines", c["line"] + 1).alias("text")))).alias("x"))
-    return materialize(lines.select("x.at", "x.text").dropDuplicates(["at"]), "line-texts")
+def _places(h: np.ndarray) -> list[np.ndarray]:
+    """The bits of 64-bit keys in the filter."""
+    one = mix64(h)
+    two = mix64(one ^ SECOND) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return [((one + np.uint64(k) * two) % np.uint64(FILTER_BITS)).astype(np.int64) for k in range(PROBES)]
+
+
+def _filter_of(batches):
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for b in batches:
+        for at in _places(b.column("h").to_numpy().view(np.uint64)):
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    z = zstandard.ZstdCompressor(1)
+    for k in range(FILTER_PARTS):
+        part = bits[k * len(bits) // FILTER_PARTS : (k + 1) * len(bits) // FILTER_PARTS]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([z.compress(part.tobytes())], pa.binary())], names=["part", "bits"])
+
+
+def _joined_filters(batches):
+    d, z, held = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(1), {}
+    for b in batches:
+        for k, blob in zip(b.column("part").to_pylist(), b.column("bits").to_pylist(), strict=True):
+            part = np.frombuffer(d.decompress(blob), np.uint8)
+            held[k] = held[k] | part if k in held else part
+    for k, part in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([z.compress(part.tobytes())], pa.binary())], names=["part", "bits"])
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column h (longs); of fixed size, so that it can be broadcast whatever the number of keys."""
+    parts = keys.select("h").mapInArrow(released(_filter_of), "part int, bits binary")
+    got = parts.repartition(FILTER_PARTS, "part").mapInArrow(_joined_filters, "part int, bits binary").toArrow()
+    bits, d = np.zeros((FILTER_PARTS, FILTER_BITS // 8 // FILTER_PARTS), np.uint8), zstandard.ZstdDecompressor()
+    for k, blob in zip(got["part"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        bits[k] = np.frombuffer(d.decompress(blob), np.uint8)
+    return bits.ravel()
+
+
+def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether keys may be in the filter; those that are always may."""
+    good = np.ones(len(h), bool)
+    for at in _places(h):
+        good &= (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+    return good
+
+
+def _line_key(dkey: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix64(dkey.view(np.uint64) ^ mix64(line.astype(np.uint64) + np.uint64(1)))
+
+
+def _line_keys(batches):
+    for b in batches:
+        h = _line_key(b.column("dkey").to_numpy(), b.column("line").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+
+def _wanted_lines(shared):
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            dkey = b.column("dkey").to_numpy()
+            for a, _, data, off in stretches(b.column("text"), LINE_STRETCH):
+                ends = np.flatnonzero(data == 10)
+                text = np.r_[np.arange(len(off) - 1), np.searchsorted(off, ends, "right") - 1]
+                starts = np.r_[off[:-1], ends + 1]  # a text's first line, and those after a line end in it
+                order = np.lexsort((starts, text))
+                text, starts = text[order], starts[order]
+                line = np.arange(len(text)) - np.searchsorted(text, text)
+                last = np.r_[text[1:] != text[:-1], True]
+                stop = np.where(last, off[text + 1], np.r_[starts[1:], 0] - 1)
+                own = np.flatnonzero(_maybe(bits, _line_key(dkey[a + text], line)))
+                raw = [data[starts[i] : stop[i]].tobytes() for i in own.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(dkey[a + text[own]]), pa.array(line[own].astype(np.int32)), pa.array(raw, pa.binary()).cast(pa.string())], names=["dkey", "line", "text"])
+
+    return run
+
+
+def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """at, text of the lines that wanted (at) names; only these, and few others, leave the task that reads their text."""
+    wanted = materialize(wanted.select("at", F.col("at.dkey").alias("dkey"), F.col("at.line").alias("line")), "line-wanted")
+    bits = key_filter(wanted.select("dkey", "line").mapInArrow(_line_keys, "h long"))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    lines = docs.select("dkey", "text").mapInArrow(released(_wanted_lines(shared)), "dkey long, line int, text string")
+    return materialize(lines.join(wanted, ["dkey", "line"]).select("at", "text").dropDuplicates(["at"]), "line-texts")
+
+
+def _shared_tokens(shared):
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            lists = b.column("tokens")
+            n, token = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            own = np.flatnonzero(_maybe(bits, token.view(np.uint64)))
+            who = pa.array(row[own])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(who) for c in ("cls", "n", "doc_id", "dkey", "line")), pa.array(pos[own].astype(np.int32)), pa.array(token[own])], names=["cls", "n", "doc_id", "dkey", "line", "pos", "token"])
+
+    return run
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
@@ -183,9 +281,9 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     rows = lines.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
     ends = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     common = materialize(ends.where(F.col("lo") != F.col("hi")).select("token"), "line-common")
-    if small_enough(common, options.broadcast_tokens):
-        common = F.broadcast(common)
-    every = lines.select("cls", "n", place.alias("at"), F.posexplode("tokens").alias("pos", "token")).join(common, "token", "left_semi")
+    bits = spark.sparkContext.broadcast(key_filter(common.select(F.col("token").alias("h"))))
+    some = lines.mapInArrow(released(_shared_tokens(bits)), f"cls long, n int, doc_id {kind}, dkey long, line int, pos int, token long")
+    every = some.select("cls", "n", place.alias("at"), "pos", "token").join(common, "token", "left_semi")
     posts = every.groupBy("token", "cls", "n", "pos").agg(F.min("at").alias("at"))
     leads = posts.groupBy("token").agg(F.min_by(F.struct("at", "cls", "n", "pos"), "at").alias("lead"))
     posts = materialize(posts.join(leads, "token"), "line-tokens")
@@ -198,7 +296,7 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     star = posts.where((F.col("cls") != F.col("lead.cls")) & within(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos")))
     star = materialize(star.select(F.col("lead.at").alias("a"), F.col("at").alias("b")).distinct(), "line-star")
     ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
-    texts = _line_texts(ends_of(star), docs, options.broadcast_lines)
+    texts = _line_texts(ends_of(star), docs)
     matched = materialize(_similar(star, texts, t), "line-matched")
     left = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     rest = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(matched, "b", "left_anti")
@@ -207,7 +305,7 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     if pairs.limit(1).count():
         more = ends_of(pairs).join(texts.select("at"), "at", "left_anti")
         if more.limit(1).count():
-            texts = texts.union(_line_texts(more, docs, options.broadcast_lines))
+            texts = texts.union(_line_texts(more, docs))
         matched = matched.union(_similar(pairs, texts, t))
 
     hit = classes.join(matched.withColumnRenamed("b", "at").withColumn("hit", F.lit(True)), "at", "left")
@@ -230,8 +328,6 @@ def dedup_lines(docs: DataFrame, options: LineDedupOptions = LineDedupOptions())
     """docs with n_lines, removed (sorted line numbers) and deduped (the text without them); these replace columns of their names."""
     keyed = _keyed(docs)
     removed = materialize(later_matches(keyed.select("doc_id", "text", "dkey"), options), "lines-removed")
-    total = removed.agg(F.sum(F.size("removed") + 3)).first()[0] or 0
-    removed = F.broadcast(removed) if total <= options.broadcast_lines else removed
     out = keyed.join(removed, "dkey", "left")
     out = out.withColumn("removed", F.coalesce(F.sort_array("removed"), F.array().cast("array<int>")))
     out = out.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)))
