@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The first four
 return the columns of documents; the last returns doc_id, ids, n_pieces and lossless.
+
+Null and empty texts have no lines, shingles or windows, so no stage but the classifier could let them
+go. Every stage takes texts of any length whole, treats equal rows alike (near-duplicates keep one of them), and gives an empty table for
+an empty one. Of documents that are alike the one of the smallest doc_id stays, and of equal lines the first.
+Columns besides doc_id and text travel in a struct, so that their names can't clash; n_chars follows a text
+that lost lines. The last stage leaves them out.
 """
 
 from __future__ import annotations

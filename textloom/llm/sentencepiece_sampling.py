@@ -9,7 +9,7 @@ segmentation depends on nothing else: not on partitions, batches or other rows.
 Decoding joins the pieces' bytes and drops the one space put in front; it restores every text
 exactly, whatever white space, line ends or unknown characters it holds. Null texts have null ids;
 an empty text has the ids of the single space put in front. Repeated keys with equal texts get
-equal segmentations. Extra columns are kept as they are by the stage.
+equal segmentations. Other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
