@@ -328,7 +328,7 @@ def dedup_lines(docs: DataFrame, options: LineDedupOptions = LineDedupOptions())
     """docs with n_lines, removed (sorted line numbers) and deduped (the text without them); these replace columns of their names."""
     keyed = _keyed(docs)
     removed = materialize(later_matches(keyed.select("doc_id", "text", "dkey"), options), "lines-removed")
-    out = keyed.join(removed, "dkey", "left")
+    out = keyed.join(removed.hint("merge"), "dkey", "left")  # at every size as at a large one
     out = out.withColumn("removed", F.coalesce(F.sort_array("removed"), F.array().cast("array<int>")))
     out = out.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)))
     kept = F.get(F.transform(F.array(F.split("text", "\n", -1)), lambda lines: _without(lines, F.col("removed"))), 0)
