@@ -1,7 +1,8 @@
 """JSON texts as tables and as types.
 
-A text becomes rows of nodes with the steps that lead to them. A table's cells, its header and its rows are
-expressions, aggregates and windows over these; so are the merged shapes that types are made of.
+A text is walked once, by a small helper a row, into one array: the records of its table with their cells, its
+merged shapes, or its nodes. Tables, headers, counts and types are expressions over that array, so a text's rows
+meet without a shuffle; operators that take cells or shapes as rows group them by text.
 """
 
 from __future__ import annotations
@@ -9,14 +10,16 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
-from .jsons import _kind, _never, _Number
+from .jsons import _kind, _Number, _read
 
 STEPS = "array<struct<name:string,index:int,nth:int>>"  # nth: the place among its parent's children
 _STEPS = pa.list_(pa.struct([("name", pa.string()), ("index", pa.int32()), ("nth", pa.int32())]))
@@ -24,6 +27,8 @@ _STEPS = pa.list_(pa.struct([("name", pa.string()), ("index", pa.int32()), ("nth
 
 def number_text(written: str) -> str:
     """A number as a browser writes it: the shortest digits that read back the same, powers only below 1e-6 and from 1e21 on."""
+    if len(written) < 16 and written.isdecimal() and (written[0] != "0" or written == "0"):
+        return str(written)  # most are
     x = float(written)
     if x == 0 or x in (float("inf"), float("-inf")):
         return "0" if x == 0 else "null"
@@ -79,6 +84,36 @@ def sorted_names(x: object) -> object:
     return [sorted_names(v) for v in x] if isinstance(x, list) else x
 
 
+#: Nodes that are held at a time, whatever the number of texts in a batch (one text is held whole).
+MOST_NODES = 4_000
+
+
+def _walked(b: pa.RecordBatch, walk: Callable[[object], Iterable[tuple]]):
+    """(places of the valid texts in the batch, what walk makes of each), some texts at a time."""
+    at: list[int] = []
+    found: list[list[tuple]] = []
+    held = 0
+    for i, t in enumerate(b.column("_json").to_pylist()):
+        if t is None:
+            continue
+        try:
+            value = _read(t)
+        except (ValueError, RecursionError):
+            continue
+        at.append(i)
+        found.append(list(walk(value)))
+        held += max(len(found[-1]), 10)
+        if held >= MOST_NODES:
+            yield at, found
+            at, found, held = [], [], 0
+    if at:
+        yield at, found
+
+
+def _offsets(lengths: Iterable[int]) -> pa.Array:
+    return pa.array(accumulate(lengths, initial=0), pa.int32())
+
+
 def tree(df: DataFrame, key: str, text: str, texts: bool = False, sort: bool = False) -> DataFrame:
     """key, pos, up (the parent's pos), steps, type, size (children), value of each node, in the document's order, or by name.
 
@@ -88,18 +123,16 @@ def tree(df: DataFrame, key: str, text: str, texts: bool = False, sort: bool = F
 
     def run(batches):
         for b in batches:
-            rows: list[tuple] = []
-            for i, t in enumerate(b.column("_json").to_pylist()):
-                if t is None:
-                    continue
-                try:
-                    value = json.loads(t, parse_int=_Number, parse_float=_Number, parse_constant=_never)
-                except (ValueError, RecursionError):
-                    continue
-                rows += [(i, *n) for n in _walk(sorted_names(value) if sort else value, texts)]
-            at, *columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int32(), pa.int32(), _STEPS, pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["_key", "pos", "up", "steps", "type", "size", "value"])
+            for at, found in _walked(b, lambda value: _walk(sorted_names(value) if sort else value, texts)):
+                flat = [n for nodes in found for n in nodes]
+                lengths = [len(nodes) for nodes in found]
+                steps = [x for n in flat for x in n[2]]
+                names, indexes, nths = ([x[k] for x in steps] for k in ("name", "index", "nth"))
+                inner = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(indexes, pa.int32()), pa.array(nths, pa.int32())], fields=list(_STEPS.value_type))
+                taken = pa.array([i for i, n in zip(at, lengths, strict=True) for _ in range(n)], pa.int64())
+                columns = [pa.array([n[k] for n in flat], t) for k, t in ((0, pa.int32()), (1, pa.int32()), (3, pa.string()), (4, pa.int32()), (5, pa.string()))]
+                columns.insert(2, pa.ListArray.from_arrays(_offsets(len(n[2]) for n in flat), inner, type=_STEPS))
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(taken), *columns], names=["_key", "pos", "up", "steps", "type", "size", "value"])
 
     out = df.select(F.col(key).alias("_key"), F.col(text).alias("_json")).mapInArrow(run, f"_key {kind}, pos int, up int, steps {STEPS}, type string, size int, value string")
     return out.withColumnRenamed("_key", key)
@@ -113,60 +146,135 @@ class TableOptions:
     null_as: str = ""
 
 
-def _path(steps: Column, separator: str) -> Column:
-    """Names joined by the separator, places in brackets."""
+def _records(value: object) -> tuple[str, bool, int, list]:
+    """source, whether it is a list of records, pos of the list, the records of a text's table."""
+    if isinstance(value, list):
+        return "$", True, 0, value
+    if isinstance(value, dict):
+        pos = 1
+        for name, x in value.items():
+            if isinstance(x, list) and any(isinstance(v, dict) for v in x):
+                return f"$.{name}", True, pos, x
+            pos += _n_nodes(x)
+    return "$", False, -1, [value]
 
-    def add(acc: Column, s: Column) -> Column:
-        named = F.when(acc == "", s["name"]).otherwise(F.concat(acc, F.lit(separator), s["name"]))
-        return F.when(s["index"].isNotNull(), F.concat(acc, F.lit("["), s["index"].cast("string"), F.lit("]"))).otherwise(named)
 
-    return F.aggregate(steps, F.lit(""), add)
+def _n_nodes(value: object) -> int:
+    stack, n = [value], 0
+    while stack:
+        x = stack.pop()
+        n += 1
+        stack += x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
+    return n
 
 
-def cells(df: DataFrame, key: str, text: str, options: TableOptions = TableOptions()) -> DataFrame:
-    """key, record, pos, path, value, level, source: the cells of the table that each text holds.
+def _leaf(x: object) -> str | None:
+    if isinstance(x, _Number):
+        return number_text(x)
+    return str(x).lower() if isinstance(x, bool) else x
+
+
+def _cells(value: object, o: TableOptions):
+    """(source, record, pos, path, value, level) of each cell, in order; a list that is one cell is not walked into."""
+    source, listed, pos, records = _records(value)
+    pos += not listed
+    empty = None if o.arrays == "json" else ""
+    for record, top in enumerate(records):
+        pos += listed
+        stack = [("", top, 1, pos)]
+        following = pos
+        while stack:
+            path, x, level, _ = stack.pop()
+            at, following = following, following + 1
+            if isinstance(x, (dict, list)):
+                if not x:
+                    said = empty if empty is not None else _compact(x)
+                elif isinstance(x, list) and o.arrays != "index":
+                    following += _n_nodes(x) - 1
+                    if o.arrays == "json":
+                        said = _compact(x)
+                    else:
+                        said = o.join_with.join(v for v in (o.null_as if v is None else _compact(v) if isinstance(v, (dict, list)) else _leaf(v) for v in x) if v is not None)
+                elif isinstance(x, dict):
+                    stack += reversed([(f"{path}{o.separator}{k}" if path else k, v, level + 1, 0) for k, v in x.items()])
+                    continue
+                else:
+                    stack += reversed([(f"{path}[{i}]", v, level + 1, 0) for i, v in enumerate(x)])
+                    continue
+            else:
+                said = o.null_as if x is None else _leaf(x)
+                path = "value" if level == 1 else path
+            yield source, record, at, path, said, level
+        pos = following - 1
+
+
+_CELL = pa.struct([("pos", pa.int32()), ("path", pa.string()), ("value", pa.string()), ("level", pa.int32())])
+_TABLE = pa.list_(pa.struct([("record", pa.int32()), ("cells", pa.list_(_CELL))]))
+
+
+def tables(df: DataFrame, key: str, text: str, options: TableOptions = TableOptions()) -> DataFrame:
+    """key, source, records (record, cells of pos, path, value, level): the table that each valid text holds, in a row.
 
     The records are a root list's elements; else those of the root object's first list that has an object
     among its elements; else the root. A record that is neither list nor object has the column "value".
     """
-    n = tree(df, key, text, texts=options.arrays != "index")
-    depth, step = F.size("steps"), lambda i: F.get("steps", F.lit(i))
-    of_text = Window.partitionBy(key)
-    root_is_list = F.max((depth == 0) & (F.col("type") == "array")).over(of_text)
-    # an object in a list that is the root object's member: the first such list's name, by its first object's place
-    inside = (depth == 2) & step(0)["name"].isNotNull() & step(1)["index"].isNotNull() & (F.col("type") == "object")
-    first = F.min(F.when(inside, F.struct("pos", step(0)["name"].alias("name")))).over(of_text)["name"]
-    n = n.withColumns({"_list": root_is_list, "_first": first})
-    skip = F.when(F.col("_list"), 1).when(F.col("_first").isNotNull(), 2).otherwise(0)
-    n = n.withColumns({"_skip": skip, "source": F.when(~F.col("_list") & F.col("_first").isNotNull(), F.concat(F.lit("$."), F.col("_first"))).otherwise("$")})
-    n = n.where((depth >= F.col("_skip")) & ((F.col("_skip") != 2) | (step(0)["name"] == F.col("_first"))))
-    n = n.withColumns({"record": F.when(F.col("_skip") > 0, F.get("steps", F.col("_skip") - 1)["index"]).otherwise(0), "_steps": F.slice("steps", F.col("_skip") + 1, F.greatest(depth, F.lit(1)))})
-    own = F.size("_steps")
-    if options.arrays != "index":
-        # the outermost list of a record is one cell; what is inside it only helps to fill the cell
-        places = F.filter(F.transform("_steps", lambda s, i: F.when(s["index"].isNotNull(), i)), lambda i: i.isNotNull())
-        n = n.withColumn("_in", F.get(places, 0))
-        element = F.col("_in").isNotNull() & (own == F.col("_in") + 1)
-        if options.arrays == "join":
-            said = F.when(F.col("type") == "null", options.null_as).otherwise(F.col("value"))
-            up = Window.partitionBy(key, "up")
-            joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("said"))).over(up)), lambda x: x["said"]), options.join_with)
-            n = n.where(F.col("_in").isNull() | element).withColumn("_joined", F.when(element, joined))
-            list_at = F.slice("_steps", 1, F.col("_in"))
-            heads = n.where(element & (F.get("_steps", F.col("_in"))["index"] == 0))
-            lists = heads.select(key, "record", (F.col("pos") - 1).alias("pos"), list_at.alias("_steps"), F.lit("array").alias("type"), F.lit(1).alias("size"), F.col("_joined").alias("value"), "source")
-            plain = n.where(F.col("_in").isNull() & ~((F.col("type") == "array") & (F.col("size") > 0))).select(key, "record", "pos", "_steps", "type", "size", "value", "source")
-            n = plain.union(lists)
-        else:
-            n = n.where(F.col("_in").isNull()).select(key, "record", "pos", "_steps", "type", "size", "value", "source")
-    empty = F.lit(None).cast("string") if options.arrays == "json" else F.lit("")
-    container = F.col("type").isin("object", "array")
-    filled = (F.col("type") == "array") & (F.col("size") > 0) & F.lit(options.arrays != "index")
-    value = F.when(F.col("type") == "null", options.null_as).when(container & (F.col("size") == 0), F.coalesce(empty, F.col("value"))).otherwise(F.col("value"))
-    shown = n.where(~container | (F.col("size") == 0) | filled)
-    bare = (F.size("_steps") == 0) & ~F.col("type").isin("object", "array")
-    path = F.when(bare, "value").otherwise(_path(F.col("_steps"), options.separator))
-    return shown.select(key, "record", "pos", path.alias("path"), value.alias("value"), (F.size("_steps") + 1).alias("level"), "source")
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for at, found in _walked(b, lambda value: _cells(value, options)):
+                flat = [c for cells in found for c in cells]
+                records = [[(r, len(list(own))) for r, own in groupby(cells, key=lambda c: c[1])] for cells in found]
+                cells = pa.StructArray.from_arrays([pa.array([c[k] for c in flat], f.type) for k, f in zip((2, 3, 4, 5), _CELL, strict=True)], fields=list(_CELL))
+                held = [r for own in records for r in own]
+                lists = pa.ListArray.from_arrays(_offsets(n for _, n in held), cells, type=pa.list_(_CELL))
+                rows = pa.StructArray.from_arrays([pa.array([r for r, _ in held], pa.int32()), lists], fields=list(_TABLE.value_type))
+                whole = pa.ListArray.from_arrays(_offsets(map(len, records)), rows, type=_TABLE)
+                source = pa.array([c[0][0] if c else None for c in found], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(at, pa.int64())), source, whole], names=["_key", "source", "records"])
+
+    shown = "array<struct<record:int,cells:array<struct<pos:int,path:string,value:string,level:int>>>>"
+    out = df.select(F.col(key).alias("_key"), F.col(text).alias("_json")).mapInArrow(run, f"_key {kind}, source string, records {shown}")
+    return out.withColumnRenamed("_key", key).where("size(records) > 0")
+
+
+def cells(df: DataFrame, key: str, text: str, options: TableOptions = TableOptions()) -> DataFrame:
+    """key, record, pos, path, value, level, source: the cells of the table that each text holds, as tables() has them."""
+    by_record = tables(df, key, text, options).select(key, "source", F.inline("records"))
+    return by_record.select(key, "source", "record", F.inline("cells")).select(key, "record", "pos", "path", "value", "level", "source")
+
+
+def _paths(cells: Column) -> Column:
+    return F.transform(cells, lambda c: c["path"])
+
+
+def headed(tables: DataFrame) -> DataFrame:
+    """tables() with columns (in the order in which records first have them) and late (the first twenty that record 0 lacks)."""
+    every = F.array_distinct(F.flatten(F.transform("records", lambda r: _paths(r["cells"]))))
+    first = F.get("records", F.lit(0))
+    lacks = F.when(first["record"] == 0, F.array_except("columns", _paths(first["cells"]))).otherwise(F.col("columns"))
+    return tables.withColumn("columns", every).withColumn("late", F.slice(lacks, 1, 20))
+
+
+def _filled(cells: Column, columns: Column) -> Column:
+    """The record's cells under all columns, '' where it has none."""
+    own = F.map_from_entries(F.transform(cells, lambda c: F.struct(c["path"], c["value"])))
+    # most records have all columns in their order
+    return F.when(_paths(cells) == columns, F.transform(cells, lambda c: F.coalesce(c["value"], F.lit("")))).otherwise(bound(own, lambda m: F.transform(columns, lambda c: F.coalesce(F.element_at(m, c), F.lit("")))))
+
+
+def table_rows(tables: DataFrame, key: str) -> DataFrame:
+    """key, record, columns, cells (of all columns, '' where the record has none), missing."""
+    each = headed(tables).select(key, "columns", F.inline("records"))
+    return each.select(key, "record", "columns", _filled(F.col("cells"), F.col("columns")).alias("cells"), (F.size("cells") < F.size("columns")).alias("missing"))
+
+
+def table_summary(tables: DataFrame, key: str) -> DataFrame:
+    """key, source, n_rows, n_columns, sparse_rows, late, depth of each text's table."""
+    n = F.size("columns")
+    sparse = F.size(F.filter("records", lambda r: F.size(r["cells"]) < n)).cast("long")
+    depth = F.array_max(F.transform("records", lambda r: F.array_max(F.transform(r["cells"], lambda c: c["level"]))))
+    return headed(tables).select(key, "source", F.size("records").cast("long").alias("n_rows"), n.alias("n_columns"), sparse.alias("sparse_rows"), "late", depth.alias("depth"))
 
 
 def header(cells: DataFrame, key: str) -> DataFrame:
@@ -207,13 +315,48 @@ def wide(cells: DataFrame, key: str, most: int = 2000) -> DataFrame:
 
 def stats(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_bytes, minified_bytes, depth, keys, arrays, objects, nulls, root of each valid text; the root's depth is 1."""
-    n = tree(df, key, text, texts=True)
-    has = lambda t: F.count_if(F.col("type") == t)
-    named = F.count_if(F.coalesce(F.get("steps", F.size("steps") - 1)["name"].isNotNull(), F.lit(False)))
-    root = F.size("steps") == 0
-    small = F.when(F.col("type") == "string", F.octet_length(F.to_json(F.struct("value"))) - 10).when(F.col("type") == "null", 4).otherwise(F.octet_length("value"))
-    found = n.groupBy(key).agg(F.max(F.when(root, small)).alias("minified_bytes"), (F.max(F.size("steps")) + 1).alias("depth"), named.alias("keys"), has("array").alias("arrays"), has("object").alias("objects"), has("null").alias("nulls"), F.max(F.when(root, F.col("type"))).alias("root"))
-    return df.select(key, F.octet_length(text).alias("n_bytes")).join(found, key)
+    kind = df.schema[key].dataType.simpleString()
+
+    def counted(value: object):
+        """The root's text, then depth, keys, lists, objects, nulls and the root's type."""
+        depth, keys, n = 0, 0, dict.fromkeys(("array", "object", "null"), 0)
+        stack = [(value, 1)]
+        while stack:
+            x, level = stack.pop()
+            depth = max(depth, level)
+            if isinstance(x, dict):
+                n["object"] += 1
+                keys += len(x)
+                stack += [(v, level + 1) for v in x.values()]
+            elif isinstance(x, list):
+                n["array"] += 1
+                stack += [(v, level + 1) for v in x]
+            elif x is None:
+                n["null"] += 1
+        yield _compact(value) if isinstance(value, (dict, list)) else _leaf(value), depth, keys, *n.values(), _kind(value)
+
+    def run(batches):
+        for b in batches:
+            for at, found in _walked(b, counted):
+                kinds = (pa.string(), pa.int32(), *[pa.int64()] * 4, pa.string())
+                columns = [pa.array(c, t) for c, t in zip(zip(*(own[0] for own in found), strict=True), kinds, strict=True)]
+                taken = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(taken), b.column("n_bytes").take(taken), *columns], names=["_key", "n_bytes", "value", "depth", "keys", "arrays", "objects", "nulls", "root"])
+
+    n = df.select(F.col(key).alias("_key"), F.octet_length(text).alias("n_bytes"), F.col(text).alias("_json"))
+    n = n.mapInArrow(run, f"_key {kind}, n_bytes int, value string, depth int, keys long, arrays long, objects long, nulls long, root string").withColumnRenamed("_key", key)
+    root = F.col("root")
+    small = F.when(root == "string", F.octet_length(F.to_json(F.struct("value"))) - 10).when(root == "null", 4).otherwise(F.octet_length("value"))
+    return n.select(key, "n_bytes", small.alias("minified_bytes"), "depth", "keys", "arrays", "objects", "nulls", "root")
+
+
+def _field(c: Column, delimiter: str, guarded: bool) -> Column:
+    safe = F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c) if guarded else c
+    return bound(safe, lambda x: F.when(x.contains(delimiter) | x.rlike('["\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x))
+
+
+def _file(lines: Column, head: Column, with_header: bool, bom: bool, crlf: bool) -> Column:
+    return F.concat(F.lit("\ufeff" if bom else ""), F.array_join(F.concat(F.array(head), lines) if with_header else lines, "\r\n" if crlf else "\n"))
 
 
 def delimited_text(cells: DataFrame, key: str, *, delimiter: str = ",", with_header: bool = True, bom: bool = False, crlf: bool = False, guard: bool = True) -> DataFrame:
@@ -221,39 +364,85 @@ def delimited_text(cells: DataFrame, key: str, *, delimiter: str = ",", with_hea
 
     A table is one value here; write rows() where it is too large for that.
     """
+    line = F.array_join(F.transform("cells", lambda c: _field(c, delimiter, guard)), delimiter)
+    body = rows(cells, key).select(key, "record", line.alias("line")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("record", "line"))).alias("_l"))
+    head = header(cells, key).select(key, F.array_join(F.transform("columns", lambda c: _field(c, delimiter, False)), delimiter).alias("_h"))
+    return body.join(head, key).select(key, _file(F.transform("_l", lambda x: x["line"]), F.col("_h"), with_header, bom, crlf).alias("output"))
 
-    def field(c: Column, guarded: bool) -> Column:
-        safe = F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c) if guarded else c
-        return bound(safe, lambda x: F.when(x.contains(delimiter) | x.rlike('["\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x))
 
-    line = F.array_join(F.transform("cells", lambda c: field(c, guard)), delimiter)
-    body = rows(cells, key).select(key, "record", line.alias("line")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("record", "line"))).alias("_l"))
-    head = header(cells, key).select(key, F.array_join(F.transform("columns", lambda c: field(c, False)), delimiter).alias("_h"))
-    written = F.transform("_l", lambda x: x["line"])
-    lines = F.concat(F.array("_h"), written) if with_header else written
-    return body.join(head, key).select(key, F.concat(F.lit("﻿" if bom else ""), F.array_join(lines, "\r\n" if crlf else "\n")).alias("output"))
+def table_files(tables: DataFrame, key: str, *, delimiter: str = ",", with_header: bool = True, bom: bool = False, crlf: bool = False, guard: bool = True) -> DataFrame:
+    """key, output: what delimited_text() gives, of tables()."""
+    line = lambda r: F.array_join(F.transform(_filled(r["cells"], F.col("columns")), lambda c: _field(c, delimiter, guard)), delimiter)
+    head = F.array_join(F.transform("columns", lambda c: _field(c, delimiter, False)), delimiter)
+    return headed(tables).select(key, _file(F.transform("records", line), head, with_header, bom, crlf).alias("output"))
 
 
 # ---- types
 
 
+def _shapes(value: object):
+    """(steps, types with n and first, n, first, optional) of each place; a step is (name, False), or (None, True) for any element."""
+    root: tuple = ((), {}, {}, None)  # steps, kinds, children, the kinds of the parent
+    places, stack, pos = [root], [(root, value)], 0
+    while stack:
+        (steps, kinds, below, _), x = stack.pop()
+        kind = _kind(x)
+        if kind in kinds:
+            kinds[kind][0] += 1
+        else:
+            kinds[kind] = [1, pos]
+        pos += 1
+        if kind == "object":
+            inside = [((k, False), v) for k, v in x.items()]
+        elif kind == "array":
+            inside = [((None, True), v) for v in x]
+        else:
+            continue
+        for step, v in reversed(inside):
+            place = below.get(step)
+            if place is None:
+                place = below[step] = ((*steps, step), {}, {}, kinds)
+                places.append(place)
+            stack.append((place, v))
+    for steps, kinds, _, up in places:
+        n = sum(of[0] for of in kinds.values())
+        lacks = up is not None and not steps[-1][1] and n < up["object"][0]
+        yield steps, [(first, kind, times) for kind, (times, first) in kinds.items()], n, min(of[1] for of in kinds.values()), lacks
+
+
+_SHAPE = pa.list_(pa.struct([("name", pa.string()), ("place", pa.bool_())]))
+_TYPES = pa.list_(pa.struct([("first", pa.int32()), ("type", pa.string()), ("n", pa.int64())]))
+_SHAPES = pa.list_(pa.struct([("shape", _SHAPE), ("types", _TYPES), ("n", pa.int64()), ("first", pa.int32()), ("optional", pa.bool_())]))
+
+
+def merged_shapes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, shapes (shape, types, n, first, optional, as shapes() has them) of each valid text, in a row."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for at, found in _walked(b, _shapes):
+                flat = [s for own in found for s in own]
+                steps, types = [x for s in flat for x in s[0]], [x for s in flat for x in s[1]]
+                lists = [
+                    pa.ListArray.from_arrays(_offsets(len(s[k]) for s in flat), pa.StructArray.from_arrays([pa.array([x[i] for x in items], f.type) for i, f in enumerate(t.value_type)], fields=list(t.value_type)), type=t)
+                    for k, items, t in ((0, steps, _SHAPE), (1, types, _TYPES))
+                ]
+                plain = [pa.array([s[k] for s in flat], t) for k, t in ((2, pa.int64()), (3, pa.int32()), (4, pa.bool_()))]
+                rows = pa.StructArray.from_arrays([*lists, *plain], fields=list(_SHAPES.value_type))
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(at, pa.int64())), pa.ListArray.from_arrays(_offsets(map(len, found)), rows, type=_SHAPES)], names=["_key", "shapes"])
+
+    shown = "array<struct<shape:array<struct<name:string,place:boolean>>,types:array<struct<first:int,type:string,n:bigint>>,n:bigint,first:int,optional:boolean>>"
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_json")).mapInArrow(run, f"_key {kind}, shapes {shown}").withColumnRenamed("_key", key)
+
+
 def shapes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, shape (steps with null for any place of a list), types (type, n), first, optional: the merged nodes of each text.
+    """key, shape (steps with null for any place of a list), types (first, type, n), n, first, optional: the merged nodes of each text.
 
     Objects in the same place merge, whatever stands between them, so that order is nothing. A property is
     optional if some object in its parent's place lacks it. A list without elements has no element's shape.
     """
-    n = tree(df, key, text)
-    name = F.transform("steps", lambda s: F.when(s["index"].isNull(), s["name"]))
-    is_place = F.transform("steps", lambda s: s["index"].isNotNull())
-    n = n.select(key, F.transform(F.arrays_zip(name.alias("name"), is_place.alias("place")), lambda s: s).alias("shape"), "pos", "type")
-    by_type = n.groupBy(key, "shape", "type").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    merged = by_type.groupBy(key, "shape").agg(F.array_sort(F.collect_list(F.struct("first", "type", "n"))).alias("types"), F.sum("n").alias("n"), F.min("first").alias("first"))
-    parents = by_type.where("type = 'object'").select(key, F.col("shape").alias("_up"), F.col("n").alias("_times"))
-    merged = merged.withColumn("_up", F.when(F.size("shape") > 0, F.slice("shape", 1, F.size("shape") - 1)))
-    property_ = ~F.coalesce(F.get("shape", F.size("shape") - 1)["place"], F.lit(True))
-    out = merged.join(parents, [key, "_up"], "left")
-    return out.select(key, "shape", "types", "n", "first", (property_ & (F.col("n") < F.col("_times"))).alias("optional"))
+    return merged_shapes(df, key, text).select(key, F.inline("shapes"))
 
 
 def shape_rows(shapes: DataFrame, key: str) -> DataFrame:
@@ -396,16 +585,25 @@ def declarations(shapes: DataFrame, key: str, options: TypeOptions = TypeOptions
     those of elements in the singular, and are made unique by a number. A text's declarations are one value,
     made from its merged shapes (not from its nodes) by a small writer.
     """
-    kind = shapes.schema[key].dataType.simpleString()
-    each = shapes.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("shape", "types", "first", "optional")).alias("_shapes"))
+    each = shapes.groupBy(key).agg(F.collect_list(F.struct("shape", "types", "first", "optional")).alias("shapes"))
+    return written_declarations(each, key, options)
+
+
+def written_declarations(merged: DataFrame, key: str, options: TypeOptions = TypeOptions()) -> DataFrame:
+    """What declarations() gives, of merged_shapes(). Texts of one shape are written once a batch."""
+    kind = merged.schema[key].dataType.simpleString()
+    slim = F.transform("shapes", lambda s: F.struct(s["shape"].alias("shape"), F.transform(s["types"], lambda t: F.struct(t["type"].alias("type"))).alias("types"), s["first"].alias("first"), s["optional"].alias("optional")))
 
     def run(batches):
         for b in batches:
+            told = b.column("_shapes").dictionary_encode()
             out: list[tuple] = []
-            for found in b.column("_shapes").to_pylist():
+            for found in told.dictionary.to_pylist():
                 d = _Declarations(options)
-                out.append((d.code(_built(found)), *d.counts.values()))
+                out.append((d.code(_built(json.loads(found))), *d.counts.values()))
             columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["_key", "code", "types", "properties", "optional", "unions"])
+            made = [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), *(c.take(told.indices) for c in made)], names=["_key", "code", "types", "properties", "optional", "unions"])
 
+    each = merged.select(F.col(key).alias("_key"), F.to_json(slim, {"ignoreNullFields": "false"}).alias("_shapes"))
     return each.mapInArrow(run, f"_key {kind}, code string, types int, properties int, optional int, unions int").withColumnRenamed("_key", key)

@@ -25,10 +25,11 @@ def _child(path: str, name: str) -> str:
     return f"{path}.{name}" if re.match(NAME, name) else f"{path}[{json.dumps(name, ensure_ascii=False)}]"
 
 
+_KINDS = {_Number: "number", dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}
+
+
 def _kind(x: object) -> str:
-    if isinstance(x, _Number):
-        return "number"
-    return {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}[type(x)]
+    return _KINDS[type(x)]
 
 
 def _walk(value: object):
@@ -50,6 +51,16 @@ def _never(text: str):
     raise ValueError(f"{text} is not JSON")
 
 
+#: Reads numbers as they were written.
+_written = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_never).decode
+
+
+def _read(text: str) -> object:
+    if text.startswith("\ufeff"):
+        raise ValueError("a byte order mark is not JSON")
+    return _written(text)
+
+
 def _nodes(batches):
     for b in batches:
         out: list[tuple] = []
@@ -57,7 +68,7 @@ def _nodes(batches):
             if text is None:
                 continue
             try:
-                value = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_never)
+                value = _read(text)
                 out += [(i, k, *row) for k, row in enumerate(_walk(value))]
             except (ValueError, RecursionError) as e:
                 out.append((i, 0, "$", "$", None, "error", 0, str(e)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import json_tables
 from ..operators import json_yaml as yaml
-from .registry import query, table
+from .registry import query, spread, table
 
 _KEY = "CAST(o_orderkey AS STRING)"
 #: A list of mixed records in an object, a root list, an object alone, empty containers, names that need quoting.
@@ -20,7 +20,8 @@ ELSE '{{ "meta": {{"k" : ' || {_KEY} || '}},"empty":[],"items":[{{"id":' || {_KE
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(DOC).alias("doc"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    return orders.select("o_orderkey", F.expr(DOC).alias("doc"))
 
 
 _TREE = f"""d AS (SELECT o_orderkey, CAST({DOC} AS JSON) AS j FROM orders),
@@ -47,9 +48,8 @@ r AS (SELECT o_orderkey, record, map_from_entries(list((path, value))) AS m, cou
 SELECT o_orderkey, record, array_to_string(columns, '|') AS columns, array_to_string(list_transform(columns, lambda c: coalesce(m[c], '')), '|') AS cells, n < len(columns) AS missing FROM r JOIN t USING (o_orderkey)""")
 def nested_tables(spark, sf_dir):
     """Rows of each document's table under the union of its records' names."""
-    cells = json_tables.cells(documents(spark, sf_dir), "o_orderkey", "doc")
-    heads = json_tables.header(cells, "o_orderkey").select("o_orderkey", F.array_join("columns", "|").alias("columns"))
-    return json_tables.rows(cells, "o_orderkey").join(heads, "o_orderkey").withColumn("cells", F.array_join("cells", "|"))
+    rows = json_tables.table_rows(json_tables.tables(documents(spark, sf_dir), "o_orderkey", "doc"), "o_orderkey")
+    return rows.select("o_orderkey", "record", F.array_join("columns", "|").alias("columns"), F.array_join("cells", "|").alias("cells"), "missing")
 
 
 @query(f"""WITH {_CELLS}, h AS (SELECT o_orderkey, path, min((record, pos)) AS first FROM c GROUP BY ALL), k AS (SELECT o_orderkey, count(*) AS n_columns, coalesce(string_agg(path, '|' ORDER BY first) FILTER (first[1] > 0), '') AS late FROM h GROUP BY o_orderkey),
@@ -57,8 +57,7 @@ r AS (SELECT o_orderkey, record, count(*) AS n FROM c GROUP BY ALL), q AS (SELEC
 SELECT o_orderkey, min(src) AS source, any_value(n_rows) AS n_rows, CAST(any_value(n_columns) AS INTEGER) AS n_columns, any_value(sparse_rows) AS sparse_rows, any_value(late) AS late, CAST(max(level) AS INTEGER) AS depth FROM c JOIN k USING (o_orderkey) JOIN q USING (o_orderkey) GROUP BY o_orderkey""")
 def nested_summaries(spark, sf_dir):
     """Where records were found, rows, columns, sparse rows, late columns and depth of each document's table."""
-    cells = json_tables.cells(documents(spark, sf_dir), "o_orderkey", "doc")
-    return json_tables.summary(cells, "o_orderkey").withColumn("late", F.array_join("late", "|"))
+    return json_tables.table_summary(json_tables.tables(documents(spark, sf_dir), "o_orderkey", "doc"), "o_orderkey").withColumn("late", F.array_join("late", "|"))
 
 
 @query(rf"""WITH {_TREE}, p AS (SELECT o_orderkey, pos, CASE kind WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS t,
@@ -75,7 +74,7 @@ def nested_shapes(spark, sf_dir):
 @query()
 def shape_declarations(spark, sf_dir):
     """TypeScript declarations of each document."""
-    return json_tables.declarations(json_tables.shapes(documents(spark, sf_dir), "o_orderkey", "doc"), "o_orderkey")
+    return json_tables.written_declarations(json_tables.merged_shapes(documents(spark, sf_dir), "o_orderkey", "doc"), "o_orderkey")
 
 
 @query(rf"""WITH {_TREE} SELECT o_orderkey, CAST(any_value(octet_length(encode(CAST(j AS VARCHAR)))) AS INTEGER) AS n_bytes, CAST(any_value(octet_length(encode(CAST(json(j) AS VARCHAR)))) AS INTEGER) AS minified_bytes, CAST(max(len(regexp_extract_all(fk, '\[\d+\]|\.("[^"]*"|[^.\[]+)'))) + 1 AS INTEGER) AS depth,
@@ -126,5 +125,4 @@ l AS (SELECT o_orderkey, record, array_to_string(list_transform(cells, lambda x:
 SELECT o_orderkey, chr(65279) || array_to_string(any_value(columns), ';') || chr(13) || chr(10) || string_agg(line, chr(13) || chr(10) ORDER BY record) AS output FROM l JOIN t USING (o_orderkey) GROUP BY o_orderkey""")
 def nested_csv(spark, sf_dir):
     """Each document's table as a delimited file's text, with a byte order mark and CRLF."""
-    cells = json_tables.cells(documents(spark, sf_dir), "o_orderkey", "doc")
-    return json_tables.delimited_text(cells, "o_orderkey", delimiter=";", bom=True, crlf=True)
+    return json_tables.table_files(json_tables.tables(documents(spark, sf_dir), "o_orderkey", "doc"), "o_orderkey", delimiter=";", bom=True, crlf=True)

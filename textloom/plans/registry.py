@@ -25,3 +25,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to tasks by their key, in numbers that don't follow the bytes read.
+
+    A table of a few MB is read by one or two tasks, however much work its rows make later. The number of
+    partitions is fixed, since tasks would be merged again by bytes; windows by the key need no other shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key)
