@@ -65,3 +65,22 @@ def test_few_nodes_are_held_at_a_time():
 def test_a_small_table_is_dealt_to_many_tasks(spark):
     few = registry.spread(spark.range(100).coalesce(1), "id").withColumn("p", F.spark_partition_id())
     assert few.rdd.getNumPartitions() >= 4 and few.select("p").distinct().count() >= 4
+
+
+def test_hints_are_computed_once(spark):
+    from textloom.operators import resume
+
+    cv = spark.createDataFrame([(1, "Experience\n- responsible for many reports and for various other things\n- cut cost by 12%")], "id int, cv string")
+    df = resume.coaching(resume.lines(cv, "id", "cv"), "id")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("responsible for") == 1
+    assert [r.hints for r in df.orderBy("line_no").collect()] == [["open with what you did", "say how much"]]
+
+
+def test_phrases_are_looked_for_in_words_made_once_a_text(spark):
+    from textloom.operators import resume_checks
+
+    cvs = spark.createDataFrame([(1, "Spark, SQL & c++ models")], "id int, cv string")
+    adverts = spark.createDataFrame([(1, "we want spark and sql and model, spark and sql and model; c++ and c++, java or java")], "id int, advert string")
+    df = resume_checks.advert_coverage(cvs, "id", "cv", adverts)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9+#./ -]") == 1
+    assert {r.term: r.present for r in df.collect()} == {"spark": True, "sql": True, "model": True, "c++": True, "java": False}

@@ -63,13 +63,14 @@ def date_tokens(c: Column, now: int) -> Column:
             year = F.lit(year_now) if kind == "present" else year
             return F.struct(p["at"].alias("at"), F.length(text).alias("size"), year.alias("year"), month.alias("month"), form.alias("format"), F.lit(kind == "present").alias("present"))
 
-        found = F.transform(places(c, KINDS[kind]), one).cast(TOKEN)
+        found = F.when(~c.rlike(KINDS[kind]), F.array().cast(TOKEN)).otherwise(F.transform(places(c, KINDS[kind]), one).cast(TOKEN))
         return F.filter(found, lambda t: t["year"].between(FIRST_YEAR, year_now + YEARS_AHEAD))
 
     apart = lambda a, b: (a["at"] + a["size"] <= b["at"]) | (b["at"] + b["size"] <= a["at"])
     claim = lambda held, t: F.when(F.forall(held, lambda h: apart(h, t)), F.array_append(held, t)).otherwise(held)
     every = F.concat(*(tokens(k) for k in KINDS))
-    return F.array_sort(F.aggregate(every, F.array().cast(TOKEN), claim))
+    # few lines have what any kind needs: four digits, or a word for now
+    return F.when(~c.rlike(rf"(?i){'|'.join(NOW_WORDS)}|[0-9]{{4}}"), F.array().cast(TOKEN)).otherwise(F.array_sort(F.aggregate(every, F.array().cast(TOKEN), claim)))
 
 
 def date_range(c: Column, tokens: Column) -> Column:

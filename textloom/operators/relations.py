@@ -36,11 +36,20 @@ def phrase_present(text: Column, phrase: Column) -> Column:
 
     All of the text but letters, digits and + # . / - counts as a space; phrases are lower-case.
     """
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9+#./ -]", " "), r"\s+", " "), F.lit(" "))
+    return phrase_in(spaced_words(text), phrase)
+
+
+def spaced_words(text: Column) -> Column:
+    """The text in which phrase_in() looks; a column of its own where many phrases are looked for in a text."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9+#./ -]", " "), r"\s+", " "), F.lit(" "))
+
+
+def phrase_in(plain: Column, phrase: Column) -> Column:
     spaced = lambda p: F.contains(plain, F.concat(F.lit(" "), p, F.lit(" ")))
     quoted = F.regexp_replace(phrase, r"([.*+?^${}()|\[\]\\])", r"\\$1")
     b = r"(?:(?<=[a-z0-9_])(?![a-z0-9_])|(?<![a-z0-9_])(?=[a-z0-9_]))"
-    edged = F.regexp_like(plain, F.concat(F.lit(b), quoted, F.lit(b)))
+    # a pattern of its own is made for each phrase: only where its letters stand in the text at all
+    edged = F.contains(plain, phrase) & F.regexp_like(plain, F.concat(F.lit(b), quoted, F.lit(b)))
     less = phrase.endswith("s") & spaced(F.substring(phrase, F.lit(1), F.length(phrase) - 1))
     return spaced(phrase) | spaced(F.concat(phrase, F.lit("s"))) | less | edged
 

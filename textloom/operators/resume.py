@@ -165,6 +165,7 @@ def verb_group(verb: Column) -> Column:
 def metrics(c: Column) -> Column:
     """Measured results: kind by kind, the first eight."""
     found = F.concat(*(F.regexp_extract_all(c, F.lit(p), 0) for p in METRICS.values()))
+    found = F.when(~c.rlike("[0-9]"), F.array().cast("array<string>")).otherwise(found)  # every kind has a digit
     return F.slice(F.transform(found, lambda m: trim(m)), 1, MOST_METRICS)
 
 
@@ -206,21 +207,31 @@ def said(b: DataFrame) -> DataFrame:
     """b with what its column bullet says: verb, its group and tense, metrics, and the phrases that cost points."""
     low = F.concat(F.lit(" "), F.lower("bullet"), F.lit(" "))
     first = F.regexp_replace(F.lower(F.get(F.split("bullet", rf"{SPACE}+"), 0)), "[^a-z]", "")
-    some = lambda words, shape: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("_low"), F.format_string(shape, w)))
+
+    def some(words, before: str, after: str) -> Column:
+        """The words that stand in the text with these blanks around them; what is looked for is a constant."""
+        found = F.filter(F.array(*(F.lit(f"{before}{w}{after}") for w in words)), lambda w: F.contains(F.col("_low"), w))
+        return F.transform(found, lambda w: F.substring(w, F.lit(len(before) + 1), F.length(w) - len(before) - len(after))) if before or after else found
+
     b = b.withColumns({"_low": low, "_first": first})
     b = b.withColumns({"verb": base_verb(F.col("_first")), "tense": tense(F.col("_first")), "metrics": metrics(F.col("bullet"))})
     return b.withColumns(
         {
             "verb_group": verb_group(F.col("verb")),
-            "weak_opener": F.get(some(sorted(WEAK, key=len, reverse=True), " %s"), 0),
-            "cliches": some(CLICHES, "%s"),
-            "hedges": some(HEDGES, " %s "),
-            "first_person": (F.size(some(FIRST_PERSON, " %s")) > 0) | F.col("bullet").rlike(r"(?i)^i(?![A-Za-z0-9_])"),
+            "weak_opener": F.get(some(sorted(WEAK, key=len, reverse=True), " ", ""), 0),
+            "cliches": some(CLICHES, "", ""),
+            "hedges": some(HEDGES, " ", " "),
+            "first_person": (F.size(some(FIRST_PERSON, " ", "")) > 0) | F.col("bullet").rlike(r"(?i)^i(?![A-Za-z0-9_])"),
             "stopped": F.col("bullet").rlike("[.;]$"),
         }
     ).drop("_low", "_first")
 
 
+def once(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns as generated ones: a filter on plain ones would be computed from the line again, with all that it names."""
+    return df.select(F.inline(F.array(F.struct(*names))))
+
+
 def bullets(rows: DataFrame, key: str) -> DataFrame:
     """key, line_no, bullet and what it says, of all bulleted lines, in whatever section."""
     return said(rows.where("bullet").select(key, "line_no", stripped(F.col("line")).alias("bullet")).withColumn("n_words", _count_words(F.col("bullet"))))
@@ -305,4 +316,5 @@ def coaching(rows: DataFrame, key: str) -> DataFrame:
     b = bullets(rows, key).where(F.length("bullet") >= 12)
     weak, strong = F.col("weak_opener").isNotNull(), F.col("verb").isNotNull()
     hints = F.array_compact(F.array(F.when(weak, "open with what you did"), F.when(F.size("metrics") == 0, "say how much"), F.when(~strong & ~weak, "open with a verb"), F.when(F.col("n_words") > 34, "shorten it")))
-    return b.select(key, "line_no", "bullet", F.slice(hints, 1, 2).alias("hints")).where("size(hints) > 0")
+    told = once(b.select(key, "line_no", "bullet", F.slice(hints, 1, 2).alias("hints")), key, "line_no", "bullet", "hints")
+    return told.where("size(hints) > 0")

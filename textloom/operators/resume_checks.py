@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import band, clamp01
 from ..functions.text import SPACE, STOP_WORDS
 from . import frequency, resume, skills
-from .relations import phrase_present
+from .relations import phrase_in, spaced_words
 
 # Checks with category, weight, severity and, where it isn't the category's, scope.
 CHECKS = {
@@ -84,7 +84,8 @@ def advert_coverage(cvs: DataFrame, key: str, text: str, adverts: DataFrame, kno
     Terms join their texts by key; a term is there as a word, with an s more or less, or between word edges.
     """
     terms = frequency.keywords(adverts, key, "advert", known=known)
-    return terms.join(cvs.select(key, F.col(text).alias("_cv")), key).select(key, "term", "n", "place", phrase_present(F.col("_cv"), F.col("term")).alias("present"))
+    each = terms.join(cvs.select(key, spaced_words(F.col(text)).alias("_words")), key)
+    return each.select(key, "term", "n", "place", phrase_in(F.col("_words"), F.col("term")).alias("present"))
 
 
 def facts(df: DataFrame, key: str, text: str, now: int, *, known: DataFrame | None = None, layout: DataFrame | None = None, targets: DataFrame | None = None, departments: DataFrame | None = None, adverts: DataFrame | None = None, known_terms: tuple[str, ...] = ()) -> DataFrame:
@@ -140,7 +141,7 @@ def facts(df: DataFrame, key: str, text: str, now: int, *, known: DataFrame | No
         F.array_distinct(F.flatten(F.collect_list("cliches"))).alias("cliches"),
         F.count_if(relevant).alias("relevant"),
     )
-    verbs = b.where("verb is not null").groupBy(key, "verb").agg(F.count("*").alias("n")).groupBy(key).agg(F.count_if(F.col("n") >= 3).alias("repeated"), F.sum("n").alias("verbs"))
+    verbs = resume.once(b, key, "verb").where("verb is not null").groupBy(key, "verb").agg(F.count("*").alias("n")).groupBy(key).agg(F.count_if(F.col("n") >= 3).alias("repeated"), F.sum("n").alias("verbs"))
     named = skills.cv_skills(df, key, text, known) if known is not None else skills.listed_skills(df, key, text)
     of_skills = named.groupBy(key).agg(F.count("*").alias("skills"))
     out = df.select(key)
@@ -330,7 +331,8 @@ def review_payload(df: DataFrame, key: str, text: str, now: int, found: DataFram
     no number, opens weakly or opens without an action verb.
     """
     marked = resume.marked_lines(resume.role_lines(resume.lines(df, key, text), key, now), key)
-    weak = marked.where(F.col("is_bullet") & ((F.size("metrics") == 0) | F.col("weak_opener").isNotNull() | F.col("verb").isNull()))
+    marked = resume.once(marked.where("is_bullet"), key, "line_no", "bullet", "metrics", "weak_opener", "verb")
+    weak = marked.where((F.size("metrics") == 0) | F.col("weak_opener").isNotNull() | F.col("verb").isNull())
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     ordered = lambda rows, order, value, most, name: rows.groupBy(key).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))), lambda x: x["v"]), 1, most).alias(name))
     bullets = ordered(weak, ["line_no"], "bullet", REVIEW["bullets"], "weak_bullets")
