@@ -7,6 +7,7 @@ Spark aggregates and joins over them. Invalid texts have one row of type ``error
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,10 +20,11 @@ class _Number(str):
     """A number as it was written."""
 
 
-def _child(path: str, name: str) -> str:
-    import re
+_is_name = re.compile(NAME).match
+
 
-    return f"{path}.{name}" if re.match(NAME, name) else f"{path}[{json.dumps(name, ensure_ascii=False)}]"
+def _child(path: str, name: str) -> str:
+    return f"{path}.{name}" if _is_name(name) else f"{path}[{json.dumps(name, ensure_ascii=False)}]"
 
 
 _KINDS = {_Number: "number", dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}
@@ -103,30 +105,85 @@ def shape(df: DataFrame, key: str, text: str) -> DataFrame:
     return kinds.join(objects, "parent", "left").select("shape", "types", "n", F.coalesce(~in_array & (F.col("n") < F.col("times")), F.lit(False)).alias("optional"))
 
 
+_SIDE = ("type", "value")
+_PAIR = [f"{up}{x}_{side}" for up in ("", "up_") for side in "lr" for x in _SIDE]
+
+
+def _by_path(text: str | None) -> dict[str, tuple]:
+    """type, value (of a leaf or empty container) and the parent's path of each node by its path; nothing of what isn't JSON."""
+    found: dict[str, tuple] = {}
+    if text is None:
+        return found
+    try:
+        stack: list[tuple] = [("$", None, _read(text))]
+    except (ValueError, RecursionError):
+        return found
+    while stack:
+        path, up, x = stack.pop()
+        kind = _kind(x)
+        if kind == "object":
+            found[path] = kind, None if x else "{}", up
+            stack += reversed([(_child(path, k), path, v) for k, v in x.items()])
+        elif kind == "array":
+            found[path] = kind, None if x else "[]", up
+            stack += reversed([(f"{path}[{i}]", path, v) for i, v in enumerate(x)])
+        else:
+            found[path] = kind, None if x is None else str(x).lower() if kind == "boolean" else str(x), up
+    return found
+
+
+def _paired(batches):
+    none = (None, None, None)
+    for b in batches:
+        texts = zip(b.column("_l").to_pylist(), b.column("_r").to_pylist(), strict=True)
+        at: list[int] = []
+        out: list[tuple] = []
+        for i, (one, other) in enumerate(texts):
+            left, right = _by_path(one), _by_path(other)
+            for path in left | right:
+                a, z = left.get(path, none), right.get(path, none)
+                up = a[2] or z[2]
+                at.append(i)
+                out.append((path, up, *a[:2], *z[:2], *left.get(up, none)[:2], *right.get(up, none)[:2]))
+            if len(out) >= 4000 or i + 1 == b.num_rows:
+                columns = list(zip(*out, strict=True)) or [()] * 10
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], names=["_key", "path", "up", *_PAIR])
+                at, out = [], []
+
+
+def _pairs(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
+    """key, path, up (the parent's path), type and value on both sides, of the node and of its parent: texts meet by their key, nodes within them."""
+    kind = left.schema[key].dataType.simpleString()
+    both = left.select(F.col(key).alias("_key"), F.col(text).alias("_l")).join(right.select(F.col(key).alias("_key"), F.col(text).alias("_r")), "_key", "full_outer")
+    return both.mapInArrow(_paired, f"_key {kind}, path string, up string, {', '.join(f'{c} string' for c in _PAIR)}").withColumnRenamed("_key", key)
+
+
 def diff(left: DataFrame, right: DataFrame, key: str, text: str, *, loose: bool = False, ignore_case: bool = False, types: bool = False) -> DataFrame:
-    """key, path, kind (added, removed, changed, type), left, right: a full outer join on the path; with types also left_type, right_type.
+    """key, path, kind (added, removed, changed, type), left, right: nodes of both sides by their path; with types also left_type, right_type.
 
     What lies under a node that was added, removed or changed its type is told by that node alone.
     """
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        n = nodes(df, key, text).where("type <> 'error'")
-        v = F.coalesce("value", F.col("type"))
-        up = F.when(F.col("depth") > 1, F.regexp_replace("path", r'(\.[A-Za-z_$][A-Za-z0-9_$]*|\[\d+\]|\["(?:[^"\\]|\\.)*"\])$', ""))
-        return n.select(key, "path", up.alias(f"up_{name}"), F.col("type").alias(f"t_{name}"), v.alias(f"v_{name}"))
-
-    both = side(left, "l").join(side(right, "r"), [key, "path"], "full_outer")
-    same = F.col("v_l").eqNullSafe(F.col("v_r"))
-    if ignore_case:
-        same = F.lower("v_l").eqNullSafe(F.lower("v_r"))
-    leaf = ~F.col("t_l").isin("object", "array")
-    type_differs = F.col("t_l") != F.col("t_r")
-    if loose:
-        type_differs = type_differs & ~(same & leaf & ~F.col("t_r").isin("object", "array"))
-    kind = F.when(F.col("t_l").isNull(), "added").when(F.col("t_r").isNull(), "removed").when(type_differs, "type").when(leaf & ~same, "changed")
-    told = both.select(key, "path", F.coalesce("up_l", "up_r").alias("up"), kind.alias("kind"), F.col("v_l").alias("left"), F.col("v_r").alias("right"), F.col("t_l").alias("left_type"), F.col("t_r").alias("right_type"))
-    breaks = told.where("kind in ('added', 'removed', 'type')").select(key, F.col("path").alias("up"))
-    return told.where("kind is not null").join(breaks, [key, "up"], "left_anti").select(key, "path", "kind", "left", "right", *(("left_type", "right_type") if types else ()))
+    n = _told(_pairs(left, right, key, text), loose, ignore_case).where("kind is not null")
+    shown = [F.coalesce(f"value_{side}", f"type_{side}").alias(name) for side, name in (("l", "left"), ("r", "right"))]
+    return n.select(key, "path", "kind", *shown, *((F.col("type_l").alias("left_type"), F.col("type_r").alias("right_type")) if types else ()))
+
+
+def _told(pairs: DataFrame, loose: bool, ignore_case: bool) -> DataFrame:
+    """pairs with kind: how the node differs, null where it doesn't or where a node above it tells."""
+
+    def told(up: str) -> Column:
+        t_l, t_r = F.col(f"{up}type_l"), F.col(f"{up}type_r")
+        v_l, v_r = F.coalesce(f"{up}value_l", t_l), F.coalesce(f"{up}value_r", t_r)
+        same = F.lower(v_l).eqNullSafe(F.lower(v_r)) if ignore_case else v_l.eqNullSafe(v_r)
+        leaf = ~t_l.isin("object", "array")
+        differs = t_l != t_r
+        if loose:
+            differs = differs & ~(same & leaf & ~t_r.isin("object", "array"))
+        return F.when(t_l.isNull(), "added").when(t_r.isNull(), "removed").when(differs, "type").when(leaf & ~same, "changed")
+
+    breaks = F.col("up").isNotNull() & F.coalesce(told("up_").isin("added", "removed", "type"), F.lit(False))
+    return pairs.withColumn("kind", F.when(~breaks, told("")))
 
 
 def diff_unordered(left: DataFrame, right: DataFrame, key: str, text: str, *, loose: bool = False, ignore_case: bool = False) -> DataFrame:
@@ -182,13 +239,28 @@ def _bags(value: object):
 
 def diff_stats(changes: DataFrame, left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
     """key, added, removed, changed, type_changed, unchanged (leaves alike on both sides), identical."""
-    leaves = lambda df: nodes(df, key, text).where("type not in ('error', 'object', 'array')").select(key, "path", F.struct("type", "value").alias("v"))
-    same = leaves(left).join(leaves(right), [key, "path", "v"], "left_semi").groupBy(key).agg(F.count("*").alias("unchanged"))
-    kinds = changes.groupBy(key).agg(*(F.count_if(F.col("kind") == k).alias(name) for k, name in (("added", "added"), ("removed", "removed"), ("changed", "changed"), ("type", "type_changed"))))
+    same = _pairs(left, right, key, text).where(_alike()).groupBy(key).agg(F.count("*").alias("unchanged"))
+    kinds = changes.groupBy(key).agg(*(F.count_if(F.col("kind") == k).alias(name) for k, name in _COUNTED))
     out = left.select(key).join(right.select(key), key).join(kinds, key, "left").join(same, key, "left").fillna(0, ["added", "removed", "changed", "type_changed", "unchanged"])
     return out.withColumn("identical", F.col("added") + F.col("removed") + F.col("changed") + F.col("type_changed") == 0)
 
 
+_COUNTED = (("added", "added"), ("removed", "removed"), ("changed", "changed"), ("type", "type_changed"))
+
+
+def _alike() -> Column:
+    """Whether a leaf is the same on both sides."""
+    return F.col("type_l").eqNullSafe(F.col("type_r")) & F.col("value_l").eqNullSafe(F.col("value_r")) & ~F.col("type_l").isin("object", "array")
+
+
+def diff_counts(left: DataFrame, right: DataFrame, key: str, text: str, *, loose: bool = False, ignore_case: bool = False) -> DataFrame:
+    """What diff_stats() gives of diff(), in one aggregate: each text is read once."""
+    n = _told(_pairs(left, right, key, text), loose, ignore_case)
+    found = n.groupBy(key).agg(*(F.count_if(F.col("kind") == k).alias(name) for k, name in _COUNTED), F.count_if(_alike()).alias("unchanged"))
+    out = left.select(key).join(right.select(key), key).join(found, key, "left").fillna(0, [*(name for _, name in _COUNTED), "unchanged"])
+    return out.withColumn("identical", F.col("added") + F.col("removed") + F.col("changed") + F.col("type_changed") == 0)
+
+
 def change_line(kind: Column, path: Column, left: Column, right: Column, left_type: Column, right_type: Column) -> Column:
     """A change as one line for a review."""
     arrow = F.concat(left, F.lit(" → "), right)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import encoding, numeric
 from ..functions import text as T
 from ..operators import delimited, items, jsons, matches, resume, skills
-from .registry import query, table
+from .registry import query, spread, table
 
 # ---- matches and rules
 
@@ -187,7 +187,11 @@ NESTED = """'{"b": [' || o_custkey || ', {"z": ' || o_orderkey || '}, "' || o_or
 
 
 def _nested(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(NESTED).alias("doc"))
+    return _orders(spark, sf_dir).select("o_orderkey", F.expr(NESTED).alias("doc"))
+
+
+def _orders(spark, sf_dir):
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
 
 
 @query("""SELECT o_orderkey, '{"a b":{"x":"' || o_orderpriority || '","y":null},"b":[' || array_to_string(list_sort([CAST(o_custkey AS VARCHAR), '{"z":' || o_orderkey || '}', '"' || o_orderstatus || '"']), ',') || ']' || CASE WHEN o_orderkey % 3 = 0 THEN ',"e":{}' ELSE '' END || '}' AS canonical FROM orders""")
@@ -197,10 +201,9 @@ def canonical_json(spark, sf_dir):
 
 def _sides(spark, sf_dir):
     """A document and one that differs: a list's number is a text, a status changes, a key goes and another comes."""
-    left = _nested(spark, sf_dir)
+    both = _orders(spark, sf_dir).withColumn("doc", F.expr(NESTED))
     right = F.expr("""replace(replace(replace(doc, '"y": null, ', '"w": true, '), '"' || o_orderstatus || '"]', '"' || lower(o_orderstatus) || '"]'), '[' || o_custkey || ',', '["' || o_custkey || '",')""")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    return left, left.join(orders, "o_orderkey").select("o_orderkey", right.alias("doc"))
+    return both.select("o_orderkey", "doc"), both.select("o_orderkey", right.alias("doc"))
 
 
 @query("""SELECT o_orderkey, line FROM (
@@ -216,7 +219,7 @@ def json_change_lines(spark, sf_dir):
 @query("SELECT o_orderkey, 1 AS added, 1 AS removed, 1 AS changed, 1 AS type_changed, 2 AS unchanged, false AS identical FROM orders")
 def json_diff_stats(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
-    return jsons.diff_stats(jsons.diff(left, right, "o_orderkey", "doc"), left, right, "o_orderkey", "doc")
+    return jsons.diff_counts(left, right, "o_orderkey", "doc")
 
 
 # ---- items: parts as a list of things to rank, with a status of their own
