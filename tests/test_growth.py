@@ -84,3 +84,29 @@ def test_phrases_are_looked_for_in_words_made_once_a_text(spark):
     df = resume_checks.advert_coverage(cvs, "id", "cv", adverts)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9+#./ -]") == 1
     assert {r.term: r.present for r in df.collect()} == {"spark": True, "sql": True, "model": True, "c++": True, "java": False}
+
+
+def test_search_of_equal_rows_goes_by_key(spark):
+    from textloom.operators import relations
+
+    parts = spark.createDataFrame([(k, "cold bolt", 1.0) for k in (5, 3, 9, 1, 7)], "k int, n string, p double")
+    assert [r.k for r in relations.search(parts, "n", "bolt", "p", 3, key="k").collect()] == [1, 3, 5]
+
+
+def test_nodes_of_two_sides_meet_within_their_texts(spark):
+    from textloom.operators import jsons
+
+    a = spark.createDataFrame([(1, '{"x":{"y":1,"z":[]},"s":"A","n":null}'), (2, "[1]"), (3, "{")], "id int, doc string")
+    b = spark.createDataFrame([(1, '{"x":3,"s":"a","n":null,"m":{"k":[1]}}'), (3, "7")], "id int, doc string")
+    df = jsons.diff(a, b, "id", "doc")
+    assert "path" not in str(df._jdf.queryExecution().executedPlan()).split("MapInArrow")[-1].split("Exchange")[-1]
+    assert sorted(map(tuple, df.collect()), key=str) == [
+        (1, "$.m", "added", None, "object"),
+        (1, "$.s", "changed", "A", "a"),
+        (1, "$.x", "type", "object", "3"),
+        (2, "$", "removed", "array", None),
+        (3, "$", "added", None, "7"),
+    ]
+    same = jsons.diff_stats(df, a, b, "id", "doc").orderBy("id").collect()
+    assert [(r.id, r.unchanged) for r in same] == [(1, 1), (3, 0)]
+    assert jsons.diff_counts(a, b, "id", "doc").orderBy("id").collect() == same

@@ -24,11 +24,12 @@ def search_score(name: Column, query: str) -> Column:
     return F.when(n == q, 4).when(n.startswith(q), 3).when(n.contains(f" {q}"), 2).when(n.contains(q), 1).otherwise(0)
 
 
-def search(df: DataFrame, name: str, query: str, rank: str, limit: int = 12) -> DataFrame:
-    """The best matches; an empty query ranks by rank alone."""
+def search(df: DataFrame, name: str, query: str, rank: str, limit: int = 12, key: str | None = None) -> DataFrame:
+    """The best matches; an empty query ranks by rank alone. Of rows alike in all that, those of the smallest key come first."""
+    last = [] if key is None else [key]
     if not query:
-        return df.withColumn("match", F.lit(0)).orderBy(F.desc(rank), name).limit(limit)
-    return df.withColumn("match", search_score(F.col(name), query)).where("match > 0").orderBy(F.desc("match"), F.desc(rank), name).limit(limit)
+        return df.withColumn("match", F.lit(0)).orderBy(F.desc(rank), name, *last).limit(limit)
+    return df.withColumn("match", search_score(F.col(name), query)).where("match > 0").orderBy(F.desc("match"), F.desc(rank), name, *last).limit(limit)
 
 
 def phrase_present(text: Column, phrase: Column) -> Column:

@@ -94,7 +94,7 @@ def size_histogram(spark, sf_dir):
 @query("""WITH s AS (SELECT p_partkey, p_name, p_retailprice, CASE WHEN lower(p_name) = 'bolt' THEN 4 WHEN starts_with(lower(p_name), 'bolt') THEN 3 WHEN contains(lower(p_name), ' bolt') THEN 2 WHEN contains(lower(p_name), 'bolt') THEN 1 ELSE 0 END AS m FROM part)
 SELECT p_partkey, p_name, m AS "match" FROM s WHERE m > 0 ORDER BY m DESC, p_retailprice DESC, p_name LIMIT 12""")
 def part_search(spark, sf_dir):
-    return relations.search(table(spark, sf_dir, "part"), "p_name", "bolt", "p_retailprice").select("p_partkey", "p_name", "match")
+    return relations.search(table(spark, sf_dir, "part"), "p_name", "bolt", "p_retailprice", key="p_partkey").select("p_partkey", "p_name", "match")
 
 
 LINKS = "SELECT DISTINCT l_partkey AS src, l_suppkey % 50 AS dst FROM lineitem"
