@@ -189,7 +189,7 @@ r AS (SELECT o_orderkey, s.*, CAST(((o_orderkey * 7 + i * 13) % 11) AS DOUBLE) /
 
 def _ratios(spark, sf_dir):
     c = spark.createDataFrame(list(enumerate(checks.CHECKS)), "i int, check string")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey").crossJoin(F.broadcast(c))  # 43 rows
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").crossJoin(F.broadcast(c))  # 43 rows
     said = (F.col("o_orderkey") * 7 + F.col("i") * 13) % 11
     fit = rows.withColumn("scope", F.when(F.col("check").isin(*(k for k, (cat, _, _, scope) in checks.CHECKS.items() if (scope or checks.CATEGORIES[cat][1]) == "relevance")), "relevance"))
     fit = fit.where(((F.col("o_orderkey") + F.col("i")) % 5 != 0) & ~((F.col("o_orderkey") % 3 == 0) & (F.coalesce("scope", F.lit("")) == "relevance")))
