@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import placeholder, tokens
 from ..operators import delimited, diff, render
-from .registry import query, table
+from .registry import query, spread, table
 
 @query()
 def turn_diffs(spark, sf_dir):
@@ -40,7 +40,7 @@ def placeholder_texts(spark, sf_dir):
     """Placeholder paragraphs of each part, seeded by its name and key."""
     seed = F.concat_ws("-", "p_name", "p_partkey")
     made = {f: placeholder.blocks(seed, "sentences", 2, f) for f in placeholder.WORDS}
-    return table(spark, sf_dir, "part").select("p_partkey", *(placeholder.formatted(b, "sentences", "html").alias(f) for f, b in made.items()))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", *(placeholder.formatted(b, "sentences", "html").alias(f) for f, b in made.items()))
 
 
 @query()
