@@ -110,3 +110,18 @@ def test_nodes_of_two_sides_meet_within_their_texts(spark):
     same = jsons.diff_stats(df, a, b, "id", "doc").orderBy("id").collect()
     assert [(r.id, r.unchanged) for r in same] == [(1, 1), (3, 0)]
     assert jsons.diff_counts(a, b, "id", "doc").orderBy("id").collect() == same
+
+
+def test_only_what_is_not_ascii_is_cut_into_graphemes(spark):
+    import regex
+
+    from textloom.operators import frequency
+
+    texts = ["a\r\nb\r\r\n\n", "x́y \ŕ\n", "\r\ń", "é\r\ńe", "؀1 2", "é1é\ré\né", "1️⃣ #", "\x1f\x7f́", "漢a字‍a", "$+€ .,«\t ", "\U0001f469‍\U0001f469‍\U0001f467ok", ""]
+    names = ("emoji", "letters", "digits", "whitespace", "punctuation", "symbols", "other")
+    patterns = (r".*\p{Extended_Pictographic}.*", r"\p{L}\p{M}*", r"\p{Nd}", r"[\s ﻿\p{Zs}]", r"\p{P}", r"\p{S}", r"(?s:.*)")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", *(c.alias(n) for n, c in frequency.grapheme_classes(F.col("t")).items()))
+    assert r"[\x20-\x7E]?[^\x00-\x7F]+" in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        kinds = [next(n for n, p in zip(names, patterns, strict=True) if regex.fullmatch(p, g)) for g in regex.findall(r"\X", texts[r.i])]
+        assert [r[n] for n in names] == [kinds.count(n) for n in names], texts[r.i]

@@ -69,18 +69,28 @@ def character_classes(c: Column) -> dict[str, Column]:
 
 
 @lru_cache
-def _pictures() -> str:
-    """A class of the pictographic characters, from their Unicode property."""
+def _chars(of: str) -> str:
+    """A class of the characters that have a Unicode property."""
     import regex
 
-    found = regex.findall(r"\p{Extended_Pictographic}+", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+    found = regex.findall(rf"\p{{{of}}}+", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
     return "[" + "".join(rf"\x{{{ord(f[0]):X}}}-\x{{{ord(f[-1]):X}}}" for f in found) + "]"
 
 
+#: What isn't ASCII, with the printable character before it. Elsewhere each ASCII character is seen alone, but for CRLF.
+_WIDE = r"[\x20-\x7E]?[^\x00-\x7F]+"
+_CUT = "\ue000"  # stands where they were
+
+
 def grapheme_classes(c: Column) -> dict[str, Column]:
-    """Characters as they are seen (accents and joined emoji are one) of each class: emoji first, then the first that fits."""
-    seen = F.regexp_extract_all(c, F.lit(r"\X"), 0)
-    patterns = {"emoji": _pictures(), "letters": r"^\p{L}\p{M}*$", "digits": r"^\p{Nd}$", "whitespace": rf"^{T.SPACE}$", "punctuation": r"^\p{P}$", "symbols": r"^\p{S}$"}
+    """Characters as they are seen (accents and joined emoji are one) of each class: emoji first, then the first that fits.
+
+    Only what isn't ASCII is cut into the characters that are seen; ASCII is counted by the lengths that are left
+    without each class. A text with a character that joins the one after it is cut up whole.
+    """
+    patterns = {"emoji": _chars("Extended_Pictographic"), "letters": r"^\p{L}\p{M}*$", "digits": r"^\p{Nd}$", "whitespace": rf"^{T.SPACE}$", "punctuation": r"^\p{P}$", "symbols": r"^\p{S}$"}
+    plain = ("letters", r"[A-Za-z]+"), ("digits", "[0-9]+"), ("whitespace", r"\s+"), ("punctuation", r"\p{P}+"), ("symbols", r"\p{S}+"), ("other", rf"[^{_CUT}]+")
+    names = (*patterns, "other")
 
     def kind(g: Column) -> Column:
         out = F.lit("other")
@@ -88,9 +98,24 @@ def grapheme_classes(c: Column) -> dict[str, Column]:
             out = F.when(g.rlike(p), name).otherwise(out)
         return out
 
-    # one text in place of a list of names: counting its parts reads it, not the patterns, once a class
-    kinds = F.concat(F.lit(" "), F.array_join(F.transform(seen, kind), "  "), F.lit(" "))
-    return {name: F.regexp_count(kinds, F.lit(f" {name} ")) for name in (*patterns, "other")}
+    def wide(parts: Column) -> Column:
+        """Counts of the classes in pieces of text."""
+        kinds = F.array_join(F.transform(F.flatten(F.transform(parts, lambda x: F.regexp_extract_all(x, F.lit(r"\X"), 0))), kind), "  ")
+        return T.bound(F.concat(F.lit(" "), kinds, F.lit(" ")), lambda k: F.array(*(F.regexp_count(k, F.lit(f" {n} ")) for n in names)))
+
+    def ascii_counts(rest: Column, left: tuple, got: dict[str, Column]) -> Column:
+        if not left:
+            return F.array(*(got.get(n, F.lit(0)) for n in names))
+        (name, p), *more = left
+        less = lambda x: ascii_counts(x, tuple(more), got | {name: got.get(name, F.lit(0)) + F.octet_length(rest) - F.octet_length(x)})
+        return T.bound(F.regexp_replace(rest, p, ""), less)
+
+    rest = F.regexp_replace(c, _WIDE, _CUT)
+    without = lambda x: F.replace(x, F.lit("\r\n"), F.lit(""))
+    narrow = T.bound(rest, lambda x: T.bound(without(x), lambda y: ascii_counts(y, plain, {"other": ((F.octet_length(x) - F.octet_length(y)) / 2).cast("int")})))
+    sums = T.bound(F.zip_with(narrow, wide(F.regexp_extract_all(c, F.lit(_WIDE), 0)), lambda a, b: a + b), lambda s: s)
+    counts = F.when(c.rlike(_chars("Grapheme_Cluster_Break=Prepend")), wide(F.array(c))).otherwise(sums)
+    return {name: F.get(counts, F.lit(i)) for i, name in enumerate(names)}
 
 
 def keywords(df: DataFrame, key: str, text: str, limit: int = 28, known: Sequence[str] = ()) -> DataFrame:
