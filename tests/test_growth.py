@@ -125,3 +125,14 @@ def test_only_what_is_not_ascii_is_cut_into_graphemes(spark):
     for r in df.collect():
         kinds = [next(n for n, p in zip(names, patterns, strict=True) if regex.fullmatch(p, g)) for g in regex.findall(r"\X", texts[r.i])]
         assert [r[n] for n in names] == [kinds.count(n) for n in names], texts[r.i]
+
+
+def test_lines_are_split_once_for_all_delimiters(spark):
+    from textloom.operators import delimited
+
+    texts = ['a,b;"c,d"\n\n1,2;3', "x", "", None, "p|q|r\np|q", 'é\tü\té\r\né\t"a\tb"\té', "  \n"]
+    df = delimited.detect(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count('"(?:[^"]|"")*"') == 1 and plan.count(r"\r\n|\r|\n") == 1
+    got = [(r.delimiter, r.confidence, r.columns) for r in df.orderBy("i").collect()]
+    assert got == [(",", 1.0, 2), (",", 0.0, 0), (",", 0.0, 0), (",", 0.0, 0), ("|", 0.5, 3), ("\t", 1.0, 3), (",", 0.0, 0)]

@@ -11,26 +11,31 @@ from ..functions import text as T
 CANDIDATES = (",", "\t", ";", "|", " ")
 
 
-def _fields(line: Column, delimiter: str) -> Column:
-    """Fields of a line: delimiters outside quotes, plus one."""
-    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+def _unquoted(line: Column) -> Column:
+    return F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, r'"(?:[^"]|"")*"', "")).otherwise(line)
+
+
+def _fields(bare: Column, delimiter: str) -> Column:
+    """Fields of a line without its quoted parts: delimiters, each of one byte, plus one."""
+    return F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
 
 def detect(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, delimiter, confidence, columns: the candidate that splits most of the first 50 lines like the first."""
     lines = F.slice(F.filter(T.lines(F.col(text)), lambda x: ~T.is_blank(x)), 1, 50)
-    found = df.select(key, lines.alias("lines"))
 
-    def score(d: str) -> Column:
-        n = F.transform("lines", lambda x: _fields(x, d))
-        first = F.get(n, F.lit(0))
-        share = F.size(F.filter(n, lambda k: k == first)) / F.size(n)
-        good = first >= 2
-        return F.struct(F.when(good, share).otherwise(0.0).alias("confidence"), F.when(good, first).otherwise(0).alias("columns"), F.lit(-CANDIDATES.index(d)).alias("early"), F.when(good, F.lit(d)).otherwise(F.lit(",")).alias("delimiter"))
+    def score(d: str, bare: Column) -> Column:
+        def of(n: Column) -> Column:
+            first = F.get(n, F.lit(0))
+            good = first >= 2
+            share = T.bound(first, lambda k: F.size(F.filter(n, lambda x: x == k)) / F.size(n))
+            return F.struct(F.when(good, share).otherwise(0.0).alias("confidence"), F.when(good, first).otherwise(0).alias("columns"), F.lit(-CANDIDATES.index(d)).alias("early"), F.when(good, F.lit(d)).otherwise(F.lit(",")).alias("delimiter"))
+
+        return T.bound(F.transform(bare, lambda x: _fields(x, d)), of)
 
-    best = F.array_max(F.array(*(score(d) for d in CANDIDATES)))
-    return found.select(key, F.when(F.size("lines") > 0, best).alias("best")).select(key, F.coalesce("best.delimiter", F.lit(",")).alias("delimiter"), F.coalesce("best.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("best.columns", F.lit(0)).alias("columns"))
+    # lines and their fields are bound: a lambda would split the text again for each line that it compares
+    best = T.bound(F.transform(lines, _unquoted), lambda bare: F.when(F.size(bare) > 0, F.array_max(F.array(*(score(d, bare) for d in CANDIDATES)))))
+    return df.select(key, best.alias("best")).select(key, F.coalesce("best.delimiter", F.lit(",")).alias("delimiter"), F.coalesce("best.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("best.columns", F.lit(0)).alias("columns"))
 
 
 def _parse(text: str, delimiter: str) -> list[list[str]]:
