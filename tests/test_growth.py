@@ -136,3 +136,19 @@ def test_lines_are_split_once_for_all_delimiters(spark):
     assert plan.count('"(?:[^"]|"")*"') == 1 and plan.count(r"\r\n|\r|\n") == 1
     got = [(r.delimiter, r.confidence, r.columns) for r in df.orderBy("i").collect()]
     assert got == [(",", 1.0, 2), (",", 0.0, 0), (",", 0.0, 0), (",", 0.0, 0), ("|", 0.5, 3), ("\t", 1.0, 3), (",", 0.0, 0)]
+
+
+def test_phrases_are_rows_of_a_few_tokens(spark):
+    from textloom.operators import skills
+
+    texts = ["a b,c. d", "go,go.js a  b", ",x a b. c", "", None, "x.y.z a", "GO a b"]
+    named = ["a", "a b", "b,c", "go", "go,go", "x", "x.y", "a ", "a b. c", "c"]
+    df = skills.known_skills(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", spark.createDataFrame([(n,) for n in named], "skill string"))
+    plan = df._jdf.queryExecution()
+    assert "sequence(0" not in plan.optimizedPlan().toString() and "BroadcastHashJoin" in plan.executedPlan().toString()
+    want = {(i, n) for i, t in enumerate(texts) if t is not None for n in named if any(f" {n}{e}" in f" {t.lower()} " for e in " ,.")}
+    assert {(r.k, r.skill) for r in df.collect()} == want
+    wanted = spark.createDataFrame([("f", n) for n in named if n.strip() == n], "f string, skill string")
+    of = skills.field_skills(spark.createDataFrame([(1, "f", "a bs x"), (2, "f", None), (3, "g", "a")], "k int, f string, t string"), "k", "t", "f", wanted)
+    assert "sequence(0" not in of._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: r.present for r in of.collect()} == {1: ["a", "a b", "x"], 2: [], 3: []}

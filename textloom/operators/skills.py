@@ -36,37 +36,52 @@ def seniority(titles: Column, months: Column, *, dated: Column, education: Colum
     )
 
 
-def _phrases(tokens: Column, longest: int, width: int, cuts: bool) -> Column:
-    """The runs of 1 to longest tokens; with cuts also those that end before a comma or full stop.
+def _phrases(df: DataFrame, tokens: Column, longest: int, width: int, cuts: bool) -> DataFrame:
+    """df's columns without _low and _phrase: the runs of 1 to longest tokens; with cuts also those that end before a comma or full stop.
 
-    Nothing of more than width characters can match, so a last token is read no further than that.
+    A row a token with the tokens after it comes first, so that a phrase is made of a row's few columns. Nothing
+    of more than width characters can match, so a last token is read no further than that.
     """
-    none = F.array().cast("array<string>")
+    kept = [c for c in df.columns if c != "_low"]
+    names = [f"_w{n}" for n in range(longest)]
+    kind = f"array<struct<{','.join(f'{n}:string' for n in names)}>>"
+    after = F.arrays_zip(*(F.slice("_tokens", F.lit(n + 1), F.greatest(F.size("_tokens"), F.lit(0))) for n in range(longest))).cast(kind)
+    rows = df.withColumn("_tokens", tokens).select(*kept, F.inline_outer(after))  # outer: computed once, not for a filter as well
 
     def ends(last: Column) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(last), F.lit(1))), lambda p: F.substring(last, p, F.lit(1)).isin(",", "."))
-        return F.concat(F.array(last), F.transform(at, lambda p: F.substring(last, F.lit(1), p - 1)))
+        whole = F.array(last)
+        return F.when(F.contains(last, F.lit(",")) | F.contains(last, F.lit(".")), F.concat(whole, F.transform(at, lambda p: F.substring(last, F.lit(1), p - 1)))).otherwise(whole)
+
+    def run(n: int) -> Column:
+        last = F.substring(names[n - 1], 1, width + 1)
+        found = ends(last) if cuts else F.array(last)
+        if n == 1:
+            return found
+        before = F.concat(*(x for w in names[: n - 1] for x in (F.col(w), F.lit(" "))))
+        whole = F.array(F.concat(before, last))
+        return F.when(F.size(found) > 1, F.transform(found, lambda x: F.concat(before, x))).otherwise(whole) if cuts else whole
+
+    phrase = F.explode_outer(F.concat(*(run(n) for n in range(1, longest + 1)))).alias("_phrase")
+    return rows.select(*kept, phrase).where(F.length("_phrase") <= width)
 
-    def run(i: Column, n: int) -> Column:
-        last = F.substring(F.get(tokens, i + (n - 1)), 1, width + 1)
-        found = F.coalesce(ends(last), none) if cuts else F.array(last)
-        return found if n == 1 else F.transform(found, lambda x: F.concat(F.array_join(F.slice(tokens, i + 1, n - 1), " "), F.lit(" "), x))
 
-    at = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    return F.flatten(F.transform(at, lambda i: F.concat(*(run(i, n) for n in range(1, longest + 1)))))
+#: Skills of at most so many rows are told to all tasks; phrases meet more by a shuffle.
+MOST_TOLD = 200_000
 
 
-def _bounds(skills: DataFrame, extra: int = 0) -> tuple[int, int]:
-    """(words, characters) of the longest skill."""
-    got = skills.agg(F.max(F.size(F.split("skill", " ", -1))), F.max(F.length("skill"))).first()
-    return got[0] or 1, (got[1] or 0) + extra
+def _bounds(skills: DataFrame, extra: int = 0) -> tuple[int, int, bool]:
+    """(words, characters) of the longest skill, and whether they are few."""
+    got = skills.agg(F.max(F.size(F.split("skill", " ", -1))), F.max(F.length("skill")), F.count("*")).first()
+    return got[0] or 1, (got[1] or 0) + extra, got[2] <= MOST_TOLD
 
 
 def known_skills(df: DataFrame, key: str, text: str, skills: DataFrame) -> DataFrame:
     """key, skill: the lower-case skills that stand in the text after a space (or its start) and before a space, comma, full stop or its end."""
-    longest, width = _bounds(skills)
-    rows = df.select(key, F.split(F.lower(text), " ", -1).alias("_tokens")).select(key, F.explode(_phrases(F.col("_tokens"), longest, width, True)).alias("skill"))
-    return rows.join(skills.select("skill").distinct(), "skill").select(key, "skill").distinct()
+    longest, width, few = _bounds(skills)
+    rows = _phrases(df.select(key, F.lower(text).alias("_low")), F.split("_low", " ", -1), longest, width, True)
+    wanted = skills.select(F.col("skill").alias("_phrase")).distinct()
+    return rows.join(F.broadcast(wanted) if few else wanted, "_phrase").select(key, F.col("_phrase").alias("skill")).distinct()
 
 
 def listed_skills(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -98,12 +113,12 @@ def field_skills(df: DataFrame, key: str, text: str, field: str, skills: DataFra
 
     All but letters, digits and + # . / - counts as a space. A field without skills wants none. key names one row.
     """
-    longest, width = _bounds(skills, 1)
+    longest, width, few = _bounds(skills, 1)
     wanted = skills.groupBy(field).agg(F.array_sort(F.collect_set("skill")).alias("_wanted"))
     forms = skills.select(field, "skill", F.explode(F.array("skill", F.concat("skill", F.lit("s")))).alias("_phrase")).distinct()
     bare = F.regexp_replace(F.regexp_replace(F.lower(text), NOT_PHRASE, " "), r"\s+", " ")
-    rows = df.select(key, field, F.split(bare, " ", -1).alias("_tokens")).select(key, field, F.explode(_phrases(F.col("_tokens"), longest, width, False)).alias("_phrase"))
-    found = rows.join(forms, [field, "_phrase"]).groupBy(key).agg(F.array_sort(F.collect_set("skill")).alias("_present"))
+    rows = _phrases(df.select(key, field, bare.alias("_low")), F.split("_low", " ", -1), longest, width, False)
+    found = rows.join(F.broadcast(forms) if few else forms, [field, "_phrase"]).groupBy(key).agg(F.array_sort(F.collect_set("skill")).alias("_present"))
     none = F.array().cast("array<string>")
     out = df.select(key, field).join(wanted, field, "left").join(found, key, "left")
     out = out.select(key, field, F.coalesce("_wanted", none).alias("_wanted"), F.coalesce("_present", none).alias("present"))
