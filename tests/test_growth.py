@@ -152,3 +152,19 @@ def test_phrases_are_rows_of_a_few_tokens(spark):
     of = skills.field_skills(spark.createDataFrame([(1, "f", "a bs x"), (2, "f", None), (3, "g", "a")], "k int, f string, t string"), "k", "t", "f", wanted)
     assert "sequence(0" not in of._jdf.queryExecution().optimizedPlan().toString()
     assert {r.k: r.present for r in of.collect()} == {1: ["a", "a b", "x"], 2: [], 3: []}
+
+
+def test_lines_of_cvs_are_held_for_all_that_reads_them(spark):
+    from textloom.operators import resume, resume_checks
+
+    cv = "Jo Doe\nExperience\nEngineer at Acme, 2001 - 2003\n- responsible for many reports\nSkills\nSQL, Spark\nEducation\nBSc"
+    cvs = registry.spread(spark.createDataFrame([(1, cv), (2, None), (3, "x")], "id int, cv string"), "id")
+    lines = resume.lines(cvs, "id", "cv")
+    held = resume.rows(resume.held(lines, "id", 2), "id")
+    marked = resume.marked_lines(resume.role_lines(held, "id", 24300), "id")
+    again = resume.rows(resume.held(marked, "id", 1), "id")
+    dealt = [df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") for df in (lines, held, again)]
+    assert dealt == [1, 2, 3]  # a shuffle that Spark leaves out would have every reader make the lines again
+    assert rows(held) == rows(lines) and rows(again) == rows(marked)
+    facts = resume_checks.facts(cvs, "id", "cv", 24300)._jdf.queryExecution().executedPlan().toString()
+    assert facts.count("REPARTITION_BY_NUM") > 3

@@ -232,6 +232,22 @@ def once(df: DataFrame, *names: str) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*names))))
 
 
+def held(df: DataFrame, key: str, times: int) -> DataFrame:
+    """A text's rows as one row, dealt by key: what made them runs once, for all that reads the shuffle.
+
+    The number of partitions is fixed, or they would be merged by their bytes: times that of tables that are spread.
+    It must not be the number in which df lies by the key already, or nothing is shuffled and each reader makes df again.
+    """
+    spark = df.sparkSession
+    n = times * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    one = df.groupBy(key).agg(F.collect_list(F.struct(*(c for c in df.columns if c != key))).alias("_rows"))
+    return one.repartition(n, key)
+
+
+def rows(held: DataFrame, key: str) -> DataFrame:
+    return held.select(key, F.inline("_rows"))
+
+
 def bullets(rows: DataFrame, key: str) -> DataFrame:
     """key, line_no, bullet and what it says, of all bulleted lines, in whatever section."""
     return said(rows.where("bullet").select(key, "line_no", stripped(F.col("line")).alias("bullet")).withColumn("n_words", _count_words(F.col("bullet"))))

@@ -94,8 +94,8 @@ def facts(df: DataFrame, key: str, text: str, now: int, *, known: DataFrame | No
     known: skill. layout: key and columns of LAYOUT, pages and glyphs. targets: key, target_role, department.
     departments: department, link, section, core_skills, outcome_words. adverts: key, advert.
     """
-    rows = resume.lines(df, key, text)
-    marked = resume.marked_lines(resume.role_lines(rows, key, now), key)
+    rows = resume.rows(resume.held(resume.lines(df, key, text), key, 2), key)
+    marked = resume.rows(resume.held(resume.marked_lines(resume.role_lines(rows, key, now), key), key, 1), key)
     jobs = resume.roles(marked, key)
     line, section = F.col("line"), F.struct("line_no", "line")
     summary = F.array_sort(F.collect_list(F.when((F.col("section") == "summary") & F.col("heading").isNull(), section)))
@@ -142,7 +142,7 @@ def facts(df: DataFrame, key: str, text: str, now: int, *, known: DataFrame | No
         F.count_if(relevant).alias("relevant"),
     )
     verbs = resume.once(b, key, "verb").where("verb is not null").groupBy(key, "verb").agg(F.count("*").alias("n")).groupBy(key).agg(F.count_if(F.col("n") >= 3).alias("repeated"), F.sum("n").alias("verbs"))
-    named = skills.cv_skills(df, key, text, known) if known is not None else skills.listed_skills(df, key, text)
+    named = skills.cv_skills(df, key, text, known) if known is not None else skills.listed_skills(df, key, text, rows)
     of_skills = named.groupBy(key).agg(F.count("*").alias("skills"))
     out = df.select(key)
     for part in (of_lines, of_roles, of_bullets, verbs, of_skills, resume.experience(jobs, key), resume.contact(rows, key)):

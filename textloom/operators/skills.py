@@ -84,9 +84,12 @@ def known_skills(df: DataFrame, key: str, text: str, skills: DataFrame) -> DataF
     return rows.join(F.broadcast(wanted) if few else wanted, "_phrase").select(key, F.col("_phrase").alias("skill")).distinct()
 
 
-def listed_skills(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_no, pos, skill: the entries of lines under a skills heading, without group labels, bullets, brackets and hedges."""
-    rows = lines(df, key, text).where("section = 'skills' and heading is null")
+def listed_skills(df: DataFrame, key: str, text: str, of_texts: DataFrame | None = None) -> DataFrame:
+    """key, line_no, pos, skill: the entries of lines under a skills heading, without group labels, bullets, brackets and hedges.
+
+    of_texts: the texts' lines, where they are at hand.
+    """
+    rows = (lines(df, key, text) if of_texts is None else of_texts).where("section = 'skills' and heading is null")
     body = F.regexp_replace("line", r"^[^:]*:", "")
     pieces = rows.select(key, "line_no", F.posexplode(F.split(body, SPLIT, -1)).alias("pos", "piece"))
     bare = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace("piece", BULLET, "")), r"\([^)]*\)", ""), HEDGE, "")
