@@ -168,3 +168,13 @@ def test_lines_of_cvs_are_held_for_all_that_reads_them(spark):
     assert rows(held) == rows(lines) and rows(again) == rows(marked)
     facts = resume_checks.facts(cvs, "id", "cv", 24300)._jdf.queryExecution().executedPlan().toString()
     assert facts.count("REPARTITION_BY_NUM") > 3
+
+
+def test_lines_of_yaml_carry_no_steps(spark):
+    from textloom.operators import json_yaml
+
+    doc = '[[{"a":[[],{"b":1,"c":[2]}]},3],{"d":{"e":[[4]]}},{}]'
+    df = json_yaml.to_yaml(spark.createDataFrame([(1, doc)], "id int, doc string"), "id", "doc")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "steps" not in plan and "nth" not in plan
+    assert df.first().output == "- - a:\n      - []\n      - b: 1\n        c:\n          - 2\n  - 3\n- d:\n    e:\n      - - 4\n- {}\n"

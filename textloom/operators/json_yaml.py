@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .json_tables import tree
+from .json_tables import _kind, _leaf, _walked, sorted_names
 from .jsons import yaml_ambiguous, yaml_needs_quotes
 
 
@@ -48,18 +49,53 @@ def _label(c: Column, quote: str) -> Column:
     return F.when(c.contains(":") & ~c.rlike(BROKEN), single_quoted(c)).otherwise(_scalar(c, quote)) if quote == "minimal" else _scalar(c, quote)
 
 
+def _outline(value: object):
+    """(pos, depth, name, dashes, type, size, value) of each node that writes something.
+
+    dashes has a letter for each level that is indented: 1 where the node's line is the first of a list's element.
+    """
+    stack: list[tuple] = [(value, None, False, "", "")]
+    pos = 0
+    while stack:
+        x, name, member, dashes, first = stack.pop()
+        kind = _kind(x)
+        children = list(x.items()) if kind == "object" else [(None, v) for v in x] if kind == "array" else []
+        if member or not children:
+            # a member stands at its object's level, so its own step indents nothing
+            yield pos, len(dashes), name, dashes[:-1] if member else dashes, kind, len(children), None if isinstance(x, (dict, list)) else _leaf(x)
+        listed = kind == "array"
+        below = [(v, k, not listed, own, own if listed else "0" * len(own)) for i, (k, v) in enumerate(children) for own in ((first if i == 0 else "0" * len(first)) + "01"[listed],)]
+        stack += reversed(below)
+        pos += 1
+
+
+_OUTLINE = (("pos", pa.int32(), "int"), ("depth", pa.int32(), "int"), ("name", pa.string(), "string"), ("dashes", pa.string(), "string"), ("type", pa.string(), "string"), ("size", pa.int32(), "int"), ("value", pa.string(), "string"))
+
+
+def outline(df: DataFrame, key: str, text: str, sort: bool = False) -> DataFrame:
+    """key and the columns of _outline() of each valid text's nodes, in the document's order, or by name."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for at, found in _walked(b, lambda value: _outline(sorted_names(value) if sort else value)):
+                taken = pa.array([i for i, nodes in zip(at, found, strict=True) for _ in nodes], pa.int64())
+                columns = [pa.array([n[k] for nodes in found for n in nodes], t) for k, (_, t, _) in enumerate(_OUTLINE)]
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(taken), *columns], names=["_key", *(n for n, _, _ in _OUTLINE)])
+
+    out = df.select(F.col(key).alias("_key"), F.col(text).alias("_json")).mapInArrow(run, f"_key {kind}, " + ", ".join(f"{n} {t}" for n, _, t in _OUTLINE))
+    return out.withColumnRenamed("_key", key)
+
+
 def yaml_lines(df: DataFrame, key: str, text: str, options: YamlOptions = YamlOptions()) -> DataFrame:
     """key, pos, lines, kind (structure, plain, quoted, ambiguous or block), value, depth of each node that writes something.
 
     A member of an object writes its label, a leaf its scalar; the first line that comes of a list's element
     has a dash in the place of the indent of that level.
     """
-    n = tree(df, key, text, sort=options.sort_keys)
-    depth, value = F.size("steps"), F.col("value")
-    last = F.get("steps", depth - 1)
+    n = outline(df, key, text, options.sort_keys)
+    depth, value = F.col("depth"), F.col("value")
     is_text, leaf = F.col("type") == "string", ~F.col("type").isin("object", "array")
-    member = F.coalesce(last["name"].isNotNull(), F.lit(False))
-    n = n.where(leaf | (F.col("size") == 0) | member)
 
     pieces = F.split(value, "\n", -1)
     block = F.lit(options.quote == "minimal" and options.blocks) & is_text & value.contains("\n") & ~value.rlike(r"[\r\t]|" + CONTROL) & ~F.exists(pieces, lambda x: x.rlike("^ | $"))
@@ -67,20 +103,13 @@ def yaml_lines(df: DataFrame, key: str, text: str, options: YamlOptions = YamlOp
     inline = F.when(is_text, said).when(F.col("type") == "null", "null").when(F.col("type") == "object", "{}").when(F.col("type") == "array", "[]").otherwise(value)
     ends = F.length(value) - F.length(F.regexp_replace(value, r"\n+$", ""))
     content = F.when(block, F.when(ends == 0, "|-").when(ends == 1, "|").otherwise("|+")).when(leaf | (F.col("size") == 0), inline)
-    label = F.when(member, F.concat(_label(last["name"], options.quote), F.lit(":")))
+    label = F.concat(_label(F.col("name"), options.quote), F.lit(":"))  # null where there is no name
     first = F.concat_ws(" ", label, content)
 
     pad, dash = " " * options.indent, "-".ljust(options.indent)
 
-    def level(s: Column, k: Column) -> Column:
-        """A dash where all that follows in the steps is first of its kind and writes nothing before this node."""
-        later = F.transform(F.slice("steps", k + 2, F.greatest(depth, F.lit(1))), lambda t, i: (t["nth"] == 0) & (t["index"].isNotNull() | (i + k + 2 == depth)))
-        return F.when(s["index"].isNotNull() & F.forall(later, lambda x: x), dash).otherwise(pad)
-
-    # a member stands at its object's level, so its own step indents nothing
-    levels = F.when(member, F.slice("steps", 1, F.greatest(depth - 1, F.lit(0)))).otherwise(F.col("steps"))
-    # the step's own place is among all steps: level() looks at what follows it there
-    begin = F.concat(F.array_join(F.transform(levels, level), ""), first)
+    indent = F.replace(F.replace("dashes", F.lit("0"), F.lit(pad)), F.lit("1"), F.lit(dash))
+    begin = F.concat(indent, first)
     shown = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
     body = F.transform(shown, lambda x: F.when(x == "", x).otherwise(F.concat(F.repeat(F.lit(pad), depth), x)))
     kind = F.when(block, "block").when(is_text & (said != value), F.when(yaml_ambiguous(value), "ambiguous").otherwise("quoted")).when(leaf, "plain").otherwise("structure")
