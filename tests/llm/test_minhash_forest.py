@@ -91,6 +91,43 @@ def test_all_nodes_of_a_wide_region_are_marked():
     assert {a for a, b in got if a == b} == {0, 1, 6, 7}
 
 
+def turned_rows(sigs):
+    """The rows of all orders, as they reach a single task."""
+    import pyarrow as pa
+
+    step = len(sigs[0]) // M.ORDERS
+    rows = sorted((t, s[t * step :] + s[: t * step], i) for t in range(M.ORDERS) for i, s in enumerate(sigs))
+    tree, sig, node = zip(*rows, strict=True)
+    n = [9] * len(rows)
+    return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node), pa.array(n), pa.array(node), pa.array(sig, pa.binary())], names=["tree", "node", "n", "label", "sig"])
+
+
+@pytest.mark.parametrize("size", [M.SIZE, M.LONG])
+def test_a_pair_comes_from_one_order(size):
+    import random
+
+    r, sigs, o = random.Random(2), [], M.ForestOptions()
+    for g in range(12):
+        base = bytes(r.randrange(256) for _ in range(size))
+        sigs += [bytes(r.randrange(256) if r.random() < 0.04 else c for c in base) for _ in range(6)]
+    rows = turned_rows(sigs)
+    got = [(x["a"], x["b"]) for k in (len(rows), 40) for out in M._neighbours(o, 8, size)([rows.slice(i, k) for i in range(0, len(rows), k)]) for x in out.to_pylist() if x["a"] != x["b"]]
+    want = {(a, b) for a, b in combinations(range(len(sigs)), 2) if a // 6 == b // 6}
+    assert set(got) == want and len(got) == 2 * len(want)
+
+
+def test_the_driver_gets_short_keys(spark):
+    """Rows are dealt to tasks by a few bytes of a signature, not by all 1024."""
+    nodes = spark.createDataFrame([(i, 9, bytearray(M.LONG), i) for i in range(3)], "node long, n long, sig binary, label long")
+    asked = []
+    deal = type(nodes).repartitionByRange
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(nodes), "repartitionByRange", lambda self, *by: asked.append(self.select(*by)) or deal(self, *by))
+        M._candidates(nodes, M.ForestOptions(), 512, M.LONG)
+    keys = asked[0].collect()
+    assert len(keys) == 3 * M.ORDERS and all(len(x) <= 32 for k in keys for x in k if isinstance(x, bytes | bytearray))
+
+
 @pytest.mark.parametrize("task_edges", [1 << 20, 7])
 def test_components(spark, task_edges):
     import random

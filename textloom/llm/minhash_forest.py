@@ -7,7 +7,8 @@
    ``depth`` bytes. A node looks back over ``reach`` rows, nearest first, so in a thin region it
    sees all that share the least depth, and in a dense one those of greater depth.
    Neighbours whose whole signatures make the similarity very unlikely (more than 5 standard
-   deviations below it) are passed over. Rows are dealt by their order alone, so a large region goes
+   deviations below it) are passed over, and so are those that share four bytes in an earlier order: that
+   one compares them, or its region is wide. Rows are dealt by their order's first bytes, so a large region goes
    over many tasks; a region that a task's first or last rows cut counts as wide.
 3. Candidates are confirmed on the full sets, best first: each node's best of the larger and of the
    smaller nodes, then the best between each two components, then all that still lie between
@@ -25,7 +26,7 @@ are kept by the stage; an empty table gives no rows.
 
 What can be missed: a pair at exactly the least similarity shares no four bytes at any of the 16
 places with a chance of 8 in a million (at 0.9 4 in a hundred million), and lies below the five
-deviations with one of 3 in ten million.
+deviations with one of 3 in ten million; both once more for the longer signatures of wide regions.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ from .shingles import stretches, text_sets
 SIZE = 128  # bytes of a signature
 LONG = 1024  # and of a longer one, for dense regions
 ORDERS = 16  # sorted orders; one begins at every sixteenth of a signature
+DEALT = 16  # bytes of a turned signature that deal its row to a task
 
 
 @dataclass(frozen=True)
@@ -91,8 +93,12 @@ def _long_signatures(batches):
 
 def _neighbours(options: ForestOptions, reach: int, size: int):
     """Candidate pairs (a < b, equal bytes) of rows sorted by order and signature; (a, a, 0) marks each
-    node of a region wider than reach, and of the first and last one, which may go on in other tasks."""
+    node of a region wider than reach, and of the first and last one, which may go on in other tasks.
+
+    A pair comes from the first order alone whose region both nodes share: there it was compared, or both are marked.
+    """
     least, depth, s = options.least_equal(size), options.depth, options.similarity
+    later = np.arange(ORDERS)
 
     def run(batches):
         kept, start = None, None
@@ -114,8 +120,11 @@ def _neighbours(options: ForestOptions, reach: int, size: int):
                     break
                 near = i[(100 * np.minimum(n[i], n[i - j]) >= s * np.maximum(n[i], n[i - j])) & (label[i] != label[i - j])]
                 if len(near):
-                    equal = (sig[near] == sig[near - j]).sum(1)
-                    good = equal >= least
+                    same = sig[near] == sig[near - j]
+                    equal = same.sum(1)
+                    # the k-th stretch of a turned signature begins order (tree + k) modulo ORDERS
+                    shared = same.reshape(len(near), ORDERS, -1)[:, :, :depth].all(2)
+                    good = (equal >= least) & ~(shared & (later >= ORDERS - tree[near, None])).any(1)
                     near, equal = near[good], equal[good]
                     out.append((np.minimum(node[near], node[near - j]), np.maximum(node[near], node[near - j]), equal.astype(np.int32)))
             marked = np.zeros(len(node), bool)
@@ -144,7 +153,8 @@ def _candidates(nodes: DataFrame, options: ForestOptions, reach: int, size: int
     step = size // ORDERS
     turned = F.array(*(F.struct(F.lit(t).alias("tree"), F.concat(F.substring("sig", t * step + 1, size), F.substring("sig", 1, t * step)).alias("sig")) for t in range(ORDERS)))
     rows = nodes.select("node", "n", "label", F.explode(turned).alias("x")).select("node", "n", "label", "x.tree", "x.sig")
-    ordered = rows.repartitionByRange("tree", "sig", "node").sortWithinPartitions("tree", "sig", "node")
+    # the driver gets samples of what rows are dealt by, so that is short; regions that it cuts are marked
+    ordered = rows.repartitionByRange("tree", F.substring("sig", 1, DEALT), "node").sortWithinPartitions("tree", "sig", "node")
     found = ordered.mapInArrow(released(_neighbours(options, reach, size)), "a long, b long, equal int")
     return materialize(found.groupBy("a", "b").agg(F.max("equal").alias("equal")), "forest-pairs")
 
