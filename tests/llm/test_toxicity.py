@@ -96,3 +96,11 @@ def test_the_sample_is_bounded_and_takes_the_rarer_class_first(spark):
     finally:
         T.Chain.fit = real
     assert sizes[0][1] == 40 and sizes[0][0] <= 600
+
+
+def test_the_driver_gives_back_what_the_fit_took(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(T, "release", lambda: done.append(True))
+    docs = spark.createDataFrame([(i, f"text {i % 2}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
+    assert T.fit(docs, labels) is not None and done == [True]

@@ -108,14 +108,19 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def release() -> None:
+    """Give this process's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(run: Callable) -> Callable:
     """run, a function of batches, after which freed memory goes back to the system: the worker serves other stages next."""
 
     def and_release(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return and_release
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import bounded_batches, packed, released, small_enough, table, unpacked
+from .common import bounded_batches, packed, release, released, small_enough, table, unpacked
 
 REMEMBER = 200_000  # words whose feature a worker remembers
 EDGE = b".,;:!?\"'()[]{}|*#-"  # outer punctuation
@@ -227,7 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityO
     fold = np.array([xxhash.xxh64_intdigest(str(i)) % options.folds for i in got["doc_id"].to_pylist()])
     lists = got["features"].combine_chunks()
     cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return Chain.fit([flat[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], y, fold, options)
+    chain = Chain.fit([flat[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], y, fold, options)
+    del got, lists, cut, flat
+    release()  # the driver's own memory, which the stages after this one need
+    return chain
 
 
 def predict(docs: DataFrame, chain: Chain | None, options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
