@@ -122,3 +122,44 @@ def test_sets_of_one_class_number_stay_apart(spark, monkeypatch):
     assert len(every) == 3 and len(h) == len(other) == 6
     assert np.array_equal(np.sort(other[line == 0]), np.sort(other[line == 2]))
     assert not set(other[line == 0]) & set(other[line == 1]) and not set(h) & set(other)
+
+
+def test_texts_are_not_shuffled_for_the_numbers_of_lines(spark):
+    out = L.op6_line_dedup(spark, "/root/testdata/sf0.001")
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    dealt = [part for part in plan.split("\n\n") if ") Exchange\n" in part]
+    assert dealt and not any("text#" in part for part in dealt)
+
+
+def test_a_filter_that_lets_all_pass_changes_nothing(spark, monkeypatch):
+    import numpy as np
+
+    rows = corpus(25) + corpus(2)
+    want = run(spark, rows)
+    monkeypatch.setattr(L, "key_filter", lambda keys: np.full(L.FILTER_BITS // 8, 255, np.uint8))
+    assert run(spark, rows) == want == plain(rows)
+
+
+def test_bins_tell_what_comes_with_more_than_one(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(L, "HELD", 300)
+    r = np.random.default_rng(5)
+    batches, want = [], {}
+    for _ in range(7):
+        n = r.integers(0, 6, 50)
+        token = r.integers(0, 2**64, 400, np.uint64)[r.integers(0, 400, n.sum())] if n.sum() else np.zeros(0, np.uint64)
+        token[::9] = 7  # many have it
+        cls, dkey, line = r.integers(-20, 20, 50) << 40, r.integers(0, 5, 50), r.integers(0, 5, 50).astype(np.int32)
+        packed = [x.tobytes() for x in np.split(token, np.cumsum(n)[:-1])]
+        whole = pa.RecordBatch.from_arrays([pa.array([1, *cls]), pa.array([1, *dkey]), pa.array([1, *line], pa.int32()), pa.array([b"12345678", *packed])], names=["cls", "dkey", "line", "tokens"])
+        batches.append(whole.slice(1))
+        for c, d, k, x in zip(cls, dkey, line, np.split(token, np.cumsum(n)[:-1]), strict=True):
+            want.setdefault(int(L._class_key(np.array([c]))[0]), set()).add((d, k))
+            for h in x.tolist():
+                want.setdefault(h, set()).add(c)
+    rows = pa.Table.from_batches(list(L._dealt(batches))).sort_by("bin").combine_chunks().to_batches()
+    got = np.concatenate([b.column("h").to_numpy() for b in L._repeated(rows)]).view(np.uint64).tolist()
+    assert len(got) == len(set(got)) and set(got) == {h for h, x in want.items() if len(x) > 1} and 7 in got
+    assert not list(L._dealt([])) and not list(L._repeated([]))

@@ -7,7 +7,9 @@ on no order of work.
 
 1. A sketch of fixed size counts all tokens of the corpus; tokens are ordered by it, rare first.
 2. Lines of equal token sets collapse to their first occurrence: the rest are later matches. Sets
-   are told apart by 128 bits of two hashes.
+   are told apart by 128 bits of two hashes. Tokens and sets are dealt to bins by their hashes, as packed numbers;
+   a bin tells which tokens more than one set has, and which sets more than one line. Lines whose set is their own
+   meet no others here.
 3. First occurrences are joined on their prefix tokens (two lines that are similar enough share
    one of them), under length and positional bounds.
 4. Each line is first compared with the earliest line of each of its tokens' lists; only lines
@@ -15,8 +17,9 @@ on no order of work.
    of copies costs a comparison for each line and token, not one for each pair.
 5. Candidates are confirmed on the lines' own words. The texts are read again, and of their lines only
    those leave a task that a Bloom filter of fixed size lets pass; an exact join follows. Tokens that only one
-   set has are left out in the same way. So the same plan runs at every size, and whole texts are shuffled once,
-   to meet the numbers of the lines that they lose.
+   set has are left out in the same way; those that the filter lets pass meet no other line. So the same plan runs
+   at every size, and whole texts are shuffled once, to meet the numbers of the lines that they lose; if only these
+   numbers are asked for, not at all.
 
 Lines without words stay. Null texts stay null. Rows of equal doc_id and text count as one
 document and lose the same lines; null ids come first. A document whose lines all go keeps its row
@@ -39,12 +42,14 @@ from .common import materialize, mix64, packed, released, table, unpacked
 from .shingles import exact_shingles, shingles, stretches, words
 
 BUCKETS = 1 << 22  # of the sketch
-CHUNK = 1 << 16  # buckets in a chunk
+CHUNK = 1 << 18  # buckets in a chunk
 SHIFT = np.uint64(42)  # from a token to its bucket
 SECOND = np.uint64(0x5851F42D4C957F2D)  # sets the second hash of words apart from the first
 FILTER_BITS = 1 << 27  # of a Bloom filter: 16 MB
-FILTER_PARTS = 64
-PROBES = 5
+FILTER_PARTS = 16
+PROBES = 3
+BINS = 1 << 11  # of tokens and sets, by their first bits
+HELD = 1 << 18  # of these that a task holds at a time
 LINE_STRETCH = 1 << 21  # bytes of texts whose lines are held at a time
 
 
@@ -125,8 +130,8 @@ def _lines(shared, similarity: int):
                 sums = np.add.reduceat(h, first), np.add.reduceat(h * (h | np.uint64(1)), first)
                 prefix = n - (similarity * n + 99) // 100 + 1
                 at = np.repeat(first - (np.cumsum(prefix) - prefix), prefix) + np.arange(prefix.sum())
-                cut = pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32))
-                tokens = pa.ListArray.from_arrays(cut, pa.array(h[at].view(np.int64)))
+                cut = (8 * np.r_[0, np.cumsum(prefix)]).astype(np.int32)
+                tokens = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cut), pa.py_buffer(h[at])])
                 cls = mix64(sums[0] ^ mix64(sums[1] + n.astype(np.uint64)))
                 check = mix64(np.add.reduceat(mix64(other), first))  # with cls it names the set by 128 bits
                 who = pa.array((every >> 32) + a)
@@ -151,18 +156,86 @@ def _confirm(similarity: int):
     return run
 
 
-def _places(h: np.ndarray) -> list[np.ndarray]:
-    """The bits of 64-bit keys in the filter."""
-    one = mix64(h)
-    two = mix64(one ^ SECOND) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        return [((one + np.uint64(k) * two) % np.uint64(FILTER_BITS)).astype(np.int64) for k in range(PROBES)]
+def _longs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The unsigned longs that are packed in a binary column without nulls, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint64, (off[-1] - off[0]) // 8, off[0]), np.diff(off) // 8
+
+
+def _class_key(cls: np.ndarray) -> np.ndarray:
+    """Sets the numbers of classes apart from tokens."""
+    return mix64(cls.view(np.uint64) ^ SECOND)
+
+
+def _ends(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, with the least and the largest of what they come with."""
+    order = np.argsort(key)
+    key, of = key[order], of[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.minimum.reduceat(of, first), np.maximum.reduceat(of, first)
+
+
+def _in_bins(held: list) -> pa.RecordBatch:
+    key, lo, hi = _ends(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    times = 1 + (lo != hi)
+    key, of = np.repeat(key, times), np.repeat(lo, times)
+    of[np.cumsum(times) - 1] = hi
+    cut = np.r_[np.searchsorted(key, np.arange(BINS, dtype=np.uint64) << np.uint64(65 - BINS.bit_length())), len(key)]
+    own = np.flatnonzero(np.diff(cut))
+    off = pa.py_buffer((16 * np.r_[cut[own], len(key)]).astype(np.int32))
+    pairs = pa.Array.from_buffers(pa.binary(), len(own), [None, off, pa.py_buffer(np.stack([key, of], 1))])
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pairs], names=["bin", "pairs"])
+
+
+def _dealt(batches):
+    """(bin, pairs): each token with the class of its line, each class with its line."""
+    held, n = [], 0
+    for b in batches:
+        token, size = _longs(b.column("tokens"))
+        cls = b.column("cls").to_numpy().view(np.uint64)
+        line = _line_key(b.column("dkey").to_numpy(), b.column("line").to_numpy())
+        held.append((np.r_[token, _class_key(cls)], np.r_[np.repeat(cls, size), line]))
+        n += len(held[-1][0])
+        if n >= HELD:
+            yield _in_bins(held)
+            held, n = [], 0
+    if n:
+        yield _in_bins(held)
+
+
+def _repeated(batches):
+    """h: what comes with more than one; the rows of a bin come one after another, and whole bins are held."""
+
+    def of(held):
+        pairs = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2)
+        key, lo, hi = _ends(pairs[:, 0], pairs[:, 1])
+        return pa.RecordBatch.from_arrays([pa.array(key[lo != hi].view(np.int64))], names=["h"])
+
+    held, n, last = [], 0, None
+    for b in batches:
+        for k, blob in zip(b.column("bin").to_pylist(), b.column("pairs").to_pylist(), strict=True):
+            if k != last and n >= 16 * HELD:
+                yield of(held)
+                held, n = [], 0
+            held.append(blob)
+            n, last = n + len(blob), k  # bytes, 16 a pair
+    if n:
+        yield of(held)
+
+
+def _place(one: np.ndarray, two: np.ndarray, k: int) -> np.ndarray:
+    return ((one + np.uint64(k) * two) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
 def _filter_of(batches):
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for b in batches:
-        for at in _places(b.column("h").to_numpy().view(np.uint64)):
+        one = mix64(b.column("h").to_numpy().view(np.uint64))
+        two = mix64(one ^ SECOND) | np.uint64(1)
+        for k in range(PROBES):
+            at = _place(one, two, k)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     z = zstandard.ZstdCompressor(1)
     for k in range(FILTER_PARTS):
@@ -193,9 +266,15 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 
 def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether keys may be in the filter; those that are always may."""
-    good = np.ones(len(h), bool)
-    for at in _places(h):
-        good &= (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+    one = mix64(h)
+    left, two = np.arange(len(h)), np.zeros(1, np.uint64)
+    for k in range(PROBES):  # most are told by the first
+        at = _place(one, two, k)
+        own = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        left, one = left[own], one[own]
+        two = two[own] if k else mix64(one ^ SECOND) | np.uint64(1)
+    good = np.zeros(len(h), bool)
+    good[left] = True
     return good
 
 
@@ -239,17 +318,32 @@ def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(lines.join(wanted, ["dkey", "line"]).select("at", "text").dropDuplicates(["at"]), "line-texts")
 
 
-def _shared_tokens(shared):
+def _with_copies(shared):
+    """The lines whose class may be that of other lines too."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_maybe(shared.value, _class_key(b.column("cls").to_numpy()))))
+
+    return run
+
+
+def _shared_tokens(shared, alone: bool):
+    """The tokens that other classes may have too, a row each; alone: only of lines whose class no other line has."""
+
     def run(batches):
         bits = shared.value
         for b in batches:
-            lists = b.column("tokens")
-            n, token = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-            own = np.flatnonzero(_maybe(bits, token.view(np.uint64)))
-            who = pa.array(row[own])
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(who) for c in ("cls", "n", "doc_id", "dkey", "line")), pa.array(pos[own].astype(np.int32)), pa.array(token[own])], names=["cls", "n", "doc_id", "dkey", "line", "pos", "token"])
+            if alone:
+                b = b.filter(pa.array(~_maybe(bits, _class_key(b.column("cls").to_numpy()))))
+            if not b.num_rows:
+                continue
+            token, n = _longs(b.column("tokens"))
+            own = np.flatnonzero(_maybe(bits, token))
+            row = np.repeat(np.arange(len(n)), n)[own]
+            pos = own - (np.cumsum(n) - n)[row]
+            who = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(who) for c in ("cls", "check", "n", "doc_id", "dkey", "line")), pa.array(pos.astype(np.int32)), pa.array(token[own].view(np.int64))], names=["cls", "check", "n", "doc_id", "dkey", "line", "pos", "token"])
 
     return run
 
@@ -272,45 +366,49 @@ def later_matches(docs: DataFrame, options: LineDedupOptions = LineDedupOptions(
     shared = spark.sparkContext.broadcast(token_sketch(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "dkey", "text").where(F.col("text").isNotNull())
-    lines = materialize(slim.mapInArrow(released(_lines(shared, t)), f"cls long, check long, doc_id {kind}, dkey long, line int, n int, tokens array<long>"), "lines")
-    place = F.struct("doc_id", "dkey", "line")  # orders the lines
-    classes = lines.groupBy("cls", "check").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
-    classes = materialize(classes, "line-classes")
-
-    # tokens of more than one class, then their lists
-    rows = lines.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
-    ends = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-    common = materialize(ends.where(F.col("lo") != F.col("hi")).select("token"), "line-common")
-    bits = spark.sparkContext.broadcast(key_filter(common.select(F.col("token").alias("h"))))
-    some = lines.mapInArrow(released(_shared_tokens(bits)), f"cls long, n int, doc_id {kind}, dkey long, line int, pos int, token long")
-    every = some.select("cls", "n", place.alias("at"), "pos", "token").join(common, "token", "left_semi")
-    posts = every.groupBy("token", "cls", "n", "pos").agg(F.min("at").alias("at"))
-    leads = posts.groupBy("token").agg(F.min_by(F.struct("at", "cls", "n", "pos"), "at").alias("lead"))
-    posts = materialize(posts.join(leads, "token"), "line-tokens")
+    row = f"cls long, check long, doc_id {kind}, dkey long, line int, n int, tokens binary"
+    lines = materialize(slim.mapInArrow(released(_lines(shared, t)), row), "lines")
+    place = F.struct("doc_id", "dkey", "line", "cls", "check")  # orders the lines, and names their classes
+
+    # tokens of more than one class and classes of more than one line
+    dealt = lines.select("cls", "dkey", "line", "tokens").mapInArrow(released(_dealt), "bin int, pairs binary")
+    bits = spark.sparkContext.broadcast(key_filter(dealt.repartition("bin").sortWithinPartitions("bin").mapInArrow(released(_repeated), "h long")))
+    copied = materialize(lines.mapInArrow(released(_with_copies(bits)), row), "line-copies")
+    firsts = copied.groupBy("cls", "check").agg(F.min(F.struct("doc_id", "dkey", "line", "n", "tokens")).alias("first"), F.count("*").alias("copies"))
+    firsts = materialize(firsts.select("cls", "check", "first.*", "copies"), "line-firsts")
+
+    # the tokens' lists, without their earliest lines
+    post = f"cls long, check long, n int, doc_id {kind}, dkey long, line int, pos int, token long"
+    posts = lines.mapInArrow(released(_shared_tokens(bits, True)), post).union(firsts.drop("copies").mapInArrow(released(_shared_tokens(bits, False)), post))
+    posts = materialize(posts.select("token", place.alias("at"), "n", "pos"), "line-tokens")
+    leads = posts.groupBy("token").agg(F.min(F.struct("at", "n", "pos")).alias("lead"))
+    posts = materialize(posts.join(leads.hint("merge"), "token").where(F.col("at.cls") != F.col("lead.at.cls")), "line-lists")
 
     def within(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
         """Length bound, and overlap that the places of a shared token leave possible."""
         room = F.least(na - pa_, nb - pb)
         return (F.lit(100) * F.least(na, nb) >= F.lit(t) * F.greatest(na, nb)) & (F.lit(100 + t) * room >= F.lit(t) * (na + nb))
 
-    star = posts.where((F.col("cls") != F.col("lead.cls")) & within(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos")))
+    star = posts.where(within(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos")))
     star = materialize(star.select(F.col("lead.at").alias("a"), F.col("at").alias("b")).distinct(), "line-star")
     ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
     texts = _line_texts(ends_of(star), docs)
     matched = materialize(_similar(star, texts, t), "line-matched")
-    left = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    rest = posts.where(F.col("cls") != F.col("lead.cls")).select("token", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(matched, "b", "left_anti")
+    left = posts.select("token", F.col("at").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    rest = posts.select("token", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(matched, "b", "left_anti")
     pairs = left.join(rest, "token").where((F.col("a") < F.col("b")) & within(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b").distinct()
     pairs = materialize(pairs, "line-pairs")
     if pairs.limit(1).count():
         more = ends_of(pairs).join(texts.select("at"), "at", "left_anti")
         if more.limit(1).count():
             texts = texts.union(_line_texts(more, docs))
-        matched = matched.union(_similar(pairs, texts, t))
+        matched = materialize(matched.union(_similar(pairs, texts, t)), "line-all-matched")
 
-    hit = classes.join(matched.withColumnRenamed("b", "at").withColumn("hit", F.lit(True)), "at", "left")
-    status = hit.where((F.col("copies") > 1) | F.col("hit")).select("cls", "check", F.col("at").alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    gone = lines.select("cls", "check", place.alias("at"), "dkey", "line").join(status, ["cls", "check"]).where(F.col("hit") | (F.col("at") != F.col("first")))
+    hits = matched.select("b.cls", "b.check").distinct().withColumn("hit", F.lit(True))
+    first = firsts.join(hits, ["cls", "check"], "left").where((F.col("copies") > 1) | F.col("hit"))
+    first = materialize(first.select("cls", "check", place.alias("first"), F.coalesce("hit", F.lit(False)).alias("hit")), "line-groups")
+    gone = copied.select("cls", "check", place.alias("at")).join(first.hint("merge"), ["cls", "check"]).where(F.col("hit") | (F.col("at") != F.col("first")))
+    gone = gone.select("at.dkey", "at.line").union(matched.select("b.dkey", "b.line"))
     return gone.groupBy("dkey").agg(F.collect_set("line").alias("removed"))
 
 
@@ -327,10 +425,11 @@ def _without(lines: Column, removed: Column) -> Column:
 def dedup_lines(docs: DataFrame, options: LineDedupOptions = LineDedupOptions()) -> DataFrame:
     """docs with n_lines, removed (sorted line numbers) and deduped (the text without them); these replace columns of their names."""
     keyed = _keyed(docs)
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    keyed = keyed.withColumn("n_lines", F.coalesce(n_lines, F.lit(0)))  # before the join, which texts then needn't go through for their count
     removed = materialize(later_matches(keyed.select("doc_id", "text", "dkey"), options), "lines-removed")
     out = keyed.join(removed.hint("merge"), "dkey", "left")  # at every size as at a large one
     out = out.withColumn("removed", F.coalesce(F.sort_array("removed"), F.array().cast("array<int>")))
-    out = out.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)))
     kept = F.get(F.transform(F.array(F.split("text", "\n", -1)), lambda lines: _without(lines, F.col("removed"))), 0)
     return unpacked(out.withColumn("deduped", F.when(F.size("removed") == 0, F.col("text")).otherwise(kept)), docs, ("doc_id", "text"), "n_lines", "removed", "deduped")
 
@@ -338,7 +437,7 @@ def dedup_lines(docs: DataFrame, options: LineDedupOptions = LineDedupOptions())
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)
-    return out.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).alias("n_lines"), F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
 OP6_SQL = """
