@@ -134,6 +134,25 @@ def test_placeholder_formats(spark):
     assert col(spark, ["s"], lambda c: placeholder.blocks(c, "sentences", 1, start_with_lorem=True))[0][0].startswith(placeholder.OPENING + " ")
 
 
+def test_placeholder_texts_are_whole(spark, tmp_path):
+    from textloom.plans.catalog import QUERIES
+
+    many = col(spark, ["x", None, "y z"], lambda c: placeholder.blocks(c, "sentences", 250, "english"))
+    r = Plain("x")
+    assert many[0] == [r.sentence("english") for _ in range(250)] and many[1] is None and len(many[2]) == 250
+    assert col(spark, [None], lambda c: placeholder.blocks(c)) == [None]
+    opened = col(spark, ["x"], lambda c: placeholder.blocks(c, "sentences", 2, start_with_lorem=True))[0]
+    r = Plain("x")
+    first = r.sentence("classic")
+    assert opened == [f"{placeholder.OPENING} {first[0].lower()}{first[1:]}", r.sentence("classic")]
+    spark.createDataFrame([(k, f"part {k % 7}") for k in range(3000)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    for row in QUERIES["placeholder_texts"](spark, str(tmp_path)).where("p_partkey % 250 = 3").collect():
+        for flavour, space in placeholder.JOINERS.items():
+            r = Plain(f"part {row.p_partkey % 7}-{row.p_partkey}")
+            said = [space.join(r.sentence(flavour) for _ in range(3 + int(r() * 4))) for _ in range(3)]
+            assert row[flavour] == "\n".join(f"<p>{p}</p>" for p in said)
+
+
 # ---- sealed texts
 
 

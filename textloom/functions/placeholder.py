@@ -2,11 +2,15 @@
 
 A 32-bit generator drives it (mulberry32, seeded by FNV-1a of the seed's UTF-16 units). Its n-th number
 depends on the seed and n alone, so only the count of numbers used so far is carried from sentence to
-sentence, as the state of a fold.
+sentence: the sentences of many texts are laid out at once, a sentence of each text a step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +29,7 @@ JOINERS = {"classic": " ", "english": " ", "bangla": " ", "japanese": "", "arabi
 OPENING = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
 
 _ALL = 0xFFFFFFFF
+MOST_WORDS = 1 << 17  # that are made at a time, but for a single text of more
 
 
 def _product(a: Column, b: Column | int) -> Column:
@@ -57,61 +62,97 @@ def random(seed: Column, n: Column) -> Column:
     return bound(second, lambda t: t.bitwiseXOR(F.shiftrightunsigned(t, 14)).cast("double") / 4294967296.0)
 
 
-def _raised(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
-
-
-def _words(seed: Column, start: Column, n: Column, flavour: str) -> Column:
-    pool = F.array(*map(F.lit, WORDS[flavour]))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(pool, F.floor(random(seed, start + i) * len(WORDS[flavour])).cast("int")))
-
-
-def _sentence(seed: Column, at: Column, flavour: str, least: int = 6, most: int = 18) -> Column:
-    """A struct of the sentence and the count of numbers used: a longer one may have a comma within."""
-    full, comma = STOPS[flavour]
-
-    def of_length(n: Column) -> Column:
-        after = at + 1 + n
-        has = (n > 10) & (random(seed, after) > 0.45)
-        place = F.when(has, 3 + F.floor(random(seed, after + 1) * (n - 6)).cast("int"))
-        words = F.transform(_words(seed, at + 1, n, flavour), lambda w, i: F.when(i == place, F.concat(w, F.lit(comma))).otherwise(w))
-        text = F.array_join(words, JOINERS[flavour])
-        text = _raised(text) if flavour in ("classic", "english") else text
-        used = after + F.when(n > 10, F.when(has, 2).otherwise(1)).otherwise(0)
-        return F.struct(F.concat(text, F.lit(full)).alias("text"), used.alias("at"))
-
-    return bound(least + F.floor(random(seed, at) * (most - least + 1)).cast("int"), of_length)
-
-
-def _fold(seed: Column, start: Column, n: Column, one) -> Column:
-    """n blocks, one after another: a struct of their texts and the count of numbers used."""
-    begin = F.struct(start.alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, _: bound(one(seed, acc["at"]), lambda s: F.struct(s["at"].alias("at"), F.array_append(acc["out"], s["text"]).alias("out")))
-    return F.aggregate(F.sequence(F.lit(1), n), begin, step)
+def _numbers(seed: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """random() of arrays; 32-bit products wrap by themselves."""
+    a = seed + (n + 1).astype(np.uint32) * np.uint32(0x6D2B79F5)
+    t = (a ^ a >> np.uint32(15)) * (a | np.uint32(1))
+    t ^= t + (t ^ t >> np.uint32(7)) * (t | np.uint32(61))
+    return (t ^ t >> np.uint32(14)) / 4294967296.0
+
+
+def _seeds(texts: list[str]) -> np.ndarray:
+    """seed_of() of texts."""
+    out = np.empty(len(texts), np.uint32)
+    for k, text in enumerate(texts):
+        h = 0x811C9DC5
+        for u in memoryview(text.encode("utf-16-le")).cast("H"):
+            h = (h ^ u) * 0x01000193 & _ALL
+        out[k] = h
+    return out
+
+
+def _pieces(flavour: str, end: str, between: str, opening: str = "") -> pa.Array:
+    """Each word as it may stand in a text: within, with a comma, last of a block, last of a sentence; then the same raised (lowered after an opening)."""
+    comma, joiner, latin = STOPS[flavour][1], JOINERS[flavour], flavour in ("classic", "english")
+    shapes = [[w + z for w in WORDS[flavour]] for z in (joiner, comma + joiner, end, end + between)]
+    shapes += [[w[:1].upper() + w[1:] if latin else w for w in shape] for shape in shapes]
+    shapes += [[opening + w for w in shape] for shape in shapes[:4]]
+    return pa.array([w for shape in shapes for w in shape], pa.string())
+
+
+def _laid_out(seed: np.ndarray, unit: str, count: int, flavour: str) -> tuple[np.ndarray, ...]:
+    """A row a sentence, in the order of the texts: its text, block, first number of its words, words, place of its comma (or -1), whether it ends its block."""
+    rows, at, out = np.arange(len(seed)), np.zeros(len(seed), np.int64), []
+    if unit == "words":
+        full = np.full(len(seed), count)
+        return rows, np.zeros_like(rows), at, full, np.full(len(seed), -1), np.ones(len(seed), bool)
+    least, most = (3, 8) if unit == "list" else (6, 18)
+    for block in range(count):
+        said = np.ones(len(seed), np.int64)
+        if unit == "paragraphs":
+            said = 3 + np.floor(_numbers(seed, at) * 4).astype(np.int64)
+            at = at + 1
+        for k in range(said.max(initial=1)):
+            r = rows[said > k]
+            s, first = seed[r], at[r]
+            n = least + np.floor(_numbers(s, first) * (most - least + 1)).astype(np.int64)
+            after = first + 1 + n
+            has = (n > 10) & (_numbers(s, after) > 0.45)
+            place = np.where(has, 3 + np.floor(_numbers(s, after + 1) * (n - 6)).astype(np.int64), -1)
+            at[r] = after + (n > 10) + has
+            out.append((r, np.full(len(r), block), first + 1, n, place, said[r] == k + 1))
+    made = [np.concatenate(x) for x in zip(*out, strict=True)]
+    order = np.argsort(made[0], kind="stable")
+    return tuple(x[order] for x in made)
+
+
+def _texts(seeds: list[str], unit: str, count: int, flavour: str, opened: bool) -> pa.ListArray:
+    """The blocks of each seed; words are taken from their shapes, and their bytes are the text."""
+    full, pool = STOPS[flavour][0], len(WORDS[flavour])
+    shapes = _pieces(flavour, "" if unit == "list" else full, " " if JOINERS[flavour] else "", OPENING + " ")
+    seed = _seeds(seeds)
+    row, block, start, n, place, last = _laid_out(seed, unit, count, flavour)
+    of = np.repeat(np.arange(len(n)), n)
+    here = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    word = np.floor(_numbers(seed[row[of]], start[of] + here) * pool).astype(np.int64)
+    shape = np.where(here == n[of] - 1, np.where(last[of], 2, 3), (here == place[of]).astype(np.int64))
+    opens = np.r_[True, last[:-1]] & (block == 0) & opened if len(last) else last
+    shape += np.where(here == 0, np.where(opens[of], 8, 4), 0)
+    said = shapes.take(pa.array(word + pool * shape))
+    ends = np.frombuffer(said.buffers()[1], np.int32)[np.r_[0, np.cumsum(n)[last]]]
+    texts = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), said.buffers()[2])
+    each = 1 if unit == "words" else count
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(seeds) + 1) * each, pa.int32()), texts)
 
 
 def blocks(seed: Column, unit: str = "paragraphs", count: int = 3, flavour: str = "classic", start_with_lorem: bool = False) -> Column:
-    """The text's blocks: paragraphs (of 3 to 6 sentences), sentences, a list (of 3 to 8 words each) or words (one block). 1 to 200 of them."""
-    count = max(1, min(200, count))
-    joiner, full = JOINERS[flavour], STOPS[flavour][0]
-
-    def paragraph(seed: Column, at: Column) -> Column:
-        said = bound(3 + F.floor(random(seed, at) * 4).cast("int"), lambda n: _fold(seed, at + 1, n, lambda s, a: _sentence(s, a, flavour)))
-        return bound(said, lambda p: F.struct(F.array_join(p["out"], " " if joiner else "").alias("text"), p["at"].alias("at")))
-
-    def made(s: Column) -> Column:
-        if unit == "words":
-            text = F.array_join(_words(s, F.lit(0), F.lit(count), flavour), joiner)
-            out = F.array(F.concat(_raised(text) if flavour in ("classic", "english") else text, F.lit(full)))
-        elif unit == "list":
-            out = F.transform(_fold(s, F.lit(0), F.lit(count), lambda s, a: _sentence(s, a, flavour, 3, 8))["out"], lambda b: F.regexp_replace(b, "[.。।]$", ""))
-        else:
-            out = _fold(s, F.lit(0), F.lit(count), paragraph if unit == "paragraphs" else lambda s, a: _sentence(s, a, flavour))["out"]
-        if start_with_lorem and flavour == "classic" and unit != "list":
-            out = F.transform(out, lambda b, i: F.when(i == 0, F.concat(F.lit(OPENING + " "), F.lower(F.substring(b, 1, 1)), F.substring(b, F.lit(2), F.length(b)))).otherwise(b))
-        return out
-
-    return bound(seed_of(F.trim(seed)), made)
+    """The text's blocks: paragraphs (of 3 to 6 sentences), sentences, a list (of 3 to 8 words each) or words (one block).
+
+    As many as asked for, one at least. A null seed has no blocks.
+    """
+    count = max(1, count)
+    opened = start_with_lorem and flavour == "classic" and unit != "list"
+    held = max(1, MOST_WORDS // (count * {"paragraphs": 54, "words": 1}.get(unit, 12)))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for i in range(0, len(b), held):
+                part = b.slice(i, held)
+                there = np.array(part.is_valid())
+                made = _texts(part.drop_null().to_pylist(), unit, count, flavour, opened)
+                yield made.take(pa.array(np.cumsum(there) - 1, mask=~there)) if part.null_count else made
+
+    return F.arrow_udf(run, "array<string>")(F.trim(seed))
 
 
 def formatted(b: Column, unit: str = "paragraphs", form: str = "plain") -> Column:

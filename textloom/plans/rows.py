@@ -39,8 +39,8 @@ def generated_ids(spark, sf_dir):
 def placeholder_texts(spark, sf_dir):
     """Placeholder paragraphs of each part, seeded by its name and key."""
     seed = F.concat_ws("-", "p_name", "p_partkey")
-    made = {f: placeholder.blocks(seed, "sentences", 2, f) for f in placeholder.WORDS}
-    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", *(placeholder.formatted(b, "sentences", "html").alias(f) for f, b in made.items()))
+    made = {f: placeholder.blocks(seed, flavour=f) for f in placeholder.WORDS}
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", *(placeholder.formatted(b, form="html").alias(f) for f, b in made.items()))
 
 
 @query()
